@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, mixing, quality_rules, secret_scan, sharding
+from . import bpe, imatch, mixing, quality_rules, secret_scan, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,23 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def vocabulary() -> str:
+    """The vocabulary file; the package that holds it is installed on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+    ids = F.col("token_ids")
+    return encoded.select("doc_id", "n_tokens", "token_ids", bpe.decode(ids, vocabulary()).alias("decoded")).select(
+        "doc_id", "n_tokens",
+        _sha(F.array_join(ids.cast("array<string>"), ",")).alias("ids_sha256"),
+        _sha(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(_table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -57,6 +74,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_bpe": op2_bpe,
         "op4_shards": op4_shards,
         "op7_imatch": op7_imatch,
         "op8_quality_rules": op8_quality_rules,
