@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,25 +32,28 @@ def line_verdict(line: Column) -> Column:
     tenth of its characters, or three or more doubled exclamation marks; shouting: over 24 letters, of which over 60 %
     capitals; boilerplate: a phrase of page furniture.
     """
-    bare = F.regexp_replace(line, SPACES, "")
-    length, length_of_line = F.length(bare), F.length(line)
-    capitals = length - _length_without(bare, r"\p{Lu}")
-    letters = length - _length_without(bare, r"\p{L}")
+    length_of_line = F.length(line)
+    bare = F.length(F.regexp_replace(line, SPACES, ""))
+    letters = F.length(F.regexp_replace(line, r"\P{L}+", ""))
+    capitals = F.length(F.regexp_replace(line, r"\P{Lu}+", ""))
+    # Each costly share is behind a search that most lines end.
+    symbols = line.rlike(SYMBOLS)
     return (
-        F.when(length == 0, F.lit(None).cast("string"))
-        .when(length_of_line - _length_without(line, r"\s[|>»·](?=\s)") >= 2 * 2, F.lit("navigation"))
-        .when((length - _length_without(bare, SYMBOLS)) > MAX_SYMBOL_SHARE * length, F.lit("punctuation"))
-        .when(length_of_line - _length_without(line, "!!") >= 2 * 3, F.lit("punctuation"))
-        .when((letters > 24) & (capitals > MAX_LOUD_SHARE * letters), F.lit("shouting"))
-        .when(line.rlike("(?i)" + "|".join(BOILERPLATE)), F.lit("boilerplate"))
+        F.when(~line.rlike(r"[^\x20\x09-\x0D]"), F.lit(None).cast("string"))
+        .when(line.rlike("[|>»·]") & (length_of_line - _length_without(line, r"\s[|>»·](?=\s)") >= 2 * 2), F.lit("navigation"))
+        .when(symbols & (length_of_line - _length_without(line, SYMBOLS) > MAX_SYMBOL_SHARE * bare), F.lit("punctuation"))
+        .when(F.contains(line, F.lit("!!")) & (length_of_line - _length_without(line, "!!") >= 2 * 3), F.lit("punctuation"))
+        .when(line.rlike(r"\p{Lu}{2}") & (letters > 24) & (capitals > MAX_LOUD_SHARE * letters), F.lit("shouting"))
+        .when(let(F.lower(line), lambda low: reduce(or_, [F.contains(low, F.lit(x)) for x in BOILERPLATE])), F.lit("boilerplate"))
     )
 
 
 def repeated_words(words: Column) -> Column:
     """How many of the words are in a 3-word window that occurs twice or more.
 
-    The windows are sorted with their places; equal neighbours are the repeats. With their first words' places
-    ascending, each adds the words that the one before doesn't cover: three, or the distance if it is less.
+    If all windows' hashes differ, none. Else the windows are sorted with their places; equal neighbours are the
+    repeats. With their first words' places ascending, each adds the words that the one before doesn't cover: three,
+    or the distance if it is less.
     """
 
     def covered(places: Column) -> Column:
@@ -60,10 +66,12 @@ def repeated_words(words: Column) -> Column:
         return let(F.sort_array(F.transform(found, lambda x: x["i"])), covered)
 
     def of(w: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(w) - 3)
         window = lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i"))
-        return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(
-            let(F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window)), repeats)
-        )
+        hashes = F.transform(places, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        none = let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
+        exact = let(F.sort_array(F.transform(places, window)), repeats)
+        return F.when(F.size(w) < 3, F.lit(0).cast("long")).when(none, F.lit(0).cast("long")).otherwise(exact)
 
     return let(words, of)
 
@@ -83,7 +91,9 @@ def apply_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows = docs.drop(*[c for c in added if c != text_col])
     text = F.coalesce(F.col(text_col), F.lit(""))
     word_list = F.filter(F.split(text, SPACES), lambda w: w != "")
-    counted = F.struct(F.size(word_list).cast("long").alias("n"), repeated_words(word_list).alias("repeats"))
+    counted = let(word_list, lambda w: F.struct(
+        F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).alias("repeats")
+    ))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
     judged = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), line_verdict(x).alias("broken")))
@@ -98,14 +108,14 @@ def apply_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     first = rows.withColumns({"_words": counted, "_clean": let(judged, cleaned), "n_dup_lines": dup_lines})
     second = first.withColumns({
         "n_words": F.col("_words.n"),
-        "word_chars": _length_without(text, SPACES).cast("long"),
+        "word_chars": F.col("_words.chars"),
         "n_symbols": (F.length(text) - _length_without(text, SYMBOLS)).cast("long"),
         "n_repeat_words": F.col("_words.repeats"),
         "clean_text": F.col("_clean.text"),
         "n_lines_removed": F.col("_clean.removed"),
     })
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    left = _length_without(F.col("clean_text"), SPACES)
+    left = F.when(F.col("n_lines_removed") == 0, F.col("word_chars")).otherwise(_length_without(F.col("clean_text"), SPACES))
     return second.withColumns({
         "base_failed": failed,
         "kept": ~failed & (F.col("word_chars") - left <= MAX_LOST_SHARE * F.col("word_chars")),

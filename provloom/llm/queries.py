@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, minhash, mixing, quality_rules, secret_scan, sharding
+from . import bpe, imatch, kneser_ney, masked_lm, minhash, mixing, quality_rules, secret_scan, sharding, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,17 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels' numbers are read as the pages': a labelled page fails if it is of low quality or toxic."""
+    labels = _table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("failing"))
+    return url_reputation.judge(_table(spark, sf_dir, "pages"), outcomes)
+
+
 def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = imatch.compare_edits(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -75,15 +86,22 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op2_bpe": op2_bpe,
         "op3_minhash": op3_minhash,
         "op4_shards": op4_shards,
+        "op5_kneser_ney": op5_kneser_ney,
+        "op6_url_reputation": op6_url_reputation,
         "op7_imatch": op7_imatch,
         "op8_quality_rules": op8_quality_rules,
         "op9_secret_scan": op9_secret_scan,
+        "op10_masked_lm": op10_masked_lm,
     }
 
 
