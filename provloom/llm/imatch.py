@@ -27,7 +27,7 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", least_share: float =
     Frequencies are counted over all documents, summed by task before the shuffle. Terms of one document alone
     are out. The driver gets the band only, which the band's lower end bounds.
     """
-    counted = docs.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    counted = docs.select(F.explode_outer(terms(F.col(text_col))).alias("term")).where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("df"))
     n = docs.count()
     least, most = max(2.0, least_share * n), max(2.0, most_share * n)
     found = (

@@ -11,7 +11,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import let
 
 
 @dataclass(frozen=True)
@@ -34,8 +34,8 @@ BASE_RULES = (
 )
 EXTRA_RULES = (
     Rule("pem", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----"),
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("forge", r"ghp_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xoxb-[A-Za-z0-9-]{10,}"),
     Rule("web", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE_RULES + EXTRA_RULES
@@ -62,12 +62,12 @@ def trigram_query(pattern: str) -> Query:
     """The trigrams that any match must hold, as a Boolean query over texts whose A-Z are lower-cased.
 
     The regex is walked left to right with the set of literal strings that may have just been read. When a
-    wild part ends them, each gives the conjunction of its trigrams and the set their disjunction.
-    True: no trigram is mandatory.
+    wild part ends them, each gives the conjunction of its first and its last trigram, which are as selective here as all
+    of them and make a smaller index, and the set their disjunction. True: no trigram is mandatory.
     """
 
     def grams(strings: set[str]) -> Query:
-        return _or([_and(("gram", s[i : i + 3]) for i in range(len(s) - 2)) for s in strings])
+        return _or([_and(("gram", g) for g in {s[:3], s[-3:]} if len(g) == 3) for s in strings])
 
     def choices(parts) -> set[str] | None:
         """All strings of a part if they are few, else None."""
@@ -141,13 +141,13 @@ def build_index(docs: DataFrame, trigrams: Iterable[str], id_col: str = "doc_id"
     gives postings of bounded length. Other trigrams are never looked up and get no postings.
     """
     names = sorted(trigrams)
-    lower = ascii_lower(F.col(text_col))
     blocks = max(1, -(-docs.count() // block_rows))
     return (
         docs.where(F.col(text_col).isNotNull())
-        .select(_row_key(id_col, text_col).alias("key"), lower.alias("_lower"))
+        .select(_row_key(id_col, text_col).alias("key"), F.lower(text_col).alias("_lower"))
         .select("key", F.array_compact(F.array(*[F.when(F.contains("_lower", F.lit(g)), F.lit(g)) for g in names])).alias("_grams"))
-        .select("key", F.explode("_grams").alias("trigram"))
+        .select("key", F.explode_outer("_grams").alias("trigram"))  # the inner one would make the array a second time, to filter by it
+        .where(F.col("trigram").isNotNull())
         .groupBy(F.pmod(F.col("key"), F.lit(blocks)).cast("int").alias("block"), "trigram")
         .agg(F.collect_set("key").alias("postings"))
     )
