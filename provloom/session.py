@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -30,3 +32,12 @@ def local_session(cpus: int | str = 8, app: str = "provloom", **conf: str) -> Sp
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a scale-factor folder; only Spark's reader touches the path, so any Hadoop store works."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's shared checkpoint folder (a temporary one only where none is named) and read back."""
+    sc = df.sparkSession.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="provloom-"))
+    return df.checkpoint(eager=True)
