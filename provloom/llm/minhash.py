@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -16,6 +16,8 @@ from .components import components
 #: Bands of ROWS signature values. Two sets of similarity 0.8 share no band with probability (1 - 0.8 ** 5) ** 28 = 2e-5.
 BANDS, ROWS = 28, 5
 SIZE = BANDS * ROWS
+#: Signature values that two sets must have in common to be compared in full, of SIZE: 4.7 standard deviations below 0.8.
+LEAST_EQUAL = 90
 #: Elements of documents whose signatures are made at once.
 BATCH_ELEMENTS = 150_000
 #: Texts that meet one leader's text in one run of rows.
@@ -111,12 +113,30 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """A byte of each signature value, eight to a long, the rest zero."""
+    octets = np.zeros((len(sig), -(-SIZE // 8) * 8), np.uint8)
+    octets[:, :SIZE] = (_mix(sig.astype(np.uint64)) & _U(0xFF)).astype(np.uint8)
+    return octets.view(np.int64)
+
+
+def unequal(one: Column, other: Column) -> Column:
+    """How many bytes of two sketches differ: each byte's bits are folded into its lowest, and these are counted."""
+    total = F.lit(0)
+    for i in range(-(-SIZE // 8)):
+        x = F.get(one, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _signatures(words: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(ids, sets):
@@ -125,10 +145,12 @@ def _signatures(words: int):
             for i, x in enumerate(nodes):
                 if x is not None:
                     first.setdefault(x, i)
-            keys = band_keys(super_minhash([sets[i] for i in first.values()])) if first else np.zeros((0, BANDS), np.int64)
-            row = {x: keys[i] for i, x in enumerate(first)}
-            bands = [row[x] if x is not None else None for x in nodes]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+            row = {}
+            if first:
+                sig = super_minhash([sets[i] for i in first.values()])
+                row = {x: pair for x, *pair in zip(first, band_keys(sig), sketches(sig), strict=True)}
+            bands, made = ([row[x][k] if x is not None else None for x in nodes] for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(made, pa.list_(pa.int64()))], schema=schema)
 
         for batch in batches:
             ids, sets, total = [], [], 0
@@ -147,11 +169,11 @@ def _signatures(words: int):
 
 
 def _verify(words: int, percent: int):
-    """Rows arrive leader first, then the texts that it is held against; gives each pair's sizes of intersection and union.
+    """Rows arrive leader first, then the texts that it is held against; gives whether each pair is linked.
 
     Only the leader's set and one other are held at a time.
     """
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("linked", pa.bool_()), ("percent", pa.float64())])
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("linked", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, lead, found = None, None, None
@@ -169,7 +191,7 @@ def _verify(words: int, percent: int):
                 elif found is not None:
                     both = len(np.intersect1d(found, s, assume_unique=True))
                     either = len(found) + len(s) - both
-                    rows.append((lead, node.as_py(), 100 * both >= percent * either, 100.0 * both / either))
+                    rows.append((lead, node.as_py(), 100 * both >= percent * either))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
 
     return run
@@ -184,47 +206,50 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     1. One pass makes each document's set, its size, a digest and SuperMinHash band keys. Documents with equal
        digests are one node from here on, so copies cost one row each.
-    2. Nodes with a band key in common are candidates. In each bucket all nodes are held against its leader, the least
-       node, by their full sets, each first against the least of its leaders. Links are contracted by union-find.
-    3. What still has nodes of several components in a bucket is held against the leaders that are left, and then
-       member against member, unless their similarities to the leader rule a link out (Jaccard distance is a metric).
+    2. Nodes with a band key in common are candidates if their signatures agree in LEAST_EQUAL values. In each bucket all
+       nodes are held against its leader, the least node, by their full sets, each first against the least of its
+       leaders. Links are contracted by union-find, and leaders in other components are next.
+    3. Buckets that still have nodes of several components are joined with themselves, the largest component only with the
+       others, and pairs whose signatures agree are held against each other.
     4. The links' components give the ids.
 
-    Sets are compared by 64-bit hashes of shingles. Pairs that share no band are missed, 2e-5 of those at similarity
-    0.8. Defined results: null and blank texts have size 0, are linked with nothing and kept; a null id is never a component_id where another is
+    Sets are compared by 64-bit hashes of shingles. Of pairs at similarity 0.8, 2e-5 share no band and 1e-6 have signatures
+    that agree too little. Step 3 looks at the sketches of as many pairs as a bucket has outside its largest component times
+    its size: texts that share most of a passage but aren't linked. Defined results: null and blank texts have size 0, are linked with nothing and kept; a null id is never a component_id where another is
     reachable, and a row of null id is kept only if its component_id is null; rows with one id are that many
     documents; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = checkpoint(rows.mapInArrow(_signatures(words), "id long, n long, node binary, bands array<bigint>"))
+    signed = checkpoint(rows.mapInArrow(_signatures(words), "id long, n long, node binary, bands array<bigint>, sketch array<bigint>"))
     nodes = checkpoint(
         signed.where(F.col("node").isNotNull()).groupBy("node")
-        .agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.min("bands").alias("bands"))
+        .agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
     member = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = member.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1").drop("size")
     star = checkpoint(member.join(leaders, "bucket").select("bucket", "leader", "node"))  # only buckets of two or more
-    candidates = star.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-
-    # Texts are read again for the nodes that have a candidate, one row each.
-    wanted = star.select("node").distinct().join(nodes.select("node", "first"), "node")
-    texts = wanted.join(rows, F.col("first").eqNullSafe(F.col("id"))).select("node", "text")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        runs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("runs")).alias("salt"))
+    sketch_a, sketch_b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    enough = unequal(F.col("sketch_a"), F.col("sketch_b")) <= SIZE - LEAST_EQUAL
+    pairs = star.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    candidates = checkpoint(pairs.join(sketch_b, "b").join(sketch_a, "a").where(enough).select("a", "b"))
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """The texts of the pairs' nodes, read again, one row each; rows of one id are told apart when they are verified."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "first"), "node")
+        return checkpoint(wanted.join(rows, F.col("first").eqNullSafe(F.col("id"))).select("node", "text"))
+
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """Full comparisons; a leader's pairs are dealt into runs, each of which gets the leader's text."""
+        sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN_ROWS).alias("runs"))
+        runs = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("runs")).alias("salt"))
         lead = runs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("node"))
         other = runs.join(texts, F.col("b") == F.col("node"))
         both = lead.select("a", "salt", F.lit(True).alias("leads"), "node", "text").union(other.select("a", "salt", F.lit(False).alias("leads"), "node", "text"))
         dealt = both.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("leads").desc(), "node")
-        return checkpoint(dealt.mapInArrow(_verify(words, percent), "a binary, b binary, linked boolean, percent double").distinct())
+        return checkpoint(dealt.mapInArrow(_verify(words, percent), "a binary, b binary, linked boolean").distinct())
 
-    def in_runs(pairs: DataFrame) -> DataFrame:
-        """With the number of runs that a leader's pairs are dealt into."""
-        sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN_ROWS).alias("runs"))
-        return pairs.join(sizes, "a")
-
-    first = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    done = verify(in_runs(first))
+    texts = texts_of(candidates)
+    done = verify(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts)
     roots = components(done.where("linked"))
 
     def crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -233,13 +258,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         both = pairs.join(a, "a", "left").join(b, "b", "left")
         return both.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b")
 
-    rest = checkpoint(crossing(candidates.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), roots))
+    rest = checkpoint(crossing(candidates.join(done.select("a", "b"), ["a", "b"], "left_anti"), roots))
     if not rest.isEmpty():
-        done = done.union(verify(in_runs(rest)))
+        done = done.union(verify(rest, texts))
         roots = components(done.where("linked"))
-    apart = checkpoint(_apart(star, done, roots, percent))
+    apart = checkpoint(_apart(star, nodes.select("node", "sketch"), roots, enough))
     if not apart.isEmpty():
-        done = done.union(verify(in_runs(apart)))
+        done = done.union(verify(apart, texts_of(apart)))
         roots = components(done.where("linked"))
 
     # Each root's least id, and each copy's.
@@ -256,27 +281,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     )
 
 
-def _apart(star: DataFrame, done: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a bucket, neither its leader, that are in different components and that the leader doesn't rule out.
-
-    With distances to the leader known, a link needs them to differ by no more than 1 - percent / 100. Members that
-    were not held against the leader, being in its component already, may be at any distance.
-    """
-    known = done.select(F.col("a").alias("leader"), F.col("b").alias("node"), "percent")
-    of = roots.select("node", "root")
-    placed = star.where("leader <> node").join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _apart(star: DataFrame, sketches: DataFrame, roots: DataFrame, enough: Column) -> DataFrame:
+    """The pairs of a bucket, neither its leader, that are in different components and whose sketches agree."""
+    placed = star.where("leader <> node").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    held = checkpoint(placed.join(mixed, "bucket", "left_semi").join(known, ["leader", "node"], "left"))
-    # The bucket's largest component is only held against the others.
+    held = checkpoint(placed.join(mixed, "bucket", "left_semi").select("bucket", "node", "root"))
     sizes = held.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    few = held.join(largest, "bucket").where("root <> largest").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("percent").alias("pa"))
-    all_ = held.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("percent").alias("pb"))
-    near = F.abs(F.col("pa") - F.col("pb")) <= 100 - percent
-    return (
-        few.join(all_, "bucket").where((F.col("ra") != F.col("rb")) & F.coalesce(near, F.lit(True)))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
+    few = held.join(largest, "bucket").where("root <> largest").join(sketches, "node").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sketch_a"))
+    every = held.join(sketches, "node").select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sketch_b"))
+    met = few.join(every, (F.col("bucket") == F.col("bucket_b")) & (F.col("ra") != F.col("rb")) & enough)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
