@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +18,9 @@ _WHITE = r"\t-\r \x85\xa0  -     　"
 #: The byte-level pre-tokeniser's pattern; a fixed value, with white space spelled out.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 #: Distinct pieces that a worker remembers, with their ids; beyond that it starts anew.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 60_000
 #: Characters of texts that are handled at once; a longer text is handled alone.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 400_000
 
 
 def byte_chars() -> list[str]:
@@ -177,6 +178,21 @@ def _slices(sizes: Iterable[int]) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def _encoded(bpe: Bpe, batch: pa.Array, decoded: bool) -> tuple[pa.Array, pa.Array | None]:
+    """The ids, and on demand the text that they give, some texts at a time."""
+    sizes = np.asarray(pc.binary_length(batch).fill_null(0)).tolist()
+    all_ids, counts, texts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [pa.array([], pa.string())]
+    for a, b in _slices(sizes):
+        ids, count = bpe.encode(batch.slice(a, b - a).fill_null("").to_pylist())
+        all_ids.append(ids)
+        counts.append(count)
+        if decoded:
+            texts.append(pa.array(bpe.decode(ids, count), pa.string()))
+    offsets = np.cumsum(np.concatenate(counts)).astype(np.int32)
+    found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_ids), pa.int32()))
+    return found, pa.concat_arrays(texts) if decoded else None
+
+
 def encode(text: Column, path: str) -> Column:
     """The text's token ids, array<int>. A null or empty text has none; the vocabulary file's special tokens are recognised in texts.
 
@@ -187,18 +203,24 @@ def encode(text: Column, path: str) -> Column:
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = worker(path)
         for batch in batches:
-            texts = batch.fill_null("").to_pylist()
-            all_ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for a, b in _slices(map(len, texts)):
-                ids, count = bpe.encode(texts[a:b])
-                all_ids.append(ids)
-                counts.append(count)
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_ids), pa.int32()))
+            yield _encoded(bpe, batch, False)[0]
 
     return encoded(text)
 
 
+def encode_decode(text: Column, path: str) -> Column:
+    """A struct of the text's token ids and the text that they decode to, made by one worker with one vocabulary."""
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = worker(path)
+        for batch in batches:
+            ids, decoded = _encoded(bpe, batch, True)
+            yield pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
+
+    return both(text)
+
+
 def decode(ids: Column, path: str) -> Column:
     """The text of token ids, special tokens included; null ids give an empty text."""
 
@@ -207,7 +229,7 @@ def decode(ids: Column, path: str) -> Column:
         bpe = worker(path)
         for batch in batches:
             count = np.asarray(batch.value_lengths().fill_null(0), np.int64)
-            flat = np.asarray(batch.flatten().fill_null(-1), np.int64)
+            flat = np.asarray(batch.flatten().fill_null(-1))
             ends = np.concatenate([[0], np.cumsum(count)])
             texts = []
             for a, b in _slices(count.tolist()):

@@ -31,12 +31,12 @@ def vocabulary() -> str:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
-    ids = F.col("token_ids")
-    return encoded.select("doc_id", "n_tokens", "token_ids", bpe.decode(ids, vocabulary()).alias("decoded")).select(
-        "doc_id", "n_tokens",
-        _sha(F.array_join(ids.cast("array<string>"), ",")).alias("ids_sha256"),
-        _sha(F.col("decoded")).alias("decoded_sha256"),
+    docs = _table(spark, sf_dir, "documents").select("doc_id", bpe.encode_decode(F.col("text"), vocabulary()).alias("bpe"))
+    return docs.select(
+        "doc_id",
+        F.size("bpe.ids").cast("long").alias("n_tokens"),
+        _sha(F.array_join(F.col("bpe.ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        _sha(F.col("bpe.decoded")).alias("decoded_sha256"),
     )
 
 
