@@ -207,15 +207,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     1. One pass makes each document's set, its size, a digest and SuperMinHash band keys. Documents with equal
        digests are one node from here on, so copies cost one row each.
     2. Nodes with a band key in common are candidates if their signatures agree in LEAST_EQUAL values. In each bucket all
-       nodes are held against its leader, the least node, by their full sets, each first against the least of its
+       nodes are held against its leader, the node of most copies, by their full sets, each first against the least of its
        leaders. Links are contracted by union-find, and leaders in other components are next.
-    3. Buckets that still have nodes of several components are joined with themselves, the largest component only with the
-       others, and pairs whose signatures agree are held against each other.
+    3. In buckets that still hold several components, shingles that no other node there has are counted. A node with too many of them
+       can have no link and leaves; the node with the least share of them is a second leader. What then is in
+       different components is joined bucket by bucket, where counts and sketches allow a link, and held against each other.
     4. The links' components give the ids.
 
     Sets are compared by 64-bit hashes of shingles. Of pairs at similarity 0.8, 2e-5 share no band and 1e-6 have signatures
-    that agree too little. Step 3 looks at the sketches of as many pairs as a bucket has outside its largest component times
-    its size: texts that share most of a passage but aren't linked. Defined results: null and blank texts have size 0, are linked with nothing and kept; a null id is never a component_id where another is
+    that agree too little. Defined results: null and blank texts have size 0, are linked with nothing and kept; a null id is never a component_id where another is
     reachable, and a row of null id is kept only if its component_id is null; rows with one id are that many
     documents; an empty table gives no rows; other columns are not read.
     """
@@ -223,10 +223,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     signed = checkpoint(rows.mapInArrow(_signatures(words), "id long, n long, node binary, bands array<bigint>, sketch array<bigint>"))
     nodes = checkpoint(
         signed.where(F.col("node").isNotNull()).groupBy("node")
-        .agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     )
-    member = nodes.select("node", F.explode("bands").alias("bucket"))
-    leaders = member.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1").drop("size")
+    member = nodes.select("node", F.explode("bands").alias("bucket"), F.struct(-F.col("copies"), "node").alias("order"))
+    leaders = member.groupBy("bucket").agg(F.min("order").alias("first"), F.count("*").alias("size")).where("size > 1").select("bucket", F.col("first.node").alias("leader"))
     star = checkpoint(member.join(leaders, "bucket").select("bucket", "leader", "node"))  # only buckets of two or more
     sketch_a, sketch_b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     enough = unequal(F.col("sketch_a"), F.col("sketch_b")) <= SIZE - LEAST_EQUAL
@@ -262,10 +262,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     if not rest.isEmpty():
         done = done.union(verify(rest, texts))
         roots = components(done.where("linked"))
-    apart = checkpoint(_apart(star, nodes.select("node", "sketch"), roots, enough))
-    if not apart.isEmpty():
-        done = done.union(verify(apart, texts_of(apart)))
-        roots = components(done.where("linked"))
+    # Buckets of several components: who can still be linked, and with whom.
+    held = _mixed(star, roots)
+    if not held.isEmpty():
+        open_nodes = _open_nodes(held, nodes, rows, words, percent)
+        held = checkpoint(held.join(open_nodes.select("node"), "node", "left_semi"))
+        possible = _possible(percent) & enough
+        best = held.join(open_nodes, "node").groupBy("bucket").agg(F.min(F.struct(F.col("alone") / F.col("n"), "node")).alias("best")).select("bucket", F.col("best.node").alias("a"))
+        again = held.select("bucket", F.col("node").alias("b")).join(best, "bucket").where("a <> b").select("a", "b").distinct()
+        a, b = _ends(open_nodes)
+        rest = checkpoint(crossing(again.join(done.select("a", "b"), ["a", "b"], "left_anti"), roots).join(a, "a").join(b, "b").where(possible).select("a", "b"))
+        if not rest.isEmpty():
+            done = done.union(verify(rest, texts_of(rest)))
+            roots = components(done.where("linked"))
+        apart = checkpoint(_apart(_mixed(held.drop("root"), roots), open_nodes, possible))
+        if not apart.isEmpty():
+            done = done.union(verify(apart, texts_of(apart)))
+            roots = components(done.where("linked"))
 
     # Each root's least id, and each copy's.
     placed = nodes.select("node", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -281,16 +294,60 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     )
 
 
-def _apart(star: DataFrame, sketches: DataFrame, roots: DataFrame, enough: Column) -> DataFrame:
-    """The pairs of a bucket, neither its leader, that are in different components and whose sketches agree."""
-    placed = star.where("leader <> node").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _mixed(star: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, root) of the buckets that hold nodes of several components."""
+    placed = star.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")).select("bucket", "node", "root")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    held = checkpoint(placed.join(mixed, "bucket", "left_semi").select("bucket", "node", "root"))
+    return checkpoint(placed.join(mixed, "bucket", "left_semi"))
+
+
+def _explode(words: int):
+    schema = pa.schema([("h", pa.int64()), ("key", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for key, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                s = shingle_set((text.as_py() or "").encode(), words)
+                if _digest(s) == node:
+                    hashes.append(s.view(np.int64))
+                    keys.append(np.full(len(s), key, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(keys))], schema=schema)
+
+    return run
+
+
+def _open_nodes(held: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, n, alone, sketch) of the nodes of mixed buckets that can have a link there: ``alone`` is how many of its n
+    shingles no other of these nodes has. If those are too many, no set there is similar enough.
+    """
+    some = held.select("node").distinct().join(nodes.select("node", "first", "n", "sketch"), "node").withColumn("key", F.xxhash64("node"))
+    some = checkpoint(some)
+    texts = some.join(rows, F.col("first").eqNullSafe(F.col("id"))).select("key", "node", "text")
+    shingles = texts.mapInArrow(_explode(words), "h long, key long")
+    single = shingles.groupBy("h").agg(F.count("*").alias("c"), F.min("key").alias("key")).where("c = 1").groupBy("key").agg(F.count("*").alias("alone"))
+    counted = some.join(single, "key", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"), "sketch")
+    return checkpoint(counted.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")))
+
+
+def _ends(open_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(open_nodes.select(F.col("node").alias(x), (F.col("n") - F.col("alone")).alias(f"common_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+
+
+def _possible(percent: int) -> Column:
+    """Whether two sets can be similar enough if all that either has in common with any other is in both."""
+    both = F.least("common_a", "common_b")
+    return 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
+
+
+def _apart(held: DataFrame, open_nodes: DataFrame, possible: Column) -> DataFrame:
+    """The pairs of a bucket that are in different components, may be similar enough and have sketches that agree."""
     sizes = held.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    few = held.join(largest, "bucket").where("root <> largest").join(sketches, "node").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sketch_a"))
-    every = held.join(sketches, "node").select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sketch_b"))
-    met = few.join(every, (F.col("bucket") == F.col("bucket_b")) & (F.col("ra") != F.col("rb")) & enough)
+    a, b = _ends(open_nodes)
+    few = held.join(largest, "bucket").where("root <> largest").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")).join(a, "a")
+    every = held.select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("root").alias("rb")).join(b, "b")
+    met = few.join(every, (F.col("bucket") == F.col("bucket_b")) & (F.col("ra") != F.col("rb")) & possible)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
