@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 
 def radius(seeds: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """(seg, node, hops): nodes up to k undirected hops from each seed, with the least hops. Each hop is one join, and only new nodes go on."""
@@ -109,18 +111,20 @@ def forward_states(nodes: DataFrame, edges: DataFrame, pattern: list[str], depth
 
 
 def paths_through(edges: DataFrame, node: str, depth: int) -> DataFrame:
-    """All source-to-sink paths through a node: predecessor paths and successor paths, put together."""
+    """All source-to-sink paths through a node: predecessor paths and successor paths, put together. Rounds are written to the checkpoint folder."""
+    steps = checkpoint(edges.select("src", "dst").distinct())
 
     def grow(here: str, there: str) -> DataFrame:
-        walked = done = None
-        spark = edges.sparkSession
-        walked = spark.createDataFrame([(node, [node])], "at string, path array<string>")
-        e = edges.select(F.col(here).alias("_h"), F.col(there).alias("_t")).distinct()
+        done = None
+        walked = edges.sparkSession.createDataFrame([(node, [node])], "at string, path array<string>")
+        e = steps.select(F.col(here).alias("_h"), F.col(there).alias("_t"))
         for _ in range(depth):
             ends = walked.join(e, F.col("at") == F.col("_h"), "left_anti")
             done = ends if done is None else done.union(ends)
             step = walked.join(e, F.col("at") == F.col("_h")).where(~F.array_contains("path", F.col("_t")))
-            walked = step.select(F.col("_t").alias("at"), F.concat("path", F.array("_t")).alias("path"))
+            walked = checkpoint(step.select(F.col("_t").alias("at"), F.concat("path", F.array("_t")).alias("path")))
+            if walked.isEmpty():
+                return done
         return done.union(walked.join(e, F.col("at") == F.col("_h"), "left_anti"))
 
     back = grow("dst", "src").select(F.reverse("path").alias("before"))

@@ -1 +1,251 @@
-"""To come."""
+"""Policies, invariants, statistics and reports on the tables, with SQL twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import policy
+from ..operators.graph import event_frame, event_graph, kind_of
+from ..session import table
+from .registry import query
+from .sql import EDGES, EV
+
+
+@query("table_counts", "SELECT " + ", ".join(f"(SELECT count(*) FROM {t}) AS n_{t}" for t in ("events", "orders", "documents", "labels", "pages")))
+def table_counts(spark, sf_dir):
+    from functools import reduce
+
+    one = [table(spark, sf_dir, t).agg(F.count("*").alias(f"n_{t}")) for t in ("events", "orders", "documents", "labels", "pages")]
+    return reduce(lambda a, b: a.join(b, F.lit(True)), one)
+
+
+@query("policy_principals", f"WITH {EV} SELECT object AS flow, count(DISTINCT c_custkey) AS principals, min(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) AS ok FROM ev JOIN customer ON c_custkey = subject WHERE object < 20 GROUP BY 1")
+def policy_principals(spark, sf_dir):
+    ev = event_frame(spark, sf_dir).where("object < 20").select(F.col("object").alias("flow"), "subject")
+    owners = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_custkey").alias("principal"), "c_acctbal")
+    return policy.allowed_principals(ev.select("flow").distinct(), ev, owners, F.col("c_acctbal") > 0)
+
+
+@query("policy_other_flows", f"WITH {EV} SELECT DISTINCT subject, object AS flow FROM ev WHERE object <> 7 AND object >= 64 AND subject IN (SELECT subject FROM ev WHERE object = 7)")
+def policy_other_flows(spark, sf_dir):
+    from ..functions.scalar import in_cidr
+
+    ev = event_frame(spark, sf_dir).where("object is not null").select("subject", F.col("object").alias("flow"))
+    inside = in_cidr(F.concat(F.lit("10.0.0."), F.col("flow")), "10.0.0.0/26")
+    return policy.other_flows_outside(F.col("flow") == 7, ev, inside)
+
+
+@query("policy_writes_near", f"WITH {EV} SELECT w.event_id AS write, max(t.nanos) AS tagged FROM ev w JOIN ev t ON t.subject = w.subject AND t.nanos <= w.nanos AND w.nanos - t.nanos <= 3600000000000 WHERE w.kind = 'EVENT_WRITE' AND t.kind = 'EVENT_FORK' GROUP BY 1")
+def policy_writes_near(spark, sf_dir):
+    ev = event_frame(spark, sf_dir)
+    return policy.writes_near(ev.where("event_type = 'purchase'"), ev.where("event_type = 'signup'"), 3_600_000_000_000)
+
+
+_FLOW = f"""{EV}, fl AS (SELECT CASE WHEN kind IN ('EVENT_WRITE', 'EVENT_UNLINK') THEN 'u' || subject ELSE 'k' || object END AS src, CASE WHEN kind IN ('EVENT_WRITE', 'EVENT_UNLINK') THEN 'k' || object ELSE 'u' || subject END AS dst, nanos FROM ev WHERE object IS NOT NULL AND event_id < 400)"""
+
+
+@query("policy_backward_reach", f"WITH RECURSIVE {_FLOW}, b(node, latest) AS (SELECT 'k5', CAST(4611686018427387904 AS BIGINT) UNION SELECT src, nanos FROM b JOIN fl ON dst = node AND nanos <= latest WHERE NOT (starts_with(node, 'k') AND ends_with(node, '0'))) SELECT node, max(latest) AS latest FROM b GROUP BY 1")
+def policy_backward_reach(spark, sf_dir):
+    ev = event_frame(spark, sf_dir).where("object is not null and event_id < 400")
+    u, k = F.concat(F.lit("u"), "subject"), F.concat(F.lit("k"), "object")
+    out = F.col("event_type").isin("purchase", "error")
+    flows = ev.select(F.when(out, u).otherwise(k).alias("src"), F.when(out, k).otherwise(u).alias("dst"), "nanos")
+    return policy.backward_reach(flows, "k5", F.col("node").rlike("^k.*0$"))
+
+
+@query("invariant_violations", f"""WITH RECURSIVE {EDGES}, sb AS (SELECT DISTINCT subject FROM ev) SELECT 'subject without parent' AS rule, 'u' || subject AS id FROM sb WHERE subject = 0
+ UNION ALL SELECT 'subject without principal', 'u' || subject FROM sb WHERE subject NOT IN (SELECT c_custkey FROM customer)
+ UNION ALL SELECT 'event without object', 'e' || event_id FROM ev WHERE object IS NULL UNION ALL SELECT 'size missing', 'e' || event_id FROM ev WHERE kind IN ('EVENT_READ', 'EVENT_WRITE') AND value IS NULL
+ UNION ALL SELECT DISTINCT 'dangling edge', 'u' || (subject // 2) FROM sb WHERE subject > 0 AND subject // 2 NOT IN (SELECT subject FROM sb)""")
+def invariant_violations(spark, sf_dir):
+    return policy.violations(event_graph(spark, sf_dir))
+
+
+@query("label_counts", f"WITH {EV} SELECT event_type, count(*) AS n, min(nanos) AS first, max(nanos) AS last FROM ev WHERE nanos > 0 GROUP BY 1")
+def label_counts(spark, sf_dir):
+    return event_frame(spark, sf_dir).where("nanos > 0").groupBy("event_type").agg(F.count("*").alias("n"), F.min("nanos").alias("first"), F.max("nanos").alias("last"))
+
+
+@query("status_shares", f"WITH {EV} SELECT subject % 4 AS shard, round(100.0 * count(*) / (SELECT count(*) FROM ev), 6) AS percent FROM ev GROUP BY 1")
+def status_shares(spark, sf_dir):
+    counts = event_frame(spark, sf_dir).groupBy((F.col("subject") % 4).alias("shard")).agg(F.count("*").alias("n"))
+    return counts.select("shard", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("percent"))
+
+
+@query("population_rates", f"WITH {EV} SELECT event_type, event_id // 1000 AS bucket, count(*) AS n FROM ev GROUP BY 1, 2")
+def population_rates(spark, sf_dir):
+    return event_frame(spark, sf_dir).groupBy("event_type", F.expr("event_id div 1000").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("edge_degrees", f"WITH {EDGES} SELECT dst AS id, count(*) AS degree FROM ed WHERE label = 'subject' GROUP BY 1")
+def edge_degrees(spark, sf_dir):
+    return event_graph(spark, sf_dir).edges.where("label = 'subject'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("degree"))
+
+
+@query("process_times", f"WITH {EV} SELECT subject, min(nanos) AS started, max(nanos) FILTER (kind = 'EVENT_UNLINK') AS ended FROM ev GROUP BY 1")
+def process_times(spark, sf_dir):
+    return event_frame(spark, sf_dir).groupBy("subject").agg(F.min("nanos").alias("started"), F.max(F.when(F.col("event_type") == "error", F.col("nanos"))).alias("ended"))
+
+
+@query("process_summary", f"WITH {EV} SELECT subject, count(*) AS events, count(DISTINCT object) FILTER (kind = 'EVENT_EXECUTE') AS execs, count(DISTINCT object) AS files, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, (SELECT count(DISTINCT c.subject) FROM ev c WHERE c.subject // 2 = ev.subject AND c.subject > 0) AS children FROM ev GROUP BY subject")
+def process_summary(spark, sf_dir):
+    ev = event_frame(spark, sf_dir).withColumn("kind", kind_of(F.col("event_type")))
+    kids = ev.where("subject > 0").select(F.expr("subject div 2").alias("parent"), "subject").distinct().groupBy(F.col("parent").alias("subject")).agg(F.count("*").alias("children"))
+    own = ev.groupBy("subject").agg(
+        F.count("*").alias("events"), F.count_distinct(F.when(F.col("kind") == "EVENT_EXECUTE", F.col("object"))).alias("execs"),
+        F.count_distinct("object").alias("files"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"),
+    )
+    return own.join(kids, "subject", "left").na.fill(0, ["children"])
+
+
+@query("view_statistics", f"WITH {EV} SELECT event_type, round(avg(value), 5) AS mean, round(var_samp(value), 4) AS variance, round(stddev_samp(value), 5) AS deviation, min(value) AS least, max(value) AS most FROM ev GROUP BY 1")
+def view_statistics(spark, sf_dir):
+    return event_frame(spark, sf_dir).groupBy("event_type").agg(
+        F.round(F.avg("value"), 5).alias("mean"), F.round(F.var_samp("value"), 4).alias("variance"), F.round(F.stddev_samp("value"), 5).alias("deviation"), F.min("value").alias("least"), F.max("value").alias("most")
+    )
+
+
+@query("view_histogram", f"WITH {EV}, m AS (SELECT min(value) AS lo, max(value) AS hi FROM ev) SELECT CAST(least(floor((value - lo) / ((hi - lo) / 10)), 9) AS BIGINT) AS bin, count(*) AS n FROM ev, m WHERE value IS NOT NULL GROUP BY 1")
+def view_histogram(spark, sf_dir):
+    """Ten bins of equal width, the last one closed."""
+    ev = event_frame(spark, sf_dir).where("value is not null")
+    ends = ev.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    bin_ = F.least(F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10)), F.lit(9)).cast("long")
+    return ev.join(F.broadcast(ends), F.lit(True)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("feature_operations", f"WITH {EV}, a AS (SELECT subject, min(nanos) AS a, max(nanos) AS b, count(*) AS n, sum(value) AS v FROM ev GROUP BY 1) SELECT subject, (b - a) // 1000000000 AS sub_time, greatest(0, (a - b) // 1000000000) AS relu_time, round(n / ((b - a) / 1e9), 6) AS per_second, round(v / ((b - a) / 1e9), 6) AS size_per_second FROM a WHERE b > a")
+def feature_operations(spark, sf_dir):
+    a = event_frame(spark, sf_dir).groupBy("subject").agg(F.min("nanos").alias("a"), F.max("nanos").alias("b"), F.count("*").alias("n"), F.sum("value").alias("v")).where("b > a")
+    span = (F.col("b") - F.col("a")) / 1e9
+    return a.select(
+        "subject", F.expr("(b - a) div 1000000000").alias("sub_time"), F.greatest(F.lit(0), F.expr("(a - b) div 1000000000")).alias("relu_time"),
+        F.round(F.col("n") / span, 6).alias("per_second"), F.round(F.col("v") / span, 6).alias("size_per_second"),
+    )
+
+
+@query("time_between", f"WITH {EV}, f AS (SELECT subject, min(nanos) AS at FROM ev WHERE kind = 'EVENT_FORK' GROUP BY 1) SELECT ev.subject, min(nanos - at) AS delay FROM ev JOIN f ON f.subject = ev.subject WHERE kind = 'EVENT_WRITE' AND nanos > at GROUP BY 1".replace(" AS at ", " AS t0 ").replace("nanos - at", "nanos - t0").replace("> at", "> t0"))
+def time_between(spark, sf_dir):
+    ev = event_frame(spark, sf_dir)
+    first = ev.where("event_type = 'signup'").groupBy("subject").agg(F.min("nanos").alias("t0"))
+    return ev.where("event_type = 'purchase'").join(first, "subject").where("nanos > t0").groupBy("subject").agg(F.min(F.col("nanos") - F.col("t0")).alias("delay"))
+
+
+@query("high_score_edges", f"WITH {EV}, sc AS (SELECT subject AS s, count(*) AS score FROM ev GROUP BY 1), m AS (SELECT avg(score) AS m FROM sc) SELECT p.s AS parent, c.s AS child FROM sc c JOIN sc p ON p.s = c.s // 2 AND c.s > 0, m WHERE p.score > m AND c.score > m")
+def high_score_edges(spark, sf_dir):
+    sc = event_frame(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("score"))
+    mean = sc.agg(F.avg("score").alias("m"))
+    high = sc.join(F.broadcast(mean), F.lit(True)).where("score > m").select("subject")
+    return high.select(F.col("subject").alias("child"), F.expr("subject div 2").alias("parent")).where("child > 0").join(high.select(F.col("subject").alias("parent")), "parent").select("parent", "child")
+
+
+@query("top_percent", f"WITH {EV}, r AS (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS n, count(*) OVER (PARTITION BY event_type) AS c FROM ev) SELECT event_id FROM r WHERE n <= least(ceil(c * 0.05), 500)")
+def top_percent(spark, sf_dir):
+    w = Window.partitionBy("event_type")
+    ranked = event_frame(spark, sf_dir).withColumns({"n": F.row_number().over(w.orderBy(F.desc("value"), "event_id")), "c": F.count("*").over(w)})
+    return ranked.where(F.col("n") <= F.least(F.ceil(F.col("c") * 0.05), F.lit(500))).select("event_id")
+
+
+@query("alarm_time_series", f"WITH {EV}, t AS (SELECT min(nanos) AS t0 FROM ev), b AS (SELECT CAST(round_even((nanos - t0) / 86400e9, 0) AS BIGINT) AS bucket, kind = 'EVENT_UNLINK' AS bad FROM ev, t), n AS (SELECT max(bucket) AS m FROM b) SELECT i AS bucket, count(*) FILTER (bad) AS malicious, count(*) FILTER (NOT bad) AS benign FROM range(0, (SELECT m + 1 FROM n)) r(i) LEFT JOIN b ON b.bucket = i GROUP BY 1")
+def alarm_time_series(spark, sf_dir):
+    ev = event_frame(spark, sf_dir)
+    start, end = ev.agg(F.min("nanos"), F.max("nanos")).head()
+    day = 86_400 * 10**9
+    buckets = ev.select(F.bround((F.col("nanos") - start) / float(day), 0).cast("long").alias("bucket"), (F.col("event_type") == "error").alias("bad"))
+    counts = buckets.groupBy("bucket").agg(F.count_if("bad").alias("malicious"), F.count_if(~F.col("bad")).alias("benign"))
+    last = buckets.agg(F.max("bucket")).head()[0]
+    return spark.range(last + 1).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").na.fill(0)
+
+
+@query("nearest_in_time", f"WITH {EV}, a AS (SELECT event_id, nanos // 60000000000 AS m FROM ev WHERE kind = 'EVENT_UNLINK'), r AS (SELECT event_id AS ref, nanos // 60000000000 AS m FROM ev WHERE kind = 'EVENT_FORK') SELECT a.event_id, max(ref) AS ref FROM a JOIN r ON abs(a.m - r.m) < 2 GROUP BY 1")
+def nearest_in_time(spark, sf_dir):
+    """Each alarm takes the last reference whose minute differs by less than two: the minute is the join key, tried at three places."""
+    ev = event_frame(spark, sf_dir)
+    minute = F.expr("nanos div 60000000000")
+    a = ev.where("event_type = 'error'").select("event_id", F.explode(F.array(minute - 1, minute, minute + 1)).alias("m"))
+    r = ev.where("event_type = 'signup'").select(F.col("event_id").alias("ref"), minute.alias("m"))
+    return a.join(r, "m").groupBy("event_id").agg(F.max("ref").alias("ref"))
+
+
+@query("attack_coverage", f"WITH {EV}, al AS (SELECT event_id, 'attack' || (object % 4) AS attack, kind FROM ev WHERE kind IN ('EVENT_UNLINK', 'EVENT_FORK') AND object IS NOT NULL) SELECT attack, count(*) AS alarms, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM al GROUP BY 1")
+def attack_coverage(spark, sf_dir):
+    al = event_frame(spark, sf_dir).where("event_type in ('error', 'signup') and object is not null")
+    return al.groupBy(F.concat(F.lit("attack"), F.col("object") % 4).alias("attack")).agg(F.count("*").alias("alarms"), F.array_join(F.array_sort(F.collect_set(kind_of(F.col("event_type")))), ",").alias("kinds"))
+
+
+@query("threshold_search", f"""WITH {EV}, al AS (SELECT 'attack' || (object % 4) AS attack, value / 100.0 AS p FROM ev WHERE kind = 'EVENT_UNLINK' AND object IS NOT NULL) SELECT round(max(m), 6) AS threshold FROM (SELECT attack, min(p) AS m FROM al GROUP BY 1)""")
+def threshold_search(spark, sf_dir):
+    """The least threshold on the local probability at which every attack still raises an alarm: the greatest of the attacks' least."""
+    al = event_frame(spark, sf_dir).where("event_type = 'error' and object is not null")
+    least = al.groupBy(F.concat(F.lit("attack"), F.col("object") % 4).alias("attack")).agg(F.min(F.col("value") / 100.0).alias("m"))
+    return least.agg(F.round(F.max("m"), 6).alias("threshold"))
+
+
+@query("stitched_observations", f"WITH {EV}, nm AS (SELECT c_custkey AS s, c_name FROM customer) SELECT event_id, kind, 'u' || subject AS subject, c_name AS subject_name, 'k' || object AS object, '/k/' || object AS object_path FROM ev LEFT JOIN nm ON s = subject WHERE object IS NOT NULL")
+def stitched_observations(spark, sf_dir):
+    """(event, subject, object) with path names where they are known: the edge frames joined by label."""
+    g = event_graph(spark, sf_dir)
+    e, v = g.edges, g.vertices
+    sub = e.where("label = 'subject'").select(F.col("src").alias("event"), F.col("dst").alias("subject"))
+    obj = e.where("label = 'predicateObject'").select(F.col("src").alias("event"), F.col("dst").alias("object"))
+    own = e.where("label = 'localPrincipal'").select(F.col("src").alias("subject"), F.col("dst").alias("principal"))
+    names = v.where("label = 'AdmPrincipal'").select(F.col("id").alias("principal"), F.col("username").alias("subject_name"))
+    paths = v.where("label = 'AdmFileObject'").select(F.col("id").alias("object"), F.col("path").alias("object_path"))
+    kinds = v.where("label = 'AdmEvent'").select(F.col("id").alias("event"), F.col("eventType").alias("kind"))
+    return (
+        kinds.join(sub, "event").join(obj, "event").join(own.join(names, "principal"), "subject", "left").join(paths, "object", "left")
+        .select(F.expr("cast(substring(event, 2) as bigint)").alias("event_id"), "kind", "subject", "subject_name", "object", "object_path")
+    )
+
+
+@query("parent_child_pseudo_events", f"WITH {EV}, st AS (SELECT subject AS s, min(nanos) AS t0 FROM ev GROUP BY 1) SELECT 'PSEUDO_EVENT_PARENT_SUBJECT' AS kind, p.s AS parent, c.s AS child, p.t0 AS earliest, c.t0 AS latest FROM st c JOIN st p ON p.s = c.s // 2 AND c.s > 0")
+def parent_child_pseudo_events(spark, sf_dir):
+    st = event_frame(spark, sf_dir).groupBy("subject").agg(F.min("nanos").alias("t0"))
+    child = st.where("subject > 0").select(F.col("subject").alias("child"), F.col("t0").alias("latest"), F.expr("subject div 2").alias("parent"))
+    return child.join(st.select(F.col("subject").alias("parent"), F.col("t0").alias("earliest")), "parent").select(F.lit("PSEUDO_EVENT_PARENT_SUBJECT").alias("kind"), "parent", "child", "earliest", "latest")
+
+
+@query("merge_tables_outer", "SELECT coalesce(c_custkey, o_custkey) AS k, c_mktsegment, n FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) o ON c_custkey = o_custkey")
+def merge_tables_outer(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_mktsegment")
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    return c.join(o, "k", "full")
+
+
+@query("event_matrix", "SELECT event_id, CASE WHEN props IS NULL THEN 0 ELSE 1 END AS has_props, CASE WHEN value IS NULL THEN 0 ELSE 1 END AS has_value FROM events")
+def event_matrix(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", *[F.col(c).isNotNull().cast("int").alias(f"has_{c}") for c in ("props", "value")])
+
+
+@query("ground_truth_uuids", "SELECT doc_id, len(regexp_extract_all(text, '[0-9a-f]{24,}')) AS found FROM documents")
+def ground_truth_uuids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[0-9a-f]{24,}"), F.lit(0))).cast("long").alias("found"))
+
+
+@query("load_limit", "SELECT event_id FROM events ORDER BY ts, event_id LIMIT 500 OFFSET 100")
+def load_limit(spark, sf_dir):
+    """A range of the source in its total order: start inclusive, end exclusive."""
+    return table(spark, sf_dir, "events").orderBy("ts", "event_id").offset(100).limit(500).select("event_id")
+
+
+@query("source_merge", "SELECT 0 AS source_ord, o_orderkey AS k FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 1, o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def source_merge(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    parts = [o.where(F.col("o_orderstatus") == s).select(F.lit(i).alias("source_ord"), F.col("o_orderkey").alias("k")) for i, s in enumerate("OF")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("parse_errors", f"WITH {EV} SELECT event_id, CASE WHEN event_id % 10 = 3 THEN NULL ELSE object END AS object, event_id % 10 = 3 AS bad FROM ev")
+def parse_errors(spark, sf_dir):
+    """Records that can't be parsed are kept apart by a flag, and the rest goes on."""
+    raw = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 10 == 3, F.concat(F.lit("{"), "props")).otherwise(F.col("props")).alias("props"))
+    parsed = raw.withColumn("p", F.from_json("props", "k long, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return parsed.select("event_id", F.col("p.k").alias("object"), F.col("p._bad").isNotNull().alias("bad"))
+
+
+@query("vertex_json", "SELECT 'n' || n_nationkey AS id, '{\"label\":\"AdmHost\",\"properties\":{\"hostName\":[{\"value\":\"' || n_name || '\"}]}}' AS json FROM nation")
+def vertex_json(spark, sf_dir):
+    v = event_graph(spark, sf_dir).vertices.where("label = 'AdmHost'")
+    props = F.struct(F.array(F.struct(F.col("hostName").alias("value"))).alias("hostName"))
+    return v.select("id", F.to_json(F.struct("label", props.alias("properties"))).alias("json"))
