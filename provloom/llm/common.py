@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable
 
@@ -22,7 +23,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     named = sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="provloom-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # What the checkpoint cuts off has shuffle files until the driver collects its garbage; many rounds would fill the disks first.
+    gc.collect()
+    sc._jvm.System.gc()
+    return done
 
 
 def shared_folder(spark: SparkSession) -> str:

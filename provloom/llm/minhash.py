@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, shared_folder
 from .components import components
 
 #: Bands of ROWS signature values. Two sets of similarity 0.8 share no band with probability (1 - 0.8 ** 5) ** 28 = 2e-5.
@@ -233,12 +234,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     pairs = star.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     candidates = checkpoint(pairs.join(sketch_b, "b").join(sketch_a, "a").where(enough).select("a", "b"))
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        """The texts of the pairs' nodes, read again, one row each; rows of one id are told apart when they are verified."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "first"), "node")
-        return checkpoint(wanted.join(rows, F.col("first").eqNullSafe(F.col("id"))).select("node", "text"))
+    # The texts of nodes that share a bucket are read again, once: one row each; rows of one id are told apart when texts are compared.
+    folder = f"{shared_folder(docs.sparkSession)}/minhash-{uuid.uuid4().hex}"
+    wanted = star.select("node").distinct().join(nodes.select("node", "first"), "node")
+    wanted.join(rows, F.col("first").eqNullSafe(F.col("id"))).select("node", "text").write.parquet(folder)
+    texts = docs.sparkSession.read.schema("node binary, text string").parquet(folder)
 
-    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame) -> DataFrame:
         """Full comparisons; a leader's pairs are dealt into runs, each of which gets the leader's text."""
         sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN_ROWS).alias("runs"))
         runs = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("runs")).alias("salt"))
@@ -248,8 +250,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         dealt = both.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("leads").desc(), "node")
         return checkpoint(dealt.mapInArrow(_verify(words, percent), "a binary, b binary, linked boolean").distinct())
 
-    texts = texts_of(candidates)
-    done = verify(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts)
+    done = verify(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     roots = components(done.where("linked"))
 
     def crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -260,12 +261,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     rest = checkpoint(crossing(candidates.join(done.select("a", "b"), ["a", "b"], "left_anti"), roots))
     if not rest.isEmpty():
-        done = done.union(verify(rest, texts))
+        done = done.union(verify(rest))
         roots = components(done.where("linked"))
     # Buckets of several components: who can still be linked, and with whom.
     held = _mixed(star, roots)
     if not held.isEmpty():
-        open_nodes = _open_nodes(held, nodes, rows, words, percent)
+        open_nodes = _open_nodes(held, nodes, texts, words, percent)
         held = checkpoint(held.join(open_nodes.select("node"), "node", "left_semi"))
         possible = _possible(percent) & enough
         best = held.join(open_nodes, "node").groupBy("bucket").agg(F.min(F.struct(F.col("alone") / F.col("n"), "node")).alias("best")).select("bucket", F.col("best.node").alias("a"))
@@ -273,11 +274,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         a, b = _ends(open_nodes)
         rest = checkpoint(crossing(again.join(done.select("a", "b"), ["a", "b"], "left_anti"), roots).join(a, "a").join(b, "b").where(possible).select("a", "b"))
         if not rest.isEmpty():
-            done = done.union(verify(rest, texts_of(rest)))
+            done = done.union(verify(rest))
             roots = components(done.where("linked"))
         apart = checkpoint(_apart(_mixed(held.drop("root"), roots), open_nodes, possible))
         if not apart.isEmpty():
-            done = done.union(verify(apart, texts_of(apart)))
+            done = done.union(verify(apart))
             roots = components(done.where("linked"))
 
     # Each root's least id, and each copy's.
@@ -317,14 +318,13 @@ def _explode(words: int):
     return run
 
 
-def _open_nodes(held: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+def _open_nodes(held: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, n, alone, sketch) of the nodes of mixed buckets that can have a link there: ``alone`` is how many of its n
     shingles no other of these nodes has. If those are too many, no set there is similar enough.
     """
-    some = held.select("node").distinct().join(nodes.select("node", "first", "n", "sketch"), "node").withColumn("key", F.xxhash64("node"))
+    some = held.select("node").distinct().join(nodes.select("node", "n", "sketch"), "node").withColumn("key", F.xxhash64("node"))
     some = checkpoint(some)
-    texts = some.join(rows, F.col("first").eqNullSafe(F.col("id"))).select("key", "node", "text")
-    shingles = texts.mapInArrow(_explode(words), "h long, key long")
+    shingles = some.select("node", "key").join(texts, "node").select("key", "node", "text").mapInArrow(_explode(words), "h long, key long")
     single = shingles.groupBy("h").agg(F.count("*").alias("c"), F.min("key").alias("key")).where("c = 1").groupBy("key").agg(F.count("*").alias("alone"))
     counted = some.join(single, "key", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"), "sketch")
     return checkpoint(counted.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")))
