@@ -18,8 +18,10 @@ def read_context_csv(spark: SparkSession, path: str) -> DataFrame:
     """A 0/1 matrix with a header, whatever its line ends, as (object, attribute) of the ones."""
     lines = _lines(spark, path).where("trim(value) <> ''").withColumn("cells", F.split("value", ","))
     header = lines.where("pos = 0").select(F.col("cells").alias("names"))
-    cells = lines.where("pos > 0").join(F.broadcast(header), F.lit(True)).select(F.col("cells")[0].alias("object"), F.explode(F.arrays_zip("names", "cells")).alias("c"))
-    return cells.where("c.cells = '1'").select("object", F.col("c.names").alias("attribute")).where(F.col("attribute") != "")
+    cells = lines.where("pos > 0").join(F.broadcast(header), F.lit(True)).select(
+        F.col("cells")[0].alias("object"), F.explode(F.zip_with(F.expr("slice(names, 2, size(names))"), F.expr("slice(cells, 2, size(cells))"), lambda n, x: F.struct(n.alias("name"), x.alias("cell")))).alias("c")
+    )
+    return cells.where("c.cell = '1'").select("object", F.col("c.name").alias("attribute"))
 
 
 def read_cxt(spark: SparkSession, path: str) -> DataFrame:
