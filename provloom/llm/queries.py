@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, kneser_ney, masked_lm, minhash, mixing, quality_rules, secret_scan, sharding, url_reputation
+from . import bpe, imatch, kneser_ney, masked_lm, minhash, mixing, oracles, quality_rules, secret_scan, sharding, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,4 +106,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
