@@ -163,7 +163,7 @@ def fpof(ctx: DataFrame, sets: DataFrame) -> DataFrame:
     n_sets, n = sets.agg(F.count("*").alias("k")), ctx.agg(F.count_distinct("object").alias("n"))
     sizes = ctx.groupBy("object").agg(F.count("*").alias("own"))
     inside = holds(ctx, sets, "items").join(sizes, "object").where(F.size("items") < F.col("own")).groupBy("object").agg(F.sum("support").alias("s"))
-    return sizes.join(inside, "object", "left").join(F.broadcast(n_sets), F.lit(True)).join(F.broadcast(n), F.lit(True)).select("object", (F.coalesce("s", F.lit(0)) / F.col("n") / F.col("k")).alias("score"))
+    return sizes.join(inside, "object", "left").join(F.broadcast(n_sets), F.lit(True)).join(F.broadcast(n), F.lit(True)).select("object", F.coalesce(F.try_divide(F.coalesce("s", F.lit(0)) / F.col("n"), F.col("k")), F.lit(0.0)).alias("score"))
 
 
 def outlier_degree(ctx: DataFrame, high: DataFrame) -> DataFrame:

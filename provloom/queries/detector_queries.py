@@ -166,7 +166,7 @@ def rules(spark, sf_dir):
 HELD = RULES + """, ob AS (SELECT object, list(attribute) AS has FROM ctx GROUP BY 1)"""
 
 
-@query("fpof", f"WITH {HELD} SELECT object, round(coalesce((SELECT sum(support) FROM st WHERE list_has_all(has, items) AND len(items) < len(has)), 0) / (SELECT CAST(n AS DOUBLE) FROM nn) / (SELECT count(*) FROM st), 6) AS score FROM ob")
+@query("fpof", f"WITH {HELD} SELECT object, round(coalesce(coalesce((SELECT sum(support) FROM st WHERE list_has_all(has, items) AND len(items) < len(has)), 0) / (SELECT CAST(n AS DOUBLE) FROM nn) / (SELECT nullif(count(*), 0) FROM st), 0), 6) AS score FROM ob")
 def fpof(spark, sf_dir):
     return d.fpof(ctx(spark, sf_dir), sets(spark, sf_dir)).select("object", F.round("score", 6).alias("score"))
 
