@@ -13,20 +13,21 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, cutting its lineage.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a
-    temporary folder takes its place.
+    temporary folder takes its place. ``free``: the shuffle files that it cuts off are let go at once; else they
+    stay until the driver happens to collect its garbage.
     """
     sc = df.sparkSession.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="provloom-"))
     done = df.checkpoint(eager=True)
-    # What the checkpoint cuts off has shuffle files until the driver collects its garbage; many rounds would fill the disks first.
-    gc.collect()
-    sc._jvm.System.gc()
+    if free:
+        gc.collect()
+        sc._jvm.System.gc()
     return done
 
 

@@ -33,6 +33,18 @@ def union_find(links: list[tuple]) -> dict:
 CHUNK_LINKS = 200_000
 
 
+#: Links of forests up to this many are finished by one task, in about 100 MB; more go through the rounds.
+ONE_TASK_LINKS = 300_000
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    links = [pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+    found = list(union_find(links).items())
+    for k in range(0, len(found), 50_000):
+        part = found[k : k + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.binary()), pa.array([r for _, r in part], pa.binary())], ["node", "root"])
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def forest(links):
         found = union_find(links)
@@ -50,14 +62,16 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from forest(links)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
     """(node, root) for every node of the undirected links (a, b), binary keys: the root is the component's least node.
 
-    Each partition's links are first replaced by a union-find forest. Then large-star and small-star rounds
+    Each partition's links are first replaced by a union-find forest. If these are counted to be few, one task finishes them. Else large-star and small-star rounds
     alternate until every node hangs on its root; each round is two aggregations with partial minima and joins
     that Spark may split at a busy node, so no task holds a component. Each round's links are written to the checkpoint folder.
     """
     edges = checkpoint(links.select("a", "b").where("a <> b").mapInArrow(_contract, "a binary, b binary").distinct())
+    if edges.count() <= one_task_links:
+        return checkpoint(edges.coalesce(1).mapInArrow(_finish, "node binary, root binary"))
     before = None
     while True:
         # Large star: larger neighbours of a node hang on the least of it and its neighbours.

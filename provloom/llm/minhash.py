@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     sketch_a, sketch_b = (nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
     enough = unequal(F.col("sketch_a"), F.col("sketch_b")) <= SIZE - LEAST_EQUAL
     pairs = star.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    candidates = checkpoint(pairs.join(sketch_b, "b").join(sketch_a, "a").where(enough).select("a", "b"))
+    candidates = checkpoint(pairs.join(sketch_b, "b").join(sketch_a, "a").where(enough).select("a", "b"), free=True)
 
     # The texts of nodes that share a bucket are read again, once: one row each; rows of one id are told apart when texts are compared.
     folder = f"{shared_folder(docs.sparkSession)}/minhash-{uuid.uuid4().hex}"
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         other = runs.join(texts, F.col("b") == F.col("node"))
         both = lead.select("a", "salt", F.lit(True).alias("leads"), "node", "text").union(other.select("a", "salt", F.lit(False).alias("leads"), "node", "text"))
         dealt = both.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("leads").desc(), "node")
-        return checkpoint(dealt.mapInArrow(_verify(words, percent), "a binary, b binary, linked boolean").distinct())
+        return checkpoint(dealt.mapInArrow(_verify(words, percent), "a binary, b binary, linked boolean").distinct(), free=True)
 
     done = verify(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     roots = components(done.where("linked"))
@@ -322,16 +322,16 @@ def _open_nodes(held: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
     """(node, n, alone, sketch) of the nodes of mixed buckets that can have a link there: ``alone`` is how many of its n
     shingles no other of these nodes has. If those are too many, no set there is similar enough.
     """
-    some = held.select("node").distinct().join(nodes.select("node", "n", "sketch"), "node").withColumn("key", F.xxhash64("node"))
+    some = held.select("node").distinct().join(nodes.select("node", "n", "sketch", "bands"), "node").withColumn("key", F.xxhash64("node"))
     some = checkpoint(some)
     shingles = some.select("node", "key").join(texts, "node").select("key", "node", "text").mapInArrow(_explode(words), "h long, key long")
     single = shingles.groupBy("h").agg(F.count("*").alias("c"), F.min("key").alias("key")).where("c = 1").groupBy("key").agg(F.count("*").alias("alone"))
-    counted = some.join(single, "key", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"), "sketch")
-    return checkpoint(counted.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")))
+    counted = some.join(single, "key", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"), "sketch", "bands")
+    return checkpoint(counted.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), free=True)
 
 
 def _ends(open_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return tuple(open_nodes.select(F.col("node").alias(x), (F.col("n") - F.col("alone")).alias(f"common_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    return tuple(open_nodes.select(F.col("node").alias(x), (F.col("n") - F.col("alone")).alias(f"common_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("bands").alias(f"bands_{x}")) for x in "ab")
 
 
 def _possible(percent: int) -> Column:
@@ -347,7 +347,8 @@ def _apart(held: DataFrame, open_nodes: DataFrame, possible: Column) -> DataFram
     a, b = _ends(open_nodes)
     few = held.join(largest, "bucket").where("root <> largest").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")).join(a, "a")
     every = held.select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("root").alias("rb")).join(b, "b")
-    met = few.join(every, (F.col("bucket") == F.col("bucket_b")) & (F.col("ra") != F.col("rb")) & possible)
+    once = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("bucket")  # the first bucket that both are in
+    met = few.join(every, (F.col("bucket") == F.col("bucket_b")) & (F.col("ra") != F.col("rb")) & possible & once)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -72,8 +72,9 @@ def test_components(spark):
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, x) for x in range(1001, 1100)] + [(x, x + 1) for x in range(2000, 2060)]
     df = spark.createDataFrame([(b"%05d" % a, b"%05d" % b) for a, b in links], "a binary, b binary").repartition(6)
     want = {b"%05d" % x: b"%05d" % r for x, r in components.union_find([x for x in links if x[0] != x[1]]).items()}
-    got = {bytes(r.node): bytes(r.root) for r in components.components(df).collect()}
-    assert got == want
+    for at_once in (0, 10_000):
+        got = {bytes(r.node): bytes(r.root) for r in components.components(df, at_once).collect()}
+        assert got == want
 
 
 @pytest.mark.parametrize("words", [4, 5])
