@@ -191,3 +191,36 @@ def average_path(n: Column) -> Column:
 
 def isolation_score(mean_depth: Column, n: Column) -> Column:
     return F.pow(F.lit(2.0), -mean_depth / average_path(n))
+
+
+# Rare rules, classes, estimators
+
+
+def rare_rules(ctx: DataFrame, most: int) -> DataFrame:
+    """Rules x -> y that always hold and whose pair occurs at most ``most`` times, with lift: x has no object without y."""
+    counts = ctx.groupBy("attribute").agg(F.count("*").alias("f"))
+    rare = ctx.join(counts.where(F.col("f") <= most).select("attribute"), "attribute").withColumnRenamed("attribute", "x")
+    pairs = rare.join(ctx.withColumnRenamed("attribute", "y"), "object").where("x <> y").groupBy("x", "y").agg(F.count("*").alias("support"))
+    n = ctx.agg(F.count_distinct("object").alias("n"))
+    own, other = counts.select(F.col("attribute").alias("x"), F.col("f").alias("fx")), counts.select(F.col("attribute").alias("y"), F.col("f").alias("fy"))
+    return pairs.join(own, "x").where("support = fx").join(other, "y").join(F.broadcast(n), F.lit(True)).select("x", "y", "support", (F.col("n") / F.col("fy")).alias("lift"))
+
+
+def split_merge(ctx: DataFrame, classes: DataFrame) -> DataFrame:
+    """Code lengths within each class (object, class), plus the bits of the class itself."""
+    joined = ctx.join(classes, "object")
+    sizes = classes.join(ctx.select("object").distinct(), "object").groupBy("class").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("all"))
+    p = joined.groupBy("class", "attribute").agg(F.count("*").alias("f")).join(sizes, "class").withColumn("p", (F.col("f") + 1) / (F.col("n") + 2))
+    base = p.groupBy("class").agg(F.sum(-log2(1 - F.col("p"))).alias("base"))
+    own = joined.join(p.select("class", "attribute", "p"), ["class", "attribute"]).groupBy("object", "class").agg(F.sum(log2(1 - F.col("p")) - log2(F.col("p"))).alias("s"))
+    return own.join(base, "class").join(sizes, "class").join(F.broadcast(total), F.lit(True)).select("object", "class", (F.col("s") + F.col("base") - log2(F.col("n") / F.col("all"))).alias("score"))
+
+
+def estimators(tree: DataFrame) -> DataFrame:
+    """Other estimates of something new below each inner node of a trie: additive, and the escape estimates from children and singletons."""
+    singles = tree.where("level > 0 and count = 1").groupBy("tree", F.expr("slice(prefix, 1, level - 1)").alias("prefix")).agg(F.count("*").alias("singles"))
+    n, kids, once = F.col("count"), F.col("children"), F.coalesce("singles", F.lit(0))
+    return tree.where("children > 0").join(singles, ["tree", "prefix"], "left").select(
+        "tree", "prefix", (1 / (n + kids + 1)).alias("additive"), (1 / (n + 1)).alias("escape_a"), (kids / (n + kids)).alias("escape_c"), (once / n).alias("good_turing")
+    )

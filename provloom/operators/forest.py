@@ -108,3 +108,33 @@ def _cut(best: DataFrame) -> DataFrame:
     from ..session import checkpoint
 
     return checkpoint(best.select("object", F.col("b.cluster").alias("cluster"), F.col("b.bits").alias("bits")))
+
+
+def forests_by_group(rows: DataFrame, group: str, ident: str, features: list[str], least: int = 50, trees: int = 25, sample: int = 128, seed: int = 7) -> DataFrame:
+    """(group, ident, score, odd): a forest of each group with enough rows, grown on its rows of least hash and held against all its rows.
+
+    Odd: a score above the greatest of the training rows. A group's rows are numeric features of one command, taken in one task.
+    """
+
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["h", ident])
+        x = part[features].to_numpy(float)
+        if len(x) < least:
+            return pd.DataFrame({group: [], ident: [], "score": [], "odd": []})
+        rng, chosen = np.random.default_rng(seed), min(len(x), sample)
+        grown = [grow(x[rng.choice(chosen, chosen)], int(np.ceil(np.log2(chosen))), rng) for _ in range(trees)]
+        score = 2.0 ** (-np.mean([depths(t, x, 0, True) for t in grown], axis=0) / max(_c(chosen), 1e-9))
+        return pd.DataFrame({group: part[group], ident: part[ident], "score": score, "odd": score > score[:chosen].max()})
+
+    kinds = dict(rows.dtypes)
+    return rows.select(group, ident, *features).withColumn("h", F.xxhash64(ident)).groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {ident} {kinds[ident]}, score double, odd boolean")
+
+
+def classify_segments(train: DataFrame, rows: DataFrame, features: list[str], label: str, seed: int = 7) -> DataFrame:
+    """Rows with ``predicted`` by a random forest over the features."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    vector = VectorAssembler(inputCols=features, outputCol="_features")
+    model = RandomForestClassifier(featuresCol="_features", labelCol=label, predictionCol="predicted", numTrees=20, seed=seed).fit(vector.transform(train))
+    return model.transform(vector.transform(rows)).drop("_features", "rawPrediction", "probability")
