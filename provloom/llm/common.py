@@ -36,6 +36,12 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="provloom-")
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once: a lambda variable is bound to it.
 

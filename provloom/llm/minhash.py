@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_folder
+from .common import checkpoint, remove, shared_folder
 from .components import components
 
 #: Bands of ROWS signature values. Two sets of similarity 0.8 share no band with probability (1 - 0.8 ** 5) ** 28 = 2e-5.
@@ -281,6 +281,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
             done = done.union(verify(apart))
             roots = components(done.where("linked"))
 
+    remove(docs.sparkSession, folder)
+
     # Each root's least id, and each copy's.
     placed = nodes.select("node", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("first").alias("component"), F.sum("copies").alias("size")).where("size > 1")
