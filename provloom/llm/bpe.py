@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ _WHITE = r"\t-\r \x85\xa0  -     　"
 #: The byte-level pre-tokeniser's pattern; a fixed value, with white space spelled out.
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 #: Distinct pieces that a worker remembers, with their ids; beyond that it starts anew.
-CACHE_PIECES = 60_000
+CACHE_PIECES = 150_000
 #: Characters of texts that are handled at once; a longer text is handled alone.
 BATCH_CHARS = 400_000
 
@@ -68,40 +69,48 @@ class Bpe:
         """The ids of many words, flat, and each word's number of ids.
 
         The symbols of all words are one array. In each round every word's lowest-ranked pair is found: the pairs'
-        keys are looked up by binary search, ranks are reduced by word, and all its occurrences are merged left to
+        keys are looked up by binary search (after the first round, of pairs that a merge has changed), ranks are reduced by word, and all its occurrences are merged left to
         right. Words without a mergeable pair leave.
         """
         size = np.array([len(w) for w in words], np.int64)
         word = np.repeat(np.arange(len(words)), size)
         sym = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         never = len(self.keys)
+        rank = np.full(len(sym), never, np.int64)  # of each symbol's pair with the next one
+        place = np.zeros(len(sym), np.int64)
+        changed = np.arange(len(sym))
         done_sym, done_word = [], []
         while len(sym):
-            pair = np.flatnonzero(word[:-1] == word[1:])
-            found = np.full(len(sym), never, np.int64)
-            place = np.zeros(len(sym), np.int64)
+            last = changed[-1] == len(sym) - 1 if len(changed) else False
+            pair = changed[:-1] if last else changed
+            rank[changed] = never
+            pair = pair[word[pair] == word[pair + 1]]
             key = sym[pair] * self.size + sym[pair + 1]
             at = np.minimum(np.searchsorted(self.keys, key), never - 1)
             hit = self.keys[at] == key
-            found[pair[hit]] = self.ranks[at[hit]]
+            rank[pair[hit]] = self.ranks[at[hit]]
             place[pair[hit]] = at[hit]
             starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             length = np.diff(np.append(starts, len(word)))
-            best = np.repeat(np.minimum.reduceat(found, starts), length)
+            best = np.repeat(np.minimum.reduceat(rank, starts), length)
             over = best == never
             if over.any():
                 done_sym.append(sym[over])
                 done_word.append(word[over])
-            chosen = np.flatnonzero((found == best) & ~over)
+            chosen = np.flatnonzero((rank == best) & ~over)
+            keep = ~over
+            fresh_pair = np.zeros(len(sym), bool)
             if len(chosen):
                 # A run of the same symbol gives overlapping pairs: every second one of a run of neighbours is merged.
-                fresh = np.concatenate([[True], np.diff(chosen) != 1])
-                first = np.maximum.accumulate(np.where(fresh, np.arange(len(chosen)), 0))
+                begins = np.concatenate([[True], np.diff(chosen) != 1])
+                first = np.maximum.accumulate(np.where(begins, np.arange(len(chosen)), 0))
                 chosen = chosen[(np.arange(len(chosen)) - first) % 2 == 0]
                 sym[chosen] = self.merged[place[chosen]]
-            keep = ~over
-            keep[chosen + 1] = False
-            sym, word = sym[keep], word[keep]
+                keep[chosen + 1] = False
+                fresh_pair[chosen] = True
+                fresh_pair[np.maximum(chosen - 1, 0)] = True
+            sym, word, rank, place = sym[keep], word[keep], rank[keep], place[keep]
+            changed = np.flatnonzero(fresh_pair[keep])
         if not done_sym:
             return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
@@ -137,7 +146,7 @@ class Bpe:
                 self.at, self.count = np.append(self.at, len(self.flat)), np.append(self.count, 1)
                 self.flat = np.append(self.flat, np.int32(i))
         look = (self.known | of_special if of_special else self.known).__getitem__
-        piece = np.fromiter((look(x) for p in split for x in p), np.int64, sum(map(len, split)))
+        piece = np.fromiter(map(look, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         count = self.count[piece]
         ids = self.flat[_spread(self.at[piece], count)]
         ends = np.cumsum([len(p) for p in split])
