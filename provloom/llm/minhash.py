@@ -22,7 +22,7 @@ LEAST_EQUAL = 90
 #: Elements of documents whose signatures are made at once.
 BATCH_ELEMENTS = 150_000
 #: Texts that meet one leader's text in one run of rows.
-RUN_ROWS = 256
+RUN_ROWS = 16_384
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -241,9 +241,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     texts = docs.sparkSession.read.schema("node binary, text string").parquet(folder)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Full comparisons; a leader's pairs are dealt into runs, each of which gets the leader's text."""
-        sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN_ROWS).alias("runs"))
-        runs = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("runs")).alias("salt"))
+        """Full comparisons; a leader's pairs are dealt into runs, each of which gets the leader's text. However many pairs one
+        leader has, a run has RUN_ROWS or fewer on average."""
+        runs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(max(1, -(-pairs.count() // RUN_ROWS)))).alias("salt"))
         lead = runs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("node"))
         other = runs.join(texts, F.col("b") == F.col("node"))
         both = lead.select("a", "salt", F.lit(True).alias("leads"), "node", "text").union(other.select("a", "salt", F.lit(False).alias("leads"), "node", "text"))
