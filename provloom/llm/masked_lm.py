@@ -19,9 +19,7 @@ KINDS, OTHERS = 256, 63
 CLASS = 16
 #: Tokens that are looked at on either side, and the width of the network.
 WINDOW, WIDTH = 2, 24
-#: One in so many documents, by the id's hash, is trained on: the training text grows with the corpus.
-TRAIN_ONE_IN = 16
-ROUNDS, RATE, STEP = 2, 0.2, 512
+ROUNDS, RATE, STEP = 3, 0.2, 512
 #: Tokens whose probabilities are computed at once, and words whose kinds a worker remembers.
 BATCH, CACHE_WORDS = 8192, 200_000
 
@@ -110,37 +108,47 @@ def train(weights: np.ndarray, around: np.ndarray, ids: np.ndarray, rate: float,
     vectors, gates, bias, top, top_bias, low, low_bias = parts(weights)
     order = np.random.default_rng(seed).permutation(len(ids))
 
+    places, columns = KINDS * np.arange(2 * WINDOW), np.arange(WIDTH)
+
     def slope(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        p = logits - logits.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(own)), own] -= 1
         return p
 
     for a in range(0, len(order), STEP):
         at = order[a : a + STEP]
-        near, own, n = around[at], ids[at], len(at)
-        by_class = np.argsort(own // CLASS, kind="stable")
-        near, own = near[by_class], own[by_class]  # tokens of one class are neighbours
-        klass = own // CLASS
+        at = at[np.argsort((ids[at] // CLASS).astype(np.uint16), kind="stable")]  # tokens of one class are neighbours
+        klass, inner = np.divmod(ids[at].astype(np.int64), CLASS)
+        n = len(at)
         ends = np.searchsorted(klass, np.arange(KINDS // CLASS + 1))
-        seen = vectors[near]
-        h = np.tanh((seen * gates).sum(axis=1) + bias)
+        near = around[at] + places  # rows of one table of all places' gated vectors
+        gated = (vectors * gates[:, None, :]).reshape(-1, WIDTH)
+        h = gated[near[:, 0]]
+        for k in range(1, 2 * WINDOW):
+            h += gated[near[:, k]]
+        h += bias
+        np.tanh(h, out=h)
         p = slope(h @ top + top_bias, klass)
         step = np.float32(rate * 16 / n)
         back = p @ top.T
         for c in np.flatnonzero(np.diff(ends)):
             of = slice(ends[c], ends[c + 1])
-            q = slope(h[of] @ low[c] + low_bias[c], own[of] % CLASS)
+            q = slope(h[of] @ low[c] + low_bias[c], inner[of])
             back[of] += q @ low[c].T
             low[c] -= step * (h[of].T @ q)
             low_bias[c] -= step * q.sum(axis=0)
         back *= 1 - h * h
-        d_gates, d_seen = (seen * back[:, None, :]).sum(axis=0), back[:, None, :] * (step * gates)
         top -= step * (h.T @ p)
         top_bias -= step * p.sum(axis=0)
         bias -= step * back.sum(axis=0)
-        gates -= step * d_gates
-        np.subtract.at(vectors, near.reshape(-1), d_seen.reshape(-1, WIDTH))
+        cells = (near[:, :, None] * WIDTH + columns).reshape(-1)
+        sums = np.bincount(cells, np.repeat(step * back, 2 * WINDOW, axis=0).reshape(-1), 2 * WINDOW * KINDS * WIDTH)
+        sums = sums.astype(np.float32).reshape(2 * WINDOW, KINDS, WIDTH)  # of each kind at each place
+        d_gates = (sums * vectors).sum(axis=1)
+        vectors -= (sums * gates[:, None, :]).sum(axis=0)
+        gates -= d_gates
         np.clip(weights, -4, 4, out=weights)
     return weights
 
@@ -152,25 +160,39 @@ def common_words(rows: DataFrame) -> list[str]:
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(KINDS - OTHERS - 1).collect()]
 
 
-def fit(rows: DataFrame, words: list[str]) -> np.ndarray:
-    """Weights trained on the chosen documents: in each round every task trains from the round's weights, and the
+def find_kinds(rows: DataFrame, words: list[str]) -> DataFrame:
+    """(id, kinds): each text's kinds as a byte a token, found once for all rounds and the scores."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(shared.value)
+        for batch in batches:
+            kinds = [tokens.ids(text.as_py()).astype(np.uint8).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.binary())], ["id", "kinds"])
+
+    schema = rows.select("id", F.lit(b"").alias("kinds")).schema
+    for field in schema:
+        field.nullable = True
+    return rows.select("id", "text").mapInArrow(run, schema)
+
+
+def fit(rows: DataFrame) -> np.ndarray:
+    """Weights trained on the kinds of all documents: in each round every task trains from the round's weights, and the
     results are averaged by their tokens. Sums go up a tree of tasks; the driver gets a few vectors of 13,000 numbers.
     """
     sc = rows.sparkSession.sparkContext
-    sample = checkpoint(rows.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(TRAIN_ONE_IN)) == 0).select("text"))
     weights = start()
     for n in range(ROUNDS):
-        shared, rate = sc.broadcast((weights, words)), RATE / (n + 1)
+        shared, rate = sc.broadcast(weights), RATE / (n + 1)
 
         def learn(index: int, part: Iterator, shared=shared, rate=rate, n=n) -> Iterator[tuple[int, np.ndarray]]:
-            weights, words = shared.value
-            tokens, total, ids, around, held = Tokens(words), 0, [], [], 0
+            weights, total, ids, around, held = shared.value, 0, [], [], 0
 
             def flush(weights):
                 return train(weights, np.concatenate(around), np.concatenate(ids), rate, n * 100_003 + index)
 
             for row in part:
-                own = tokens.ids(row["text"])
+                own = np.frombuffer(row["kinds"], np.uint8).astype(np.int64)
                 if not len(own):
                     continue
                 ids.append(own)
@@ -183,7 +205,7 @@ def fit(rows: DataFrame, words: list[str]) -> np.ndarray:
             if total:
                 yield total, weights.astype(np.float64) * total
 
-        found = sample.rdd.mapPartitionsWithIndex(learn).treeAggregate((0, 0.0), lambda a, x: (a[0] + x[0], a[1] + x[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]), 3)
+        found = rows.select("kinds").rdd.mapPartitionsWithIndex(learn).treeAggregate((0, 0.0), lambda a, x: (a[0] + x[0], a[1] + x[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]), 3)
         if not found[0]:
             return weights
         weights = (found[1] / found[0]).astype(np.float32)
@@ -194,7 +216,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row per document: id, n_tokens, the sum of log p(token | WINDOW tokens on either side) over all its tokens, and their mean.
 
     The network adds gated vectors of the tokens on both sides, a tanh layer and a two-level softmax over token kinds; the
-    token itself is not seen. Kinds come from the word counts of all documents, weights from a fixed share of them; every token of
+    token itself is not seen. Kinds come from the word counts of all documents, weights are trained on all of them; every token of
     every text is scored. A lower mean is a less likely text.
 
     Defined results: a null or blank text has 0 tokens, sum 0.0 and a null mean; equal ids are scored each; an empty table
@@ -202,14 +224,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = common_words(rows)
-    shared = docs.sparkSession.sparkContext.broadcast((fit(rows, words), words))
+    rows = checkpoint(find_kinds(rows, words))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(rows))
     schema = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("pll_sum"), F.lit(0.0).alias("pll_mean")).schema
     for field in schema:
         field.nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, words = shared.value
-        tokens = Tokens(words)
+        weights = shared.value
         for batch in batches:
             counts, sums = [], []
 
@@ -223,8 +245,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
             held: list[np.ndarray] = []
             size = 0
-            for text in batch.column(1):
-                held.append(tokens.ids(text.as_py()))
+            for kinds in batch.column(1):
+                held.append(np.frombuffer(kinds.as_py(), np.uint8).astype(np.int64))
                 size += len(held[-1])
                 if size > 100_000:
                     flush(held)

@@ -138,6 +138,13 @@ def test_masked_lm(spark, sf):
     assert masked_lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_masked_lm_trains_on_every_document(spark):
+    ids = [r.id for r in spark.range(1000).where("pmod(xxhash64(id, 2), 16) <> 0").limit(300).collect()]  # none of the former sample
+    rows = [(i, "a x b c y d " * 30) for i in ids] + [(None, "e z f " * 60)] * 300
+    got = masked_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 600 and min(r.pll_mean for r in got) > -1.5  # both kinds of text are known; untrained weights give about -5.5
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     ids = rng.integers(1, 20, 64)
