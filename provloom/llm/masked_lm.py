@@ -28,7 +28,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 class Tokens:
-    """Kinds of words. Words are runs without ASCII white space, lower-cased."""
+    """Kinds of words. Words are runs without ASCII white space of a text that is lower-cased already."""
 
     def __init__(self, words: list[str]) -> None:
         self.common = {w: i + 1 for i, w in enumerate(words)}
@@ -38,7 +38,7 @@ class Tokens:
         return KINDS - OTHERS + zlib.crc32(w.encode("utf-8", "surrogatepass")) % OTHERS
 
     def ids(self, text: str | None) -> np.ndarray:
-        words = _WORD.findall((text or "").lower())
+        words = _WORD.findall(text or "")
         if len(self.known) > CACHE_WORDS:
             self.known = dict(self.common)
         known = self.known
@@ -153,27 +153,48 @@ def train(weights: np.ndarray, around: np.ndarray, ids: np.ndarray, rate: float,
     return weights
 
 
-def common_words(rows: DataFrame) -> list[str]:
-    """The commonest words of all documents; occurrences are summed by task, then by word."""
-    words = rows.select(F.explode_outer(F.split(F.lower("text"), SPACES)).alias("word")).where("word <> ''")
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+def count_words(rows: DataFrame) -> DataFrame:
+    """(word, n) of all documents; occurrences are summed by task, then by word."""
+    words = rows.select(F.explode(F.split("text", SPACES)).alias("word")).where("word <> ''")
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def common_words(counts: DataFrame) -> list[str]:
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(KINDS - OTHERS - 1).collect()]
 
 
+def shares(rows: DataFrame, counts: DataFrame, words: list[str]) -> DataFrame:
+    """(row, log_n): the sum of log counts of a text's words that share a class, met with the counts in shards of words."""
+    others = rows.select("row", F.explode(F.split("text", SPACES)).alias("word")).where((F.col("word") != "") & ~F.col("word").isin(words))
+    rare = counts.where(~F.col("word").isin(words)).select("word", F.log("n").alias("log_n"))
+    return others.join(rare.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum("log_n").alias("log_n"))  # one row a word on the right
+
+
+def class_totals(rows: DataFrame) -> np.ndarray:
+    """Tokens of each kind in all documents; kinds of one word count as 1, as p(word | kind) is 1."""
+
+    def count(part: Iterator) -> Iterator[np.ndarray]:
+        yield sum((np.bincount(np.frombuffer(r["kinds"], np.uint8), minlength=KINDS) for r in part), np.zeros(KINDS, np.int64))
+
+    found = rows.select("kinds").rdd.mapPartitions(count).treeReduce(lambda a, b: a + b, 3)
+    found[: KINDS - OTHERS] = 1
+    return np.maximum(found, 1)
+
+
 def find_kinds(rows: DataFrame, words: list[str]) -> DataFrame:
-    """(id, kinds): each text's kinds as a byte a token, found once for all rounds and the scores."""
+    """(row, id, kinds): each text's kinds as a byte a token, found once for all rounds and the scores."""
     shared = rows.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(shared.value)
         for batch in batches:
-            kinds = [tokens.ids(text.as_py()).astype(np.uint8).tobytes() for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.binary())], ["id", "kinds"])
+            kinds = [tokens.ids(text.as_py()).astype(np.uint8).tobytes() for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(kinds, pa.binary())], ["row", "id", "kinds"])
 
-    schema = rows.select("id", F.lit(b"").alias("kinds")).schema
+    schema = rows.select("row", "id", F.lit(b"").alias("kinds")).schema
     for field in schema:
         field.nullable = True
-    return rows.select("id", "text").mapInArrow(run, schema)
+    return rows.select("row", "id", "text").mapInArrow(run, schema)
 
 
 def fit(rows: DataFrame) -> np.ndarray:
@@ -216,28 +237,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row per document: id, n_tokens, the sum of log p(token | WINDOW tokens on either side) over all its tokens, and their mean.
 
     The network adds gated vectors of the tokens on both sides, a tanh layer and a two-level softmax over token kinds; the
-    token itself is not seen. Kinds come from the word counts of all documents, weights are trained on all of them; every token of
-    every text is scored. A lower mean is a less likely text.
+    token itself is not seen. The commonest words are kinds of their own. All others share kinds, and log p(word | kind), its count
+    in all documents over that of its kind, is added, so that every word of the corpus has a probability of its own. Counts
+    and weights come from all documents; every token of every text is scored. A lower mean is a less likely text.
 
     Defined results: a null or blank text has 0 tokens, sum 0.0 and a null mean; equal ids are scored each; an empty table
     gives no rows; other columns are not read. Weights are summed in tasks' order, so scores may differ in the last digits between clusters.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = common_words(rows)
-    rows = checkpoint(find_kinds(rows, words))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(rows))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    texts = checkpoint(texts)  # rows keep their numbers
+    counts = checkpoint(count_words(texts))
+    words = common_words(counts)
+    rows = checkpoint(find_kinds(texts, words))
+    shared = docs.sparkSession.sparkContext.broadcast((fit(rows), np.log(class_totals(rows))))
+    rows = rows.join(shares(texts, counts, words), "row", "left").select("id", "kinds", F.coalesce("log_n", F.lit(0.0)).alias("log_n"))
     schema = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("pll_sum"), F.lit(0.0).alias("pll_mean")).schema
     for field in schema:
         field.nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
+        weights, log_totals = shared.value
         for batch in batches:
             counts, sums = [], []
 
             def flush(held: list[np.ndarray]) -> None:
                 size = np.array([len(x) for x in held])
-                found = log_probabilities(weights, np.concatenate([windows(x) for x in held]), np.concatenate(held))
+                found = log_probabilities(weights, np.concatenate([windows(x) for x in held]), np.concatenate(held)) - log_totals[np.concatenate(held)]
                 total = np.concatenate([[0.0], np.cumsum(found, dtype=np.float64)])  # noqa: B023
                 ends = np.cumsum(size)
                 sums.extend((total[ends] - total[ends - size]).tolist())  # noqa: B023
@@ -253,6 +278,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     held, size = [], 0
             if held:
                 flush(held)
+            sums = [s + x if n else 0.0 for s, x, n in zip(sums, batch.column(2).to_pylist(), counts, strict=True)]
             means = [s / n if n else None for s, n in zip(sums, counts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], ["id", "n_tokens", "pll_sum", "pll_mean"])
 

@@ -145,6 +145,18 @@ def test_masked_lm_trains_on_every_document(spark):
     assert len(got) == 600 and min(r.pll_mean for r in got) > -1.5  # both kinds of text are known; untrained weights give about -5.5
 
 
+def test_masked_lm_tells_words_of_a_class_apart(spark):
+    common = [f"c{i}" for i in range(masked_lm.KINDS - masked_lm.OTHERS - 1)]
+    tokens = masked_lm.Tokens(common)
+    odd = [w for w in (f"w{i}" for i in range(5000)) if tokens.ids(w)[0] == tokens.ids("rare")[0]][:2]
+    rows = [(i, " ".join(common)) for i in range(60)] + [(100 + i, odd[0].upper()) for i in range(40)] + [(200, odd[1]), (200, f"c1\t{odd[1]} c2"), (201, f"c1 {odd[0]} c2")]
+    got = masked_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    by = {(r.doc_id, r.n_tokens): r.pll_sum for r in got}
+    assert by[100, 1] - by[200, 1] == pytest.approx(math.log(41 / 2), abs=1e-4) == pytest.approx(by[201, 3] - by[200, 3], abs=1e-4)
+    assert math.exp(by[100, 1]) + math.exp(by[200, 1]) < 1
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     ids = rng.integers(1, 20, 64)
