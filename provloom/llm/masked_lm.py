@@ -111,9 +111,10 @@ def train(weights: np.ndarray, around: np.ndarray, ids: np.ndarray, rate: float,
     places, columns = KINDS * np.arange(2 * WINDOW), np.arange(WIDTH)
 
     def slope(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
-        p = logits - logits.max(axis=1, keepdims=True)
+        most = logits.max()  # one for all rows, unless that could leave a row without a sum
+        p = logits - (most if most - logits.min() < 80 else logits.max(axis=1, keepdims=True))
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
+        p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
         p[np.arange(len(own)), own] -= 1
         return p
 
