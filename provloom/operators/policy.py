@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,17 +32,19 @@ def writes_near(writes: DataFrame, tags: DataFrame, width: int) -> DataFrame:
     return w.join(t, ["subject", "b"]).where(f"at >= nanos and at - nanos <= {width}").groupBy("write").agg(F.max("nanos").alias("tagged"))
 
 
-def backward_reach(events: DataFrame, target: str, stop: Column, rounds: int = 16) -> DataFrame:
+def backward_reach(events: DataFrame, target: str, stop: Column, most: int | None = None) -> DataFrame:
     """(node, latest): what could have flowed into the target, no later than it was passed on.
 
     From (target, end of time) backwards along edges (src, dst, nanos) that are not later than the bound of their dst; each node
     keeps its latest bound, and nodes that ``stop`` holds for are not passed. Each round joins the nodes whose bound has
-    grown, and is written to the checkpoint folder.
+    grown, and is written to the checkpoint folder; rounds go on until none grows. If ``most`` rounds aren't enough, RuntimeError.
     """
     spark = events.sparkSession
     front = spark.createDataFrame([(target, 2**62)], "node string, latest long")
     found = front
-    for _ in range(rounds):
+    for n in count():
+        if n == most:
+            raise RuntimeError(f"bounds still grow after {most} rounds")
         ahead = front.where(~stop)
         step = events.join(ahead, F.col("dst") == F.col("node")).where("nanos <= latest").groupBy(F.col("src").alias("node")).agg(F.max("nanos").alias("latest"))
         known = found.select("node", F.col("latest").alias("old"))
@@ -49,7 +52,6 @@ def backward_reach(events: DataFrame, target: str, stop: Column, rounds: int = 1
         if front.isEmpty():
             return found
         found = checkpoint(found.union(front).groupBy("node").agg(F.max("latest").alias("latest")))
-    return found
 
 
 def violations(graph: Graph) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,10 +94,11 @@ def one_or_more(part: DataFrame, most: int = 3) -> DataFrame:
     return found.distinct()
 
 
-def forward_states(nodes: DataFrame, edges: DataFrame, pattern: list[str], depth: int) -> DataFrame:
+def forward_states(nodes: DataFrame, edges: DataFrame, pattern: list[str], most: int | None = None) -> DataFrame:
     """How far along a pattern of labels the best path into each node of a DAG has come: levels of joins, the maximum over parents.
 
     A node's own label takes the next step of the pattern if it matches; else the state is its best parent's.
+    Rounds go on until no state changes, and are written to the checkpoint folder; if ``most`` rounds aren't enough, RuntimeError.
     """
     wanted = F.array(*map(F.lit, pattern))
 
@@ -104,31 +106,38 @@ def forward_states(nodes: DataFrame, edges: DataFrame, pattern: list[str], depth
         return state + F.when(F.get(wanted, state.cast("int")) == F.col("label"), 1).otherwise(0)
 
     state = nodes.select("id", "label", F.lit(0).alias("in_state")).withColumn("state", advance(F.col("in_state")))
-    for _ in range(depth):
+    state = checkpoint(state)
+    for done in count():
+        if done == most:
+            raise RuntimeError(f"states still change after {most} rounds")
         up = edges.join(state.select(F.col("id").alias("src"), F.col("state").alias("s")), "src").groupBy(F.col("dst").alias("id")).agg(F.max("s").alias("s"))
-        state = state.select("id", "label").join(up, "id", "left").withColumn("in_state", F.coalesce("s", F.lit(0))).withColumn("state", advance(F.col("in_state"))).select("id", "label", "in_state", "state")
-    return state.select("id", "state")
+        state = state.select("id", "label", F.col("state").alias("old")).join(up, "id", "left").withColumn("in_state", F.coalesce("s", F.lit(0))).withColumn("state", advance(F.col("in_state")))
+        state = checkpoint(state.select("id", "label", "old", "state"))
+        if state.where("state <> old").isEmpty():
+            return state.select("id", "state")
 
 
-def paths_through(edges: DataFrame, node: str, depth: int) -> DataFrame:
-    """All source-to-sink paths through a node: predecessor paths and successor paths, put together. Rounds are written to the checkpoint folder."""
+def paths_through(edges: DataFrame, node: str, most: int | None = None) -> DataFrame:
+    """All source-to-sink paths through a node: predecessor paths and successor paths, put together. Rounds go on until no path
+    grows, and are written to the checkpoint folder; if ``most`` rounds aren't enough, RuntimeError."""
     steps = checkpoint(edges.select("src", "dst").distinct())
 
     def grow(here: str, there: str) -> DataFrame:
         done = None
         walked = edges.sparkSession.createDataFrame([(node, [node])], "at string, path array<string>")
         e = steps.select(F.col(here).alias("_h"), F.col(there).alias("_t"))
-        for _ in range(depth):
+        for n in count():
+            if n == most:
+                raise RuntimeError(f"paths still grow after {most} rounds")
             ends = walked.join(e, F.col("at") == F.col("_h"), "left_anti")
             done = ends if done is None else done.union(ends)
             step = walked.join(e, F.col("at") == F.col("_h")).where(~F.array_contains("path", F.col("_t")))
             walked = checkpoint(step.select(F.col("_t").alias("at"), F.concat("path", F.array("_t")).alias("path")))
             if walked.isEmpty():
                 return done
-        return done.union(walked.join(e, F.col("at") == F.col("_h"), "left_anti"))
 
     back = grow("dst", "src").select(F.reverse("path").alias("before"))
-    ahead = grow("src", "dst").select(F.slice("path", 2, depth + 1).alias("after"))
+    ahead = grow("src", "dst").select(F.expr("slice(path, 2, size(path))").alias("after"))
     return back.join(ahead, F.lit(True)).select(F.concat("before", "after").alias("path"))
 
 

@@ -95,7 +95,7 @@ def forward_states(spark, sf_dir):
     ids = event_frame(spark, sf_dir).select("subject").distinct()
     nodes = ids.select(F.concat(F.lit("u"), "subject").alias("id"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("subject") % 3 + 1).cast("int")).alias("label"))
     edges = ids.where("subject > 0").select(F.expr("concat('u', subject div 2)").alias("src"), F.concat(F.lit("u"), "subject").alias("dst"))
-    return sg.forward_states(nodes, edges, ["a", "b", "c"], 8).withColumn("state", F.col("state").cast("int"))
+    return sg.forward_states(nodes, edges, ["a", "b", "c"]).withColumn("state", F.col("state").cast("int"))
 
 
 @query("paths_through_node", f"""WITH RECURSIVE {EDGES}, te AS (SELECT dst AS src, src AS dst FROM ed WHERE label = 'parentSubject'),
@@ -103,7 +103,7 @@ def forward_states(spark, sf_dir):
  SELECT b.path || a.path AS path FROM b, a WHERE b.at_ NOT IN (SELECT dst FROM te) AND a.at_ NOT IN (SELECT src FROM te)""")
 def paths_through_node(spark, sf_dir):
     edges = event_graph(spark, sf_dir).edges.where("label = 'parentSubject'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return sg.paths_through(edges, "u9", 8).select(F.array_join("path", ">").alias("path"))
+    return sg.paths_through(edges, "u9").select(F.array_join("path", ">").alias("path"))
 
 
 @query("top_without_better_parent", f"WITH {EV}, sc AS (SELECT subject AS s, count(*) AS score FROM ev GROUP BY 1) SELECT 'u' || a.s AS id, a.score FROM sc a LEFT JOIN sc p ON p.s = a.s // 2 AND a.s > 0 WHERE p.score IS NULL OR p.score < a.score ORDER BY a.score DESC, 'u' || a.s LIMIT 10")

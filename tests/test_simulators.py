@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provloom.functions import scalar
-from provloom.operators import forest, novelty, resolve, segments
+from provloom.operators import forest, novelty, policy, resolve, segments
 from provloom.operators.graph import Graph
 from provloom.plans.compiler import Compiler
 from provloom.plans.parser import Name, QuerySyntaxError, Step, parse
@@ -228,3 +228,18 @@ def test_library_does_not_import_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"\bllm\b", p.read_text()), p
+
+
+def test_walks_go_to_their_end(spark):
+    n = 20
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", i) for i in range(n)], "src string, dst string, nanos long")
+    nodes = spark.createDataFrame([(f"n{i}", {0: "a", 10: "b", n: "c"}.get(i, "x")) for i in range(n + 1)], "id string, label string")
+    reach = policy.backward_reach(chain, f"n{n}", F.lit(False)).collect()
+    assert {(r.node, r.latest) for r in reach} == {(f"n{i}", i) for i in range(n)} | {(f"n{n}", 2**62)}
+    states = {r.id: r.state for r in segments.forward_states(nodes, chain, ["a", "b", "c"]).collect()}
+    assert states == {f"n{i}": 1 + (i >= 10) + (i == n) for i in range(n + 1)}
+    [path] = segments.paths_through(chain, "n9").collect()
+    assert path.path == [f"n{i}" for i in range(n + 1)]
+    for short in (lambda: policy.backward_reach(chain, f"n{n}", F.lit(False), 5), lambda: segments.forward_states(nodes, chain, ["a", "b", "c"], 5), lambda: segments.paths_through(chain, "n9", 5)):
+        with pytest.raises(RuntimeError):
+            short()
