@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ LEAST_EQUAL = 90
 BATCH_ELEMENTS = 150_000
 #: Texts that meet one leader's text in one run of rows.
 RUN_ROWS = 16_384
+#: Distances from a pivot are dealt into classes, each this much wider than the one before.
+CLASS_RATIO = 1.1
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -137,10 +139,10 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def _signatures(words: int):
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids, sets):
+        def out(ids, hashes, sets):
             nodes = [_digest(s) if len(s) else None for s in sets]
             first = {}
             for i, x in enumerate(nodes):
@@ -151,20 +153,21 @@ def _signatures(words: int):
                 sig = super_minhash([sets[i] for i in first.values()])
                 row = {x: pair for x, *pair in zip(first, band_keys(sig), sketches(sig), strict=True)}
             bands, made = ([row[x][k] if x is not None else None for x in nodes] for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(made, pa.list_(pa.int64()))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(made, pa.list_(pa.int64()))], schema=schema)
 
         for batch in batches:
-            ids, sets, total = [], [], 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, hashes, sets, total = [], [], [], 0
+            for i, text, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 s = shingle_set((text.as_py() or "").encode(), words)
                 if sets and total + len(s) > BATCH_ELEMENTS:
-                    yield out(ids, sets)
-                    ids, sets, total = [], [], 0
+                    yield out(ids, hashes, sets)
+                    ids, hashes, sets, total = [], [], [], 0
                 ids.append(i)
+                hashes.append(h)
                 sets.append(s)
                 total += len(s)
             if sets:
-                yield out(ids, sets)
+                yield out(ids, hashes, sets)
 
     return run
 
@@ -185,7 +188,7 @@ def _verify(words: int, percent: int):
                 s = shingle_set((text.as_py() or "").encode(), words)
                 if here != key:
                     key, found = here, None
-                if _digest(s) != node.as_py():  # another row with this id
+                if _digest(s) != node.as_py():  # another text with this id and hash
                     continue
                 if leads.as_py():
                     found, lead = s, here[0]
@@ -210,21 +213,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     2. Nodes with a band key in common are candidates if their signatures agree in LEAST_EQUAL values. In each bucket all
        nodes are held against its leader, the node of most copies, by their full sets, each first against the least of its
        leaders. Links are contracted by union-find, and leaders in other components are next.
-    3. In buckets that still hold several components, shingles that no other node there has are counted. A node with too many of them
-       can have no link and leaves; the node with the least share of them is a second leader. What then is in
-       different components is joined bucket by bucket, where counts and sketches allow a link, and held against each other.
+    3. In buckets that still hold several components, shingles that no other node there has are counted. A node with too many of
+       them can have no link and leaves. The others meet by their differences from a pivot, see ``_by_differences``.
     4. The links' components give the ids.
 
     Sets are compared by 64-bit hashes of shingles. Of pairs at similarity 0.8, 2e-5 share no band and 1e-6 have signatures
     that agree too little. Defined results: null and blank texts have size 0, are linked with nothing and kept; a null id is never a component_id where another is
     reachable, and a row of null id is kept only if its component_id is null; rows with one id are that many
-    documents; an empty table gives no rows; other columns are not read.
+    documents; very long texts are taken whole, one set at a time; an empty table gives no rows; other columns, whatever
+    their names, are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = checkpoint(rows.mapInArrow(_signatures(words), "id long, n long, node binary, bands array<bigint>, sketch array<bigint>"))
+    found, _ = _grouped(docs, words, percent, id_col, text_col)
+    component = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component"))
+    return found.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")
+    ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def _grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, text_hash, n, node, component, best) for each row, and (node, first, copies). ``best`` is the group's (id is null, id, text_hash, node)
+    that comes first; it and ``component``, its id, are null for rows that are linked with nothing."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    signed = checkpoint(rows.mapInArrow(_signatures(words), "id long, text_hash long, n long, node binary, bands array<bigint>, sketch array<bigint>"))
     nodes = checkpoint(
         signed.where(F.col("node").isNotNull()).groupBy("node")
-        .agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
+        .agg(
+            F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("first"), F.count("*").alias("copies"),
+            F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n").alias("n"),
+        )
     )
     member = nodes.select("node", F.explode("bands").alias("bucket"), F.struct(-F.col("copies"), "node").alias("order"))
     leaders = member.groupBy("bucket").agg(F.min("order").alias("first"), F.count("*").alias("size")).where("size > 1").select("bucket", F.col("first.node").alias("leader"))
@@ -234,17 +251,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     pairs = star.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     candidates = checkpoint(pairs.join(sketch_b, "b").join(sketch_a, "a").where(enough).select("a", "b"), free=True)
 
-    # The texts of nodes that share a bucket are read again, once: one row each; rows of one id are told apart when texts are compared.
-    folder = f"{shared_folder(docs.sparkSession)}/minhash-{uuid.uuid4().hex}"
-    wanted = star.select("node").distinct().join(nodes.select("node", "first"), "node")
-    wanted.join(rows, F.col("first").eqNullSafe(F.col("id"))).select("node", "text").write.parquet(folder)
-    texts = docs.sparkSession.read.schema("node binary, text string").parquet(folder)
+    # The texts of nodes that share a bucket are read again, once; id and hash name the row, so that rows without id, or of one id, meet no others.
+    folder = f"{shared_folder(spark)}/minhash-{uuid.uuid4().hex}"
+    wanted = star.select("node").distinct().join(nodes.select("node", "first.id", F.col("first.text_hash").alias("h")), "node").withColumnRenamed("id", "first_id")
+    wanted.join(rows, (F.col("h") == F.col("text_hash")) & F.col("first_id").eqNullSafe(F.col("id"))).select("node", "text").write.parquet(folder)
+    texts = spark.read.schema("node binary, text string").parquet(folder)
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Full comparisons; a leader's pairs are dealt into runs, each of which gets the leader's text. However many pairs one
         leader has, a run has RUN_ROWS or fewer on average."""
         runs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(max(1, -(-pairs.count() // RUN_ROWS)))).alias("salt"))
-        lead = runs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("node"))
+        lead = runs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("node")).dropDuplicates(["a", "salt"])
         other = runs.join(texts, F.col("b") == F.col("node"))
         both = lead.select("a", "salt", F.lit(True).alias("leads"), "node", "text").union(other.select("a", "salt", F.lit(False).alias("leads"), "node", "text"))
         dealt = both.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("leads").desc(), "node")
@@ -252,14 +269,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     done = verify(candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     roots = components(done.where("linked"))
-
-    def crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components."""
-        a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        both = pairs.join(a, "a", "left").join(b, "b", "left")
-        return both.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b")
-
-    rest = checkpoint(crossing(candidates.join(done.select("a", "b"), ["a", "b"], "left_anti"), roots))
+    rest = checkpoint(_crossing(candidates.join(done.select("a", "b"), ["a", "b"], "left_anti"), roots))
     if not rest.isEmpty():
         done = done.union(verify(rest))
         roots = components(done.where("linked"))
@@ -267,94 +277,180 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     held = _mixed(star, roots)
     if not held.isEmpty():
         open_nodes = _open_nodes(held, nodes, texts, words, percent)
-        held = checkpoint(held.join(open_nodes.select("node"), "node", "left_semi"))
-        possible = _possible(percent) & enough
-        best = held.join(open_nodes, "node").groupBy("bucket").agg(F.min(F.struct(F.col("alone") / F.col("n"), "node")).alias("best")).select("bucket", F.col("best.node").alias("a"))
-        again = held.select("bucket", F.col("node").alias("b")).join(best, "bucket").where("a <> b").select("a", "b").distinct()
-        a, b = _ends(open_nodes)
-        rest = checkpoint(crossing(again.join(done.select("a", "b"), ["a", "b"], "left_anti"), roots).join(a, "a").join(b, "b").where(possible).select("a", "b"))
-        if not rest.isEmpty():
-            done = done.union(verify(rest))
-            roots = components(done.where("linked"))
-        apart = checkpoint(_apart(_mixed(held.drop("root"), roots), open_nodes, possible))
-        if not apart.isEmpty():
-            done = done.union(verify(apart))
-            roots = components(done.where("linked"))
-
-    remove(docs.sparkSession, folder)
-
-    # Each root's least id, and each copy's.
+        held = _mixed(held.drop("root").join(open_nodes.select("node"), "node", "left_semi"), roots)
+    if not held.isEmpty():
+        done, roots = _by_differences(held, open_nodes, texts, done, roots, words, percent, verify)
+    remove(spark, folder)
+
+    # Each root's least id, and each copy's. Nodes of so many copies that there can be but HOT of them are met by a broadcast; the others are
+    # small groups. Rows that are linked with nothing, or met already, are dealt by their hash.
+    order = F.struct("first.none", "first.id", "first.text_hash", "node")
     placed = nodes.select("node", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component"), F.sum("copies").alias("size")).where("size > 1")
-    salts = 8
-    grouped = placed.join(least, "root").select("node", "component", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = signed.select("id", "n", "node", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    component = F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component"))
-    return (
-        salted.join(grouped, ["node", "salt"], "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
-    )
+    least = placed.groupBy("root").agg(F.min(order).alias("best"), F.sum("copies").alias("size")).where("size > 1")
+    grouped = checkpoint(placed.join(least, "root").select("node", "best", "copies"))
+    many = F.col("copies") * HOT > signed.count()
+    hot = grouped.where(many).select(F.col("node").alias("hot_node"), F.col("best").alias("hot_best"))
+    rest = grouped.where(~many).select(F.col("node").alias("key"), F.col("best").alias("rest_best"))
+    met = signed.select("id", "text_hash", "n", "node").join(F.broadcast(hot), F.col("node") == F.col("hot_node"), "left")  # fewer than HOT rows
+    loose = F.xxhash64("id", "text_hash").cast("string").cast("binary")
+    met = met.withColumn("key", F.when(F.col("hot_node").isNotNull() | F.col("node").isNull(), loose).otherwise(F.col("node")))
+    found = met.join(rest, "key", "left").withColumn("best", F.coalesce("hot_best", "rest_best"))
+    return found.select("id", "text_hash", "n", "node", F.col("best.id").alias("component"), "best"), nodes.select("node", "copies")
+
+
+#: A node is hot if it has more than one in HOT of all rows.
+HOT = 256
+
 
+def _crossing(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    both = pairs.join(a, "a", "left").join(b, "b", "left")
+    return both.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b")
 
-def _mixed(star: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, node, root) of the buckets that hold nodes of several components."""
-    placed = star.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")).select("bucket", "node", "root")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    return checkpoint(placed.join(mixed, "bucket", "left_semi"))
+
+def _mixed(star: DataFrame, roots: DataFrame, group: str = "bucket") -> DataFrame:
+    """The rows of the buckets that hold nodes of several components, with ``root``."""
+    placed = star.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")).select(*star.columns, "root")
+    mixed = placed.groupBy(group).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(group)
+    return checkpoint(placed.join(mixed, group, "left_semi"))
 
 
 def _explode(words: int):
-    schema = pa.schema([("h", pa.int64()), ("key", pa.int64())])
+    """(name, node, text) to (name, h) for each shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for key, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            hashes, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for name, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = shingle_set((text.as_py() or "").encode(), words)
                 if _digest(s) == node:
                     hashes.append(s.view(np.int64))
-                    keys.append(np.full(len(s), key, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(keys))], schema=schema)
+                    names.append(np.full(len(s), name, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(hashes))], ["name", "h"])
 
     return run
 
 
 def _open_nodes(held: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, n, alone, sketch) of the nodes of mixed buckets that can have a link there: ``alone`` is how many of its n
-    shingles no other of these nodes has. If those are too many, no set there is similar enough.
-    """
-    some = held.select("node").distinct().join(nodes.select("node", "n", "sketch", "bands"), "node").withColumn("key", F.xxhash64("node"))
-    some = checkpoint(some)
-    shingles = some.select("node", "key").join(texts, "node").select("key", "node", "text").mapInArrow(_explode(words), "h long, key long")
+    """(node, n) of the nodes of mixed buckets that can have a link there: of its n shingles, enough are in another of these nodes."""
+    some = checkpoint(held.select("node").distinct().join(nodes.select("node", "n"), "node").withColumn("key", F.xxhash64("node")))
+    shingles = some.select("node", "key").join(texts, "node").dropDuplicates(["node"]).select("key", "node", "text").mapInArrow(_explode(words), "key long, h long")
     single = shingles.groupBy("h").agg(F.count("*").alias("c"), F.min("key").alias("key")).where("c = 1").groupBy("key").agg(F.count("*").alias("alone"))
-    counted = some.join(single, "key", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"), "sketch", "bands")
-    return checkpoint(counted.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), free=True)
+    counted = some.join(single, "key", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
+    return checkpoint(counted.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")).select("node", "n"), free=True)
+
 
+def _differences(words: int):
+    """(region, node, d, only) of (region, node, pivot, text): the size of the set's symmetric difference from the pivot, and its elements."""
+    schema = pa.schema([("region", pa.int64()), ("node", pa.binary()), ("d", pa.int64()), ("only", pa.list_(pa.int64()))])
 
-def _ends(open_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return tuple(open_nodes.select(F.col("node").alias(x), (F.col("n") - F.col("alone")).alias(f"common_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("bands").alias(f"bands_{x}")) for x in "ab")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for region, node, pivot, text in zip(*(batch.column(i) for i in range(4)), strict=True):
+                s = shingle_set((text.as_py() or "").encode(), words)
+                if _digest(s) == node.as_py():
+                    only = np.setxor1d(s.view(np.int64), np.asarray(pivot.values, np.int64))
+                    rows.append((region.as_py(), node.as_py(), len(only), only))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
 
+    return run
 
-def _possible(percent: int) -> Column:
-    """Whether two sets can be similar enough if all that either has in common with any other is in both."""
-    both = F.least("common_a", "common_b")
-    return 100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)
 
+def _by_differences(
+    held: DataFrame, open_nodes: DataFrame, texts: DataFrame, done: DataFrame, roots: DataFrame, words: int, percent: int, verify: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, DataFrame]:
+    """The pairs compared and the components, with all links between nodes of a bucket found.
 
-def _apart(held: DataFrame, open_nodes: DataFrame, possible: Column) -> DataFrame:
-    """The pairs of a bucket that are in different components, may be similar enough and have sketches that agree."""
-    sizes = held.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    a, b = _ends(open_nodes)
-    few = held.join(largest, "bucket").where("root <> largest").select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")).join(a, "a")
-    every = held.select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("root").alias("rb")).join(b, "b")
-    once = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("bucket")  # the first bucket that both are in
-    met = few.join(every, (F.col("bucket") == F.col("bucket_b")) & (F.col("ra") != F.col("rb")) & possible & once)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    A bucket belongs to the region of its leader's component. A region's pivot P is the set of shingles that over half of its nodes have, D(x) the
+    symmetric difference of x and P, d its size. Similarity of percent or more is |x ^ y| <= r (n(x) + n(y)) with r = (100 - percent) / (100 + percent), and
+    x ^ y = D(x) ^ D(y). With s = d - r n, sets are linked if and only if D(x) and D(y) have (s(x) + s(y)) / 2 or more elements in common.
+
+    First, all x with s(x) + s(c) <= 0 are linked with c, the node of least s: |x ^ c| <= d(x) + d(c). Two nodes with s(x) + s(y) <= 0 have both been linked
+    with c so, hence any other link needs an element in common. Second, elements of D that no other node of the region has leave, the others
+    are ordered from rare to common. Of two sets that have o elements in common, the first |D| - o + 1 of each have one in common. How long
+    that is depends on the partner, so nodes are dealt into classes of s: a node gives, for each class that a partner could be in, as many elements as the least s there
+    asks for, and none if that is more than it has. What almost all of a group's nodes have is in P and is no key; what few of them have makes few pairs. The
+    join has as many rows as there are such coincidences; Spark splits a key that is common after all.
+    """
+    spark = held.sparkSession
+    lead = roots.select(F.col("node").alias("leader"), F.col("root").alias("lead_root"))
+    region = F.xxhash64(F.coalesce("lead_root", "leader")).alias("region")
+    inside = held.join(lead, "leader", "left").select(region, "node").distinct()
+    inside = _mixed(inside, roots, "region")
+    every = inside.groupBy("node").agg(F.collect_set("region").alias("regions"))  # a node has BANDS buckets
+    placed = every.join(texts, "node").dropDuplicates(["node"]).select(F.explode("regions").alias("region"), "node", "text")
+    shingles = placed.mapInArrow(_explode(words), "region long, h long")
+    sizes = inside.groupBy("region").agg(F.count("*").alias("size"))
+    common = shingles.groupBy("region", "h").agg(F.count("*").alias("c")).where("c > 1").join(F.broadcast(sizes) if sizes.count() < SMALL else sizes, "region").where("2 * c > size")
+    pivots = common.groupBy("region").agg(F.collect_list("h").alias("pivot"))  # under twice the mean set
+    wide = placed.join(pivots, "region", "left").select("region", "node", F.coalesce("pivot", F.array().cast("array<bigint>")).alias("pivot"), "text")
+    scale = 100 + percent
+    s = (scale * F.col("d") - (100 - percent) * F.col("n")).alias("s")  # scaled to whole numbers
+    apart = checkpoint(wide.mapInArrow(_differences(words), "region long, node binary, d long, only array<bigint>").join(open_nodes, "node").select("region", "node", s, "only"), free=True)
+
+    # The node nearest to the pivot.
+    centre = apart.groupBy("region").agg(F.min(F.struct("s", "node")).alias("c")).select("region", F.col("c.node").alias("a"), F.col("c.s").alias("least"))
+    near = apart.join(centre, "region").where("s + least <= 0 and node <> a").select("a", F.col("node").alias("b")).distinct()
+    near = checkpoint(_crossing(near, roots).join(done.select("a", "b"), ["a", "b"], "left_anti"))
+    if not near.isEmpty():
+        done = done.union(verify(near))
+        roots = components(done.where("linked"))
+    inside = _mixed(apart.select("region", "node"), roots, "region")
+    if inside.isEmpty():
+        return done, roots
+
+    # Elements in order of rarity, those of one node left out.
+    here = apart.join(inside.select("region", "node", "root"), ["region", "node"])
+    listed = here.select("region", "node", F.explode("only").alias("h"))
+    counts = listed.groupBy("region", "h").agg(F.count("*").alias("c")).where("c > 1")
+    ordered = listed.join(counts, ["region", "h"]).groupBy("region", "node").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("e"))
+    size = F.log(F.abs("s") + 1) / F.log(F.lit(CLASS_RATIO))
+    klass = (F.signum("s") * F.floor(size)).cast("int").alias("class")
+    known = checkpoint(here.join(ordered, ["region", "node"]).select("region", "node", "root", "s", klass, F.col("e.h").alias("e")))
+    # Of each region, its largest component, and each class's least s of all nodes and of those outside of that component.
+    largest = known.groupBy("region", "root").agg(F.count("*").alias("size")).groupBy("region").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
+    known = known.join(largest, "region").withColumn("outside", F.col("root") != F.col("largest"))
+    least = known.groupBy("region", "class").agg(F.min("s").alias("all"), F.min(F.when(F.col("outside"), F.col("s"))).alias("outside"))
+    classes = least.groupBy("region").agg(F.collect_list(F.struct("class", "all", "outside")).alias("classes"))  # some hundreds at most
+    bound = F.when(F.col("outside"), F.col("partner.all")).otherwise(F.col("partner.outside"))
+    asked = F.greatest(F.lit(1), F.ceil((F.col("s") + bound) / F.lit(2.0 * scale) - 1e-9)).cast("int")
+    given = (
+        known.join(classes, "region").withColumn("partner", F.explode("classes"))
+        .withColumn("length", F.size("e") - asked + 1).where("length > 0")
+        .select("region", "node", "root", "s", "outside", F.size("e").alias("size"), "class", F.col("partner.class").alias("other"), F.explode(F.expr("slice(e, 1, length)")).alias("h"))
+    )
+    left, right = (given.select("region", "h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "s", "outside", "size", "class", "other")]) for x in "ab")
+    fits = (F.col("class_a") == F.col("other_b")) & (F.col("other_a") == F.col("class_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b"))
+    enough = 2 * scale * F.least("size_a", "size_b") >= F.col("s_a") + F.col("s_b")
+    met = left.join(right, ["region", "h"]).where(fits & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    met = checkpoint(met, free=True)
+    if not met.isEmpty():
+        done = done.union(verify(met))
+        roots = components(done.where("linked"))
+    return done, roots
+
+
+#: Regions of which one number each may be broadcast.
+SMALL = 100_000
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those that ``near_duplicates`` doesn't keep. Rows of one id are kept or dropped together."""
-    gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``docs`` of which ``near_duplicates`` makes no group, and one row of each group: the one of least id, null ids last, ties by
+    the text's hash. Rows are judged one by one: another row of the same id, or without id, is not dropped with them.
+
+    Repeated rows are a group; null and blank texts are in none and stay. Columns are as they were.
+    """
+    found, nodes = _grouped(docs, words, percent, id_col, text_col)
+    found = checkpoint(found.where(F.col("best").isNotNull()).select("id", "text_hash", "node", "best"))
+    first = (F.col("best.node") == F.col("node")) & (F.col("best.text_hash") == F.col("text_hash")) & F.col("best.id").eqNullSafe(F.col("id"))
+    names = {"id": "_gone_id", "text_hash": "_gone_hash"}
+    gone = found.where(~first).select("id", "text_hash").distinct().withColumnsRenamed(names)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.col(text_col)) == F.col("_gone_hash"))
+    kept = docs.join(gone, same, "left_anti")
+    again = checkpoint(found.where(first).groupBy("id", "text_hash").agg(F.count("*").alias("c")).where("c > 1").select("id", "text_hash").withColumnsRenamed(names))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, same, "left_semi").withColumns({"_gone_id": F.col(id_col).cast("long"), "_gone_hash": F.xxhash64(F.col(text_col))})
+    return kept.join(again, same, "left_anti").union(once.dropDuplicates(["_gone_id", "_gone_hash"]).select(*docs.columns))

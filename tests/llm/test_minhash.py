@@ -91,3 +91,75 @@ def test_hub_with_outliers(spark, words):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = [tuple(r) for r in minhash.near_duplicates(df, words).select("doc_id", "n_shingles", "component_id", "kept").collect()]
     assert sorted(got, key=str) == brute(rows, words)
+
+
+def hub(size, seed=3, length=120, most=12, edits=60):
+    """Near copies of one text, similar to each other at 0.5 to 0.9; few are linked with any but the plainest. Edits are of so many words."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(length)]
+    rows = []
+    for i in range(size):
+        text = list(base)
+        for p in rng.sample(range(length), rng.randrange(2, most)):
+            text[p] = f"x{rng.randrange(edits)}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_large_hub_with_odd_ids(spark):
+    """2,000 near copies, a tenth without id, some of one id; a chain and a second hub in the same table."""
+    rng = random.Random(9)
+    rows = [(None if rng.random() < 0.1 else i if rng.random() < 0.9 else 7, t) for i, t in hub(2000)]
+    rows += [(5000 + i, t) for i, t in hub(150, 4)]
+    got = [tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4).collect()]
+    assert sorted(got, key=str) == brute(rows, 4)
+
+
+def test_difference_bound():
+    """Linked sets have (s(x) + s(y)) / 2 elements of their differences from any pivot in common, and no others have."""
+    rng = random.Random(8)
+    for _ in range(300):
+        pool = range(40)
+        pivot, x, y = (set(rng.sample(pool, rng.randrange(1, 30))) for _ in range(3))
+        y = y if rng.random() < 0.5 else (x | {rng.randrange(60)}) - {rng.randrange(40)} or {1}
+        for percent in (60, 80, 95):
+            s = [(100 + percent) * len(z ^ pivot) - (100 - percent) * len(z) for z in (x, y)]
+            linked = 100 * len(x & y) >= percent * len(x | y)
+            assert linked == (2 * (100 + percent) * len((x ^ pivot) & (y ^ pivot)) >= sum(s))
+
+
+def test_pairs_grow_with_the_group(spark, monkeypatch):
+    """Twice the group makes about twice the pairs that are compared."""
+    made = []
+    plain = minhash._by_differences
+
+    def counted(held, open_nodes, texts, done, roots, words, percent, verify):
+        def and_count(pairs):
+            made[-1] += pairs.count()
+            return verify(pairs)
+
+        made.append(0)
+        return plain(held, open_nodes, texts, done, roots, words, percent, and_count)
+
+    monkeypatch.setattr(minhash, "_by_differences", counted)
+    for size in (400, 800):
+        minhash.near_duplicates(spark.createDataFrame(hub(size, edits=size // 8), "doc_id long, text string"), 4).count()
+    assert len(made) == 2 and made[1] <= 3 * made[0] + 100 and made[1] < 20 * 800
+
+
+def test_rows_are_dropped_one_by_one(spark):
+    t = " ".join(f"w{i}" for i in range(100))
+    rows = [(5, t, "a"), (None, t + " x", "b"), (None, "a unique text of some words", "c"), (6, t, "d"), (8, "twice the same row", "e"), (8, "twice the same row", "f"), (9, None, "g"), (9, " ", "h"), (None, None, "i"), (8, "another text of that id", "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = sorted(r.node for r in minhash.drop_near_duplicates(df).collect())
+    assert got in (["a", "c", x, "g", "h", "i", "j"] for x in "ef")
+    nothing = [(None, t, "a"), (None, t + " y", "b"), (None, t, "c")]
+    assert len(minhash.drop_near_duplicates(spark.createDataFrame(nothing, df.schema)).collect()) == 1
+    assert minhash.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i % 30_011}" for i in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "short text"), (4, "x" * 300_000)]
+    got = [tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()]
+    assert sorted(got, key=str) == brute(rows, 4)
