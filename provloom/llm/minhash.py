@@ -414,12 +414,11 @@ def _by_differences(
     known = known.join(largest, "region").withColumn("outside", F.col("root") != F.col("largest"))
     least = known.groupBy("region", "class").agg(F.min("s").alias("all"), F.min(F.when(F.col("outside"), F.col("s"))).alias("outside"))
     classes = least.groupBy("region").agg(F.collect_list(F.struct("class", "all", "outside")).alias("classes"))  # some hundreds at most
-    bound = F.when(F.col("outside"), F.col("partner.all")).otherwise(F.col("partner.outside"))
-    asked = F.greatest(F.lit(1), F.ceil((F.col("s") + bound) / F.lit(2.0 * scale) - 1e-9)).cast("int")
-    given = (
-        known.join(classes, "region").withColumn("partner", F.explode("classes"))
-        .withColumn("length", F.size("e") - asked + 1).where("length > 0")
-        .select("region", "node", "root", "s", "outside", F.size("e").alias("size"), "class", F.col("partner.class").alias("other"), F.explode(F.expr("slice(e, 1, length)")).alias("h"))
+    bound = lambda c: F.when(F.col("outside"), c["all"]).otherwise(c["outside"])
+    asked = lambda c: F.greatest(F.lit(1), F.ceil((F.col("s") + bound(c)) / F.lit(2.0 * scale) - 1e-9)).cast("int")
+    partners = F.filter(F.transform("classes", lambda c: F.struct(c["class"].alias("other"), (F.size("e") - asked(c) + 1).alias("length"))), lambda c: c["length"] > 0)
+    given = known.join(classes, "region").withColumn("partner", F.explode(partners)).select(
+        "region", "node", "root", "s", "outside", F.size("e").alias("size"), "class", F.col("partner.other").alias("other"), F.explode(F.expr("slice(e, 1, partner.length)")).alias("h")
     )
     left, right = (given.select("region", "h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "s", "outside", "size", "class", "other")]) for x in "ab")
     fits = (F.col("class_a") == F.col("other_b")) & (F.col("other_a") == F.col("class_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b"))
