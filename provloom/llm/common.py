@@ -16,14 +16,12 @@ SPACES = r"[\x20\x09-\x0D]+"
 def checkpoint(df: DataFrame, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, cutting its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a
-    temporary folder takes its place. ``free``: the shuffle files that it cuts off are let go at once; else they
+    The folder is ``shared_folder``'s. ``free``: the shuffle files that it cuts off are let go at once; else they
     stay until the driver happens to collect its garbage.
     """
     sc = df.sparkSession.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="provloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     done = df.checkpoint(eager=True)
     if free:
         gc.collect()
@@ -32,8 +30,17 @@ def checkpoint(df: DataFrame, free: bool = False) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="provloom-")
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``. A temporary one
+    takes its place in local mode only; elsewhere a missing folder is an error, as executors would not see it."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir"):
+        return named
+    given = sc._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="provloom-")
 
 
 def remove(spark: SparkSession, folder: str) -> None:
@@ -88,3 +95,20 @@ def order_bucket(key: Column, cuts: list) -> Column:
 
     found = F.aggregate(widths, F.lit(0), lambda low, width: step(low, width).cast("int"))
     return F.when(key.isNull(), F.lit(-1)).otherwise(found)
+
+
+def order_ranges(df: DataFrame, key: Column, tie: Column, buckets: int) -> Column:
+    """The number of each row's range in the order of (key, tie), null keys first: about ``buckets`` ranges of near-equal rows.
+
+    Cuts are of the key. A key that by itself fills several ranges, or a null key that does, is dealt by its ties, a hash;
+    the driver gets at most ``buckets`` numbers.
+    """
+    at = [i / buckets for i in range(1, buckets)]
+    found = df.agg(F.percentile_approx(key, at, 20 * buckets).alias("cuts"), F.count(key).alias("known"), F.count("*").alias("n")).head()
+    cuts = sorted(found["cuts"] or [])
+    heavy = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    nulls = (found["n"] - found["known"]) * buckets > found["n"]
+    dealt = F.pmod(tie, F.lit(buckets)).cast("long")
+    inside = F.when(key.isin(heavy), dealt) if heavy else F.when(F.lit(False), F.lit(0).cast("long"))
+    inside = inside.when(key.isNull() & F.lit(nulls), dealt).otherwise(F.lit(buckets).cast("long"))  # other keys of a heavy key's bucket come after it
+    return order_bucket(key, sorted(set(cuts))).cast("long") * F.lit(buckets + 1) + inside

@@ -8,89 +8,195 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import order_bucket, order_cuts, shuffle_partitions
+from .common import let, order_ranges, shuffle_partitions
 
+#: Weights are multiples of 1 / UNIT; with it, all products of the schedule fit 64 bits for phases of up to 2 ** 33 slots.
+UNIT = 1 << 29
+#: Slots of a stretch, at least; a stretch is no shorter than the least weight's period.
+STRETCH = 1024
 
-def quotas(weights: Mapping[str, float], cycle: int) -> dict[str, int]:
-    """Whole blocks of a cycle for each source by largest remainders, at least one each."""
+
+def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """Weights as multiples of 1 / UNIT that sum to 1, by largest remainders, one UNIT at least."""
     total = sum(weights.values())
-    exact = {s: w * cycle / total for s, w in weights.items()}
+    exact = {s: w * UNIT / total for s, w in weights.items()}
     given = {s: max(1, int(x)) for s, x in exact.items()}
     by_rest = sorted(exact, key=lambda s: (given[s] - exact[s], s))
-    short = cycle - sum(given.values())
+    short = UNIT - sum(given.values())
     for s in by_rest[: max(short, 0)]:
         given[s] += 1
-    while sum(given.values()) > cycle:
-        most = max((s for s in given if given[s] > 1), key=lambda s: (given[s] - exact[s], s))
-        given[most] -= 1
+    if short < 0:
+        given[max(given, key=lambda s: (given[s], s))] += short
     return given
 
 
-def pfair_cycle(share: Mapping[str, int]) -> list[tuple[str, int]]:
-    """Earliest deadline first over one cycle: (source, its block's number in the cycle) for each slot.
+def release(i: int, w: int) -> int:
+    return i * UNIT // w
 
-    With Q slots and q blocks of a source, block i (from 0) is released at floor(i Q / q) and due at
-    ceil((i + 1) Q / q). Unit jobs of total use 1 keep all deadlines, so at every slot each source is within
-    less than one block of its weight.
-    """
-    slots = sum(share.values())
-    waiting = [(0, s, 0) for s in sorted(share)]  # release, source, block
+
+def deadline(i: int, w: int) -> int:
+    return -(-(i + 1) * UNIT // w)
+
+
+def by_deadlines(w: list[int], at: int) -> list[int]:
+    """Blocks of each source before slot ``at``, if of the blocks whose windows hold it those of the earliest deadlines are done."""
+    done = [x * at // UNIT for x in w]
+    inside = sorted((deadline(n, x), k) for k, (n, x) in enumerate(zip(done, w, strict=True)) if x * at % UNIT)
+    for _, k in inside[: at - sum(done)]:
+        done[k] += 1
+    return done
+
+
+def earliest_deadline_first(w: list[int], done: list[int], begin: int, end: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(source, block) of each slot from ``begin`` to ``end``, and the blocks done of each source after them."""
+    done, order = list(done), []
+    waiting = [(release(n, x), k) for k, (n, x) in enumerate(zip(done, w, strict=True))]
     heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []  # deadline, source, block
-    order = []
-    for now in range(slots):
+    ready: list[tuple[int, int]] = []
+    for now in range(begin, end):
         while waiting and waiting[0][0] <= now:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * slots // share[s]), s, i))
-        due, s, i = heapq.heappop(ready)
-        assert now < due
-        order.append((s, i))
-        if i + 1 < share[s]:
-            heapq.heappush(waiting, ((i + 1) * slots // share[s], s, i + 1))
-    return order
-
-
-def plan_phases(blocks: Mapping[str, int], weights: Mapping[str, float], cycle: int) -> tuple[list[tuple], list[tuple]]:
-    """The whole schedule in closed form: (source, phase, first block, full cycles, quota, first slot, slots a cycle) and
-    (phase, source, block in cycle, place in a full cycle, place in the last cycle).
-
-    A phase repeats one cycle until a source has fewer blocks left than its quota, then runs one last cycle of
-    what is left; the sources that it empties leave and the others share the slots by their weights. Its size
-    depends on the number of sources and the cycle alone.
+            _, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline(done[k], w[k]), k))
+        _, k = heapq.heappop(ready)
+        order.append((k, done[k]))
+        done[k] += 1
+        heapq.heappush(waiting, (release(done[k], w[k]), k))
+    return order, done
+
+
+def plan_phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> tuple[list[tuple], list[tuple]]:
+    """(first slot, slots, stretch, sources, weights, blocks before) of each phase, and (source, block, slot) of leftovers.
+
+    A phase ends when a source would need more blocks than it has; the sources that are used up leave, and the
+    others share the slots by their weights. A source with one block left by then gets the slot after the phase. Only the last
+    stretches of each phase are run through here; there are no more phases than sources.
     """
-    left = {s: n for s, n in blocks.items() if n}
+    left = {s: n for s, n in sorted(blocks.items()) if n}
     done = dict.fromkeys(left, 0)
-    runs, places, base, phase = [], [], 0, 0
+    phases, loose, base = [], [], 0
     while left:
-        share = quotas({s: weights[s] for s in left}, max(cycle, len(left)))
-        order = pfair_cycle(share)
-        full = min(left[s] // share[s] for s in left)
-        rest = {s: min(share[s], left[s] - full * share[s]) for s in left}
-        tail = 0
-        for at, (s, i) in enumerate(order):
-            places.append((phase, s, i, at, tail if i < rest[s] else None))
-            tail += i < rest[s]
-        runs += [(s, phase, done[s], full, share[s], base, len(order)) for s in left]
-        base += full * len(order) + tail
-        for s in list(left):
-            taken = full * share[s] + rest[s]
-            done[s] += taken
-            left[s] -= taken
+        whole = whole_weights({s: weights[s] for s in left})
+        names, w = list(left), [whole[s] for s in left]
+        slots = min(n * UNIT // x for n, x in zip(left.values(), w, strict=True))
+        stretch = max(STRETCH, -(-UNIT // min(w)))
+        phases.append((base, slots, stretch, names, w, [done[s] for s in names]))
+        before = max(0, max(1, slots // stretch) - 2) * stretch  # the stretch before the last begins here
+        _, taken = earliest_deadline_first(w, by_deadlines(w, before), before, slots)
+        base += slots
+        for s, x, n in zip(names, w, taken, strict=True):
+            last = left[s] * UNIT // x == slots  # it would be used up in the next slot
+            done[s] += n
+            left[s] -= n
+            if last and left[s]:
+                loose.append((s, done[s], base))
+                base += 1
+                done[s] += 1
+                left[s] -= 1
             if not left[s]:
                 del left[s]
-        phase += 1
-    return runs, places
+    return phases, loose
 
 
 def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
+def _before(w: Column, at: Column) -> Column:
+    """``by_deadlines`` in SQL."""
+    done = F.transform(w, lambda x: _div(x * at, UNIT))
+    late = lambda n, x: _div((n + 1) * UNIT + x - 1, x)
+
+    def ahead(n: Column) -> Column:
+        inside = F.filter(F.zip_with(F.transform(w, lambda x, k: F.struct(x.alias("x"), k.alias("k"))), n, lambda a, m: F.struct(late(m, a["x"]).alias("due"), a["k"].alias("k"), a["x"].alias("x"))), lambda a: a["x"] * at % UNIT > 0)
+        short = (at - F.aggregate(n, F.lit(0).cast("long"), lambda a, m: a + m)).cast("int")
+        chosen = F.transform(F.slice(F.sort_array(inside), F.lit(1), short), lambda a: a["k"])
+        return let(chosen, lambda c: F.transform(n, lambda m, k: m + F.when(F.array_contains(c, k), 1).otherwise(0)))
+
+    return let(done, ahead)
+
+
+def _div(a: Column, b: Column | int) -> Column:
+    """Whole division of numbers of 0 and more."""
+    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
+
+
+def _run(w: Column, done: Column, until: Column | None, begin: Column, slots: Column) -> Column:
+    """``earliest_deadline_first`` in SQL: a struct of ``order``, an array of (k, i) of each slot, and ``done`` after it.
+
+    ``until``: blocks of each source that are done by the end, which is every deadline's latest. A state of one entry a source goes from
+    slot to slot, in pieces of 256, so that appending to a piece copies little.
+    """
+    end = begin + slots
+    entry = lambda k, i, x: F.struct(
+        (F.least(_div((i + 1) * UNIT + x - 1, x), end) if until is not None else _div((i + 1) * UNIT + x - 1, x)).alias("due"),
+        k.alias("k"), i.alias("i"), _div(i * UNIT, x).alias("from"),
+    )
+    first = F.zip_with(F.transform(w, lambda x, k: F.struct(x.alias("x"), k.cast("int").alias("k"))), done, lambda a, i: entry(a["k"], i, a["x"]))
+    picked = "array<struct<k:int,i:bigint>>"
+
+    def slot(a: Column, t: Column) -> Column:
+        due = lambda s: (s["from"] <= t) & (s["i"] < F.get(until, s["k"])) if until is not None else s["from"] <= t
+        best = F.array_min(F.filter(a["state"], due))
+
+        def after(b: Column) -> Column:
+            state = F.transform(a["state"], lambda s: F.when(s["k"] == b["k"], entry(s["k"], s["i"] + 1, F.get(w, s["k"]))).otherwise(s))
+            return F.struct(state.alias("state"), F.concat(a["order"], F.array(F.struct(b["k"].alias("k"), b["i"].alias("i")))).alias("order"))
+
+        return let(best, after)
+
+    def piece(a: Column, p: Column) -> Column:
+        times = F.sequence(begin + p * 256, F.least(begin + p * 256 + 255, end - 1))
+        found = F.aggregate(times, F.struct(a["state"].alias("state"), F.array().cast(picked).alias("order")), slot)
+        return let(found, lambda f: F.struct(f["state"].alias("state"), F.concat(a["orders"], F.array(f["order"])).alias("orders")))
+
+    begun = F.struct(first.alias("state"), F.array().cast(f"array<{picked}>").alias("orders"))
+    pieces = F.sequence(F.lit(0).cast("long"), _div(slots - 1, 256))
+    return F.aggregate(pieces, begun, piece, lambda a: F.struct(F.flatten(a["orders"]).alias("order"), F.transform(a["state"], lambda s: s["i"]).alias("done")))
+
+
+def schedule(spark, blocks: Mapping[str, int], weights: Mapping[str, float]) -> DataFrame:
+    """(source, block, slot) of every block, by Pfair scheduling in stretches that are computed independently.
+
+    Block i of a source of weight w is released at floor(i / w) and due at ceil((i + 1) / w). A source whose blocks all keep these windows is at any slot
+    less than one block from its weighted share. Earliest deadline first keeps them all: in any span of b - a slots, at most b - a
+    blocks have windows inside, as the weights sum to 1.
+
+    A stretch begins in the state that a run of the stretch before it leads to, if that begins with the blocks of the earliest deadlines done; from that
+    choice, no span from there on holds too many windows. So a stretch's first state keeps all later deadlines, its last state, the next one's first, was
+    reached by a schedule within it, and as a stretch holds a whole window of every source, its blocks are those between the two states. Hence within a stretch, with deadlines cut
+    at its end, earliest deadline first keeps all windows.
+    """
+    phases, loose = plan_phases(blocks, weights)
+    rows, firsts, number = [], [], 0
+    for base, slots, stretch, names, w, before in phases:
+        rows.append((len(rows), base, slots, stretch, number, names, w, before))
+        firsts.append(number)
+        number += max(1, slots // stretch)
+    table = spark.createDataFrame(rows, "phase int, base long, slots long, stretch long, number long, names array<string>, w array<bigint>, before array<bigint>")
+    known = F.lit(firsts[1:]).cast("array<bigint>") if len(firsts) > 1 else F.array().cast("array<bigint>")
+    numbers = spark.range(0, number, 1, max(1, min(number, shuffle_partitions(spark))))
+    phase = F.size(F.filter(known, lambda x: x <= F.col("id"))).alias("phase")
+    one = numbers.select("id", phase).join(table, "phase")  # phases x sources numbers; Spark broadcasts them below its own limit
+    begin = ((F.col("id") - F.col("number")) * F.col("stretch")).alias("begin")
+    last = F.col("id") - F.col("number") + 1 >= F.greatest(F.lit(1), _div(F.col("slots"), F.col("stretch")))
+    one = one.withColumns({"begin": begin, "last": last})
+    w, begin, stretch = F.col("w"), F.col("begin"), F.col("stretch")
+    # The states at the stretch's ends come from runs of the stretch before, and of this one. Each is bound to a variable, so that it is computed once.
+    state = F.when(begin == 0, F.transform(w, lambda x: F.lit(0).cast("long"))).otherwise(_run(w, _before(w, begin - stretch), None, begin - stretch, stretch)["done"])
+    free = lambda d: _run(w, d, None, begin, F.col("slots") - begin)["order"]
+    bound = lambda d: let(_run(w, _before(w, begin), None, begin, stretch)["done"], lambda until: _run(w, d, until, begin, stretch)["order"])
+    one = one.withColumn("order", let(state, lambda d: F.when(F.col("last"), free(d)).otherwise(bound(d))))
+    each = one.select("names", "before", "base", "begin", F.posexplode("order").alias("at", "o"))
+    found = each.select(
+        F.get("names", F.col("o.k")).alias("source"), (F.get("before", F.col("o.k")) + F.col("o.i")).alias("block"), (F.col("base") + F.col("begin") + F.col("at")).alias("slot")
+    )
+    return found.union(spark.createDataFrame(loose, "source string, block long, slot long")) if loose else found
+
+
 def mix(
     docs: DataFrame,
     weights: Mapping[str | None, float] | None = None,
     block_rows: int = 16,
-    cycle: int = 1000,
     power: float = 0.7,
     id_col: str = "doc_id",
     source_col: str = "source",
@@ -98,75 +204,62 @@ def mix(
     """Every row with its place in a stream that mixes the sources to their weights.
 
     A source's rows, in id order, form blocks of ``block_rows`` (the last may be shorter). Blocks go to slots
-    by Pfair scheduling: release times and deadlines from the weights, earliest deadline first, so that after
-    any number of slots each source's blocks differ from its weighted share by less than one. A source that
-    is used up leaves; from there on the rest share the slots by their weights. Weights are rounded to whole
-    blocks of a ``cycle``, which makes the schedule periodic: one cycle a phase is computed from the sources'
-    sizes, and each row finds its slot by a join with that small table (phases x cycle rows, whatever the
-    size of the corpus). ``weights`` None: rows of the source to the ``power``. A source that ``weights``
-    does not name gets the least weight named.
+    by Pfair scheduling, see ``schedule``: after any number of slots each source's blocks differ from its weighted
+    share by less than one. A source that is used up leaves; from there on the rest share the slots by their
+    weights. Weights are taken to 1 / UNIT = 2e-9. ``weights`` None: rows of the source to the ``power``. A source that
+    ``weights`` does not name gets the least weight named. The driver gets one row a source, of any number; its plan has phases x sources numbers.
 
     A row's number in its source comes from per-range totals and their running sums, so a source that holds
-    a third of all rows is dealt over as many tasks as its ranges.
+    a third of all rows is dealt over as many tasks as its ranges. Each range gets its blocks' slots as one
+    array, which meets its rows where the numbering left them.
 
     Returns the input's columns with ``mix_block`` (number in the source), ``mix_slot`` and ``mix_row`` (place
     in the block); the stream's order is (mix_slot, mix_row). Defined results: a null source is a source; null
-    ids come first; equal ids of a source are ordered among themselves in any way; an empty table gives no
-    rows; input columns of the three names are replaced. At most ``max_sources`` = 10,000 sources, else ValueError.
+    ids come first; equal ids of a source are ordered among themselves by the rows' hash, so equal rows are interchangeable; texts of any length
+    or none are carried as they are; an empty table gives no rows; input columns of the three names are replaced, others, whatever their
+    names, are kept.
     """
     spark = docs.sparkSession
-    most = 10_000
-    rows = docs.drop("mix_block", "mix_slot", "mix_row").withColumn("_src", _key(F.col(source_col)))
-    cuts = order_cuts(rows, F.col(id_col), 2 * shuffle_partitions(spark))
-    rows = rows.withColumn("_range", order_bucket(F.col(id_col), cuts))
-    totals = rows.groupBy("_src", "_range").agg(F.count("*").alias("_n"))
-    sizes = {r["_src"]: r["n"] for r in totals.groupBy("_src").agg(F.sum("_n").alias("n")).limit(most + 1).collect()}
-    if len(sizes) > most:
-        raise ValueError(f"more than {most} sources")
+    added = ("mix_block", "mix_slot", "mix_row")
+    columns = [c for c in docs.columns if c not in added]
+    packed = docs.select(
+        _key(F.col(source_col)).alias("src"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(source_col), *[F.col(c) for c, t in docs.dtypes if t == "string" and c in columns]).alias("tie"),
+        F.struct(*columns).alias("packed"),
+    )
+    ranges = order_ranges(packed, F.col("id"), F.col("tie"), 2 * shuffle_partitions(spark))
+    rows = packed.withColumn("range", ranges)
+    totals = rows.groupBy("src", "range").agg(F.count("*").alias("n"))
+    sizes = {r["src"]: r["n"] for r in totals.groupBy("src").agg(F.sum("n").alias("n")).collect()}  # one row a source
     if weights is None:
         weight = {s: float(n) ** power for s, n in sizes.items()}
     else:
         named = {("null" if s is None else f"={s}"): float(w) for s, w in weights.items() if w > 0}
         weight = {s: named.get(s, min(named.values(), default=1.0)) for s in sizes}
-    runs, places = plan_phases({s: -(-n // block_rows) for s, n in sizes.items()}, weight, cycle)
-    run_table = spark.createDataFrame(runs, "_src string, _phase int, _first long, _full long, _quota long, _base long, _slots long")
-    place_table = spark.createDataFrame(places, "_phase int, _src string, _in long, _at long, _tail long")
-
-    before = Window.partitionBy("_src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_src", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_src", "_range").orderBy(F.col(id_col).asc_nulls_first())
-    numbered = (
-        rows.withColumn("_row", F.row_number().over(inside).cast("long") - 1)
-        .join(F.broadcast(offsets), ["_src", "_range"])  # at most sources x ranges rows
-        .withColumn("_row", F.col("_row") + F.col("_before"))
-        .withColumn("mix_block", F.expr(f"_row div {block_rows}"))
-        .withColumn("mix_row", (F.col("_row") % block_rows).cast("int"))
-    )
-    by_source = run_table.groupBy("_src").agg(
-        F.array_sort(F.collect_list(F.struct("_first", "_phase", "_full", "_quota", "_base", "_slots"))).alias("_runs")
+    if not sizes:
+        return docs.select(*columns, F.lit(0).cast("long").alias("mix_block"), F.lit(0).cast("long").alias("mix_slot"), F.lit(0).alias("mix_row"))
+    slots = schedule(spark, {s: -(-n // block_rows) for s, n in sizes.items()}, weight)
+
+    before = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("src", "range", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    first, last = F.expr(f"before div {block_rows}"), F.expr(f"(before + n - 1) div {block_rows}")
+    asked = offsets.select("src", "range", "before", first.alias("first"), F.explode(F.sequence(first, last)).alias("block"))
+    # A range's blocks are those of its own rows; the array has one slot for each.
+    given = (
+        asked.join(slots.withColumnRenamed("source", "src"), ["src", "block"])
+        .groupBy("src", "range").agg(F.first("before").alias("before"), F.first("first").alias("first"), F.transform(F.sort_array(F.collect_list(F.struct("block", "slot"))), lambda x: x["slot"]).alias("slots"))
     )
-    run = F.element_at(F.filter("_runs", lambda r: r["_first"] <= F.col("mix_block")), -1)
-    scheduled = (
-        numbered.join(F.broadcast(by_source), "_src")  # one row a source
-        .withColumn("_run", run)
-        .withColumns({
-            "_phase": F.col("_run._phase"),
-            "_nth": F.col("mix_block") - F.col("_run._first"),
-        })
-        .withColumns({"_cycle": F.expr("_nth div _run._quota"), "_in": F.col("_nth") % F.col("_run._quota")})
-        .join(F.broadcast(place_table), ["_phase", "_src", "_in"])  # phases x cycle rows
-        .withColumn(
-            "mix_slot",
-            F.col("_run._base")
-            + F.col("_cycle") * F.col("_run._slots")
-            + F.when(F.col("_cycle") < F.col("_run._full"), F.col("_at")).otherwise(F.col("_tail")),
-        )
+    inside = Window.partitionBy("src", "range").orderBy(F.col("id").asc_nulls_first(), "tie")
+    numbered = rows.withColumn("row", F.row_number().over(inside).cast("long") - 1).join(given, ["src", "range"]).withColumn("row", F.col("row") + F.col("before"))
+    block = F.expr(f"row div {block_rows}")
+    return numbered.select(
+        *[F.col("packed")[c].alias(c) for c in columns], block.alias("mix_block"),
+        F.get("slots", (block - F.col("first")).cast("int")).alias("mix_slot"), (F.col("row") % block_rows).cast("int").alias("mix_row"),
     )
-    return scheduled.select(*[c for c in rows.columns if c not in ("_src", "_range")], "mix_block", "mix_slot", "mix_row")
 
 
 def mixed_stream(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in the mixed order: ranges of slots, sorted within; columns as they were."""
+    """The rows of ``docs`` in the mixed order: ranges of slots, sorted within; ``mix_slot`` and ``mix_row`` give the order."""
     order = mix(docs, **options)
     parts = shuffle_partitions(docs.sparkSession)
-    return order.repartitionByRange(parts, "mix_slot", "mix_row").sortWithinPartitions("mix_slot", "mix_row").select(*docs.columns)
+    kept = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_row")]
+    return order.repartitionByRange(parts, "mix_slot", "mix_row").sortWithinPartitions("mix_slot", "mix_row").select(*kept, "mix_slot", "mix_row")

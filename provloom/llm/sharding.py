@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, order_bucket, order_cuts, shuffle_partitions
+from .common import checkpoint, order_ranges, shuffle_partitions
 
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 8
@@ -21,8 +21,8 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     and checksums are shuffled.
 
     Returns id, ``size`` (UTF-8 bytes of the text plus 8), ``text_crc32``, ``shard`` and ``slot`` (place in
-    the shard, gapless from 0). Defined results: a null text counts as empty; null ids come first; equal ids
-    are ordered by checksum and size, so repeated rows are interchangeable; an empty table gives no rows; a
+    the shard, gapless from 0). Defined results: a null text counts as empty; null ids come first; equal or null ids
+    are ordered by a hash of checksum and size, by which many of them are dealt into ranges, so repeated rows are interchangeable; an empty table gives no rows; a
     row larger than a target leaves the shards that it covers without other rows; columns besides the id and
     the text are not read.
     """
@@ -34,8 +34,8 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
             F.crc32(text.cast("binary")).alias("text_crc32"),
         )
     )
-    cuts = order_cuts(slim, F.col("_id"), 4 * shuffle_partitions(docs.sparkSession))
-    slim = slim.withColumn("_range", order_bucket(F.col("_id"), cuts))
+    slim = slim.withColumn("_tie", F.xxhash64("text_crc32", "size"))
+    slim = slim.withColumn("_range", order_ranges(slim, F.col("_id"), F.col("_tie"), 4 * shuffle_partitions(docs.sparkSession)))
 
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -49,7 +49,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
             F.sum("_bytes").over(everything).alias("_total"),
         )
     )
-    inside = Window.partitionBy("_range").orderBy(F.col("_id").asc_nulls_first(), "text_crc32", "size")
+    inside = Window.partitionBy("_range").orderBy(F.col("_id").asc_nulls_first(), "_tie", "text_crc32", "size")
     placed = (
         slim.withColumns({
             "_end": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
@@ -69,8 +69,11 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the rows of ``docs`` under ``path``/shard=N, one sorted run a shard; ids must be unique and not null."""
-    placed = assign_shards(docs, shards, id_col, text_col).select(id_col, "shard", "slot")
+    """Write the rows of ``docs`` under ``path``/shard=N, one sorted run a shard; ValueError if an id is null or occurs twice, as rows
+    meet their places by it. Input columns named shard or slot are not written."""
+    placed = checkpoint(assign_shards(docs, shards, id_col, text_col).select(id_col, "shard", "slot"))
+    if not placed.groupBy(id_col).agg(F.count("*").alias("n")).where(f"n > 1 or `{id_col}` is null").isEmpty():
+        raise ValueError("ids must be unique and not null")
     columns = [c for c in docs.columns if c not in ("shard", "slot") or c == id_col]
     (
         docs.select(*columns).join(placed, id_col)

@@ -6,9 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provloom.llm import imatch, mixing, quality_rules, queries, secret_scan, sharding
+from provloom.llm.common import order_ranges
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
@@ -147,12 +149,18 @@ def test_write_shards(spark, sf, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.select(docs.columns).exceptAll(docs).count() == 0 and back.count() == docs.count()
     assert back.select("shard").distinct().count() == 5
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.union(docs.limit(1)), f"{tmp_path}/twice", 5)
+
+
+def window_of(i, w):
+    return i * mixing.UNIT // w, -(-(i + 1) * mixing.UNIT // w)
 
 
 def test_mix_keeps_weights(spark, sf, docs, odd):
     weights = {"src0": 3.0, "src1": 2.0, "src2": 1.0}
     some = spark.read.parquet(f"{sf}/documents.parquet").where("source in ('src0', 'src1', 'src2')")
-    got = rows(mixing.mix(some, weights, block_rows=1, cycle=60).select("doc_id", "source", "mix_slot"))
+    got = rows(mixing.mix(some, weights, block_rows=1).select("doc_id", "source", "mix_slot"))
     slots = sorted((r["mix_slot"], r["source"]) for r in got)
     assert [s for s, _ in slots] == list(range(len(slots)))
     left = Counter(s for _, s in slots)
@@ -160,37 +168,87 @@ def test_mix_keeps_weights(spark, sf, docs, odd):
     seen = Counter()
     for n, (_, s) in enumerate(slots, 1):
         seen[s] += 1
-        if n <= ends - 60:
+        if n <= ends - 1:
             assert all(abs(seen[k] - n * w / 6) < 1 for k, w in weights.items())
-    whole = mixing.mix(odd, block_rows=2)
+    whole = mixing.mix(odd.withColumns({"mix_slot": F.lit("x"), "src": F.lit("y"), "range": F.lit(1), "packed": F.lit(2)}), block_rows=2)
     assert whole.count() == len(ODD) and whole.select("mix_slot", "mix_row").distinct().count() == len(ODD)
+    assert {"src", "range", "packed"} <= set(whole.columns) and {r.src for r in whole.collect()} == {"y"}
     assert mixing.mix(odd.limit(0)).count() == 0
     ordered = rows(queries.op1_mix_sources(spark, sf))
     assert len(ordered) == len(docs) and len({(r["mix_slot"], r["mix_row"]) for r in ordered}) == len(docs)
     blocks = {(r["mix_slot"], r["source"]) for r in ordered}
     assert sorted(s for s, _ in blocks) == list(range(len(blocks)))
+    by_source = defaultdict(list)
+    for r in sorted(ordered, key=lambda r: (r["mix_slot"], r["mix_row"])):
+        by_source[r["source"]].append(r["doc_id"])
+    assert all(x == sorted(x) for x in by_source.values())
+
+
+def slots_of(spark, blocks, weights):
+    got = sorted((r.slot, r.source, r.block) for r in mixing.schedule(spark, blocks, weights).collect())
+    assert [s for s, _, _ in got] == list(range(sum(blocks.values())))
+    assert sorted((s, b) for _, s, b in got) == sorted((s, b) for s, n in blocks.items() for b in range(n))
+    return [(s, b) for _, s, b in got]
 
 
-@pytest.mark.parametrize("share", [{"a": 1}, {"a": 500, "b": 499, "c": 1}, {f"s{i}": 1 + i % 7 for i in range(40)}, {"big": 60, **{f"s{i}": 1 for i in range(60)}}])
-def test_pfair_deviation(share):
-    order, total, seen = mixing.pfair_cycle(share), sum(share.values()), Counter()
-    assert Counter(s for s, _ in order) == Counter(share)
-    for n, (s, _) in enumerate(order, 1):
+@pytest.mark.parametrize("weights", [
+    {"a": 2**0.5, "b": 3**0.5, "c": 0.1, "d": 0.01},
+    {f"s{i}": (1 + i % 7) ** 0.7 for i in range(23)} | {"big": 40.0},
+    {"a": 1.0, "b": 1.0, "c": 1.0, "small": 0.003},
+])
+def test_schedule_keeps_windows(spark, weights):
+    """In every stretch each block is inside its window of the exact weights, so no source is ever a block away from its share."""
+    whole = mixing.whole_weights(weights)
+    total = 20_000
+    got = slots_of(spark, {s: int(total * w / mixing.UNIT) + 40 for s, w in whole.items()}, weights)
+    seen = Counter()
+    for slot, (s, b) in enumerate(got[:total]):
+        a, z = window_of(b, whole[s])
+        assert a <= slot < z and b == seen[s]
+        seen[s] += 1
+    assert sum(abs(w / mixing.UNIT - weights[s] / sum(weights.values())) for s, w in whole.items()) < 1e-7
+
+
+def test_schedule_is_earliest_deadline_first(spark):
+    """The first stretch, slot by slot, beside a plain simulation; a source of weight 1e-6 over 300,000 slots."""
+    weights = {"a": 2**0.5, "b": 3**0.5, "c": 0.7, "tiny": 1e-6 * 3.85}
+    whole = mixing.whole_weights(weights)
+    total = 300_000
+    got = slots_of(spark, {s: int(total * w / mixing.UNIT) + 1 for s, w in whole.items()}, weights)
+    done = Counter()
+    for slot in range(5000):
+        s = min((s for s in whole if window_of(done[s], whole[s])[0] <= slot), key=lambda s: (window_of(done[s], whole[s])[1], s))
+        assert got[slot] == (s, done[s])
+        done[s] += 1
+    seen = Counter()
+    for slot, (s, _) in enumerate(got[: total - 2], 1):
         seen[s] += 1
-        assert all(abs(seen[k] * total - n * q) < total for k, q in share.items())
-
-
-def test_schedule_is_gapless():
-    blocks = {"a": 1000, "b": 17, "c": 3, "d": 1}
-    runs, places = mixing.plan_phases(blocks, {"a": 1, "b": 1, "c": 5, "d": 0.001}, 10)
-    at = {(p, s, i): (x, t) for p, s, i, x, t in places}
-    slots = []
-    for s, p, first, full, quota, base, length in runs:
-        last = min((r[2] for r in runs if r[0] == s and r[1] > p), default=blocks[s])
-        for b in range(first, last):
-            cycle, i = divmod(b - first, quota)
-            slots.append(base + cycle * length + at[p, s, i][cycle >= full])
-    assert sorted(slots) == list(range(sum(blocks.values())))
+        assert abs(seen[s] * mixing.UNIT - slot * whole[s]) < mixing.UNIT
+
+
+def test_phases(spark):
+    """Sources that are used up leave; the rest share the slots by their weights."""
+    blocks = {"a": 3000, "b": 17, "c": 3, "d": 1, "e": 1}
+    weights = {"a": 1, "b": 1, "c": 5, "d": 0.001, "e": 2.5}
+    got = slots_of(spark, blocks, weights)
+    assert all([b for s, b in got if s == x] == list(range(n)) for x, n in blocks.items())
+    assert slots_of(spark, {"a": 5}, {"a": 1}) == [("a", i) for i in range(5)]
+    assert len(slots_of(spark, {f"s{i}": 1 + i % 3 for i in range(300)}, {f"s{i}": 1.0 for i in range(300)})) == 600
+
+
+def test_many_rows_of_one_id(spark):
+    """A null or repeated id of a third of the rows is dealt into many ranges; places stay gapless."""
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    ranges = order_ranges(df, F.col("doc_id"), F.xxhash64("text"), 20)
+    assert df.groupBy(ranges).count().agg({"count": "max"}).head()[0] < 800
+    got = sorted((r.mix_slot, r.mix_row) for r in mixing.mix(df, block_rows=1).collect())
+    assert got == [(i, 0) for i in range(6000)]
+    slots = defaultdict(list)
+    for r in sharding.assign_shards(df, 5).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and sum(map(len, slots.values())) == 6000
+    found = rows(imatch.compare_edits(df.limit(300)))
+    assert len(found) == 300
 
 
 def test_imatch(spark, sf, docs, odd):
