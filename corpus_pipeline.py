@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, near-dedup, secret scans, mixing, tokenising; each stage's table is written and read again."""
+"""The corpus pipeline: quality rules, near-dedup, secret scans, mixing, tokenising; each stage's table is written and read again.
+
+In every stage rows are judged one by one: null and repeated ids are rows like others, null and blank texts fail the quality rules, very long texts are taken
+whole, ties are broken by the text's hash, an empty table gives an empty table, and columns besides those of ``documents`` are dropped.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provloom.llm import bpe, minhash, mixing, quality_rules, secret_scan
-from provloom.llm.common import shared_folder
+from provloom.llm.common import remove, shared_folder
 from provloom.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,14 +40,16 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the mixed stream: part files hold ranges of slots, sorted."""
-    return mixing.mixed_stream(docs.select(*COLUMNS))
+    """The documents in the order of the mixed stream: part files hold ranges of slots, sorted, so that file and row give the order."""
+    return mixing.mixed_stream(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each text, in the stream's order within a file."""
-    encoded = bpe.encode_documents(docs.select(*COLUMNS), vocabulary())
-    return encoded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids")
+    """The token ids of each text, and its place in the mixed stream: ``mix_part``, the number of the file that it was read from, and ``mix_row`` there."""
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int")
+    placed = docs.select(*COLUMNS, part.alias("mix_part"), F.col("_metadata.row_index").alias("mix_row"))
+    encoded = bpe.encode_documents(placed, vocabulary())
+    return encoded.select("doc_id", "lang", "source", "n_chars", "mix_part", "mix_row", "n_tokens", "token_ids")
 
 
 STAGES = [("quality_rules", clean), ("near_dedup", dedup), ("secret_scan", mask_secrets), ("mixing", mix), ("bpe", tokenize)]
@@ -53,10 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the whole ``documents``. Tables between stages go to the shared folder, so lost executors cost no stage."""
+    """All stages on the whole ``documents``. Tables between stages go to the shared folder, so lost executors cost no stage; a table goes
+    when the next one is written. The last one is read by the result and stays until the folder is cleared."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            remove(spark, f"{folder}/{last}")
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
