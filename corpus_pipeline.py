@@ -45,9 +45,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each text, and its place in the mixed stream: ``mix_part``, the number of the file that it was read from, and ``mix_row`` there."""
-    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int")
-    placed = docs.select(*COLUMNS, part.alias("mix_part"), F.col("_metadata.row_index").alias("mix_row"))
+    """The token ids of each text, and its place in the mixed stream: ``mix_part``, the number of the file that it was read from, and ``mix_row``
+    there; both are null for documents that aren't read from files."""
+    part, row = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int"), F.col("_metadata.row_index")
+    if not docs.inputFiles():
+        part, row = F.lit(None).cast("int"), F.lit(None).cast("long")
+    placed = docs.select(*COLUMNS, part.alias("mix_part"), row.alias("mix_row"))
     encoded = bpe.encode_documents(placed, vocabulary())
     return encoded.select("doc_id", "lang", "source", "n_chars", "mix_part", "mix_row", "n_tokens", "token_ids")
 
