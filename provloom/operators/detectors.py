@@ -109,51 +109,124 @@ def evaluate(ranks: DataFrame, truth: DataFrame) -> DataFrame:
     return summed.select("model", "hits", (F.col("dcg") / ideal).alias("ndcg"), (F.col("area") / (F.col("hits") * F.col("n"))).alias("auc"))
 
 
-# Itemsets of bounded size
+# Itemsets and rules
 
 
-def itemsets(ctx: DataFrame, least: int, size: int = 3) -> DataFrame:
-    """Frequent itemsets of up to ``size`` items, as sorted arrays with support.
+def itemsets(ctx: DataFrame, share: float) -> DataFrame:
+    """Itemsets of any size that at least this share of all objects have, as sorted arrays with support.
 
-    Each object's items are first cut to the frequent ones; larger sets are made only of frequent smaller ones.
+    Objects' item lists go to parallel FP-growth: conditional trees of the frequent items are dealt over tasks.
     """
-    single = ctx.groupBy("attribute").agg(F.count("*").alias("support")).where(F.col("support") >= least)
-    rows = ctx.join(single.select("attribute"), "attribute")
-    found = single.select(F.array("attribute").alias("items"), "support")
-    carried = rows.select("object", F.array("attribute").alias("items"))
-    for _ in range(size - 1):
-        longer = carried.join(rows, "object").where(F.col("attribute") > F.element_at("items", -1)).select("object", F.concat("items", F.array("attribute")).alias("items"))
-        frequent = longer.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= least)
-        carried = longer.join(frequent.select("items"), "items")
-        found = found.union(frequent)
-    return found
+    from pyspark.ml.fpm import FPGrowth
+
+    baskets = ctx.groupBy("object").agg(F.collect_set("attribute").alias("items"))
+    found = FPGrowth(itemsCol="items", minSupport=share).fit(baskets).freqItemsets
+    return found.select(F.array_sort("items").alias("items"), F.col("freq").alias("support"))
 
 
 def closed(sets: DataFrame) -> DataFrame:
-    """Itemsets without a superset of one more item and equal support."""
+    """Itemsets without a superset of one more item and equal support; of all frequent sets, these are the closed ones."""
     bigger = sets.where(F.size("items") > 1).withColumn("drop", F.explode("items")).select(F.expr("array_remove(items, drop)").alias("items"), F.col("support"))
     return sets.join(bigger.distinct(), ["items", "support"], "left_anti")
 
 
+def _inside(small: Column, large: Column) -> Column:
+    return F.size(F.array_except(small, large)) == 0
+
+
+def covers(sets: DataFrame) -> DataFrame:
+    """(x, sx, z, support): pairs of closed itemsets, x within z, with no closed one between; z is met by x's first item."""
+    low = sets.select(F.col("items").alias("x"), F.col("support").alias("sx"), F.get("items", F.lit(0)).alias("item"))
+    high = sets.select(F.col("items").alias("z"), "support", F.explode("items").alias("item"))
+    pairs = low.join(high, "item").where((F.size("x") < F.size("z")) & _inside(F.col("x"), F.col("z"))).select("x", "sx", "z", "support")
+    between = pairs.select("x", F.col("z").alias("m")).join(pairs.select(F.col("x").alias("m"), "z"), "m").select("x", "z").distinct()
+    return pairs.join(between, ["x", "z"], "left_anti")
+
+
+def cover_rules(sets: DataFrame, n: int) -> DataFrame:
+    """Rules x -> y from the covering pairs of the closed itemsets of ``sets``, y what z adds to x, with confidence and lift."""
+    other = sets.select(F.col("items").alias("y"), F.col("support").alias("sy"))
+    found = covers(closed(sets)).withColumn("y", F.array_except("z", "x")).join(other, "y")
+    return found.select("x", "y", "support", (F.col("support") / F.col("sx")).alias("confidence"), (F.col("support") * n / (F.col("sx") * F.col("sy"))).alias("lift"))
+
+
+def unsubsumed(found: DataFrame, narrow: bool = False) -> DataFrame:
+    """Rules that no other one subsumes: one whose left side is within theirs and whose right side holds theirs; with ``narrow`` both
+    are within theirs, as is right for rules that say something doesn't occur together. Rules meet on an item of the right side."""
+    rows = found.select("x", "y").distinct()
+    one, two = rows.select(F.col("x").alias("a"), F.col("y").alias("b")), rows
+    keyed = one.withColumn("item", F.get("b", F.lit(0)) if narrow else F.explode("b")).join(two.withColumn("item", F.explode("y") if narrow else F.get("y", F.lit(0))), "item")
+    right = _inside(F.col("b"), F.col("y")) if narrow else _inside(F.col("y"), F.col("b"))
+    less = keyed.where(_inside(F.col("a"), F.col("x")) & right & ((F.col("a") != F.col("x")) | (F.col("b") != F.col("y")))).select("x", "y").distinct()
+    return found.join(less, ["x", "y"], "left_anti")
+
+
+def implications(sets: DataFrame, confidence: float, n: int) -> DataFrame:
+    """Covering rules above a confidence, none of them subsumed."""
+    return unsubsumed(cover_rules(sets, n).where(F.col("confidence") > confidence))
+
+
+def anti_implications(sets: DataFrame, confidence: float, n: int) -> DataFrame:
+    """Covering rules below a confidence: x mostly comes without all of y; those of the smallest sides."""
+    return unsubsumed(cover_rules(sets, n).where(F.col("confidence") < confidence), narrow=True)
+
+
+def exact_rules(sets: DataFrame) -> DataFrame:
+    """(x, y, support): rules that always hold, from a frequent set that isn't closed to what its closure adds, none of them subsumed."""
+    full = closed(sets)
+    loose = sets.join(full, ["items", "support"], "left_anti").select(F.col("items").alias("x"), "support", F.get("items", F.lit(0)).alias("item"))
+    whole = full.select(F.col("items").alias("z"), "support", F.explode("items").alias("item"))
+    found = loose.join(whole, ["item", "support"]).where(_inside(F.col("x"), F.col("z"))).select("x", F.array_except("z", "x").alias("y"), "support")
+    return unsubsumed(found)
+
+
+def disjoint_items(sets: DataFrame) -> DataFrame:
+    """(x, y): frequent items that are not frequently together. One array holds the items, at most mean basket / share of them."""
+    single = sets.where(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("x"))
+    items = single.agg(F.sort_array(F.collect_list("x")).alias("all"))
+    pairs = single.join(F.broadcast(items), F.lit(True)).select("x", F.explode("all").alias("y")).where("x < y")  # one row
+    return pairs.join(sets.where(F.size("items") == 2).select(F.get("items", F.lit(0)).alias("x"), F.get("items", F.lit(1)).alias("y")), ["x", "y"], "left_anti")
+
+
 def rules(sets: DataFrame, confidence: float, n: int) -> DataFrame:
     """Rules X -> y, X and y from a frequent itemset, with their measures; confidence above the bound."""
     parts = sets.where(F.size("items") > 1).withColumn("y", F.explode("items")).select(F.expr("array_remove(items, y)").alias("x"), "y", "support")
     left = sets.select(F.col("items").alias("x"), F.col("support").alias("sx"))
-    right = sets.where(F.size("items") == 1).select(F.col("items")[0].alias("y"), F.col("support").alias("sy"))
+    right = sets.where(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("y"), F.col("support").alias("sy"))
     pxy, px, py = F.col("support") / n, F.col("sx") / n, F.col("sy") / n
     conf = F.col("support") / F.col("sx")
     return parts.join(left, "x").join(right, "y").where(conf > confidence).select(
         "x", "y", "support", conf.alias("confidence"), (pxy / (px * py)).alias("lift"), (pxy - px * py).alias("leverage"),
         (pxy / (px + py - pxy)).alias("jaccard"), ((pxy / px + pxy / py) / 2).alias("kulczynski"), (F.sqrt(pxy) * (pxy / px - py)).alias("klosgen"),
         (F.abs(px - py) / (px + py - pxy)).alias("imbalance"), (pxy * pxy / px).alias("rpf"), (pxy / F.sqrt(px * py)).alias("cosine"),
-        (conf - py).alias("added_value"), ((px - pxy) / pxy).alias("counter_rate"), (1 - (px - pxy) / (px * (1 - py))).alias("loevinger"),
+        (conf - py).alias("added_value"), ((pxy - 1 + conf) / pxy).alias("counter_rate"), ((pxy - px * py) / F.sqrt(px * py)).alias("lerman"),
+        F.try_divide(conf - py, 1 - py).alias("loevinger"),
     )
 
 
+def cover_cost(ctx: DataFrame, codes: DataFrame) -> DataFrame:
+    """(object, bits): the length of an object's items as a cover by a code table (items, support), larger sets first, then the
+    more frequent, then by name; items that no set covers are codes of their own. A code's length is -log2 of its share of all uses.
+
+    The table is a broadcast array, bounded by the caller; covering is a fold over it in each object's row.
+    """
+    table = codes.agg(F.sort_array(F.collect_list(F.struct((-F.size("items")).alias("s"), (-F.col("support")).alias("f"), "items"))).alias("codes"))
+    baskets = ctx.groupBy("object").agg(F.array_sort(F.collect_set("attribute")).alias("left")).join(F.broadcast(table), F.lit(True))  # one row
+    start = F.struct(F.col("left").alias("left"), F.array().cast("array<array<string>>").alias("used"))
+    step = lambda a, c: F.when(_inside(c["items"], a["left"]), F.struct(F.array_except(a["left"], c["items"]).alias("left"), F.concat(a["used"], F.array(c["items"])).alias("used"))).otherwise(a)
+    covered = baskets.select("object", F.aggregate("codes", start, step, lambda a: F.concat(a["used"], F.transform(a["left"], lambda x: F.array(x)))).alias("used"))
+    uses = covered.select("object", F.explode("used").alias("code"))
+    counts = uses.groupBy("code").agg(F.count("*").alias("u"))
+    total = uses.agg(F.count("*").alias("t"))
+    lengths = counts.join(F.broadcast(total), F.lit(True)).select("code", (-log2(F.col("u") / F.col("t"))).alias("b"))
+    return uses.join(lengths, "code").groupBy("object").agg(F.sum("b").alias("bits"))
+
+
 def holds(ctx: DataFrame, items: DataFrame, of: str) -> DataFrame:
     """(object, the itemset's columns) for objects that have all items of the array column ``of``, by counting matches."""
     keyed = items.withColumn("_set", F.array_join(of, "\x1f"))
-    exploded = keyed.withColumn("attribute", F.explode(of)).select("_set", "attribute", F.size(of).alias("_n"))
+    once = keyed.select("_set", F.col(of).alias("_items")).dropDuplicates(["_set"])  # rules may share a side
+    exploded = once.select("_set", F.explode("_items").alias("attribute"), F.size("_items").alias("_n"))
     full = ctx.join(exploded, "attribute").groupBy("object", "_set", "_n").agg(F.count("*").alias("_c")).where("_c = _n").select("object", "_set")
     return full.join(keyed, "_set").drop("_set")
 
@@ -196,10 +269,11 @@ def isolation_score(mean_depth: Column, n: Column) -> Column:
 # Rare rules, classes, estimators
 
 
-def rare_rules(ctx: DataFrame, most: int) -> DataFrame:
-    """Rules x -> y that always hold and whose pair occurs at most ``most`` times, with lift: x has no object without y."""
+def rare_rules(ctx: DataFrame, most: int, least: int = 1) -> DataFrame:
+    """Rules x -> y that always hold and whose pair occurs ``least`` to ``most`` times, with lift: x has no object without y. Only rare
+    attributes are joined, so an attribute that a third of all objects have meets at most ``most`` objects of each of them."""
     counts = ctx.groupBy("attribute").agg(F.count("*").alias("f"))
-    rare = ctx.join(counts.where(F.col("f") <= most).select("attribute"), "attribute").withColumnRenamed("attribute", "x")
+    rare = ctx.join(counts.where(F.col("f").between(least, most)).select("attribute"), "attribute").withColumnRenamed("attribute", "x")
     pairs = rare.join(ctx.withColumnRenamed("attribute", "y"), "object").where("x <> y").groupBy("x", "y").agg(F.count("*").alias("support"))
     n = ctx.agg(F.count_distinct("object").alias("n"))
     own, other = counts.select(F.col("attribute").alias("x"), F.col("f").alias("fx")), counts.select(F.col("attribute").alias("y"), F.col("f").alias("fy"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .detectors import log2
 
 
@@ -95,7 +96,7 @@ def code_length_clusters(ctx: DataFrame, k: int, rounds: int = 10, epsilon: floa
         own = ctx.join(p, "attribute").groupBy("object", "cluster").agg(F.sum(log2(1 - F.col("p")) - log2(F.col("p"))).alias("s"))
         costs = own.join(F.broadcast(base), "cluster").select("object", "cluster", (F.col("s") + F.col("base")).alias("bits"))
         best = costs.groupBy("object").agg(F.min(F.struct("bits", "cluster")).alias("b"))
-        found = _cut(best)
+        found = checkpoint(best.select("object", F.col("b.cluster").alias("cluster"), F.col("b.bits").alias("bits")))
         now = found.agg(F.sum("bits")).head()[0]
         objects = found.select("object", "cluster")
         if before is not None and now > (1 - epsilon) * before:
@@ -104,12 +105,6 @@ def code_length_clusters(ctx: DataFrame, k: int, rounds: int = 10, epsilon: floa
     return found
 
 
-def _cut(best: DataFrame) -> DataFrame:
-    from ..session import checkpoint
-
-    return checkpoint(best.select("object", F.col("b.cluster").alias("cluster"), F.col("b.bits").alias("bits")))
-
-
 def forests_by_group(rows: DataFrame, group: str, ident: str, features: list[str], least: int = 50, trees: int = 25, sample: int = 128, seed: int = 7) -> DataFrame:
     """(group, ident, score, odd): a forest of each group with enough rows, grown on its rows of least hash and held against all its rows.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import ranges, running
+
 WRITES = ("EVENT_WRITE", "EVENT_SENDTO", "EVENT_SENDMSG")
 READS = ("EVENT_READ", "EVENT_RECVFROM", "EVENT_RECVMSG")
 
@@ -20,17 +22,15 @@ def observe(obs: DataFrame, tree: str = "tree", seq: tuple[str, ...] = ("seq",),
     """Every level of every observation with its counters as they are right after it arrives.
 
     ``count``: observations so far with this prefix; ``first``: it is new; ``siblings``: distinct children of its parent so far,
-    itself included; ``parent_count``: the level above. ``seq`` must be a total order in a tree. The root's counter is a
-    running number in each tree, so trees are what bounds a window.
+    itself included; ``parent_count``: the level above. ``seq`` must be a total order in a tree. Counters are running sums by ranges of the order, so
+    that a tree that holds all observations is dealt over as many tasks as there are ranges.
     """
-    rows = explode_prefixes(obs, tree, list(seq), key)
-    by_prefix = Window.partitionBy("tree", "prefix").orderBy(*seq)
-    counted = rows.withColumn("count", F.row_number().over(by_prefix).cast("long")).withColumn("first", (F.col("count") == 1) & (F.col("level") > 0))
-    parent = F.when(F.col("level") > 0, F.expr("slice(prefix, 1, level - 1)"))
-    running = Window.partitionBy("tree", "parent").orderBy(*seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sib = counted.withColumn("parent", parent).withColumn("siblings", F.sum(F.col("first").cast("long")).over(running))
+    rows = explode_prefixes(ranges(obs, seq[0]), tree, [*seq, "_range"], key)
+    counted = running(rows, ["tree", "level", "prefix"], list(seq), F.lit(1).cast("long"), "count").withColumn("first", (F.col("count") == 1) & (F.col("level") > 0))
+    with_parent = counted.withColumn("parent", F.expr("slice(prefix, 1, greatest(level - 1, 0))"))
+    sib = running(with_parent, ["tree", "level", "parent"], list(seq), F.col("first").cast("long"), "siblings")
     along = Window.partitionBy("tree", *seq).orderBy("level")
-    return sib.withColumn("parent_count", F.lag("count").over(along)).drop("parent")
+    return sib.withColumn("parent_count", F.lag("count").over(along)).drop("parent", "_range")
 
 
 def question(siblings: Column, count: Column) -> Column:
@@ -137,7 +137,7 @@ def collapse_unary(tree: DataFrame, joint: str = " ∫ ") -> DataFrame:
 
 def most_novel(tree: DataFrame, k: int) -> DataFrame:
     """The k leaves of least local probability; ties by path."""
-    return leaves(tree).orderBy("local_prob", "prefix").limit(k)
+    return leaves(tree).orderBy("local_prob", F.array_join("prefix", "|")).limit(k)
 
 
 def below_probability(tree: DataFrame, column: str, threshold: float) -> DataFrame:
@@ -227,3 +227,47 @@ def rate(alarm_rows: DataFrame, ratings: DataFrame) -> DataFrame:
     last = ratings.groupBy("key", "namespace").agg(F.max_by("rating", "seq").alias("rating")).where("rating <> 0")
     maps = last.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("namespace", "rating")))).alias("ratings"))
     return alarm_rows.join(maps, "key", "left")
+
+
+def flatten(rows: DataFrame, subjects: str, objects: str) -> DataFrame:
+    """One observation for each pair of a subject's and an object's path; an empty or null set of paths counts as one null path."""
+    one = lambda c: F.when(F.size(F.coalesce(F.col(c), F.array())) > 0, F.array_sort(F.array_distinct(c))).otherwise(F.array(F.lit(None).cast("string")))
+    kept = [c for c in rows.columns if c not in (subjects, objects)]
+    first = rows.select(*kept, F.explode(one(subjects)).alias("subject_path"), one(objects).alias("_objects"))
+    return first.select(*kept, "subject_path", F.explode("_objects").alias("object_path"))
+
+
+def within_spans(alarm_rows: DataFrame, spans: DataFrame, nanos: str, width: int) -> DataFrame:
+    """Alarms in one of the time spans (name, start, end) in nanoseconds, ends included, with its name. Spans are cut into buckets of
+    ``width``, which are the join's key, so alarms meet only the spans of their bucket."""
+    cut = spans.withColumn("_b", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"end div {width}"))))
+    return alarm_rows.withColumn("_b", F.expr(f"{nanos} div {width}")).join(cut, "_b").where((F.col(nanos) >= F.col("start")) & (F.col(nanos) <= F.col("end"))).drop("_b", "start", "end")
+
+
+def batches(alarm_rows: DataFrame, by: str, nanos: str, width: int) -> DataFrame:
+    """Alarm summaries of a reporting interval: for each group and tumbling interval, how many alarms, the least and mean local probability, and the first and last time."""
+    rows = alarm_rows.withColumn("batch", F.expr(f"{nanos} - {nanos} % {width}"))
+    return rows.groupBy(by, "batch").agg(
+        F.count("*").alias("alarms"), F.min("local_prob").alias("least"), F.avg("local_prob").alias("mean"), F.min(nanos).alias("first"), F.max(nanos).alias("last")
+    )
+
+
+def quality_keys(records: DataFrame, kind: str, fields: list[str]) -> DataFrame:
+    """Observations of a data-quality tree: [kind, field, present or missing] for every field of every record."""
+    each = F.array(*[F.struct(F.lit(f).alias("f"), F.when(F.col(f).isNull(), "missing").otherwise("present").alias("p")) for f in fields])
+    rows = records.withColumn("_f", F.explode(each))
+    return rows.withColumn("key", F.array(kind, "_f.f", "_f.p")).drop("_f")
+
+
+def option_text(path: Column, option: Column) -> Column:
+    """A key with its option: the path, and the option in brackets where there is one."""
+    return F.when(option.isNull() | (option == ""), path).otherwise(F.concat(path, F.lit("["), option, F.lit("]")))
+
+
+def delayed(rows: DataFrame, nanos: str, key: str, delay: int) -> DataFrame:
+    """When each row leaves a hold of ``delay``: at the first row of its key that is that much later, else never (null), as when a stream ends before.
+
+    ``released`` is that row's time; the hold is a join by buckets of the delay, at most two and the first one after them.
+    """
+    w = Window.partitionBy(key).orderBy(nanos).rangeBetween(delay, Window.unboundedFollowing)
+    return rows.withColumn("released", F.min(nanos).over(w))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 
 def collapse_events(events: DataFrame, keys: list[str], kind: str, seq: str, nanos: str, gap_nanos: int = 10_000_000_000, gap_records: int = 10_000, most: int = 100, compat: bool = False) -> DataFrame:
     """Runs of one kind with the same keys as single events.
@@ -30,22 +32,21 @@ def collapse_events(events: DataFrame, keys: list[str], kind: str, seq: str, nan
     ).drop("_run", "_part")
 
 
-def remap_roots(merges: DataFrame, rounds: int = 32) -> DataFrame:
+def remap_roots(merges: DataFrame) -> DataFrame:
     """(id, root) of a table of merges (id, into): pointers are followed to their end by doubling, each round halves what is left.
 
-    An id has one ``into``; the last by ``into`` wins where it has several. A cycle raises.
+    An id has one ``into``; the last by ``into`` wins where it has several. A chain of n merges ends after log2(n) + 1 rounds; if pointers still move
+    then, they are in a cycle, and ValueError is raised.
     """
-    from ..session import checkpoint
-
-    table = merges.groupBy("id").agg(F.max("into").alias("root"))
-    for _ in range(rounds):
+    table = checkpoint(merges.groupBy("id").agg(F.max("into").alias("root")))
+    for _ in range(table.count().bit_length() + 1):
         ahead = table.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        table = checkpoint(table.join(ahead, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        joined = table.select("id", "root").join(ahead, "root", "left")
+        table = checkpoint(joined.select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        if not table.where("id = root").isEmpty():
+            break
         if table.where("moved").isEmpty():
             return table.select("id", "root")
-        if not table.where("id = root").isEmpty():
-            raise ValueError("a cycle of merges")
-        table = table.drop("moved")
     raise ValueError("a cycle of merges")
 
 

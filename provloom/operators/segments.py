@@ -12,12 +12,15 @@ from ..session import checkpoint
 
 
 def radius(seeds: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """(seg, node, hops): nodes up to k undirected hops from each seed, with the least hops. Each hop is one join, and only new nodes go on."""
+    """(seg, node, hops): nodes up to k undirected hops from each seed, with the least hops. Each hop is one join, and only new nodes go
+    on; hops after the first are written to the shared folder, as each is read twice."""
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = checkpoint(both) if k > 1 else both
     found = front = seeds.select(F.col("id").alias("seg"), F.col("id").alias("node"), F.lit(0).alias("hops")).distinct()
     for n in range(1, k + 1):
         near = front.join(both, F.col("node") == F.col("src")).select("seg", F.col("dst").alias("node")).distinct()
         front = near.join(found.select("seg", "node"), ["seg", "node"], "left_anti").withColumn("hops", F.lit(n))
+        front = checkpoint(front) if n < k else front
         found = found.union(front)
     return found
 

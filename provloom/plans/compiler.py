@@ -28,6 +28,7 @@ class Frame:
     df: DataFrame
     kind: str  # V vertex, E edge, S scalar
     binds: tuple[tuple[str, str], ...] = ()  # name, kind
+    types: tuple[tuple[str, str], ...] = ()  # name, type of a bound number or truth value
     nested: bool = False
 
     def to(self, df: DataFrame, kind: str | None = None) -> Frame:
@@ -54,8 +55,9 @@ class Compiler:
         script = parse(query) if isinstance(query, str) else query
         for name, value in script.statements:
             if isinstance(value, Traversal):
+                found = self.walk(value.steps, None)
                 if name is not None:
-                    self.names[name] = self.walk(value.steps, None)
+                    self.names[name] = found.to(checkpoint(found.df))  # run once; every use sees the same list
             else:
                 self.names[name] = value
         return self.walk(script.result.steps, None)
@@ -113,6 +115,10 @@ class Compiler:
             df.select(F.lit("").alias("origin"), F.col("id").alias("cur"), _step_text(F.col("id")).alias("path"), F.create_map().cast(_BINDS).alias("binds")), step.name
         )
 
+    def keys(self) -> list[str]:
+        """The properties, those that a traversal has added last."""
+        return [*PROPERTIES, *(c for c in self.graph.vertices.columns if c not in (*PROPERTIES, "id", "label"))]
+
     def condition(self, step: Step) -> Column:
         """A vertex filter on the property columns."""
         args = tuple(self.literal(a) for a in step.args)
@@ -120,7 +126,7 @@ class Compiler:
             return F.col("label") == args[0]
         if step.name == "hasId":
             return F.col("id") == args[0]
-        column = F.col(args[0]) if args[0] in (*PROPERTIES, "label", "id") else F.lit(None).cast("string")
+        column = F.col(args[0]) if args[0] in self.graph.vertices.columns else F.lit(None).cast("string")
         if step.name == "hasNot":
             return column.isNull()
         if len(args) == 1:
@@ -154,7 +160,7 @@ class Compiler:
         seeds = frame.df.groupBy("cur").agg(F.min_by("binds", "path").alias("binds")) if frame.binds else frame.df.select("cur").distinct()
         binds = F.col("binds") if frame.binds else F.create_map().cast(_BINDS)
         start = seeds.select(F.col("cur").cast("string").alias("origin"), "cur", _step_text(F.col("cur")).alias("path"), binds.alias("binds"))
-        return self.walk(t.steps, Frame(start, frame.kind, frame.binds, True))
+        return self.walk(t.steps, Frame(start, frame.kind, frame.binds, frame.types, True))
 
     def keep(self, frame: Frame, t: Traversal, how: str = "left_semi") -> Frame:
         """Traversers whose nested traversal gives something (or nothing: left_anti)."""
@@ -229,7 +235,7 @@ class Compiler:
         return frame.df.join(props, F.col("cur") == F.col("_id"))
 
     def do_values(self, frame, args, mods):
-        keys = [k for k in args if k in PROPERTIES]
+        keys = [k for k in args if k in self.keys()]
         df = self._with_vertex(frame, keys)
         if len(keys) == 1:
             return self.moved(frame, df.where(F.col(f"_p_{keys[0]}").isNotNull()), F.col(f"_p_{keys[0]}"), "S")
@@ -241,7 +247,7 @@ class Compiler:
         return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
 
     def do_valueMap(self, frame, args, mods):
-        keys = [k for k in args if k in PROPERTIES] if args else list(PROPERTIES)
+        keys = [k for k in args if k in self.keys()] if args else self.keys()
         df = self._with_vertex(frame, keys).withColumn("_m", self._map(keys))
         return frame.to(df.select("origin", F.col("_m").alias("cur"), "path", "binds"), "S")
 
@@ -260,16 +266,33 @@ class Compiler:
         new = F.map_from_arrays(F.array(*map(F.lit, args)), F.array(*[F.col("cur").cast("string")] * len(args)))
         kept = F.map_filter("binds", lambda k, v: ~k.isin(list(args)))
         names = tuple(b for b in frame.binds if b[0] not in args) + tuple((a, frame.kind) for a in args)
-        return replace(frame, df=frame.df.withColumn("binds", F.map_concat(kept, new)), binds=names)
+        of = dict(frame.df.dtypes)["cur"]
+        types = tuple(t for t in frame.types if t[0] not in args) + tuple((a, of) for a in args if of in ("int", "bigint", "double", "float", "boolean"))
+        return replace(frame, df=frame.df.withColumn("binds", F.map_concat(kept, new)), binds=names, types=types)
 
     def do_select(self, frame, args, mods):
         if len(args) == 1:
-            return self.moved(frame, frame.df, F.col("binds")[args[0]], dict(frame.binds)[args[0]])
+            return self.moved(frame, frame.df, F.col("binds")[args[0]].cast(dict(frame.types).get(args[0], "string")), dict(frame.binds)[args[0]])
         chosen = F.map_from_arrays(F.array(*map(F.lit, args)), F.array(*[F.col("binds")[a] for a in args]))
         return frame.to(frame.df.withColumn("cur", chosen), "S")
 
     def do_path(self, frame, args, mods):
-        return frame.to(frame.df.withColumn("cur", F.col("path")), "S")
+        """The history; with ``by``, each place's value of the first ``by`` on it, the ``by``s taken in turn. Places without a value are left out."""
+        if not mods:
+            return frame.to(frame.df.withColumn("cur", F.col("path")), "S")
+        same = frame.df.groupBy("origin", "path").agg(F.count("*").alias("_times"), F.first("binds").alias("binds"))
+        places = same.select("origin", "path", F.posexplode("path").alias("_at", "cur"))
+        values = None
+        for i, by in enumerate(mods):
+            mine = places.where(F.col("_at") % len(mods) == i)
+            seeds = mine.select("cur").distinct().select(F.lit("").alias("origin"), "cur", F.array(F.col("cur")).alias("path"), F.create_map().cast(_BINDS).alias("binds"))
+            found = self.keyed(frame.to(seeds, "V"), [by])
+            named = mine.join(found.select("cur", F.col("_k").cast("string").alias("_k")).where("_k is not null"), "cur")
+            values = named if values is None else values.unionByName(named)
+        listed = values.groupBy("origin", "path").agg(F.sort_array(F.collect_list(F.struct("_at", "_k"))).alias("_v"))
+        whole = same.join(listed, ["origin", "path"], "left").withColumn("cur", F.coalesce(F.col("_v._k"), F.array().cast("array<string>")))
+        again = whole.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
+        return frame.to(again.select("origin", "cur", "path", "binds"), "S")
 
     def do_unrollPath(self, frame, args, mods):
         return frame.to(frame.df.withColumn("cur", F.explode("path")), "V")
@@ -431,6 +454,14 @@ class Compiler:
             return frame.df.withColumn("_k", F.col("cur"))
         return self._with_vertex(frame, [key]).withColumnRenamed(f"_p_{key}", "_k")
 
+    def keyed_each(self, frame: Frame, mods) -> tuple[DataFrame, list[str]]:
+        """With one key column for each ``by``, in their order."""
+        names, df = [], frame.df
+        for i, by in enumerate(mods):
+            df = self.keyed(frame.to(df), [by]).select("origin", "cur", "path", "binds", *names, F.col("_k").alias(f"_k{i}"))
+            names.append(f"_k{i}")
+        return df, names
+
     def do_groupCount(self, frame, args, mods):
         """One map of counts, key order ascending."""
         groups = [*(["origin"] if frame.nested else []), F.col("_k").cast("string").alias("_k")]
@@ -438,9 +469,11 @@ class Compiler:
         return self._reduce(frame.to(counts), F.map_from_entries(F.sort_array(F.collect_list("cur"))))
 
     def do_group(self, frame, args, mods):
-        """One map of sorted lists."""
-        groups = [*(["origin"] if frame.nested else []), F.col("_k").cast("string").alias("_k")]
-        lists = self.keyed(frame, mods).groupBy(*groups).agg(F.sort_array(F.collect_list(F.col("cur").cast("string"))).alias("_n")).where("_k is not null").withColumn("cur", F.struct("_k", "_n"))
+        """One map of sorted lists, of the elements or of what a second ``by`` gives for them."""
+        df, names = self.keyed_each(frame, mods[:2]) if len(mods) > 1 else (self.keyed(frame, mods).withColumn("_k0", F.col("_k")), ["_k0"])
+        groups = [*(["origin"] if frame.nested else []), F.col("_k0").cast("string").alias("_k")]
+        value = F.col(names[1] if len(names) > 1 else "cur").cast("string")
+        lists = df.groupBy(*groups).agg(F.sort_array(F.collect_list(value)).alias("_n")).where("_k is not null").withColumn("cur", F.struct("_k", "_n"))
         return self._reduce(frame.to(lists), F.map_from_entries(F.sort_array(F.collect_list("cur"))))
 
     def do_fold(self, frame, args, mods):
@@ -458,11 +491,12 @@ class Compiler:
         return frame
 
     def do_order(self, frame, args, mods):
-        """Sorted by the key; ascending, or descending after ``decr``; ties by the element."""
-        keyed = self.keyed(frame, mods) if mods and mods[0].args else frame.df.withColumn("_k", F.col("cur"))
-        down = bool(mods) and len(mods[0].args) > 1 and mods[0].args[1] == Name("decr")
-        ordered = keyed.orderBy(F.col("_k").desc() if down else F.col("_k").asc(), F.col("cur").cast("string"))
-        return frame.to(ordered.select("origin", "cur", "path", "binds"))
+        """Sorted by the keys in turn, each ascending, or descending after ``decr``; ties by the element."""
+        keys = [m for m in mods if m.args]
+        df, names = self.keyed_each(frame, keys) if keys else (frame.df.withColumn("_k0", F.col("cur")), ["_k0"])
+        down = [len(m.args) > 1 and m.args[1] == Name("decr") for m in keys] or [False]
+        by = [F.col(k).desc() if d else F.col(k).asc() for k, d in zip(names, down, strict=True)]
+        return frame.to(df.orderBy(*by, F.col("cur").cast("string")).select("origin", "cur", "path", "binds"))
 
     def do_toList(self, frame, args, mods):
         return frame

@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from ..operators import detectors as d
 from ..operators.forest import code_length_clusters, isolation_forest
 from ..operators.graph import event_frame, kind_of
-from ..session import table
+from ..session import checkpoint, table
 from .registry import query
 from .sql import EV
 
 
 def ctx(spark, sf_dir) -> DataFrame:
-    """Users and the objects, modulo 25, that they touched."""
-    ev = event_frame(spark, sf_dir).where("object is not null and event_id % 4 = 0")
-    return d.context(ev.withColumn("a", F.concat(F.lit("k"), F.col("object") % 25)), "subject", "a")
+    """Users' days and what their events were: kinds, objects modulo 4 and bands of value."""
+    ev = event_frame(spark, sf_dir).withColumn("o", F.concat_ws(":", F.col("subject").cast("string"), F.expr("nanos div 86400000000000").cast("string")))
+    band = F.when(F.col("value") < 15, "v0").when(F.col("value") < 60, "v1").otherwise("v2")
+    items = F.array(kind_of(F.col("event_type")), F.concat(F.lit("k"), (F.col("object") % 4).cast("string")), band)
+    return d.context(ev.select("o", F.explode(items).alias("a")), "o", "a")
 
 
-CTX = EV + """, ctx AS (SELECT DISTINCT subject AS object, 'k' || (object % 25) AS attribute FROM ev WHERE object IS NOT NULL AND event_id % 4 = 0),
+CTX = EV + """, ctx AS (SELECT DISTINCT o AS object, a AS attribute FROM (SELECT subject || ':' || (nanos // 86400000000000) AS o,
+ unnest([kind, 'k' || (object % 4), CASE WHEN value < 15 THEN 'v0' WHEN value < 60 THEN 'v1' ELSE 'v2' END]) AS a FROM ev) WHERE a IS NOT NULL),
 nn AS (SELECT count(DISTINCT object) AS n FROM ctx), fr AS (SELECT attribute, count(*) AS f FROM ctx GROUP BY 1)"""
 
 
@@ -39,14 +42,14 @@ def avc_online(spark, sf_dir):
     return d.prequential(ev, ["nanos", "event_id"], "kind", ["part"]).select("event_id", F.round("bits", 6).alias("bits"))
 
 
-@query("context_dense", f"WITH {CTX} SELECT object, count(*) FILTER (attribute = 'k1') AS k1, count(*) FILTER (attribute = 'k2') AS k2, count(*) FILTER (attribute = 'k3') AS k3 FROM ctx WHERE attribute IN ('k1', 'k2', 'k3') GROUP BY 1")
+@query("context_dense", f"WITH {CTX} SELECT object, count(*) FILTER (attribute = 'k1') AS k1, count(*) FILTER (attribute = 'k2') AS k2, count(*) FILTER (attribute = 'v2') AS v2 FROM ctx GROUP BY 1")
 def context_dense(spark, sf_dir):
-    return d.dense(ctx(spark, sf_dir).where("attribute in ('k1', 'k2', 'k3')"), ["k1", "k2", "k3"])
+    return d.dense(ctx(spark, sf_dir), ["k1", "k2", "v2"])
 
 
-@query("context_join", f"WITH {CTX} SELECT object, 'X0_' || attribute AS attribute FROM ctx UNION ALL SELECT DISTINCT subject, 'X1_' || kind FROM ev")
+@query("context_join", f"WITH {CTX} SELECT object, 'X0_' || attribute AS attribute FROM ctx UNION ALL SELECT DISTINCT subject || '', 'X1_' || kind FROM ev")
 def context_join(spark, sf_dir):
-    kinds = d.context(event_frame(spark, sf_dir).withColumn("kind", kind_of(F.col("event_type"))), "subject", "kind")
+    kinds = d.context(event_frame(spark, sf_dir).select(F.col("subject").cast("string").alias("subject"), kind_of(F.col("event_type")).alias("kind")), "subject", "kind")
     return d.join_contexts(ctx(spark, sf_dir), kinds)
 
 
@@ -121,49 +124,86 @@ def tp_fp_curve(spark, sf_dir):
     )
 
 
-ITEMS = CTX + """, it AS (SELECT object, attribute AS a FROM ctx JOIN fr USING (attribute) WHERE f >= 80),
-s1 AS (SELECT [attribute] AS items, f AS support FROM fr WHERE f >= 80),
-s2 AS (SELECT [x.a, y.a] AS items, count(*) AS support FROM it x JOIN it y ON x.object = y.object AND x.a < y.a GROUP BY 1 HAVING count(*) >= 80),
-s3 AS (SELECT [x.a, y.a, z.a] AS items, count(*) AS support FROM it x JOIN it y ON x.object = y.object AND x.a < y.a JOIN it z ON x.object = z.object AND y.a < z.a GROUP BY 1 HAVING count(*) >= 80),
-st AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)"""
+#: Frequent sets by growing each by a greater item, with the lists of objects that have them.
+ITEMS = "RECURSIVE " + CTX + """, ls AS (SELECT ceil(SHARE * n) AS least FROM nn), ob AS (SELECT object, list_sort(list(attribute)) AS has FROM ctx GROUP BY 1),
+v1 AS MATERIALIZED (SELECT attribute AS a, list_sort(list(object)) AS objs FROM ctx GROUP BY 1 HAVING count(*) >= (SELECT least FROM ls)),
+gr AS (SELECT [a] AS items, objs FROM v1 UNION ALL SELECT items, objs FROM (SELECT list_append(g.items, v.a) AS items, list_intersect(g.objs, v.objs) AS objs FROM gr g JOIN v1 v ON v.a > g.items[-1]) WHERE len(objs) >= (SELECT least FROM ls)),
+st AS MATERIALIZED (SELECT items, len(objs) AS support FROM gr),
+cl AS MATERIALIZED (SELECT items, support FROM st a WHERE NOT EXISTS (SELECT 1 FROM st b WHERE b.support = a.support AND len(b.items) > len(a.items) AND list_has_all(b.items, a.items)))"""
+SHARE, CONFIDENCE = 0.04, 0.6
+ITEMS = ITEMS.replace("SHARE", str(SHARE))
 
 
 def sets(spark, sf_dir) -> DataFrame:
-    return d.itemsets(ctx(spark, sf_dir), 80)
+    return checkpoint(d.itemsets(ctx(spark, sf_dir), SHARE))  # each use of the sets would mine them again
+
+
+def objects(spark, sf_dir) -> int:
+    return ctx(spark, sf_dir).select("object").distinct().count()
 
 
 @query("itemsets", f"WITH {ITEMS} SELECT array_to_string(items, ',') AS items, support FROM st")
 def itemsets(spark, sf_dir):
-    return sets(spark, sf_dir).select(F.array_join("items", ",").alias("items"), "support")
+    return d.itemsets(ctx(spark, sf_dir), SHARE).select(F.array_join("items", ",").alias("items"), "support")
 
 
-@query("closed_itemsets", f"WITH {ITEMS} SELECT array_to_string(a.items, ',') AS items, support FROM st a WHERE NOT EXISTS (SELECT 1 FROM st b WHERE b.support = a.support AND len(b.items) = len(a.items) + 1 AND list_has_all(b.items, a.items))")
+@query("closed_itemsets", f"WITH {ITEMS} SELECT array_to_string(items, ',') AS items, support FROM cl")
 def closed_itemsets(spark, sf_dir):
     return d.closed(sets(spark, sf_dir)).select(F.array_join("items", ",").alias("items"), "support")
 
 
-RULES = ITEMS + """, ru AS (SELECT list_filter(s.items, lambda q: q <> y) AS x, y, s.support, l.support AS sx, r.support AS sy, (SELECT CAST(n AS DOUBLE) FROM nn) AS n
- FROM (SELECT items, support, unnest(items) AS y FROM st WHERE len(items) > 1) s JOIN st l ON l.items = list_filter(s.items, lambda q: q <> y) JOIN s1 r ON r.items[1] = y
- WHERE s.support / CAST(l.support AS DOUBLE) > 0.62)"""
+RULES = ITEMS + f""", ru AS (SELECT list_filter(s.items, lambda q: q <> y) AS x, y, s.support, l.support AS sx, r.support AS sy, (SELECT CAST(n AS DOUBLE) FROM nn) AS n
+ FROM (SELECT items, support, unnest(items) AS y FROM st WHERE len(items) > 1) s JOIN st l ON l.items = list_filter(s.items, lambda q: q <> y) JOIN st r ON len(r.items) = 1 AND r.items[1] = y
+ WHERE s.support / CAST(l.support AS DOUBLE) > {CONFIDENCE})"""
 _MEASURES = {
     "confidence": "support / CAST(sx AS DOUBLE)", "lift": "support / n / (sx / n * sy / n)", "leverage": "support / n - sx / n * sy / n", "jaccard": "support / (sx + sy - support + 0.0)",
     "kulczynski": "(support / CAST(sx AS DOUBLE) + support / CAST(sy AS DOUBLE)) / 2", "klosgen": "sqrt(support / n) * (support / CAST(sx AS DOUBLE) - sy / n)",
     "imbalance": "abs(sx / n - sy / n) / (sx / n + sy / n - support / n)", "rpf": "(support / n) * (support / n) / (sx / n)", "cosine": "support / n / sqrt(sx / n * sy / n)",
-    "added_value": "support / CAST(sx AS DOUBLE) - sy / n", "counter_rate": "(sx - support) / CAST(support AS DOUBLE)", "loevinger": "1 - (sx / n - support / n) / (sx / n * (1 - sy / n))",
+    "added_value": "support / CAST(sx AS DOUBLE) - sy / n", "counter_rate": "1 - (1 - support / CAST(sx AS DOUBLE)) / (support / n)", "lerman": "(support * n - CAST(sx * sy AS DOUBLE)) / n / sqrt(CAST(sx * sy AS DOUBLE))",
+    "loevinger": "1 - (sx / n - support / n) / (sx / n * (1 - sy / n))",
 }
 
 
 def found_rules(spark, sf_dir) -> DataFrame:
-    c = ctx(spark, sf_dir)
-    return d.rules(sets(spark, sf_dir), 0.62, c.select("object").distinct().count())
+    return checkpoint(d.rules(sets(spark, sf_dir), CONFIDENCE, objects(spark, sf_dir)))
 
 
 @query("rules", f"WITH {RULES} SELECT array_to_string(x, ',') AS x, y, support, " + ", ".join(f"round({e}, 6) AS {k}" for k, e in _MEASURES.items()) + " FROM ru")
 def rules(spark, sf_dir):
-    return found_rules(spark, sf_dir).select(F.array_join("x", ",").alias("x"), "y", "support", *[F.round(k, 6).alias(k) for k in _MEASURES])
+    found = d.rules(sets(spark, sf_dir), CONFIDENCE, objects(spark, sf_dir))
+    return found.select(F.array_join("x", ",").alias("x"), "y", "support", *[F.round(k, 6).alias(k) for k in _MEASURES])
+
+
+COVERS = ITEMS + """, pr AS (SELECT a.items AS x, a.support AS sx, b.items AS z, b.support FROM cl a JOIN cl b ON len(b.items) > len(a.items) AND list_has_all(b.items, a.items)),
+cv AS MATERIALIZED (SELECT x, list_filter(z, lambda q: NOT list_contains(x, q)) AS y, sx, support FROM pr p WHERE NOT EXISTS (SELECT 1 FROM pr q JOIN pr r ON q.z = r.x WHERE q.x = p.x AND r.z = p.z)),
+cr AS MATERIALIZED (SELECT x, y, cv.support, cv.support / CAST(sx AS DOUBLE) AS confidence, cv.support * (SELECT n FROM nn) / CAST(sx * s.support AS DOUBLE) AS lift FROM cv JOIN st s ON s.items = y)"""
+
+
+def _named(found: DataFrame) -> DataFrame:
+    return found.select(F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"), "support", F.round("confidence", 6).alias("confidence"), F.round("lift", 6).alias("lift"))
+
+
+def _subsumed(rows: str, narrow: bool) -> str:
+    right = "list_has_all(a.y, b.y)" if narrow else "list_has_all(b.y, a.y)"
+    return f"SELECT array_to_string(x, ',') AS x, array_to_string(y, ',') AS y, support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM {rows} a WHERE NOT EXISTS (SELECT 1 FROM {rows} b WHERE list_has_all(a.x, b.x) AND {right} AND (a.x <> b.x OR a.y <> b.y))"
 
 
-HELD = RULES + """, ob AS (SELECT object, list(attribute) AS has FROM ctx GROUP BY 1)"""
+@query("implications", f"WITH {COVERS}, hi AS MATERIALIZED (SELECT * FROM cr WHERE confidence > 0.5) {_subsumed('hi', False)}")
+def implications(spark, sf_dir):
+    return _named(d.implications(sets(spark, sf_dir), 0.5, objects(spark, sf_dir)))
+
+
+@query("anti_implications", f"WITH {COVERS}, lo AS MATERIALIZED (SELECT * FROM cr WHERE confidence < 0.3) {_subsumed('lo', True)}")
+def anti_implications(spark, sf_dir):
+    return _named(d.anti_implications(sets(spark, sf_dir), 0.3, objects(spark, sf_dir)))
+
+
+@query("disjoint_items", f"WITH {ITEMS} SELECT a.items[1] AS x, b.items[1] AS y FROM st a JOIN st b ON len(a.items) = 1 AND len(b.items) = 1 AND a.items[1] < b.items[1] WHERE NOT EXISTS (SELECT 1 FROM st c WHERE c.items = [a.items[1], b.items[1]])".replace(str(SHARE), "0.25"))
+def disjoint_items(spark, sf_dir):
+    return d.disjoint_items(checkpoint(d.itemsets(ctx(spark, sf_dir), 0.25)))
+
+
+HELD = RULES
 
 
 @query("fpof", f"WITH {HELD} SELECT object, round(coalesce(coalesce((SELECT sum(support) FROM st WHERE list_has_all(has, items) AND len(items) < len(has)), 0) / (SELECT CAST(n AS DOUBLE) FROM nn) / (SELECT nullif(count(*), 0) FROM st), 0), 6) AS score FROM ob")
@@ -181,6 +221,13 @@ def rule_violations(spark, sf_dir):
     return d.violations(ctx(spark, sf_dir), found_rules(spark, sf_dir)).select("object", F.round("bits", 5).alias("bits"), F.round("lift", 6).alias("lift"), "rules")
 
 
+@query("cover_cost")
+def cover_cost(spark, sf_dir):
+    """Each object's code length under a table of the closed sets of two items and more; a fold in each row, tested beside a plain cover."""
+    codes = d.closed(sets(spark, sf_dir)).where("size(items) > 1")
+    return d.cover_cost(ctx(spark, sf_dir), codes).select("object", F.round("bits", 5).alias("bits"))
+
+
 @query("isolation_measures", "SELECT n_nationkey + 2 AS n, round(2 * (ln(n_nationkey + 1.0) + 0.5772156649 - (n_nationkey + 1.0) / (n_nationkey + 2.0)), 6) AS c, round(pow(2.0, -3.0 / (2 * (ln(n_nationkey + 1.0) + 0.5772156649 - (n_nationkey + 1.0) / (n_nationkey + 2.0)))), 6) AS score FROM nation")
 def isolation_measures(spark, sf_dir):
     n = F.col("n_nationkey") + 2

@@ -20,9 +20,9 @@ def table_counts(spark, sf_dir):
     return reduce(lambda a, b: a.join(b, F.lit(True)), one)
 
 
-@query("policy_principals", f"WITH {EV} SELECT object AS flow, count(DISTINCT c_custkey) AS principals, min(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) AS ok FROM ev JOIN customer ON c_custkey = subject WHERE object < 20 GROUP BY 1")
+@query("policy_principals", f"WITH {EV} SELECT object AS flow, count(DISTINCT c_custkey) AS principals, min(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) AS ok FROM ev JOIN customer ON c_custkey = subject WHERE object IS NOT NULL GROUP BY 1")
 def policy_principals(spark, sf_dir):
-    ev = event_frame(spark, sf_dir).where("object < 20").select(F.col("object").alias("flow"), "subject")
+    ev = event_frame(spark, sf_dir).where("object is not null").select(F.col("object").alias("flow"), "subject")
     owners = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_custkey").alias("principal"), "c_acctbal")
     return policy.allowed_principals(ev.select("flow").distinct(), ev, owners, F.col("c_acctbal") > 0)
 
@@ -42,12 +42,12 @@ def policy_writes_near(spark, sf_dir):
     return policy.writes_near(ev.where("event_type = 'purchase'"), ev.where("event_type = 'signup'"), 3_600_000_000_000)
 
 
-_FLOW = f"""{EV}, fl AS (SELECT CASE WHEN kind IN ('EVENT_WRITE', 'EVENT_UNLINK') THEN 'u' || subject ELSE 'k' || object END AS src, CASE WHEN kind IN ('EVENT_WRITE', 'EVENT_UNLINK') THEN 'k' || object ELSE 'u' || subject END AS dst, nanos FROM ev WHERE object IS NOT NULL AND event_id < 400)"""
+_FLOW = f"""{EV}, fl AS (SELECT CASE WHEN kind IN ('EVENT_WRITE', 'EVENT_UNLINK') THEN 'u' || subject ELSE 'k' || object END AS src, CASE WHEN kind IN ('EVENT_WRITE', 'EVENT_UNLINK') THEN 'k' || object ELSE 'u' || subject END AS dst, nanos FROM ev WHERE object IS NOT NULL)"""
 
 
 @query("policy_backward_reach", f"WITH RECURSIVE {_FLOW}, b(node, latest) AS (SELECT 'k5', CAST(4611686018427387904 AS BIGINT) UNION SELECT src, nanos FROM b JOIN fl ON dst = node AND nanos <= latest WHERE NOT (starts_with(node, 'k') AND ends_with(node, '0'))) SELECT node, max(latest) AS latest FROM b GROUP BY 1")
 def policy_backward_reach(spark, sf_dir):
-    ev = event_frame(spark, sf_dir).where("object is not null and event_id < 400")
+    ev = event_frame(spark, sf_dir).where("object is not null")
     u, k = F.concat(F.lit("u"), "subject"), F.concat(F.lit("k"), "object")
     out = F.col("event_type").isin("purchase", "error")
     flows = ev.select(F.when(out, u).otherwise(k).alias("src"), F.when(out, k).otherwise(u).alias("dst"), "nanos")
@@ -206,10 +206,10 @@ def parent_child_pseudo_events(spark, sf_dir):
     return child.join(st.select(F.col("subject").alias("parent"), F.col("t0").alias("earliest")), "parent").select(F.lit("PSEUDO_EVENT_PARENT_SUBJECT").alias("kind"), "parent", "child", "earliest", "latest")
 
 
-@query("merge_tables_outer", "SELECT coalesce(c_custkey, o_custkey) AS k, c_mktsegment, n FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1) o ON c_custkey = o_custkey")
+@query("merge_tables_outer", "SELECT coalesce(c_custkey, o_custkey) AS k, c_mktsegment, n FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') c FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) o ON c_custkey = o_custkey")
 def merge_tables_outer(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_mktsegment")
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    c = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"), "c_mktsegment")
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
     return c.join(o, "k", "full")
 
 

@@ -6,30 +6,31 @@ from pyspark.sql import functions as F
 
 from ..operators import detectors as d
 from ..operators import forest, novelty
-from ..operators.graph import event_frame
+from ..operators.graph import event_frame, kind_of
 from ..session import table
 from .detector_queries import CTX, ctx, event_type_matrix
 from .novelty_queries import OBS, SEQ, SNAP, observations
 from .registry import query
 from .sql import EV
 
-_RARE = EV + ", cx AS (SELECT DISTINCT subject AS object, 'o' || object AS attribute FROM ev WHERE object IS NOT NULL AND event_id % 40 = 0), cf AS (SELECT attribute, count(*) AS f FROM cx GROUP BY 1)"
+_RARE = EV + ", cx AS (SELECT DISTINCT subject AS object, kind || object || ':' || (nanos // 3600000000000 % 24) AS attribute FROM ev WHERE object IS NOT NULL), cf AS (SELECT attribute, count(*) AS f FROM cx GROUP BY 1)"
 
 
-@query("rare_rules", f"WITH {_RARE} SELECT p.x, p.y, support, round((SELECT count(DISTINCT object) FROM cx) / CAST(b.f AS DOUBLE), 6) AS lift FROM (SELECT a.attribute AS x, b.attribute AS y, count(*) AS support FROM cx a JOIN cx b ON a.object = b.object AND a.attribute <> b.attribute GROUP BY 1, 2) p JOIN cf a ON a.attribute = p.x JOIN cf b ON b.attribute = p.y WHERE a.f <= 3 AND support = a.f")
+@query("rare_rules", f"WITH {_RARE} SELECT p.x, p.y, support, round((SELECT count(DISTINCT object) FROM cx) / CAST(b.f AS DOUBLE), 6) AS lift FROM (SELECT a.attribute AS x, b.attribute AS y, count(*) AS support FROM cx a JOIN cx b ON a.object = b.object AND a.attribute <> b.attribute GROUP BY 1, 2) p JOIN cf a ON a.attribute = p.x JOIN cf b ON b.attribute = p.y WHERE a.f BETWEEN 2 AND 3 AND support = a.f")
 def rare_rules(spark, sf_dir):
-    rows = event_frame(spark, sf_dir).where("object is not null and event_id % 40 = 0")
-    found = d.rare_rules(d.context(rows.withColumn("a", F.concat(F.lit("o"), "object")), "subject", "a"), 3)
+    rows = event_frame(spark, sf_dir).where("object is not null")
+    attribute = F.concat(kind_of(F.col("event_type")), "object", F.lit(":"), F.expr("nanos div 3600000000000 % 24"))
+    found = d.rare_rules(d.context(rows.withColumn("a", attribute), "subject", "a"), 3, 2)
     return found.withColumn("lift", F.round("lift", 6))
 
 
-@query("split_merge", f"""WITH {CTX}, cl AS (SELECT object, object % 3 AS class FROM (SELECT DISTINCT object FROM ctx)), sz AS (SELECT class, count(*) AS n FROM cl GROUP BY 1),
+@query("split_merge", f"""WITH {CTX}, cl AS (SELECT object, CAST(split_part(object, ':', 1) AS BIGINT) % 3 AS class FROM (SELECT DISTINCT object FROM ctx)), sz AS (SELECT class, count(*) AS n FROM cl GROUP BY 1),
  p AS (SELECT class, attribute, (count(*) + 1) / (max(n) + 2.0) AS p FROM ctx JOIN cl USING (object) JOIN sz USING (class) GROUP BY 1, 2)
  SELECT cl.object, cl.class, round(sum(-ln(CASE WHEN c.object IS NULL THEN 1 - p ELSE p END) / ln(2.0)) - max(ln(n / CAST((SELECT count(*) FROM cl) AS DOUBLE)) / ln(2.0)), 6) AS score
  FROM cl JOIN p ON p.class = cl.class JOIN sz ON sz.class = cl.class LEFT JOIN ctx c ON c.object = cl.object AND c.attribute = p.attribute GROUP BY 1, 2""")
 def split_merge(spark, sf_dir):
     c = ctx(spark, sf_dir)
-    classes = c.select("object").distinct().withColumn("class", F.col("object") % 3)
+    classes = c.select("object").distinct().withColumn("class", F.split_part("object", F.lit(":"), F.lit(1)).cast("long") % 3)
     return d.split_merge(c, classes).withColumn("score", F.round("score", 6))
 
 
@@ -51,9 +52,9 @@ def recomputed_probabilities(spark, sf_dir):
 
 
 for _how in ("inner", "left", "right", "full"):
-    query(f"merge_tables_{_how}", f"SELECT coalesce(s_nationkey, c_nationkey) AS k, suppliers, customers FROM (SELECT s_nationkey, count(*) AS suppliers FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY 1) {_how.upper()} JOIN (SELECT c_nationkey, count(*) AS customers FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1) ON s_nationkey = c_nationkey")(
-        lambda spark, sf_dir, how=_how: table(spark, sf_dir, "supplier").where("s_nationkey % 3 <> 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers")).join(
-            table(spark, sf_dir, "customer").where("c_nationkey % 2 = 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers")), "k", how
+    query(f"merge_tables_{_how}", f"SELECT coalesce(s_nationkey, c_nationkey) AS k, suppliers, customers FROM (SELECT s_nationkey, count(*) AS suppliers FROM supplier WHERE s_acctbal < 5000 GROUP BY 1) {_how.upper()} JOIN (SELECT c_nationkey, count(*) AS customers FROM customer WHERE c_acctbal < 0 GROUP BY 1) ON s_nationkey = c_nationkey")(
+        lambda spark, sf_dir, how=_how: table(spark, sf_dir, "supplier").where("s_acctbal < 5000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers")).join(
+            table(spark, sf_dir, "customer").where("c_acctbal < 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers")), "k", how
         )
     )
 

@@ -54,11 +54,11 @@ def trie_alarms_below_threshold(spark, sf_dir):
     return alarm_rows(spark, sf_dir).where("local_prob <= 0.25").select("event_id", F.round("local_prob", 6).alias("local_prob"))
 
 
-SNAP = OBS + """, n AS (SELECT tree, '' AS path, 0 AS level, count(*) AS count, count(DISTINCT k1) AS children FROM obs GROUP BY tree
+SNAP = OBS + """, n AS MATERIALIZED (SELECT tree, '' AS path, 0 AS level, count(*) AS count, count(DISTINCT k1) AS children FROM obs GROUP BY tree
  UNION ALL SELECT tree, k1, 1, count(*), count(DISTINCT k2) FROM obs GROUP BY tree, k1
  UNION ALL SELECT tree, k1 || '|' || k2, 2, count(*), count(DISTINCT k3) FROM obs GROUP BY tree, k1, k2
  UNION ALL SELECT tree, k1 || '|' || k2 || '|' || k3, 3, count(*), 0 FROM obs GROUP BY tree, k1, k2, k3),
-sn AS (SELECT a.*, CASE WHEN a.level = 0 THEN 1.0 ELSE a.count / CAST(b.count AS DOUBLE) END AS lp, a.count / CAST(r.count AS DOUBLE) AS gp
+sn AS MATERIALIZED (SELECT a.*, CASE WHEN a.level = 0 THEN 1.0 ELSE a.count / CAST(b.count AS DOUBLE) END AS lp, a.count / CAST(r.count AS DOUBLE) AS gp
  FROM n a JOIN n r ON a.tree = r.tree AND r.level = 0
  LEFT JOIN n b ON a.tree = b.tree AND b.level = a.level - 1 AND b.path = CASE WHEN a.level = 1 THEN '' ELSE regexp_replace(a.path, '\\|[^|]*$', '') END)"""
 
@@ -110,16 +110,14 @@ def trie_hang_and_renormalize(spark, sf_dir):
     return novelty.under(tree, "host", "hosts").select(F.array_join("prefix", "|").alias("path"), "level", F.round("global_prob", 6).alias("global_prob"))
 
 
-@query("trie_most_novel", f"WITH {SNAP} SELECT path, round(lp, 6) AS local_prob FROM sn WHERE tree = 't1' AND children = 0 ORDER BY lp, path LIMIT 30")
+@query("trie_most_novel", f"WITH {SNAP} SELECT path, round(lp, 6) AS local_prob FROM sn WHERE children = 0 ORDER BY lp, path LIMIT 30")
 def trie_most_novel(spark, sf_dir):
-    tree = novelty.snapshot(observations(spark, sf_dir)).where("tree = 't1'")
-    ordered = novelty.leaves(tree).orderBy("local_prob", F.array_join("prefix", "|")).limit(30)
-    return ordered.select(F.array_join("prefix", "|").alias("path"), F.round("local_prob", 6).alias("local_prob"))
+    return novelty.most_novel(novelty.snapshot(observations(spark, sf_dir)), 30).select(F.array_join("prefix", "|").alias("path"), F.round("local_prob", 6).alias("local_prob"))
 
 
-@query("trie_below_local", f"WITH {SNAP} SELECT tree, path, count FROM sn WHERE children = 0 AND lp < 0.04")
+@query("trie_below_local", f"WITH {SNAP} SELECT tree, path, count FROM sn WHERE children = 0 AND lp < 0.12")
 def trie_below_local(spark, sf_dir):
-    return novelty.below_probability(novelty.snapshot(observations(spark, sf_dir)), "local_prob", 0.04).select("tree", F.array_join("prefix", "|").alias("path"), "count")
+    return novelty.below_probability(novelty.snapshot(observations(spark, sf_dir)), "local_prob", 0.12).select("tree", F.array_join("prefix", "|").alias("path"), "count")
 
 
 @query("trie_below_global", f"WITH {SNAP} SELECT tree, path, count FROM sn WHERE children = 0 AND gp < 0.0003")
@@ -138,13 +136,13 @@ def trie_equal_siblings(spark, sf_dir):
     return novelty.merge_equal_siblings(novelty.snapshot(observations(spark, sf_dir))).withColumn("parent", F.array_join("parent", "|"))
 
 
-@query("trie_collapse_unary", f"""WITH {EV}, o AS (SELECT 'o' || (subject % 40) AS k1, 'q' || (subject % 40 // 2) AS k2, kind AS k3 FROM ev WHERE object = 7),
+@query("trie_collapse_unary", f"""WITH {EV}, o AS (SELECT 'o' || (subject % 40) AS k1, 'q' || (subject % 40 // 2) AS k2, kind AS k3 FROM ev),
  a AS (SELECT k1, k2, count(DISTINCT k3) AS n2, count(*) AS c FROM o GROUP BY 1, 2)
  SELECT CAST((SELECT count(*) FROM o) AS BIGINT) AS count, '' AS path WHERE (SELECT count(DISTINCT k1) FROM o) <> 1
  UNION ALL SELECT c, k1 || ' ∫ ' || k2 FROM a WHERE n2 > 1
  UNION ALL SELECT count(*), CASE WHEN n2 = 1 THEN k1 || ' ∫ ' || k2 || ' ∫ ' || k3 ELSE k1 || ' ∫ ' || k2 || '/' || k3 END FROM o JOIN a USING (k1, k2) GROUP BY k1, k2, k3, n2""")
 def trie_collapse_unary(spark, sf_dir):
-    ev = event_frame(spark, sf_dir).where("object = 7")
+    ev = event_frame(spark, sf_dir)
     part = F.col("subject") % 40
     key = F.array(F.concat(F.lit("o"), part), F.concat(F.lit("q"), F.floor(part / 2)), kind_of(F.col("event_type")))
     tree = novelty.snapshot(ev.select(F.lit("t").alias("tree"), key.alias("key")))
@@ -197,16 +195,17 @@ partial("communication_through_object", "'EVENT_WRITE'", "'EVENT_READ'", "object
 partial("write_soon_after_read", "'EVENT_READ'", "'EVENT_WRITE'", "subject")
 
 
-@query("cross_host_flows", """WITH f AS (SELECT DISTINCT c_nationkey AS host, c_nationkey AS a, s_nationkey AS b, o_orderkey AS seq FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderkey % 50 = 0)
- SELECT x.host, y.host AS other_host, x.seq AS emitted, y.seq AS other_seq FROM f x JOIN f y ON x.a = y.b AND x.b = y.a AND x.host <> y.host AND x.seq > y.seq""")
+@query("cross_host_flows", """WITH f AS (SELECT DISTINCT c_nationkey AS host, c_nationkey AS a, s_nationkey AS b, CAST(o_orderdate AS DATE) AS d, o_orderkey AS seq FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey)
+ SELECT x.host, y.host AS other_host, x.seq AS emitted, y.seq AS other_seq FROM f x JOIN f y ON x.a = y.b AND x.b = y.a AND x.d = y.d AND x.host <> y.host AND x.seq > y.seq""")
 def cross_host_flows(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    """Orders as flows from the customer's host to the supplier's; a flow has a day, as a socket has a port, which both ends know."""
+    orders = table(spark, sf_dir, "orders").withColumn("d", F.to_date("o_orderdate"))
     flows = (
         orders.join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-        .select(F.col("c_nationkey").alias("host"), F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b"), F.col("o_orderkey").alias("seq")).distinct()
+        .select(F.col("c_nationkey").alias("host"), F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b"), "d", F.col("o_orderkey").alias("seq")).distinct()
     )
-    return novelty.cross_host(flows, ["a"], ["b"], "host", "seq", [])
+    return novelty.cross_host(flows, ["a", "d"], ["b", "d"], "host", "seq", [])
 
 
 @query("directory_keys", "SELECT p_partkey, '/,' || p_brand || ',' || p_type AS keys FROM part")
@@ -231,13 +230,20 @@ TREES = {
 
 
 def tree(name: str, take: str, keys: str) -> None:
-    sql = f"WITH {EV}, o AS (SELECT nanos, event_id, array_to_string({keys}, '|') AS key, row_number() OVER (PARTITION BY {keys} ORDER BY nanos, event_id) AS n FROM ev WHERE object IS NOT NULL AND {take}) SELECT event_id, key FROM o WHERE n = 1"
+    depth = keys.count(",") + 1
+    order = "ORDER BY nanos, event_id"
+    counts = ", ".join(f"row_number() OVER (PARTITION BY list_slice(k, 1, {j}) {order}) AS c{j}" for j in range(depth + 1))
+    siblings = ", ".join(f"sum(CASE WHEN c{j} = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY list_slice(k, 1, {j - 1}) {order}) AS s{j}" for j in range(1, depth + 1))
+    new = " ".join(f"WHEN c{j} = 1 THEN s{j} / CAST(s{j} + c{j - 1} AS DOUBLE)" for j in range(2, depth + 1))
+    sql = f"""WITH {EV}, o AS (SELECT nanos, event_id, {keys} AS k FROM ev WHERE object IS NOT NULL AND {take}), c AS (SELECT *, {counts} FROM o), s AS (SELECT *, {siblings} FROM c)
+ SELECT event_id, array_to_string(k, '|') AS key, round(CASE WHEN c{depth - 1} <> 1 THEN s{depth} / CAST(s{depth} + c{depth - 1} AS DOUBLE) WHEN c1 = 1 THEN CASE WHEN c0 = 1 THEN 1.0 ELSE (s1 - 1) / CAST(s1 - 1 + c0 - 1 AS DOUBLE) END {new} END, 6) AS local_prob, round(1.0 / c0, 6) AS global_prob FROM s WHERE c{depth} = 1"""
 
     def run(spark, sf_dir):
         ev = event_frame(spark, sf_dir).where("object is not null").withColumn("kind", kind_of(F.col("event_type"))).where(take)
         key = F.expr("array(" + keys[1:-1].replace(" // 2", " div 2") + ")")
         obs = ev.select(F.lit(name).alias("tree"), *SEQ, key.alias("key"))
-        return novelty.alarms(novelty.observe(obs, seq=SEQ), SEQ).select("event_id", F.array_join("key", "|").alias("key"))
+        found = novelty.alarms(novelty.observe(obs, seq=SEQ), SEQ)
+        return found.select("event_id", F.array_join("key", "|").alias("key"), F.round("local_prob", 6).alias("local_prob"), F.round("global_prob", 6).alias("global_prob"))
 
     query(f"tree_{name}", sql)(run)
 

@@ -36,11 +36,11 @@ def uuid_remap(spark, sf_dir):
     return resolve.remap_roots(ids.withColumn("into", F.expr("id div 2")))
 
 
-_ORDERS = "n AS (SELECT c_custkey AS id, c_custkey AS seq FROM customer WHERE c_custkey % 3 <> 0), e AS (SELECT o_orderkey AS src, o_custkey AS dst, o_orderkey AS seq FROM orders WHERE o_orderkey % 7 = 0), m AS (SELECT c_custkey AS id, c_custkey // 5 * 5 + 1 AS into_ FROM customer WHERE c_custkey % 5 = 2)"
+_ORDERS = "n AS (SELECT c_custkey AS id, c_custkey AS seq FROM customer WHERE c_custkey % 3 <> 0), e AS (SELECT o_orderkey AS src, o_custkey AS dst, o_orderkey AS seq FROM orders), m AS (SELECT c_custkey AS id, c_custkey // 5 * 5 + 1 AS into_ FROM customer WHERE c_custkey % 5 = 2)"
 
 
 def _remapped(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     nodes = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("seq"))
     nodes = nodes.union(o.select("o_orderkey", "o_orderkey").where("false"))
     roots = c.where("c_custkey % 5 = 2").select(F.col("c_custkey").alias("id"), F.expr("c_custkey div 5 * 5 + 1").alias("root"))
@@ -67,12 +67,12 @@ def dedup_first_wins(spark, sf_dir):
     return resolve.first_wins(event_frame(spark, sf_dir).where("object is not null").select("subject", "object", "event_id"), ["subject", "object"], "event_id")
 
 
-@query("edges_after_ends", f"WITH {EV}, n AS (SELECT subject, min(event_id) AS at FROM ev WHERE event_id % 3 = 0 GROUP BY 1), k AS (SELECT object, min(event_id) AS at FROM ev WHERE event_id % 2 = 0 GROUP BY 1) SELECT event_id AS seq, greatest(event_id, n.at, k.at) AS ready FROM ev JOIN n USING (subject) JOIN k USING (object) WHERE event_id % 5 = 1")
+@query("edges_after_ends", f"WITH {EV}, n AS (SELECT subject, min(event_id) AS at FROM ev WHERE kind = 'EVENT_READ' GROUP BY 1), k AS (SELECT object, min(event_id) AS at FROM ev WHERE kind = 'EVENT_WRITE' GROUP BY 1) SELECT event_id AS seq, greatest(event_id, n.at, k.at) AS ready FROM ev JOIN n USING (subject) JOIN k USING (object)")
 def edges_after_ends(spark, sf_dir):
     ev = event_frame(spark, sf_dir)
     u, k = F.concat(F.lit("u"), "subject"), F.concat(F.lit("k"), "object")
-    nodes = ev.where("event_id % 3 = 0").select(u.alias("id"), F.col("event_id").alias("seq")).union(ev.where("event_id % 2 = 0 and object is not null").select(k, "event_id"))
-    edges = ev.where("event_id % 5 = 1 and object is not null").select(u.alias("src"), k.alias("dst"), F.col("event_id").alias("seq"))
+    nodes = ev.where("event_type = 'click'").select(u.alias("id"), F.col("event_id").alias("seq")).union(ev.where("event_type = 'purchase' and object is not null").select(k, "event_id"))
+    edges = ev.where("object is not null").select(u.alias("src"), k.alias("dst"), F.col("event_id").alias("seq"))
     return resolve.edges_after_ends(nodes, edges).select("seq", "ready")
 
 
@@ -177,9 +177,9 @@ def ip_numbers(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", fn.ipv4_number(F.concat(F.lit("10.1.2."), F.col("c_custkey") % 300)).alias("number"))
 
 
-@query("keyword_matches", "SELECT p_partkey FROM part WHERE contains(lower(p_type), 'brass') OR contains(lower(p_type), 'steel')")
+@query("keyword_matches", "SELECT p_partkey FROM part WHERE contains(lower(p_type), 'economy') OR contains(lower(p_type), 'small')")
 def keyword_matches(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(fn.keyword_match(F.col("p_type"), ["BRASS", "steel"])).select("p_partkey")
+    return table(spark, sf_dir, "part").where(fn.keyword_match(F.col("p_type"), ["ECONOMY", "small"])).select("p_partkey")
 
 
 @query("night_events", f"WITH {EV} SELECT event_id FROM ev WHERE (nanos // 1000000000) // 3600 % 24 >= 20 OR (nanos // 1000000000) // 3600 % 24 < 6")

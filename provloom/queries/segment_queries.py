@@ -39,11 +39,11 @@ def time_segments(spark, sf_dir):
     return sg.by_time(event_frame(spark, sf_dir), "nanos", 86_400_000_000_000).groupBy("seg").agg(F.count("*").alias("n"))
 
 
-@query("intersected_segments", f"WITH {EV} SELECT subject % 5 AS seg_a, nanos - nanos % 604800000000000 AS seg_b, event_id AS node FROM ev WHERE subject % 5 < 2 AND event_id % 3 = 0")
+@query("intersected_segments", f"WITH {EV} SELECT subject % 5 AS seg_a, nanos - nanos % 604800000000000 AS seg_b, event_id AS node FROM ev WHERE subject % 5 < 2")
 def intersected_segments(spark, sf_dir):
     ev = event_frame(spark, sf_dir).withColumn("node", F.col("event_id"))
     one = ev.where("subject % 5 < 2").withColumn("seg", F.col("subject") % 5)
-    return sg.intersected(one, sg.by_time(ev.where("event_id % 3 = 0"), "nanos", 604_800_000_000_000))
+    return sg.intersected(one, sg.by_time(ev, "nanos", 604_800_000_000_000))
 
 
 @query("segment_edges", f"WITH {EV} SELECT subject % 6 AS from_seg, object % 4 + 10 AS to_seg, count(*) AS links, min(nanos) AS first, max(nanos) AS last FROM ev WHERE object IS NOT NULL GROUP BY 1, 2")
@@ -64,11 +64,11 @@ def segment_features(spark, sf_dir):
     return sg.segment_features(members(spark, sf_dir), _tree(spark, sf_dir)).withColumn("density", F.round("density", 6))
 
 
-STEPS = EV + ", st AS (SELECT subject AS path, event_id AS pos, kind AS label FROM ev WHERE event_id % 50 < 6 AND subject % 4 = 0)"
+STEPS = EV + ", st AS (SELECT subject AS path, event_id AS pos, kind AS label FROM ev)"
 
 
 def steps(spark, sf_dir):
-    ev = event_frame(spark, sf_dir).where("event_id % 50 < 6 and subject % 4 = 0")
+    ev = event_frame(spark, sf_dir)
     return ev.select(F.col("subject").alias("path"), F.col("event_id").alias("pos"), kind_of(F.col("event_type")).alias("label"))
 
 
@@ -119,11 +119,11 @@ def process_reads_file(spark, sf_dir):
     return ev.select(F.concat(F.lit("u"), "subject").alias("process"), F.concat(F.lit("k"), "object").alias("file")).distinct()
 
 
-@query("process_reads_file_after_write", f"WITH {EV} SELECT DISTINCT w.subject AS writer, r.subject AS reader, r.object FROM ev w JOIN ev r ON w.object = r.object AND r.nanos > w.nanos AND r.nanos - w.nanos <= 60000000000 WHERE w.kind = 'EVENT_WRITE' AND r.kind = 'EVENT_READ' AND w.subject <> r.subject")
+@query("process_reads_file_after_write", f"WITH {EV} SELECT DISTINCT w.subject AS writer, r.subject AS reader, r.object FROM ev w JOIN ev r ON w.object = r.object AND r.nanos > w.nanos AND r.nanos - w.nanos <= 21600000000000 WHERE w.kind = 'EVENT_WRITE' AND r.kind = 'EVENT_READ' AND w.subject <> r.subject")
 def process_reads_file_after_write(spark, sf_dir):
-    """Writers and readers of a file within a minute; a time bucket in the join key keeps the range join from meeting all pairs of a file."""
+    """Writers and readers of a file within six hours; a time bucket in the join key keeps the range join from meeting all pairs of a file."""
     ev = event_frame(spark, sf_dir).where("object is not null")
-    width = 60_000_000_000
+    width = 21_600_000_000_000
     bucket = F.expr(f"nanos div {width}")
     w = ev.where("event_type = 'purchase'").select(F.col("subject").alias("writer"), "object", F.col("nanos").alias("at"), F.explode(F.array(bucket, bucket + 1)).alias("b"))
     r = ev.where("event_type = 'click'").select(F.col("subject").alias("reader"), "object", "nanos", bucket.alias("b"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +33,33 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def drain_and_flush(stream: DataFrame, columns: list[str]) -> DataFrame:
+    """``drain`` of a stream with state by group, and what the groups still hold at the stream's end: the state is read from its store.
+
+    The state's columns are named as in ``columns``, the group's key first.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").outputMode("append").option("path", f"{folder}/out").start().awaitTermination()
+    held = spark.read.format("statestore").load(f"{folder}/state").where("value.groupState is not null")
+    left = held.select(F.col("key").getField(held.schema["key"].dataType.names[0]).alias(columns[0]), *[F.col("value.groupState").getField(c).alias(c) for c in columns[1:]])
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*columns).union(left.select(*columns))
+
+
+def renewed(stream: DataFrame, folder: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A small table that every batch of a stream computes anew from all rows so far; gives the last one. A batch that is run again overwrites its own."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        so_far = df.sparkSession.read.parquet(f"{folder}/rows").where(F.col("batch") <= number).drop("batch")
+        compute(so_far).write.mode("overwrite").parquet(f"{folder}/found/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    found = stream.sparkSession.read.parquet(f"{folder}/found")
+    last = found.agg(F.max("batch").alias("batch"))
+    return found.join(F.broadcast(last), "batch", "left_semi").drop("batch")  # one row
+
+
 def daily_counts(events: DataFrame) -> DataFrame:
     """Tumbling windows by event time, with a watermark that drops what is over thirty days late."""
     return events.withWatermark("ts", "30 days").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))

@@ -118,27 +118,39 @@ def test_parser():
             parse(bad)
 
 
-DAG = [(1, 4), (2, 4), (2, 5), (3, 5), (4, 6), (4, 7), (5, 7), (5, 8), (6, 9), (7, 9), (8, 9)]
+def walks(edges, node, forth):
+    """All paths from a node to an end, by a plain walk."""
+    ahead = [b if forth else a for a, b in edges if (a if forth else b) == node]
+    return [[node, *rest] for n in ahead for rest in walks(edges, n, forth)] or [[node]]
 
 
 def test_dag_queries(spark):
-    e = spark.createDataFrame([(f"{a}>{b}", str(a), "x", str(b)) for a, b in DAG], "id string, src string, label string, dst string")
+    """A ladder of three diamonds with a dead end and a shortcut, beside walks over the list."""
+    dag = [(10 * i + a, 10 * i + b) for i in range(3) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3), (3, 10))] + [(1, 50), (0, 13)]
+    e = spark.createDataFrame([(f"{a}>{b}", str(a), "x", str(b)) for a, b in dag], "id string, src string, label string, dst string")
     from provloom.operators.graph import PROPERTIES
 
-    v = spark.createDataFrame([(str(i), "N") for i in range(1, 10)], "id string, label string").select("id", "label", *[F.lit(None).cast("string").alias(p) for p in PROPERTIES])
+    every = sorted({x for pair in dag for x in pair})
+    v = spark.createDataFrame([(str(i), "N") for i in every], "id string, label string").select("id", "label", *[F.lit(None).cast("string").alias(p) for p in PROPERTIES])
     ask = lambda q: sorted(str(r.result) for r in Compiler(Graph(v, e)).run(q).collect())
-    assert ask("g.V('5').out().id()") == ["7", "8"] and ask("g.V('9').in().id()") == ["6", "7", "8"]
-    assert ask("g.V('1').repeat(_.out()).until(_.hasId('9')).count()") == ["2"]
-    assert ask("g.V('9').repeat(_.in()).emit().times(3).dedup().count()") == ["8"]
-    through = segments.paths_through(e, "5", 6).collect()
-    assert sorted("".join(r.path) for r in through) == ["2579", "2589", "3579", "3589"]
+    assert ask("g.V('10').out().id()") == sorted(str(b) for a, b in dag if a == 10) and ask("g.V('13').in().id()") == sorted(str(a) for a, b in dag if b == 13)
+    ends = walks(dag, 0, True)
+    assert ask("g.V('0').repeat(_.out()).until(_.hasId('30')).count()") == [str(sum(w[-1] == 30 for w in ends))]
+    before = {x for w in walks(dag, 30, False) for x in w[1:]}
+    assert ask("g.V('30').repeat(_.in()).emit().times(9).dedup().count()") == [str(len(before))]
+    through = sorted(tuple(r.path) for r in segments.paths_through(e, "11", 9).collect())
+    want = [tuple(map(str, [*b[::-1], *f[1:]])) for b in walks(dag, 11, False) for f in walks(dag, 11, True)]
+    assert through == sorted(want)
 
 
-def test_grammar_fixture(spark):
-    steps = spark.createDataFrame([("p", i, c) for i, c in enumerate("AABCC")], "path string, pos int, label string")
+@pytest.mark.parametrize("text", ["XYXZY", "XXYYZXYZ", "ZZYX"])
+def test_grammar_sequences(spark, text):
+    from itertools import combinations
+
+    steps = spark.createDataFrame([("p", i, c) for i, c in enumerate(text)], "path string, pos int, label string")
     t = lambda c: segments.terminal(steps, c)
-    got = sorted(tuple(r["at"]) for r in segments.sequence(t("A"), t("B"), t("C")).collect())
-    assert got == [(0, 2, 3), (0, 2, 4), (1, 2, 3), (1, 2, 4)]
+    got = sorted(tuple(r["at"]) for r in segments.sequence(t("X"), t("Y"), t("Z")).collect())
+    assert got == sorted(at for at in combinations(range(len(text)), 3) if "".join(text[i] for i in at) == "XYZ")
 
 
 def zigzag(n):
