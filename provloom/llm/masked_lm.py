@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 from .common import SPACES, checkpoint
 
 #: Token kinds: 0 outside the text, then the corpus's commonest words, then OTHERS classes that all other words are dealt into by their hash.
-KINDS, OTHERS = 256, 63
+KINDS, OTHERS = 1024, 255
 #: The softmax is in two levels: a kind's class is kind // CLASS, and the kinds of a class compete within it.
-CLASS = 16
+CLASS = 32
 #: Tokens that are looked at on either side, and the width of the network.
-WINDOW, WIDTH = 2, 24
-ROUNDS, RATE, STEP = 3, 0.2, 512
+WINDOW, WIDTH = 2, 16
+#: Passes over all documents, and the step's size. A step takes a 64th of the tokens that the run has seen, within these bounds.
+ROUNDS, RATE, LEAST_STEP, MOST_STEP = 2, 0.25, 128, 4096
+#: Tokens of a training shard, on average. Documents are dealt into shards by their hash, so that a shard's tokens don't depend on partitions.
+SHARD_TOKENS = 4_000_000
 #: Tokens whose probabilities are computed at once, and words whose kinds a worker remembers.
-BATCH, CACHE_WORDS = 8192, 200_000
+BATCH, CACHE_WORDS = 16_384, 200_000
+#: No weight is larger than this, so that no logit is beyond what exp takes in.
+MOST_WEIGHT = 4.0
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,7 +50,7 @@ class Tokens:
         for w in words:
             if w not in known:
                 known[w] = self.__missing(w)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(known.__getitem__, words), np.uint16, len(words))
 
 
 def start(seed: int = 1) -> np.ndarray:
@@ -67,90 +72,97 @@ def parts(weights: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def windows(ids: np.ndarray) -> np.ndarray:
     """For each token the tokens at its left and right, without itself; 0 beyond the text."""
-    padded = np.concatenate([np.zeros(WINDOW, np.int64), ids, np.zeros(WINDOW, np.int64)])
+    padded = np.concatenate([np.zeros(WINDOW, ids.dtype), ids, np.zeros(WINDOW, ids.dtype)])
     places = [*range(WINDOW), *range(WINDOW + 1, 2 * WINDOW + 1)]
     return np.stack([padded[p : p + len(ids)] for p in places], axis=1)
 
 
+def _hidden(tables: list[np.ndarray], bias: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The tanh layer: gated vectors of the tokens around, one small table a place of the window."""
+    h = np.take(tables[0], near[:, 0], axis=0)
+    for p in range(1, 2 * WINDOW):
+        h += np.take(tables[p], near[:, p], axis=0)
+    h += bias
+    return np.tanh(h, out=h)
+
+
 def _of(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """log softmax at one place a row; the logits are small, and are overwritten."""
+    """log softmax at one place a row; the logits are overwritten."""
     mine = logits[np.arange(len(own)), own]
     np.exp(logits, out=logits)
-    return mine - np.log(logits.sum(axis=1))
+    return mine - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
 
 def log_probabilities(weights: np.ndarray, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """log p(token | both sides) of each token, some at a time; tokens of one class go through its weights together."""
     vectors, gates, bias, top, top_bias, low, low_bias = parts(weights)
-    gated = [vectors * g for g in gates]  # one small table a place of the window
-    gated[0] = gated[0] + bias
+    tables = [vectors * g for g in gates]
     found = np.empty(len(ids), np.float32)
+    starts = np.arange(KINDS // CLASS + 1) * CLASS
     for a in range(0, len(ids), BATCH):
-        near, own = around[a : a + BATCH], ids[a : a + BATCH]
-        h = gated[0][near[:, 0]]
-        for p in range(1, 2 * WINDOW):
-            h += gated[p][near[:, p]]
-        np.tanh(h, out=h)
-        klass = own // CLASS
+        own = ids[a : a + BATCH]
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        h = _hidden(tables, bias, around[a : a + BATCH][order])
+        klass, inner = np.divmod(own, np.uint16(CLASS))
         score = _of(h @ top + top_bias, klass)
-        order = np.argsort(klass, kind="stable")
-        ends = np.searchsorted(klass[order], np.arange(KINDS // CLASS + 1))
+        ends = np.searchsorted(own, starts)
         for c in np.flatnonzero(np.diff(ends)):
-            at = order[ends[c] : ends[c + 1]]
-            score[at] += _of(h[at] @ low[c] + low_bias[c], own[at] % CLASS)
-        found[a : a + BATCH] = score
+            of = slice(ends[c], ends[c + 1])
+            score[of] += _of(h[of] @ low[c] + low_bias[c], inner[of])
+        found[a + order] = score
     return found
 
 
-def train(weights: np.ndarray, around: np.ndarray, ids: np.ndarray, rate: float, seed: int) -> np.ndarray:
-    """One pass of stochastic gradient descent over shuffled tokens."""
+def _slope(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    np.exp(logits, out=logits)
+    logits *= (1 / (logits @ np.ones(logits.shape[1], np.float32)))[:, None]
+    logits[np.arange(len(own)), own] -= 1
+    return logits
+
+
+def train(weights: np.ndarray, around: np.ndarray, ids: np.ndarray, rate: float, seed: int, seen: int = 0) -> np.ndarray:
+    """One pass of stochastic gradient descent over shuffled tokens; ``seen`` tokens went before them."""
     weights = weights.copy()
     vectors, gates, bias, top, top_bias, low, low_bias = parts(weights)
     order = np.random.default_rng(seed).permutation(len(ids))
-
-    places, columns = KINDS * np.arange(2 * WINDOW), np.arange(WIDTH)
-
-    def slope(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
-        most = logits.max()  # one for all rows, unless that could leave a row without a sum
-        p = logits - (most if most - logits.min() < 80 else logits.max(axis=1, keepdims=True))
-        np.exp(p, out=p)
-        p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
-        p[np.arange(len(own)), own] -= 1
-        return p
-
-    for a in range(0, len(order), STEP):
-        at = order[a : a + STEP]
-        at = at[np.argsort((ids[at] // CLASS).astype(np.uint16), kind="stable")]  # tokens of one class are neighbours
-        klass, inner = np.divmod(ids[at].astype(np.int64), CLASS)
-        n = len(at)
-        ends = np.searchsorted(klass, np.arange(KINDS // CLASS + 1))
-        near = around[at] + places  # rows of one table of all places' gated vectors
-        gated = (vectors * gates[:, None, :]).reshape(-1, WIDTH)
-        h = gated[near[:, 0]]
-        for k in range(1, 2 * WINDOW):
-            h += gated[near[:, k]]
-        h += bias
-        np.tanh(h, out=h)
-        p = slope(h @ top + top_bias, klass)
-        step = np.float32(rate * 16 / n)
+    starts = np.arange(KINDS // CLASS + 1) * CLASS
+    a = 0
+    while a < len(order):
+        at = order[a : a + min(MOST_STEP, max(LEAST_STEP, (seen + a) // 64))]
+        a += len(at)
+        own = ids[at]
+        by_kind = np.argsort(own, kind="stable")  # tokens of one class are neighbours
+        at, own = at[by_kind], own[by_kind]
+        klass, inner = np.divmod(own, np.uint16(CLASS))
+        near, step = around[at], np.float32(rate * 16 / len(at))
+        h = _hidden([vectors * g for g in gates], bias, near)
+        p = _slope(h @ top + top_bias, klass)
         back = p @ top.T
+        ends = np.searchsorted(own, starts)
         for c in np.flatnonzero(np.diff(ends)):
             of = slice(ends[c], ends[c + 1])
-            q = slope(h[of] @ low[c] + low_bias[c], inner[of])
+            q = _slope(h[of] @ low[c] + low_bias[c], inner[of])
             back[of] += q @ low[c].T
-            low[c] -= step * (h[of].T @ q)
-            low_bias[c] -= step * q.sum(axis=0)
+            q *= step
+            low[c] -= h[of].T @ q
+            low_bias[c] -= q.sum(axis=0)
         back *= 1 - h * h
-        top -= step * (h.T @ p)
-        top_bias -= step * p.sum(axis=0)
-        bias -= step * back.sum(axis=0)
-        cells = (near[:, :, None] * WIDTH + columns).reshape(-1)
-        sums = np.bincount(cells, np.repeat(step * back, 2 * WINDOW, axis=0).reshape(-1), 2 * WINDOW * KINDS * WIDTH)
-        sums = sums.astype(np.float32).reshape(2 * WINDOW, KINDS, WIDTH)  # of each kind at each place
-        d_gates = (sums * vectors).sum(axis=1)
-        vectors -= (sums * gates[:, None, :]).sum(axis=0)
-        gates -= d_gates
-        np.clip(weights, -4, 4, out=weights)
+        back *= step
+        p *= step
+        top -= h.T @ p
+        top_bias -= p.sum(axis=0)
+        bias -= back.sum(axis=0)
+        for place in range(2 * WINDOW):
+            token = near[:, place]
+            by_token = np.argsort(token, kind="stable")
+            token = token[by_token]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            sums, token = np.add.reduceat(np.take(back, by_token, axis=0), first, axis=0), token[first]
+            d_gate = (sums * vectors[token]).sum(axis=0)
+            vectors[token] -= sums * gates[place]
+            gates[place] -= d_gate
+        np.clip(weights, -MOST_WEIGHT, MOST_WEIGHT, out=weights)
     return weights
 
 
@@ -165,72 +177,100 @@ def common_words(counts: DataFrame) -> list[str]:
 
 
 def shares(rows: DataFrame, counts: DataFrame, words: list[str]) -> DataFrame:
-    """(row, log_n): the sum of log counts of a text's words that share a class, met with the counts in shards of words."""
-    others = rows.select("row", F.explode(F.split("text", SPACES)).alias("word")).where((F.col("word") != "") & ~F.col("word").isin(words))
-    rare = counts.where(~F.col("word").isin(words)).select("word", F.log("n").alias("log_n"))
-    return others.join(rare.hint("shuffle_hash"), "word").groupBy("row").agg(F.sum("log_n").alias("log_n"))  # one row a word on the right
+    """(row, log_n): the sum of log counts of a text's words that share a class, met with the counts in shards of words' hashes.
+
+    Words that occur once add nothing and aren't met.
+    """
+    word = F.col("word")
+    others = rows.select("row", F.explode(F.split("text", SPACES)).alias("word")).where((word != "") & ~word.isin(words)).select("row", F.xxhash64("word").alias("h"))
+    rare = counts.where(~word.isin(words) & (F.col("n") > 1)).select(F.xxhash64("word").alias("h"), F.log("n").alias("log_n"))
+    return others.join(rare.hint("shuffle_hash"), "h").groupBy("row").agg(F.sum("log_n").alias("log_n"))  # one row a word on the right
 
 
 def class_totals(rows: DataFrame) -> np.ndarray:
     """Tokens of each kind in all documents; kinds of one word count as 1, as p(word | kind) is 1."""
 
-    def count(part: Iterator) -> Iterator[np.ndarray]:
-        yield sum((np.bincount(np.frombuffer(r["kinds"], np.uint8), minlength=KINDS) for r in part), np.zeros(KINDS, np.int64))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(KINDS, np.int64)
+        for batch in batches:
+            for kinds in batch.column(0):
+                total += np.bincount(np.frombuffer(kinds.as_py(), np.uint16), minlength=KINDS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(KINDS)), pa.array(total)], ["kind", "n"])
 
-    found = rows.select("kinds").rdd.mapPartitions(count).treeReduce(lambda a, b: a + b, 3)
-    found[: KINDS - OTHERS] = 1
-    return np.maximum(found, 1)
+    found = np.ones(KINDS, np.int64)
+    for r in rows.select("kinds").mapInArrow(count, "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n")).where(F.col("kind") >= KINDS - OTHERS).collect():
+        found[r["kind"]] = max(1, r["n"])
+    return found
 
 
 def find_kinds(rows: DataFrame, words: list[str]) -> DataFrame:
-    """(row, id, kinds): each text's kinds as a byte a token, found once for all rounds and the scores."""
+    """(row, id, text_hash, kinds): each text's kinds, two bytes a token, found once for all rounds and the scores."""
     shared = rows.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(shared.value)
         for batch in batches:
-            kinds = [tokens.ids(text.as_py()).astype(np.uint8).tobytes() for text in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(kinds, pa.binary())], ["row", "id", "kinds"])
+            kinds = [tokens.ids(text.as_py()).tobytes() for text in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(kinds, pa.binary())], ["row", "id", "text_hash", "kinds"])
 
-    schema = rows.select("row", "id", F.lit(b"").alias("kinds")).schema
+    schema = rows.select("row", "id", "text_hash", F.lit(b"").alias("kinds")).schema
     for field in schema:
         field.nullable = True
-    return rows.select("row", "id", "text").mapInArrow(run, schema)
+    return rows.select("row", "id", "text_hash", "text").mapInArrow(run, schema)
+
+
+def _learn(shared, rate: float, round_: int):
+    schema = pa.schema([("tokens", pa.int64()), ("weights", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, weights, held, size, total = None, None, [], 0, 0
 
+        def flush() -> None:
+            nonlocal weights, held, size, total
+            ids = np.concatenate(held)
+            around = np.concatenate([windows(x) for x in held])
+            weights = train(weights, around, ids, rate, (round_ << 32) + shard, total if round_ == 0 else total + 64 * MOST_STEP)
+            total, held, size = total + size, [], 0
 
-def fit(rows: DataFrame) -> np.ndarray:
-    """Weights trained on the kinds of all documents: in each round every task trains from the round's weights, and the
-    results are averaged by their tokens. Sums go up a tree of tasks; the driver gets a few vectors of 13,000 numbers.
+        def done() -> pa.RecordBatch:
+            if held:
+                flush()
+            return pa.RecordBatch.from_arrays([pa.array([total]), pa.array([weights.tobytes()], pa.binary())], schema=schema)
+
+        for batch in batches:
+            for here, kinds in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if here != shard:
+                    if shard is not None:
+                        yield done()
+                    shard, weights, held, size, total = here, shared.value, [], 0, 0
+                own = np.frombuffer(kinds.as_py(), np.uint16)
+                held.append(own)
+                size += len(own)
+                if size >= SHARD_TOKENS // 4:  # whole texts, in the shard's order
+                    flush()
+        if shard is not None:
+            yield done()
+
+    return run
+
+
+def fit(rows: DataFrame, tokens: int) -> np.ndarray:
+    """Weights trained on the kinds of all documents.
+
+    Documents are dealt by id and text hash into shards, and are in the order of both there. In each round every shard is trained on from the round's
+    weights, and the results are averaged by their tokens, which partitions have no part in. Sums go up a tree of tasks; the driver gets a few vectors of 34,000 numbers.
     """
     sc = rows.sparkSession.sparkContext
+    shards = max(1, -(-tokens // SHARD_TOKENS))
+    key = F.pmod(F.xxhash64("id", "text_hash", F.lit(7)), F.lit(shards))
+    some = rows.where(F.length("kinds") > 0).select(key.alias("shard"), "id", "text_hash", "kinds")
+    dealt = checkpoint(some.repartitionByRange(min(shards, 10_000), "shard").sortWithinPartitions("shard", "id", "text_hash").select("shard", "kinds"))
     weights = start()
-    for n in range(ROUNDS):
-        shared, rate = sc.broadcast(weights), RATE / (n + 1)
-
-        def learn(index: int, part: Iterator, shared=shared, rate=rate, n=n) -> Iterator[tuple[int, np.ndarray]]:
-            weights, total, ids, around, held = shared.value, 0, [], [], 0
-
-            def flush(weights):
-                return train(weights, np.concatenate(around), np.concatenate(ids), rate, n * 100_003 + index)
-
-            for row in part:
-                own = np.frombuffer(row["kinds"], np.uint8).astype(np.int64)
-                if not len(own):
-                    continue
-                ids.append(own)
-                around.append(windows(own))
-                held, total = held + len(own), total + len(own)
-                if held > 50_000:
-                    weights, ids, around, held = flush(weights), [], [], 0
-            if held:
-                weights = flush(weights)
-            if total:
-                yield total, weights.astype(np.float64) * total
-
-        found = rows.select("kinds").rdd.mapPartitionsWithIndex(learn).treeAggregate((0, 0.0), lambda a, x: (a[0] + x[0], a[1] + x[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]), 3)
-        if not found[0]:
-            return weights
-        weights = (found[1] / found[0]).astype(np.float32)
+    for n in range(ROUNDS if tokens else 0):
+        found = dealt.mapInArrow(_learn(sc.broadcast(weights), RATE / (n + 1), n), "tokens long, weights binary")
+        one = lambda r: (r["tokens"], np.frombuffer(r["weights"], np.float32).astype(np.float64) * r["tokens"])
+        both = found.rdd.map(one).treeAggregate((0, 0.0), lambda a, x: (a[0] + x[0], a[1] + x[1]), lambda a, b: (a[0] + b[0], a[1] + b[1]), 4)
+        weights = np.round(both[1] / both[0], 5).astype(np.float32)  # sums in another order give the same
     return weights
 
 
@@ -242,15 +282,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     in all documents over that of its kind, is added, so that every word of the corpus has a probability of its own. Counts
     and weights come from all documents; every token of every text is scored. A lower mean is a less likely text.
 
-    Defined results: a null or blank text has 0 tokens, sum 0.0 and a null mean; equal ids are scored each; an empty table
-    gives no rows; other columns are not read. Weights are summed in tasks' order, so scores may differ in the last digits between clusters.
+    Defined results: a null or blank text has 0 tokens, sum 0.0 and a null mean; equal ids are scored each, and equal rows alike; of words that are equally common
+    the first by name are kinds of their own; very long texts are scored whole; an empty table gives no rows; other columns, whatever their
+    names, are not read. Partitions change scores by no more than rounding does.
     """
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
     texts = checkpoint(texts)  # rows keep their numbers
     counts = checkpoint(count_words(texts))
+    tokens = counts.agg(F.sum("n")).head()[0] or 0
     words = common_words(counts)
     rows = checkpoint(find_kinds(texts, words))
-    shared = docs.sparkSession.sparkContext.broadcast((fit(rows), np.log(class_totals(rows))))
+    shared = docs.sparkSession.sparkContext.broadcast((fit(rows, tokens), np.log(class_totals(rows)).astype(np.float32)))
     rows = rows.join(shares(texts, counts, words), "row", "left").select("id", "kinds", F.coalesce("log_n", F.lit(0.0)).alias("log_n"))
     schema = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("pll_sum"), F.lit(0.0).alias("pll_mean")).schema
     for field in schema:
@@ -263,7 +306,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
             def flush(held: list[np.ndarray]) -> None:
                 size = np.array([len(x) for x in held])
-                found = log_probabilities(weights, np.concatenate([windows(x) for x in held]), np.concatenate(held)) - log_totals[np.concatenate(held)]
+                ids = np.concatenate(held)
+                found = log_probabilities(weights, np.concatenate([windows(x) for x in held]), ids) - log_totals[ids]
                 total = np.concatenate([[0.0], np.cumsum(found, dtype=np.float64)])  # noqa: B023
                 ends = np.cumsum(size)
                 sums.extend((total[ends] - total[ends - size]).tolist())  # noqa: B023
@@ -272,7 +316,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             held: list[np.ndarray] = []
             size = 0
             for kinds in batch.column(1):
-                held.append(np.frombuffer(kinds.as_py(), np.uint8).astype(np.int64))
+                held.append(np.frombuffer(kinds.as_py(), np.uint16))
                 size += len(held[-1])
                 if size > 100_000:
                     flush(held)

@@ -157,6 +157,38 @@ def test_masked_lm_tells_words_of_a_class_apart(spark):
     assert math.exp(by[100, 1]) + math.exp(by[200, 1]) < 1
 
 
+def plain_probability(w, around, own):
+    """The two-level softmax of one token, step by step."""
+    vectors, gates, bias, top, top_bias, low, low_bias = masked_lm.parts(w)
+    h = [math.tanh(bias[j] + sum(float(vectors[t][j]) * float(gates[p][j]) for p, t in enumerate(around))) for j in range(masked_lm.WIDTH)]
+    logits = lambda m, b: [float(b[k]) + sum(h[j] * float(m[j][k]) for j in range(len(h))) for k in range(len(b))]
+    klass, inner = divmod(int(own), masked_lm.CLASS)
+    one, two = logits(top, top_bias), logits(low[klass], low_bias[klass])
+    return one[klass] - math.log(sum(map(math.exp, one))) + two[inner] - math.log(sum(map(math.exp, two)))
+
+
+def test_scores_beside_a_plain_softmax(spark, monkeypatch):
+    """Every token of every text by a naive loop with the trained weights, and the same scores from other partitions."""
+    kept = []
+    plain = masked_lm.fit
+    monkeypatch.setattr(masked_lm, "fit", lambda rows, tokens: kept.append(plain(rows, tokens)) or kept[-1])
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["red", "green", "Blue", f"w{rng.randrange(900)}", f"v{i}"]) for _ in range(rng.randrange(1, 40)))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({r.doc_id: r.pll_sum for r in masked_lm.score(df.repartition(n)).collect()} for n in (2, 8))
+    assert all(abs(one[i] - two[i]) < 1e-4 for i, _ in rows) and np.abs(kept[0] - kept[1]).max() < 1e-4
+    counts = Counter(w for _, t in rows for w in t.lower().split())
+    tokens = masked_lm.Tokens(sorted(counts, key=lambda w: (-counts[w], w))[: masked_lm.KINDS - masked_lm.OTHERS - 1])
+    of_kind = Counter()
+    for w, n in counts.items():
+        of_kind[int(tokens.ids(w)[0])] += n
+    for i, t in rows[:12]:
+        ids = tokens.ids(t.lower())
+        near = masked_lm.windows(ids)
+        want = sum(plain_probability(kept[0], near[k], ids[k]) + (math.log(counts[w] / of_kind[int(ids[k])]) if ids[k] >= masked_lm.KINDS - masked_lm.OTHERS else 0) for k, w in enumerate(t.lower().split()))
+        assert one[i] == pytest.approx(want, abs=1e-2)
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     ids = rng.integers(1, 20, 64)
