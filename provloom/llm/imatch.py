@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, order_bucket, order_cuts, shuffle_partitions
+from .common import let, order_ranges, shuffle_partitions
 
 #: A term's share of all documents: the inverse-document-frequency band. The lower end bounds the lexicon by
 #: (mean distinct terms of a document) / LEAST_SHARE terms, whatever the size of the corpus.
@@ -108,23 +108,21 @@ def with_next(rows: DataFrame, carried: list[str], id_col: str = "doc_id") -> Da
     """Every row with ``next``: a struct of the ``carried`` columns of the following row in id order; the first follows the last.
 
     Ranges of ids, by quantile cuts, are windows of their own; each range's first rows are sent to the range
-    before as well, so that its last row finds them. Null ids come first; equal ids are in the order of the
-    carried values' hash.
+    before as well, so that its last row finds them. Null ids come first; equal or null ids are in the order of the
+    carried values' hash, by which many of them are dealt into ranges.
     """
-    cuts = order_cuts(rows, F.col(id_col), 4 * shuffle_partitions(rows.sparkSession))
-    ranged = rows.withColumn("_range", order_bucket(F.col(id_col), cuts))
+    tied = rows.withColumn("_tie", F.xxhash64(*carried))
+    ranged = tied.withColumn("_range", order_ranges(tied, F.col(id_col), F.col("_tie"), 4 * shuffle_partitions(rows.sparkSession)))
     everything = Window.orderBy("_range")
     around = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.struct(F.col(id_col).isNotNull(), F.col(id_col), F.col("_tie"))
     firsts = (
-        docs_ranges(rows, id_col, cuts)
+        ranged.groupBy("_range").agg(F.min(place).alias("_least"))
         .withColumn("_to", F.coalesce(F.lag("_range").over(everything), F.last("_range").over(around)))
     )
-    both = ranged.join(F.broadcast(firsts), "_range").withColumn(  # one row a range
-        "_copies",
-        F.when(F.col(id_col).eqNullSafe(F.col("_least")), F.array(F.struct(F.lit(False).alias("copy"), F.col("_range").alias("r")), F.struct(F.lit(True).alias("copy"), F.col("_to").alias("r"))))
-        .otherwise(F.array(F.struct(F.lit(False).alias("copy"), F.col("_range").alias("r")))),
-    )
-    dealt = both.withColumn("_c", F.explode("_copies")).withColumn("_tie", F.xxhash64(*carried))
+    here, there = F.struct(F.lit(False).alias("copy"), F.col("_range").alias("r")), F.struct(F.lit(True).alias("copy"), F.col("_to").alias("r"))
+    both = ranged.join(F.broadcast(firsts), "_range")  # one row a range
+    dealt = both.withColumn("_c", F.explode(F.when(place == F.col("_least"), F.array(here, there)).otherwise(F.array(here))))
     order = Window.partitionBy(F.col("_c.r")).orderBy(F.col("_c.copy"), F.col(id_col).asc_nulls_first(), "_tie")
     return (
         dealt.withColumn("next", F.lead(F.struct(*carried)).over(order))
@@ -133,17 +131,13 @@ def with_next(rows: DataFrame, carried: list[str], id_col: str = "doc_id") -> Da
     )
 
 
-def docs_ranges(rows: DataFrame, id_col: str, cuts: list) -> DataFrame:
-    """One row a range: its least id."""
-    return rows.groupBy(order_bucket(F.col(id_col), cuts).alias("_range")).agg(F.min(id_col).alias("_least"))
-
-
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edit, the text whose last half is replaced by the next document's first half.
 
     The edit keeps the first n - floor(n / 2) code points and appends the first floor(n / 2) (or all) of the next
     document by id. Returns the id, n_chars, edited, fingerprint, edited_fingerprint, near_edited and near_next.
-    Defined results: a null text counts as empty; a lone document is its own next; see ``with_next`` for null and equal ids.
+    Defined results: a null text counts as empty; a lone document is its own next; see ``with_next`` for null and equal ids; very long texts are taken
+    whole; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lexicon = build_lexicon(rows)
