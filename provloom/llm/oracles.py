@@ -31,7 +31,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op9() -> str:
     parts = []
     for rank, r in enumerate(secret_scan.RULES):
-        pattern = "[0-9a-f]{24,}" if r.kind == "hex" else r.pattern
+        pattern = "[0-9a-f]{24,}" if r.kind == "hex" else r.pattern  # maximal runs that are shorter would be dropped
         parts.append(rf"""SELECT doc_id, '{r.kind}' AS kind, {rank} AS rank, i, length(m0[i]) AS n, length(m2[i]) AS k, length(gaps[i]) AS gap FROM (SELECT doc_id, m0, m2, gaps, unnest(range(1, len(m0) + 1)) AS i
  FROM (SELECT doc_id, regexp_extract_all(text, {_quoted(pattern)}) AS m0, regexp_extract_all(text, {_quoted(pattern)}, {r.group}) AS m2, string_split_regex(text, {_quoted(pattern)}) AS gaps FROM documents WHERE regexp_matches(text, {_quoted(pattern)})))""")
     least = " ".join(f"WHEN '{r.kind}' THEN {r.least}" for r in secret_scan.RULES)
@@ -58,7 +58,11 @@ def op6() -> str:
     verdicts = " ".join(f"WHEN '{r.name}' THEN '{r.verdict}'" for r in u.RULES)
     return rf"""WITH pg AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 lb AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS failing FROM labels GROUP BY 1),
-hc AS (SELECT host, regexp_extract(host, '([^.]*\.[^.]*)$', 1) AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix, count(failing) AS n, CAST(coalesce(sum(failing), 0) AS BIGINT) AS failing FROM pg LEFT JOIN lb USING (page_id) WHERE host <> '' GROUP BY 1, 2, 3),
+hb AS (SELECT page_id, host, string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS l FROM pg WHERE host <> ''),
+hl AS (SELECT page_id, host, l, CASE WHEN len(l) = 4 AND array_to_string(list_transform(l, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN '1' ELSE '0' END), '') = '1111' THEN 4
+ WHEN len(l) > 1 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gob', 'gov', 'go', 'mil', 'ne', 'net', 'nom', 'or', 'org') AND regexp_full_match(l[-1], '[a-z]{{2}}') THEN 3 ELSE 2 END AS k FROM hb),
+hd AS (SELECT page_id, host, k, list_slice(l, greatest(1, len(l) - k + 1), len(l)) AS d FROM hl),
+hc AS (SELECT host, array_to_string(d, '.') AS domain, array_to_string(CASE WHEN k = 4 OR len(d) = 1 THEN d ELSE d[2:] END, '.') AS suffix, count(failing) AS n, CAST(coalesce(sum(failing), 0) AS BIGINT) AS failing FROM hd LEFT JOIN lb USING (page_id) GROUP BY 1, 2, 3),
 sn AS (SELECT * FROM hc WHERE n > 0), sg AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(failing) AS BIGINT) AS failing FROM sn GROUP BY 1), dg AS (SELECT domain, suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(failing) AS BIGINT) AS failing FROM sn GROUP BY 1, 2),
 {shrink("su", "sg", "suffix", "", "(SELECT (sum(failing) + 0.5) / CAST(sum(n) + 1 AS DOUBLE) FROM sg)")},
 {shrink("dm", "dg", "domain", "JOIN su ON su.suffix = c.suffix", "su.mean")},

@@ -25,8 +25,8 @@ RULES = (
     UrlRule("block", "net", "/"), UrlRule("allow", "example.net", "/en/"),
     UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/"),
 )
-#: Suffixes of two labels below which names are registered; a sample of the public list, fixed values.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "gov.uk", "org.uk")
+#: Second labels below which countries register names, as in co.uk or com.tr; fixed values.
+SECOND_LABELS = ("ac", "co", "com", "edu", "gob", "gov", "go", "mil", "ne", "net", "nom", "or", "org")
 #: A host is blocked if the lower bound of its share of failing pages is above this.
 MAX_FAILING = 0.25
 #: Posterior standard deviations between the mean and the bound: one-sided 95 %.
@@ -46,14 +46,19 @@ def url_path(url: Column) -> Column:
 
 
 def registered_domain(host: Column) -> Column:
-    labels = F.split(F.regexp_replace(host, r":\d*$|^.*@", ""), r"\.")
+    """The part of a host that somebody registered: the label before the suffix, and the suffix. A suffix is the last label, or the last two if the second is one of
+    SECOND_LABELS below a country's two letters. Port and user are left out; an address of four numbers is its own domain."""
+    bare = F.regexp_replace(host, r":\d*$|^.*@", "")
+    labels = F.split(bare, r"\.")
     two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    n = F.when(two.isin(*TWO_LABEL_SUFFIXES), 3).otherwise(2)
-    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+    n = F.when(two.rlike(rf"^({'|'.join(SECOND_LABELS)})\.[a-z][a-z]$"), 3).otherwise(2)
+    named = F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+    return F.when(bare.rlike(r"^\d+\.\d+\.\d+\.\d+$"), bare).otherwise(named)
 
 
 def suffix(domain: Column) -> Column:
-    return F.when(F.contains(domain, F.lit(".")), F.regexp_replace(domain, r"^[^.]*\.", "")).otherwise(domain)
+    """What follows a registered domain's first label; of an address, itself."""
+    return F.when(~domain.rlike(r"^\d+\.\d+\.\d+\.\d+$") & F.contains(domain, F.lit(".")), F.regexp_replace(domain, r"^[^.]*\.", "")).otherwise(domain)
 
 
 def matching_rule(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) -> Column:
@@ -123,8 +128,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[UrlRule, ...] = RU
     """Every page's id, host, path, rule (or null) and verdict: the longest rule's, else block where the host's bound is above MAX_FAILING, else allow.
 
     Defined results: a null url, or one without "://", has an empty host and path, fits no rule and is allowed; equal
-    ids are judged each by its own url; an outcome of null id or of an unknown page counts for nothing; pages without
-    rows give none; other columns are not read. The reputation join is by host; Spark may split a host that holds many pages.
+    ids and repeated rows are judged each by its own url; an outcome of null id or of an unknown page counts for nothing, several of one
+    page are failing if one is; pages without rows give none; very long urls are taken whole; other columns are not read. The reputation join is by host; Spark may split a host that holds many pages.
     """
     rows = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     bad = host_reputation(pages, outcomes, url_col, id_col).where(F.col("bound") > MAX_FAILING).select("host", F.lit(True).alias("_bad"))
