@@ -33,7 +33,8 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
 EXTRA_RULES = (
-    Rule("pem", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----"),
+    # The head line, full lines of the body, and a last line of it with the end line.
+    Rule("pem", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----(?:\r?\n[A-Za-z0-9+/=]{40,})*(?:(?:\r?\n[A-Za-z0-9+/=]{1,76})?\r?\n-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----)?"),
     Rule("forge", r"ghp_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xoxb-[A-Za-z0-9-]{10,}"),
     Rule("web", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
@@ -59,7 +60,7 @@ MAX_STRINGS = 64
 
 
 def trigram_query(pattern: str) -> Query:
-    """The trigrams that any match must hold, as a Boolean query over texts whose A-Z are lower-cased.
+    """The trigrams that any match must hold, as a Boolean query over lower-cased texts; they are of ASCII characters alone.
 
     The regex is walked left to right with the set of literal strings that may have just been read. When a
     wild part ends them, each gives the conjunction of its first and its last trigram, which are as selective here as all
@@ -74,8 +75,8 @@ def trigram_query(pattern: str) -> Query:
         found = {""}
         for op, arg in parts:
             if op is sre.LITERAL:
-                new = {chr(arg).lower() if chr(arg).isascii() else chr(arg)}
-            elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg) and len(arg) <= 8:
+                new = {chr(arg).lower()} if arg < 128 else None  # others may be lower-cased in another way by the texts' side
+            elif op is sre.IN and all(o is sre.LITERAL and a < 128 for o, a in arg) and len(arg) <= 8:
                 new = {chr(a).lower() for _, a in arg}
             elif op is sre.SUBPATTERN:
                 new = choices(arg[3])
@@ -226,8 +227,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     candidates. Rules without a mandatory trigram run on all texts. Row and candidates meet by a hash of id
     and text, with the candidates as the hashed side.
 
-    Defined results: a null text has no spans; rows with equal ids are scanned on their own; an empty table
-    gives no rows; an input column named secret_spans is replaced.
+    Defined results: a null or empty text has no spans; rows with equal ids are scanned on their own; of spans that begin at one place the first rule's comes first; very long
+    texts are scanned whole; an empty table gives no rows; input columns named secret_spans, _key and _kinds are replaced or dropped.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not True}
     rows = docs.drop("secret_spans")

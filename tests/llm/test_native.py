@@ -1,6 +1,7 @@
 """Mixing, sharding, fingerprints, quality rules and secret scans against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -117,6 +118,16 @@ def test_trigram_queries_never_miss():
     assert secret_scan.trigram_query("abc(de|fg)*hij") == ("and", frozenset({("gram", "abc"), ("gram", "hij")}))
 
 
+def test_rules_beyond_ascii_and_whole_keys(spark):
+    rules = (secret_scan.Rule("key", "CLÉ-[0-9]+"), secret_scan.Rule("set", "ab[çÇ]def"), *secret_scan.RULES)
+    body = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(["Ab3+" * 16] * 3) + "\nQQ==\n-----END RSA PRIVATE KEY-----"
+    cut = "-----BEGIN PRIVATE KEY-----\r\n" + "x" * 64 + "\nHello world"
+    df = spark.createDataFrame([(1, "my CLÉ-1234 here ABÇDEF abÇdef"), (2, f"see {body}\nand more"), (3, cut)], "doc_id long, text string")
+    found = {r["doc_id"]: [(x.kind, x.start, x.end) for x in r["secret_spans"]] for r in rows(secret_scan.scan(df, rules))}
+    assert found[1] == [("key", 3, 11), ("set", 24, 30)] and found[2] == [("pem", 4, 4 + len(body))]
+    assert [x for x in found[3] if x[0] == "pem"] == [("pem", 0, cut.index("\nHello"))]
+
+
 def test_redact(spark, odd):
     for r in rows(secret_scan.redact(odd)):
         if r["doc_id"] == 7:
@@ -251,6 +262,77 @@ def test_many_rows_of_one_id(spark):
     assert len(found) == 300
 
 
+def xx(*parts):
+    """The engine's 64-bit hash of strings and integers, one after the other."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for p in parts:
+        raw = p.encode() if isinstance(p, str) else struct.pack("<i" if p < 2**31 else "<q", p)
+        seed = xxhash.xxh64(raw, seed=seed).intdigest()
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def prints_of(text, lexicon):
+    found = [t for t in dict.fromkeys(re.split(r"[^\w]|_", text.lower())) if t]
+    held = [t for t in found if f" {t} " in lexicon[xx(t) % (1 << 14)]]
+    if not held:
+        return {(-1, 0, xx(" ".join(sorted(found))))}
+    first = min(imatch.LEVELS - 2, max(0, math.ceil(math.log(len(held) / imatch.SUBSETS) / math.log(4))))
+    out = set()
+    for level in (first, first + 1):
+        cells = defaultdict(list)
+        for t in held:
+            c = xx_level(t, level) % (imatch.SUBSETS * 4**level)
+            if c < imatch.SUBSETS:
+                cells[c].append(t)
+        for c, terms in cells.items():
+            h = 0
+            for t in sorted(terms):
+                h = chained(h, t)
+            out.add((level, c, h))
+    return out
+
+
+def xx_level(t, level):
+    return xx(t, level)
+
+
+def chained(h, t):
+    import struct
+
+    import xxhash
+
+    first = xxhash.xxh64(struct.pack("<q", h), seed=42).intdigest()
+    second = xxhash.xxh64(t.encode(), seed=first).intdigest()
+    return second - 2**64 if second >= 2**63 else second
+
+
+def test_fingerprints_beside_plain_ones(spark, sf, docs):
+    """Every fingerprint and likeness of the smallest table by a plain version over the same lexicon."""
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    lexicon = imatch.build_lexicon(frame)
+    df = Counter(t for d in docs for t in {t for t in re.split(r"[^\w]|_", d.text.lower()) if t})
+    least, most = max(2.0, imatch.LEAST_SHARE * len(docs)), max(2.0, imatch.MOST_SHARE * len(docs))
+    assert sorted(" ".join(lexicon).split()) == sorted(t for t, n in df.items() if least <= n <= most)
+    got = {r["doc_id"]: r for r in rows(imatch.compare_edits(frame))}
+    order = sorted(docs, key=lambda d: d.doc_id)
+    shown = lambda p: {(e["level"], e["subset"], e["hash"]) for e in p}
+
+    def like(a, b):
+        levels = {x[0] for x in a} & {x[0] for x in b}
+        cells = lambda p: {x[:2] for x in p if x[0] in levels}
+        return 1.0 if a == b else len(a & b) / len(cells(a) | cells(b)) if cells(a) | cells(b) else 0.0
+
+    for d, nxt in zip(order, order[1:] + order[:1], strict=True):
+        mine, edited, following = prints_of(d.text, lexicon), prints_of(got[d.doc_id]["edited"], lexicon), prints_of(nxt.text, lexicon)
+        r = got[d.doc_id]
+        assert shown(r["fingerprint"]) == mine and shown(r["edited_fingerprint"]) == edited
+        assert r["near_edited"] == pytest.approx(like(mine, edited)) and r["near_next"] == pytest.approx(like(mine, following))
+
+
 def test_imatch(spark, sf, docs, odd):
     got = {r["doc_id"]: r for r in rows(queries.op7_imatch(spark, sf))}
     order = sorted(docs, key=lambda d: d.doc_id)
