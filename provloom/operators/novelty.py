@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .running import ranges, running
 
 WRITES = ("EVENT_WRITE", "EVENT_SENDTO", "EVENT_SENDMSG")
@@ -132,7 +133,7 @@ def collapse_unary(tree: DataFrame, joint: str = " ∫ ") -> DataFrame:
     whole = steps.groupBy("tree", "prefix", "level", "count", "children", "local_prob", "global_prob").agg(F.array_sort(F.collect_list(F.struct("d", F.element_at("prefix", F.col("d")).alias("k"), "kids"))).alias("s"))
     start = F.array().cast("array<string>")
     step = lambda a, x: F.when((x["kids"] == 1) & (x["d"] > 1), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), F.lit(joint), x["k"])))).otherwise(F.concat(a, F.array(x["k"])))
-    return whole.where("children <> 1").select("tree", F.aggregate("s", start, step).alias("path"), "count", "global_prob")
+    return whole.where("children <> 1").select("tree", F.aggregate("s", start, step).alias("path"), "count", "children", "global_prob")
 
 
 def most_novel(tree: DataFrame, k: int) -> DataFrame:
@@ -152,14 +153,78 @@ def to_preorder(tree: DataFrame, joint: str = "∫") -> DataFrame:
     ).orderBy("path")
 
 
+#: Classes of event types for summaries; fixed values, in the order of the schema's types.
+EVENT_CLASSES = {
+    "ReadEvents": ("EVENT_READ", "EVENT_RECVFROM", "EVENT_RECVMSG"),
+    "WriteEvents": ("EVENT_WRITE", "EVENT_SENDTO", "EVENT_SENDMSG", "EVENT_TRUNCATE"),
+    "ProcessTreeEvents": ("EVENT_FORK", "EVENT_MODIFY_PROCESS", "EVENT_EXIT", "EVENT_CLONE", "EVENT_CREATE_THREAD", "EVENT_STARTSERVICE"),
+    "ExecutionEvents": ("EVENT_EXECUTE", "EVENT_LOADLIBRARY"),
+    "MemoryMap": ("EVENT_MMAP",),
+    "Unlink": ("EVENT_UNLINK",),
+    "AddObjectAttribute": ("EVENT_ADD_OBJECT_ATTRIBUTE",),
+    "CreateObject": ("EVENT_CREATE_OBJECT",),
+    "FlowsTo": ("EVENT_FLOWS_TO",),
+    "Update": ("EVENT_UPDATE",),
+    "FileSystemEvents": ("EVENT_MOUNT", "EVENT_UMOUNT", "EVENT_CHECK_FILE_ATTRIBUTES", "EVENT_MODIFY_FILE_ATTRIBUTES", "EVENT_RENAME", "EVENT_OPEN", "EVENT_CLOSE", "EVENT_LINK", "EVENT_FCNTL", "EVENT_DUP"),
+    "NetworkManagementEvents": ("EVENT_ACCEPT", "EVENT_CONNECT", "EVENT_BIND", "EVENT_READ_SOCKET_PARAMS", "EVENT_WRITE_SOCKET_PARAMS"),
+    "SystemManagementEvents": ("EVENT_BOOT", "EVENT_MPROTECT", "EVENT_SHM", "EVENT_LOGCLEAR", "EVENT_SERVICEINSTALL"),
+    "UserEvents": ("EVENT_CHANGE_PRINCIPAL", "EVENT_LOGIN", "EVENT_LOGOUT"),
+    "NonspecificEvents": ("EVENT_BLIND", "EVENT_OTHER"),
+}
+
+
 def event_class(kind: Column) -> Column:
-    """Coarse classes of event types, for summaries."""
-    return (
-        F.when(kind.isin(*READS), "reads").when(kind.isin(*WRITES), "writes").when(kind.isin("EVENT_EXECUTE", "EVENT_LOADLIBRARY"), "executes")
-        .when(kind.isin("EVENT_FORK", "EVENT_CLONE"), "spawns").when(kind.isin("EVENT_UNLINK", "EVENT_TRUNCATE"), "removes").otherwise("other")
+    """The class of an event type; null for what is none."""
+    table = F.create_map(*[F.lit(x) for name, kinds in EVENT_CLASSES.items() for k in kinds for x in (k, name)])
+    return F.try_element_at(table, kind)
+
+
+def from_leaves(rows: DataFrame) -> DataFrame:
+    """A snapshot (see ``snapshot``) of weighted leaves (tree, key, count)."""
+    counts = rows.select("tree", "count", "key", F.explode(F.sequence(F.lit(0), F.size("key"))).alias("level")).withColumn("prefix", F.expr("slice(key, 1, level)"))
+    counts = counts.groupBy("tree", "prefix", "level").agg(F.sum("count").alias("count"))
+    up = counts.select("tree", F.col("prefix").alias("parent"), F.col("count").alias("parent_count"))
+    parents = counts.withColumn("parent", F.expr("slice(prefix, 1, greatest(level - 1, 0))"))
+    children = parents.where("level > 0").groupBy("tree", F.col("parent").alias("prefix")).agg(F.count("*").alias("children"))
+    root = counts.where("level = 0").select("tree", F.col("count").alias("root_count"))
+    return parents.join(up, ["tree", "parent"]).join(root, "tree").join(children, ["tree", "prefix"], "left").select(
+        "tree", "prefix", "level", "count", F.coalesce("children", F.lit(0).cast("long")).alias("children"),
+        F.when(F.col("level") == 0, F.lit(1.0)).otherwise(F.col("count") / F.col("parent_count")).alias("local_prob"), (F.col("count") / F.col("root_count")).alias("global_prob"),
     )
 
 
+def summarize(tree: DataFrame, most: int = 5, joint: str = " ∫ ") -> DataFrame:
+    """(tree, path, count, share): a snapshot's leaves in fewer words. "_?_" nodes are left out, event types stand for their classes, chains of only children
+    are one node, leaves of one parent with equal counts are one node, chains are joined again, and shares are of what is left."""
+    rows = leaves(tree).where(~F.array_contains("prefix", "_?_") & (F.col("level") > 0))
+    classed = rows.select("tree", F.transform("prefix", lambda k: F.coalesce(event_class(k), k)).alias("key"), "count").groupBy("tree", "key").agg(F.sum("count").alias("count"))
+    short = collapse_unary(checkpoint(from_leaves(checkpoint(classed))), joint).where("children = 0").select("tree", F.col("path").alias("key"), "count")
+    parent = F.expr("slice(key, 1, size(key) - 1)")
+    alike = short.groupBy("tree", parent.alias("parent"), "count").agg(F.array_sort(F.collect_list(F.element_at("key", -1))).alias("keys"))
+    name = F.when(F.size("keys") <= most, F.array_join("keys", ", ")).otherwise(F.concat(F.size("keys").cast("string"), F.lit(" items like "), F.get("keys", F.lit(0))))
+    merged = alike.select("tree", F.concat("parent", F.array(name)).alias("key"), (F.col("count") * F.size("keys")).alias("count"))
+    last = checkpoint(collapse_unary(checkpoint(from_leaves(checkpoint(merged))), joint).where("children = 0"))  # each is used several times
+    total = last.groupBy("tree").agg(F.sum("count").alias("total"))
+    return last.join(total, "tree").select("tree", "path", "count", (F.col("count") / F.col("total")).alias("share"))
+
+
+def summarizable(tree: DataFrame) -> DataFrame:
+    """The processes that can be summarised: the nodes of the first level."""
+    return truncate(tree, 1).where("level = 1")
+
+
+def novel_actions(tree: DataFrame, path: list[str], k: int) -> DataFrame:
+    """The k least expected leaves below a process, as text."""
+    found = leaves(subtree(tree, path)).orderBy("local_prob", F.array_join("prefix", "|")).limit(k)
+    return found.select(F.array_join(F.expr(f"slice(prefix, {len(path) + 1}, size(prefix))"), " ").alias("action"), "local_prob")
+
+
+def alarm_tree(alarm_rows: DataFrame) -> DataFrame:
+    """Alarms as a tree to look through: for each key prefix how many alarms are below and the least local probability among them."""
+    rows = alarm_rows.select("tree", "local_prob", F.explode(F.transform(F.sequence(F.lit(1), F.size("key")), lambda i: F.slice("key", 1, i))).alias("prefix"))
+    return rows.groupBy("tree", "prefix").agg(F.count("*").alias("alarms"), F.min("local_prob").alias("least"))
+
+
 def merge_equal_siblings(tree: DataFrame, most: int = 5) -> DataFrame:
     """Leaves of one parent with equal counts as one row: up to ``most`` keys listed, more as "N items like" the least."""
     rows = leaves(tree).where("level > 0").withColumn("parent", F.expr("slice(prefix, 1, level - 1)"))

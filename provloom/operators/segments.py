@@ -74,7 +74,7 @@ def sequence(*parts: DataFrame) -> DataFrame:
 
     def then(one: DataFrame, two: DataFrame) -> DataFrame:
         right = two.select("path", F.col("at").alias("_at"))
-        return one.join(right, "path").where(F.element_at("_at", 1) > F.element_at("at", -1)).select("path", F.concat("at", "_at").alias("at"))
+        return one.join(right, "path").where(F.coalesce(F.try_element_at("_at", F.lit(1)) > F.try_element_at("at", F.lit(-1)), F.lit(True))).select("path", F.concat("at", "_at").alias("at"))
 
     return reduce(then, parts)
 
@@ -88,15 +88,34 @@ def optional_sequence(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.union(sequence(first, second)).distinct()
 
 
-def one_or_more(part: DataFrame, most: int = 3) -> DataFrame:
-    """One to ``most`` matches in a row."""
-    found = last = part
-    for _ in range(most - 1):
-        last = sequence(last, part)
+def one_or_more(part: DataFrame, most: int | None = None) -> DataFrame:
+    """Matches of the part in a row, one or more; rounds go on until none can be put behind another, or to ``most`` in a row."""
+    last = checkpoint(part)
+    found, first = last, last
+    for n in count(2):
+        if most is not None and n > most:
+            break
+        last = checkpoint(sequence(last, first))
+        if last.isEmpty():
+            break
         found = found.union(last)
     return found.distinct()
 
 
+def nothing(steps: DataFrame) -> DataFrame:
+    """The empty match of every path."""
+    return steps.select("path").distinct().withColumn("at", F.array().cast(dict(terminal(steps, "").dtypes)["at"]))
+
+
+def optional(steps: DataFrame, part: DataFrame) -> DataFrame:
+    """The part, or nothing."""
+    return part.union(nothing(steps)).distinct()
+
+
+def zero_or_more(steps: DataFrame, part: DataFrame, most: int | None = None) -> DataFrame:
+    return one_or_more(part, most).union(nothing(steps)).distinct()
+
+
 def forward_states(nodes: DataFrame, edges: DataFrame, pattern: list[str], most: int | None = None) -> DataFrame:
     """How far along a pattern of labels the best path into each node of a DAG has come: levels of joins, the maximum over parents.
 

@@ -252,9 +252,34 @@ for _name, (_take, _keys) in TREES.items():
     tree(_name, _take, _keys)
 
 
-@query("event_class_summary", f"""WITH {EV} SELECT subject, CASE kind WHEN 'EVENT_READ' THEN 'reads' WHEN 'EVENT_WRITE' THEN 'writes' WHEN 'EVENT_EXECUTE' THEN 'executes' WHEN 'EVENT_FORK' THEN 'spawns' ELSE 'removes' END AS class, count(*) AS n,
+@query("event_class_summary", f"""WITH {EV} SELECT subject, CASE kind WHEN 'EVENT_READ' THEN 'ReadEvents' WHEN 'EVENT_WRITE' THEN 'WriteEvents' WHEN 'EVENT_EXECUTE' THEN 'ExecutionEvents' WHEN 'EVENT_FORK' THEN 'ProcessTreeEvents' ELSE 'Unlink' END AS class, count(*) AS n,
  round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY subject) AS DOUBLE), 6) AS share FROM ev GROUP BY 1, 2""")
 def event_class_summary(spark, sf_dir):
     ev = event_frame(spark, sf_dir).withColumn("class", novelty.event_class(kind_of(F.col("event_type"))))
     counts = ev.groupBy("subject", "class").agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("subject")), 6))
+
+
+@query("process_summaries")
+def process_summaries(spark, sf_dir):
+    """Every process's summary; nested merging is beyond a query, tests hold it against a walk over the tree."""
+    found = novelty.summarize(novelty.snapshot(observations(spark, sf_dir)))
+    return found.select("tree", F.array_join("path", "/").alias("path"), "count", F.round("share", 6).alias("share"))
+
+
+@query("summarizable_processes", f"WITH {SNAP} SELECT tree, path, count, round(gp, 6) AS global_prob FROM sn WHERE level = 1")
+def summarizable_processes(spark, sf_dir):
+    found = novelty.summarizable(novelty.snapshot(observations(spark, sf_dir)))
+    return found.select("tree", F.array_join("prefix", "|").alias("path"), "count", F.round("global_prob", 6).alias("global_prob"))
+
+
+@query("most_novel_actions", f"WITH {SNAP} SELECT replace(substr(path, 4), '|', ' ') AS action, round(lp, 6) AS local_prob FROM sn WHERE children = 0 AND starts_with(path, 'u5|') ORDER BY lp, path LIMIT 10")
+def most_novel_actions(spark, sf_dir):
+    found = novelty.novel_actions(novelty.snapshot(observations(spark, sf_dir)), ["u5"], 10)
+    return found.withColumn("local_prob", F.round("local_prob", 6))
+
+
+@query("alarm_tree", f"WITH {OBS}, pr AS (SELECT tree, lp, unnest([k1, k1 || '|' || k2, k1 || '|' || k2 || '|' || k3]) AS path FROM al) SELECT tree, path, count(*) AS alarms, round(min(lp), 6) AS least FROM pr GROUP BY 1, 2")
+def alarm_tree(spark, sf_dir):
+    found = novelty.alarm_tree(alarm_rows(spark, sf_dir))
+    return found.select("tree", F.array_join("prefix", "|").alias("path"), "alarms", F.round("least", 6).alias("least"))

@@ -88,6 +88,10 @@ grammar("optional_sequence", lambda s: sg.optional_sequence(W(s), U(s)), "SELECT
 grammar("one_or_more", lambda s: sg.one_or_more(U(s), 2), "SELECT path, CAST(pos AS VARCHAR) AS places FROM st WHERE label = 'EVENT_UNLINK' UNION ALL SELECT a.path, a.pos || ',' || b.pos FROM st a JOIN st b ON a.path = b.path AND b.pos > a.pos WHERE a.label = 'EVENT_UNLINK' AND b.label = 'EVENT_UNLINK'")
 
 
+grammar("optional", lambda s: sg.sequence(W(s), sg.optional(s, X(s)), U(s)), "SELECT a.path, a.pos || ',' || c.pos AS places FROM st a JOIN st c ON a.path = c.path AND c.pos > a.pos WHERE a.label = 'EVENT_WRITE' AND c.label = 'EVENT_UNLINK' UNION ALL SELECT a.path, a.pos || ',' || b.pos || ',' || c.pos FROM st a JOIN st b ON a.path = b.path AND b.pos > a.pos JOIN st c ON c.path = b.path AND c.pos > b.pos WHERE a.label = 'EVENT_WRITE' AND b.label = 'EVENT_EXECUTE' AND c.label = 'EVENT_UNLINK'")
+grammar("zero_or_more", lambda s: sg.zero_or_more(s, U(s), 2), "SELECT DISTINCT path, '' AS places FROM st UNION ALL SELECT path, CAST(pos AS VARCHAR) FROM st WHERE label = 'EVENT_UNLINK' UNION ALL SELECT a.path, a.pos || ',' || b.pos FROM st a JOIN st b ON a.path = b.path AND b.pos > a.pos WHERE a.label = 'EVENT_UNLINK' AND b.label = 'EVENT_UNLINK'")
+
+
 @query("forward_states", f"""WITH RECURSIVE {EV}, su AS (SELECT DISTINCT subject AS s FROM ev), lb AS (SELECT s, CASE s % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS label FROM su),
  f(s, state) AS (SELECT s, CASE WHEN label = 'a' THEN 1 ELSE 0 END FROM lb WHERE s = 0 UNION ALL SELECT lb.s, f.state + CASE WHEN (['a', 'b', 'c'])[f.state + 1] = lb.label THEN 1 ELSE 0 END FROM f JOIN lb ON lb.s // 2 = f.s AND lb.s > 0)
  SELECT 'u' || s AS id, CAST(state AS INT) AS state FROM f""")

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from provloom.operators import detectors, resolve
+from provloom.operators import detectors, novelty, resolve, segments
 from provloom.operators.running import ranges, running
 from provloom.sources import sinks
 
@@ -124,3 +124,63 @@ def test_alarm_files(spark, tmp_path):
         sinks.write_alarms(df, f"{tmp_path}/{form}", form)
     lines = {form: [r.value for r in spark.read.text(f"{tmp_path}/{form}").collect()] for form in ("log", "console", "collector")}
     assert lines["console"] == ["t: k after u"] and lines["log"][0].endswith("\tt\tu / k\t0.25") and '"localProb":0.25' in lines["collector"][0]
+
+
+def test_summaries_beside_a_walk(spark):
+    """Classes, joined chains and merged leaves of a random tree by a recursive walk."""
+    rng = random.Random(12)
+    kinds = ["EVENT_READ", "EVENT_RECVMSG", "EVENT_WRITE", "EVENT_FORK", "EVENT_EXIT", "EVENT_ODD"]
+    keys = [[f"p{rng.randrange(4)}", rng.choice(kinds[: rng.randrange(2, 7)]), f"o{rng.randrange(9)}"] for _ in range(160)] + [["q", "EVENT_MMAP", "only"]] * 3
+    classes = {k: c for c, ks in novelty.EVENT_CLASSES.items() for k in ks}
+
+    def nest(rows):
+        """A node is its count, or the nodes below it."""
+        out = {}
+        for key, n in rows:
+            if len(key) == 1:
+                out[key[0]] = out.get(key[0], 0) + n
+            else:
+                out.setdefault(key[0], []).append((key[1:], n))
+        return {k: nest(v) if isinstance(v, list) else v for k, v in out.items()}
+
+    def chains(node):
+        if not isinstance(node, dict):
+            return node
+        out = {}
+        for k, v in node.items():
+            v = chains(v)
+            if isinstance(v, dict) and len(v) == 1:
+                [(low, v)] = v.items()
+                k = f"{k} ∫ {low}"
+            out[k] = v
+        return out
+
+    def alike(node):
+        if not isinstance(node, dict):
+            return node
+        out, same = {}, {}
+        for k, v in node.items():
+            if isinstance(v, dict):
+                out[k] = alike(v)
+            else:
+                same.setdefault(v, []).append(k)
+        for n, ks in same.items():
+            out[", ".join(sorted(ks)) if len(ks) <= 5 else f"{len(ks)} items like {min(ks)}"] = n * len(ks)
+        return out
+
+    def flat(node, at=()):
+        return [(at, node)] if not isinstance(node, dict) else [x for k, v in node.items() for x in flat(v, (*at, k))]
+
+    want = chains(alike(chains(nest([([classes.get(x, x) for x in k], 1) for k in keys]))))
+    obs = spark.createDataFrame([("t", k) for k in keys], "tree string, key array<string>")
+    got = novelty.summarize(novelty.snapshot(obs)).collect()
+    assert sorted((tuple(r.path), r["count"]) for r in got) == sorted(flat(want))
+    assert sum(r.share for r in got) == pytest.approx(1)
+
+
+def test_repetitions_without_bound(spark):
+    steps = spark.createDataFrame([("p", i, c) for i, c in enumerate("ABAACA")] + [("q", 0, "B")], "path string, pos int, label string")
+    some = segments.zero_or_more(steps, segments.terminal(steps, "A"))
+    got = sorted((r.path, tuple(r["at"])) for r in some.collect())
+    at = [0, 2, 3, 5]
+    assert got == sorted([("p", c) for k in range(5) for c in itertools.combinations(at, k)] + [("q", ())])
