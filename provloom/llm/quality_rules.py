@@ -85,7 +85,8 @@ def apply_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean),
     clean_text, and n_lines_removed (long). Defined results: a null text counts as empty, so it has no words and fails; an
-    empty table gives no rows; input columns with these names are replaced.
+    empty table gives no rows; repeated rows and equal ids are judged each; very long texts are judged whole; input columns with these names are
+    replaced, those named _words and _clean are dropped, others are kept.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text", "n_lines_removed"]
     rows = docs.drop(*[c for c in added if c != text_col])

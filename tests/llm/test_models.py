@@ -179,6 +179,23 @@ def test_masked_lm_tells_words_of_a_class_apart(spark):
     assert math.exp(by[100, 1]) + math.exp(by[200, 1]) < 1
 
 
+def test_urls_at_the_edges(spark):
+    """Null, odd and very long urls, repeated rows, outcomes of null id, clashing columns, no pages at all."""
+    long = "http://" + "a." * 3000 + "example.org/" + "x" * 50_000
+    pages = [(1, None, "h"), (2, "no scheme", "h"), (3, "HTTP://User@Sub.Example.NET:80/en/x?q", "h"), (3, "http://a.b.co.uk/", "h"), (None, "http://10.0.0.7/x", "h"), (4, long, "h"), (4, long, "h")]
+    df = spark.createDataFrame(pages, "page_id long, url string, host string")
+    outcomes = spark.createDataFrame([(None, True), (3, True), (3, False), (99, True)], "page_id long, failing boolean")
+    got = url_reputation.judge(df, outcomes).collect()
+    assert len(got) == len(pages) and sum(r.page_id == 4 for r in got) == 2
+    assert all((r.host, r.path, r.rule, r.verdict) == ("", "", None, "allow") for r in got if r.page_id in (1, 2))
+    assert {r.host for r in got if r.page_id == 3} == {"user@sub.example.net:80", "a.b.co.uk"}
+    assert url_reputation.judge(df.limit(0), outcomes).count() == 0
+    hosts = {"a.com.tr": "a.com.tr", "x.b.com.tr": "b.com.tr", "10.0.0.7": "10.0.0.7", "u@h.example.org:8": "example.org", "localhost": "localhost", "co.uk": "co.uk"}
+    rows = spark.createDataFrame(list(hosts.items()), "host string, want string").withColumn("got", url_reputation.registered_domain(F.col("host")))
+    assert all(r.got == r.want for r in rows.collect())
+    assert [r.s for r in rows.select(url_reputation.suffix(F.col("got")).alias("s")).collect()] == ["com.tr", "com.tr", "10.0.0.7", "org", "localhost", "uk"]
+
+
 def plain_probability(w, around, own):
     """The two-level softmax of one token, step by step."""
     vectors, gates, bias, top, top_bias, low, low_bias = masked_lm.parts(w)
