@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,8 +18,8 @@ KINDS, OTHERS = 1024, 255
 CLASS = 32
 #: Tokens that are looked at on either side, and the width of the network.
 WINDOW, WIDTH = 2, 16
-#: Passes over all documents, and the step's size. A step takes a 64th of the tokens that the run has seen, within these bounds.
-ROUNDS, RATE, LEAST_STEP, MOST_STEP = 2, 0.25, 128, 4096
+#: Passes over all documents, and the step's size. A step takes a 32nd of the tokens that the run has seen, within these bounds.
+ROUNDS, RATE, LEAST_STEP, MOST_STEP = 2, 0.3, 128, 8192
 #: Tokens of a training shard, on average. Documents are dealt into shards by their hash, so that a shard's tokens don't depend on partitions.
 SHARD_TOKENS = 4_000_000
 #: Tokens whose probabilities are computed at once, and words whose kinds a worker remembers.
@@ -29,28 +28,21 @@ BATCH, CACHE_WORDS = 16_384, 200_000
 MOST_WEIGHT = 4.0
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-class Tokens:
-    """Kinds of words. Words are runs without ASCII white space of a text that is lower-cased already."""
+class Tokens(dict):
+    """Kinds of words, which are UTF-8 runs without ASCII white space of a text that is lower-cased already. Looked up words are remembered while there is room."""
 
     def __init__(self, words: list[str]) -> None:
-        self.common = {w: i + 1 for i, w in enumerate(words)}
-        self.known = dict(self.common)
+        super().__init__((w.encode(), i + 1) for i, w in enumerate(words))
 
-    def __missing(self, w: str) -> int:
-        return KINDS - OTHERS + zlib.crc32(w.encode("utf-8", "surrogatepass")) % OTHERS
+    def __missing__(self, w: bytes) -> int:
+        kind = KINDS - OTHERS + zlib.crc32(w) % OTHERS
+        if len(self) < CACHE_WORDS:
+            self[w] = kind
+        return kind
 
     def ids(self, text: str | None) -> np.ndarray:
-        words = _WORD.findall(text or "")
-        if len(self.known) > CACHE_WORDS:
-            self.known = dict(self.common)
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = self.__missing(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint16, len(words))
+        words = (text or "").encode("utf-8", "surrogatepass").split()
+        return np.fromiter(map(self.__getitem__, words), np.uint16, len(words))
 
 
 def start(seed: int = 1) -> np.ndarray:
@@ -93,6 +85,16 @@ def _of(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
     return mine - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
 
+def _within(h: np.ndarray, low: np.ndarray, low_bias: np.ndarray, klass: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Logits of the kinds of each token's class; tokens are in the order of classes, which end at ``ends``."""
+    logits = np.empty((len(h), CLASS), np.float32)
+    for c in np.flatnonzero(np.diff(ends)):
+        of = slice(ends[c], ends[c + 1])
+        np.matmul(h[of], low[c], out=logits[of])
+    logits += low_bias[klass]
+    return logits
+
+
 def log_probabilities(weights: np.ndarray, around: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """log p(token | both sides) of each token, some at a time; tokens of one class go through its weights together."""
     vectors, gates, bias, top, top_bias, low, low_bias = parts(weights)
@@ -105,12 +107,7 @@ def log_probabilities(weights: np.ndarray, around: np.ndarray, ids: np.ndarray)
         own = own[order]
         h = _hidden(tables, bias, around[a : a + BATCH][order])
         klass, inner = np.divmod(own, np.uint16(CLASS))
-        score = _of(h @ top + top_bias, klass)
-        ends = np.searchsorted(own, starts)
-        for c in np.flatnonzero(np.diff(ends)):
-            of = slice(ends[c], ends[c + 1])
-            score[of] += _of(h[of] @ low[c] + low_bias[c], inner[of])
-        found[a + order] = score
+        found[a + order] = _of(h @ top + top_bias, klass) + _of(_within(h, low, low_bias, klass, np.searchsorted(own, starts)), inner)
     return found
 
 
@@ -129,7 +126,7 @@ def train(weights: np.ndarray, around: np.ndarray, ids: np.ndarray, rate: float,
     starts = np.arange(KINDS // CLASS + 1) * CLASS
     a = 0
     while a < len(order):
-        at = order[a : a + min(MOST_STEP, max(LEAST_STEP, (seen + a) // 64))]
+        at = order[a : a + min(MOST_STEP, max(LEAST_STEP, (seen + a) // 32))]
         a += len(at)
         own = ids[at]
         by_kind = np.argsort(own, kind="stable")  # tokens of one class are neighbours
@@ -140,13 +137,15 @@ def train(weights: np.ndarray, around: np.ndarray, ids: np.ndarray, rate: float,
         p = _slope(h @ top + top_bias, klass)
         back = p @ top.T
         ends = np.searchsorted(own, starts)
-        for c in np.flatnonzero(np.diff(ends)):
+        q, there = _slope(_within(h, low, low_bias, klass, ends), inner), np.flatnonzero(np.diff(ends))
+        for c in there:
+            of = slice(ends[c], ends[c + 1])
+            back[of] += q[of] @ low[c].T
+        q *= step
+        for c in there:
             of = slice(ends[c], ends[c + 1])
-            q = _slope(h[of] @ low[c] + low_bias[c], inner[of])
-            back[of] += q @ low[c].T
-            q *= step
-            low[c] -= h[of].T @ q
-            low_bias[c] -= q.sum(axis=0)
+            low[c] -= h[of].T @ q[of]
+        low_bias[there] -= np.add.reduceat(q, ends[there], axis=0)
         back *= 1 - h * h
         back *= step
         p *= step
@@ -229,7 +228,7 @@ def _learn(shared, rate: float, round_: int):
             nonlocal weights, held, size, total
             ids = np.concatenate(held)
             around = np.concatenate([windows(x) for x in held])
-            weights = train(weights, around, ids, rate, (round_ << 32) + shard, total if round_ == 0 else total + 64 * MOST_STEP)
+            weights = train(weights, around, ids, rate, (round_ << 32) + shard, total if round_ == 0 else total + 32 * MOST_STEP)
             total, held, size = total + size, [], 0
 
         def done() -> pa.RecordBatch:
