@@ -147,3 +147,10 @@ def suffix_fold(rows: DataFrame, key: str, text: str) -> DataFrame:
     back = rows.select(key, F.reverse(text).alias("_b")).distinct()
     nxt = F.lead("_b").over(Window.partitionBy(key).orderBy("_b"))
     return back.withColumn("_n", nxt).where("_n is null or not startswith(_n, _b)").select(key, F.reverse("_b").alias(text))
+
+
+def text_uuids(rows: DataFrame, key: str, text: str, roots: DataFrame) -> DataFrame:
+    """(key, uuid): the distinct uuids that texts name in any case, each as what ``roots`` (id, root) resolves it to, or itself."""
+    pattern = F.lit(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
+    found = rows.select(key, F.explode(F.regexp_extract_all(text, pattern, F.lit(0))).alias("id")).select(key, F.lower("id").alias("id")).distinct()
+    return found.join(roots, "id", "left").select(key, F.coalesce("root", "id").alias("uuid")).distinct()

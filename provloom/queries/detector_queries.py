@@ -14,15 +14,16 @@ from .sql import EV
 
 
 def ctx(spark, sf_dir) -> DataFrame:
-    """Users' days and what their events were: kinds, objects modulo 4 and bands of value."""
+    """Users' days and what their events were: kinds, objects modulo 4, bands of value and whether data moved."""
     ev = event_frame(spark, sf_dir).withColumn("o", F.concat_ws(":", F.col("subject").cast("string"), F.expr("nanos div 86400000000000").cast("string")))
     band = F.when(F.col("value") < 15, "v0").when(F.col("value") < 60, "v1").otherwise("v2")
-    items = F.array(kind_of(F.col("event_type")), F.concat(F.lit("k"), (F.col("object") % 4).cast("string")), band)
+    moves = F.when(F.col("event_type").isin("click", "purchase"), "io")  # what reads and writes have in common
+    items = F.array(kind_of(F.col("event_type")), F.concat(F.lit("k"), (F.col("object") % 4).cast("string")), band, moves)
     return d.context(ev.select("o", F.explode(items).alias("a")), "o", "a")
 
 
 CTX = EV + """, ctx AS (SELECT DISTINCT o AS object, a AS attribute FROM (SELECT subject || ':' || (nanos // 86400000000000) AS o,
- unnest([kind, 'k' || (object % 4), CASE WHEN value < 15 THEN 'v0' WHEN value < 60 THEN 'v1' ELSE 'v2' END]) AS a FROM ev) WHERE a IS NOT NULL),
+ unnest([kind, 'k' || (object % 4), CASE WHEN value < 15 THEN 'v0' WHEN value < 60 THEN 'v1' ELSE 'v2' END, CASE WHEN kind IN ('EVENT_READ', 'EVENT_WRITE') THEN 'io' END]) AS a FROM ev) WHERE a IS NOT NULL),
 nn AS (SELECT count(DISTINCT object) AS n FROM ctx), fr AS (SELECT attribute, count(*) AS f FROM ctx GROUP BY 1)"""
 
 
@@ -193,9 +194,15 @@ def implications(spark, sf_dir):
     return _named(d.implications(sets(spark, sf_dir), 0.5, objects(spark, sf_dir)))
 
 
-@query("anti_implications", f"WITH {COVERS}, lo AS MATERIALIZED (SELECT * FROM cr WHERE confidence < 0.3) {_subsumed('lo', True)}")
+@query("anti_implications", f"WITH {COVERS}, lo AS MATERIALIZED (SELECT * FROM cr WHERE confidence < 0.4) {_subsumed('lo', True)}")
 def anti_implications(spark, sf_dir):
-    return _named(d.anti_implications(sets(spark, sf_dir), 0.3, objects(spark, sf_dir)))
+    return _named(d.anti_implications(sets(spark, sf_dir), 0.4, objects(spark, sf_dir)))
+
+
+@query("exact_rules", f"""WITH {ITEMS}, ex AS MATERIALIZED (SELECT a.items AS x, list_filter(z.items, lambda q: NOT list_contains(a.items, q)) AS y, a.support FROM st a JOIN cl z ON z.support = a.support AND len(z.items) > len(a.items) AND list_has_all(z.items, a.items))
+ SELECT array_to_string(x, ',') AS x, array_to_string(y, ',') AS y, support FROM ex a WHERE NOT EXISTS (SELECT 1 FROM ex b WHERE list_has_all(a.x, b.x) AND list_has_all(b.y, a.y) AND (a.x <> b.x OR a.y <> b.y))""")
+def exact_rules(spark, sf_dir):
+    return d.exact_rules(sets(spark, sf_dir)).select(F.array_join("x", ",").alias("x"), F.array_join("y", ",").alias("y"), "support")
 
 
 @query("disjoint_items", f"WITH {ITEMS} SELECT a.items[1] AS x, b.items[1] AS y FROM st a JOIN st b ON len(a.items) = 1 AND len(b.items) = 1 AND a.items[1] < b.items[1] WHERE NOT EXISTS (SELECT 1 FROM st c WHERE c.items = [a.items[1], b.items[1]])".replace(str(SHARE), "0.25"))

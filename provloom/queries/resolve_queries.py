@@ -9,6 +9,7 @@ from ..functions import scalar as fn
 from ..operators import resolve
 from ..operators.graph import event_frame, kind_of
 from ..session import table
+from ..sources import versions
 from .registry import query
 from .sql import EV
 
@@ -104,6 +105,19 @@ def upconvert_versions(spark, sf_dir):
     return resolve.upconvert(frames, {18: {"type": "kind"}, 19: {"id": "event_id"}}, {"host_id": F.lit("0")}, ["event_id", "kind", "host_id", "size"])
 
 
+@query("upconvert_records", f"""SELECT 's' || s_suppkey AS uuid, CASE WHEN v < 19 THEN '{versions.NO_HOST}' ELSE 'n' || s_nationkey END AS host, '10.0.0.' || s_nationkey AS localAddress, 80 AS localPort,
+ CASE WHEN v = 20 THEN CAST(s_suppkey AS BIGINT) END AS initTcpSeqNum, CAST(v AS INT) AS from_version FROM (SELECT *, 17 + s_suppkey % 4 AS v FROM supplier)""")
+def upconvert_records(spark, sf_dir):
+    """Suppliers as network flows written by four schema versions."""
+    flows = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.concat(F.lit("s"), "s_suppkey").alias("uuid"), F.concat(F.lit("n"), "s_nationkey").alias("host"), F.concat(F.lit("10.0.0."), "s_nationkey").alias("localAddress"),
+        F.lit(80).alias("localPort"), F.col("s_suppkey").alias("initTcpSeqNum"),
+    )
+    lacks = {17: ("host", "initTcpSeqNum"), 18: ("host", "initTcpSeqNum"), 19: ("initTcpSeqNum",), 20: ()}
+    frames = {v: flows.where(F.col("s_suppkey") % 4 == v - 17).drop("s_suppkey", *lacks[v]) for v in lacks}
+    return versions.to_newest(frames, "NetFlowObject").select("uuid", "host", "localAddress", "localPort", "initTcpSeqNum", "from_version")
+
+
 _SPEC = {"and": [{"or": [{"hasLabel": "EVENT_WRITE"}, {"hasLabel": "EVENT_READ"}]}, {"not": {"hasProperty": {"key": "object", "value": 5}}}, {"hasEdge": "subject"}]}
 
 
@@ -192,3 +206,14 @@ def day_events(spark, sf_dir):
     ev = event_frame(spark, sf_dir)
     day = ev.agg(F.min(F.expr("nanos div 1000000000"))).head()[0]
     return ev.where(fn.in_day(F.expr("nanos div 1000000000"), day)).select("event_id")
+
+
+@query("attack_uuids", f"WITH {EV}, su AS (SELECT DISTINCT subject AS s FROM ev), x AS (SELECT s, md5('u' || s) AS h FROM su), t AS (SELECT s, {_U3} AS uuid FROM x), r AS (SELECT t.s, t.uuid, coalesce(p.uuid, t.uuid) AS resolved FROM t LEFT JOIN t p ON p.s = t.s // 2 AND t.s > 0) SELECT 'line ' || s AS line, resolved AS uuid FROM r UNION SELECT 'line ' || (s + 1), resolved FROM r WHERE s + 1 IN (SELECT s FROM su)")
+def attack_uuids(spark, sf_dir):
+    """Uuids in the lines of a report, each line naming two, as they are after resolution."""
+    ids = event_frame(spark, sf_dir).select("subject").distinct().withColumn("uuid", fn.name_uuid(F.concat(F.lit("u"), "subject")))
+    before = ids.select((F.col("subject") + 1).alias("subject"), F.col("uuid").alias("last"))
+    lines = ids.join(before, "subject", "left").select(F.concat(F.lit("line "), "subject").alias("line"), F.concat_ws(",", F.lit("attack"), "uuid", F.upper("last")).alias("text"))
+    parents = ids.select(F.col("subject").alias("up"), F.col("uuid").alias("root"))
+    merges = ids.where("subject > 0").withColumn("up", F.expr("subject div 2")).join(parents, "up").select(F.col("uuid").alias("id"), "root")
+    return resolve.text_uuids(lines, "line", "text", merges)

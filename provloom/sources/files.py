@@ -47,13 +47,39 @@ def to_fimi(ctx: DataFrame) -> DataFrame:
     return ctx.join(ids, "attribute").groupBy("object").agg(F.array_join(F.array_sort(F.collect_set("n")).cast("array<string>"), " ").alias("value"))
 
 
-def to_rcf(ctx: DataFrame) -> list[str]:
-    """The header lines of a relational context, sorted names; rows follow as 0/1 cells."""
-    objects = [r[0] for r in ctx.select("object").distinct().orderBy("object").collect()]
-    attributes = [r[0] for r in ctx.select("attribute").distinct().orderBy("attribute").collect()]
-    has = {(r[0], r[1]) for r in ctx.collect()}
-    rows = [" ".join("1" if (o, a) in has else "0" for a in attributes) for o in objects]
-    return ["[Relational Context]", "Default Name", "[Binary Relation]", "Name_of_dataset", " | ".join(map(str, objects)), " | ".join(attributes), *rows, "[END Relational Context]"]
+def _listed(ctx: DataFrame, column: str) -> DataFrame:
+    """One row: the sorted distinct values, which the formats want in one line."""
+    return ctx.select(column).distinct().agg(F.sort_array(F.collect_list(column)).alias(f"{column}s"))
+
+
+def _rows(ctx: DataFrame, yes: str, no: str, joint: str) -> DataFrame:
+    """(object, value): a cell for each attribute, in order; the attributes are one broadcast row."""
+    sets = ctx.groupBy("object").agg(F.collect_set("attribute").alias("has")).join(F.broadcast(_listed(ctx, "attribute")), F.lit(True))
+    cells = F.transform("attributes", lambda a: F.when(F.array_contains("has", a), yes).otherwise(no))
+    return sets.select("object", F.array_join(cells, joint).alias("value"))
+
+
+#: The fixed lines of a relational context.
+_RCF = ("[Relational Context]", "Default Name", "[Binary Relation]", "Name_of_dataset", "[END Relational Context]")
+
+
+def to_rcf(ctx: DataFrame) -> DataFrame:
+    """(part, object, value): the lines of a relational context in the order of part and object: header, names, a row of 0/1 cells for each object, end."""
+    spark = ctx.sparkSession
+    fixed = spark.createDataFrame([(i, "", line) for i, line in enumerate(_RCF[:4])] + [(7, "", _RCF[4])], "part int, object string, value string")
+    names = [_listed(ctx, c).select(F.lit(at).alias("part"), F.lit("").alias("object"), F.array_join(f"{c}s", " | ").alias("value")) for at, c in ((4, "object"), (5, "attribute"))]
+    cells = _rows(ctx, "1", "0", " ").select(F.lit(6).alias("part"), F.col("object").cast("string").alias("object"), "value")
+    return fixed.union(names[0]).union(names[1]).union(cells)
+
+
+def to_cxt(ctx: DataFrame) -> DataFrame:
+    """(part, object, value): the lines of a Burmeister context in the order of part and object, as ``read_cxt`` reads them."""
+    spark = ctx.sparkSession
+    head = spark.createDataFrame([(0, "", "B"), (1, "", "")], "part int, object string, value string")
+    sizes = [ctx.agg(F.lit(at).alias("part"), F.lit("").alias("object"), F.count_distinct(c).cast("string").alias("value")) for at, c in ((2, "object"), (3, "attribute"))]
+    names = [ctx.select(F.lit(at).alias("part"), F.col(c).cast("string").alias("object"), F.col(c).cast("string").alias("value")).distinct() for at, c in ((4, "object"), (5, "attribute"))]
+    cells = _rows(ctx, "X", ".", "").select(F.lit(6).alias("part"), F.col("object").cast("string").alias("object"), "value")
+    return head.union(sizes[0]).union(sizes[1]).union(names[0]).union(names[1]).union(cells)
 
 
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:

@@ -197,7 +197,12 @@ def test_text_formats(spark, tmp_path):
     (tmp_path / "c.dat").write_text("1 3\n3\n")
     assert pairs(files.read_fimi(spark, f"{tmp_path}/c.dat")) == [("0", "1"), ("0", "3"), ("1", "3")]
     ctx = files.read_cxt(spark, f"{tmp_path}/c.cxt")
-    assert pairs(files.to_fimi(ctx)) == [("o1", "1 2"), ("o2", "2")] and "1 1" in files.to_rcf(ctx)
+    assert pairs(files.to_fimi(ctx)) == [("o1", "1 2"), ("o2", "2")] and "1 1" in [r.value for r in files.to_rcf(ctx).collect()]
+    lines = [r.value for r in files.to_rcf(ctx).orderBy("part", "object").collect()]
+    assert lines[0] == "[Relational Context]" and lines[4].split(" | ") == sorted({r.object for r in ctx.collect()}) and lines[-1] == "[END Relational Context]"
+    cxt = tmp_path / "again.cxt"
+    cxt.write_text("\n".join(r.value for r in files.to_cxt(ctx).orderBy("part", "object").collect()) + "\n")
+    assert {tuple(r) for r in files.read_cxt(spark, str(cxt)).collect()} == {tuple(r) for r in ctx.collect()}
     (tmp_path / "t.ttl").write_text('<http://a> <http://p> <http://b> .\n# no\n<http://a> <http://q> "x \\"y"@en .\n')
     assert [tuple(r) for r in files.read_turtle(spark, f"{tmp_path}/t.ttl").orderBy("predicate").collect()] == [("http://a", "http://p", "http://b", None), ("http://a", "http://q", None, 'x \\"y')]
 
