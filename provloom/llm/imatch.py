@@ -109,9 +109,9 @@ def with_next(rows: DataFrame, carried: list[str], id_col: str = "doc_id") -> Da
 
     Ranges of ids, by quantile cuts, are windows of their own; each range's first rows are sent to the range
     before as well, so that its last row finds them. Null ids come first; equal or null ids are in the order of the
-    carried values' hash, by which many of them are dealt into ranges.
+    first carried column's hash, by which many of them are dealt into ranges.
     """
-    tied = rows.withColumn("_tie", F.xxhash64(*carried))
+    tied = rows.withColumn("_tie", F.xxhash64(carried[0]))  # of a column that costs nothing to make again
     ranged = tied.withColumn("_range", order_ranges(tied, F.col(id_col), F.col("_tie"), 4 * shuffle_partitions(rows.sparkSession)))
     everything = Window.orderBy("_range")
     around = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
