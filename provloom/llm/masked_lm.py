@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, checkpoint
+from .common import SPACES, checkpoint, remove, shared_folder
 
 #: Token kinds: 0 outside the text, then the corpus's commonest words, then OTHERS classes that all other words are dealt into by their hash.
 KINDS, OTHERS = 1024, 255
@@ -263,7 +264,7 @@ def fit(rows: DataFrame, tokens: int) -> np.ndarray:
     shards = max(1, -(-tokens // SHARD_TOKENS))
     key = F.pmod(F.xxhash64("id", "text_hash", F.lit(7)), F.lit(shards))
     some = rows.where(F.length("kinds") > 0).select(key.alias("shard"), "id", "text_hash", "kinds")
-    dealt = checkpoint(some.repartitionByRange(min(shards, 10_000), "shard").sortWithinPartitions("shard", "id", "text_hash").select("shard", "kinds"))
+    dealt = checkpoint(some.repartitionByRange(min(shards, 10_000), "shard").sortWithinPartitions("shard", "id", "text_hash").select("shard", "kinds"), free=True)
     weights = start()
     for n in range(ROUNDS if tokens else 0):
         found = dealt.mapInArrow(_learn(sc.broadcast(weights), RATE / (n + 1), n), "tokens long, weights binary")
@@ -287,13 +288,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    texts = checkpoint(texts)  # rows keep their numbers
-    counts = checkpoint(count_words(texts))
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/masked-lm-{uuid.uuid4().hex}"
+    texts.write.parquet(folder)  # rows keep their numbers; columns are compressed, and go when they have been read
+    texts = spark.read.schema(texts.schema).parquet(folder)
+    counts = checkpoint(count_words(texts), free=True)
     tokens = counts.agg(F.sum("n")).head()[0] or 0
     words = common_words(counts)
     rows = checkpoint(find_kinds(texts, words))
-    shared = docs.sparkSession.sparkContext.broadcast((fit(rows, tokens), np.log(class_totals(rows)).astype(np.float32)))
-    rows = rows.join(shares(texts, counts, words), "row", "left").select("id", "kinds", F.coalesce("log_n", F.lit(0.0)).alias("log_n"))
+    logs = checkpoint(shares(texts, counts, words), free=True)
+    remove(spark, folder)
+    shared = spark.sparkContext.broadcast((fit(rows, tokens), np.log(class_totals(rows)).astype(np.float32)))
+    rows = rows.join(logs, "row", "left").select("id", "kinds", F.coalesce("log_n", F.lit(0.0)).alias("log_n"))
     schema = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("pll_sum"), F.lit(0.0).alias("pll_mean")).schema
     for field in schema:
         field.nullable = True
