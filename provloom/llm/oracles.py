@@ -74,5 +74,23 @@ ru AS (SELECT *, CASE {rules} END AS rule FROM pg)
 SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE rule {verdicts} END WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM ru"""
 
 
+def op11() -> str:
+    """Each document meets each order and step; nothing is packed."""
+    names = "', '".join("ABCDE")
+    return rf"""WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+d AS (SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) AS c,
+ regexp_matches(t, '[#$%&*|]') AS d, doc_id > min(doc_id) OVER (PARTITION BY t) AS e FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT d.part, [d.a, d.b, d.c, d.d, d.e] AS f, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic, count(*) AS n FROM d LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['{names}']) AS x),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+k AS (SELECT filter_order, step, list_transform(range(1, step), lambda j: ascii(filter_order[j]) - 64) AS before, ascii(filter_order[step]) - 64 AS here FROM o, (SELECT unnest(range(1, 6)) AS step) s),
+v AS (SELECT part, filter_order, step, here, n, good, toxic, f[here] AS fails, list_bool_or(list_transform(before, lambda j: f[j])) IS TRUE AS gone, len(list_filter(f, lambda y: y)) = 1 AS alone FROM m, k),
+g AS (SELECT part, filter_order, step, here, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant,
+ coalesce(sum(n) FILTER (fails AND alone), 0) AS unique_fails, coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0) AS toxic_lost FROM v GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+ CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, here) AS BIGINT) AS shapley FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_reputation": op6(), "op8_quality_rules": op8(), "op9_secret_scan": op9()}
+    return {"op6_url_reputation": op6(), "op8_quality_rules": op8(), "op9_secret_scan": op9(), "op11_filter_audit": op11()}
