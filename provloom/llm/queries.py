@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, filter_audit, imatch, kneser_ney, masked_lm, minhash, mixing, oracles, quality_rules, secret_scan, sharding, url_reputation
+from . import bpe, filter_audit, imatch, kneser_ney, masked_lm, minhash, mixing, oracles, quality_rules, secret_scan, sharding, toxicity, url_reputation, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = found.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -107,6 +117,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secret_scan": op9_secret_scan,
         "op10_masked_lm": op10_masked_lm,
         "op11_filter_audit": op11_filter_audit,
+        "op12_whitening": op12_whitening,
+        "op13_toxicity": op13_toxicity,
     }
 
 
