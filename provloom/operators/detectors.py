@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+from .subsets import SubsetIndex, look_up
+
 
 def log2(x: Column) -> Column:
     return F.log(x) / F.log(F.lit(2.0))
@@ -134,19 +139,41 @@ def _inside(small: Column, large: Column) -> Column:
     return F.size(F.array_except(small, large)) == 0
 
 
+def closures(sets: DataFrame) -> DataFrame:
+    """(items, closure) of frequent sets, all of which are in ``sets``: the greatest superset of equal support.
+
+    A set that isn't closed has a superset of one more item and equal support; such steps are followed to their end by doubling,
+    so a set of n items takes log2(n) rounds of equi-joins.
+    """
+    bigger = sets.where(F.size("items") > 1).withColumn("drop", F.explode("items")).select(F.expr("array_remove(items, drop)").alias("items"), "support", F.col("items").alias("next"))
+    table = checkpoint(sets.join(bigger, ["items", "support"], "left").groupBy("items").agg(F.coalesce(F.min("next"), F.col("items")).alias("closure")))
+    while True:
+        ahead = table.where("closure <> items").select(F.col("items").alias("closure"), F.col("closure").alias("next"))
+        if ahead.isEmpty():
+            return table
+        joined = table.join(ahead, "closure", "left").select("items", F.coalesce("next", "closure").alias("closure"), F.col("next").isNotNull().alias("moved"))
+        table = checkpoint(joined)
+        if table.where("moved").isEmpty():
+            return table.select("items", "closure")
+        table = table.select("items", "closure")
+
+
 def covers(sets: DataFrame) -> DataFrame:
-    """(x, sx, z, support): pairs of closed itemsets, x within z, with no closed one between; z is met by x's first item."""
-    low = sets.select(F.col("items").alias("x"), F.col("support").alias("sx"), F.get("items", F.lit(0)).alias("item"))
-    high = sets.select(F.col("items").alias("z"), "support", F.explode("items").alias("item"))
-    pairs = low.join(high, "item").where((F.size("x") < F.size("z")) & _inside(F.col("x"), F.col("z"))).select("x", "sx", "z", "support")
-    between = pairs.select("x", F.col("z").alias("m")).join(pairs.select(F.col("x").alias("m"), "z"), "m").select("x", "z").distinct()
-    return pairs.join(between, ["x", "z"], "left_anti")
+    """(x, sx, z, support): pairs of closed itemsets, x within z, with no closed one between, of all frequent sets.
+
+    z covers x if and only if each item that z adds to x closes x to z: one row a frequent set and item that it could do without, counted by (x, z).
+    """
+    closing = closures(sets)
+    full = closing.where("items = closure").select("items").join(sets, "items")
+    one_more = closing.withColumn("drop", F.explode("items")).select(F.expr("array_remove(items, drop)").alias("x"), F.col("closure").alias("z"))
+    found = one_more.join(full.select(F.col("items").alias("x"), F.col("support").alias("sx")), "x").groupBy("x", "sx", "z").agg(F.count("*").alias("n"))
+    return found.where("n = size(z) - size(x)").join(full.withColumnRenamed("items", "z"), "z").select("x", "sx", "z", "support")
 
 
 def cover_rules(sets: DataFrame, n: int) -> DataFrame:
     """Rules x -> y from the covering pairs of the closed itemsets of ``sets``, y what z adds to x, with confidence and lift."""
     other = sets.select(F.col("items").alias("y"), F.col("support").alias("sy"))
-    found = covers(closed(sets)).withColumn("y", F.array_except("z", "x")).join(other, "y")
+    found = covers(sets).withColumn("y", F.array_except("z", "x")).join(other, "y")
     return found.select("x", "y", "support", (F.col("support") / F.col("sx")).alias("confidence"), (F.col("support") * n / (F.col("sx") * F.col("sy"))).alias("lift"))
 
 
@@ -222,35 +249,51 @@ def cover_cost(ctx: DataFrame, codes: DataFrame) -> DataFrame:
     return uses.join(lengths, "code").groupBy("object").agg(F.sum("b").alias("bits"))
 
 
-def holds(ctx: DataFrame, items: DataFrame, of: str) -> DataFrame:
-    """(object, the itemset's columns) for objects that have all items of the array column ``of``, by counting matches."""
-    keyed = items.withColumn("_set", F.array_join(of, "\x1f"))
-    once = keyed.select("_set", F.col(of).alias("_items")).dropDuplicates(["_set"])  # rules may share a side
-    exploded = once.select("_set", F.explode("_items").alias("attribute"), F.size("_items").alias("_n"))
-    full = ctx.join(exploded, "attribute").groupBy("object", "_set", "_n").agg(F.count("*").alias("_c")).where("_c = _n").select("object", "_set")
-    return full.join(keyed, "_set").drop("_set")
-
-
 def fpof(ctx: DataFrame, sets: DataFrame) -> DataFrame:
     """Sum of the supports' shares of frequent itemsets that are strictly smaller than the object's own, over their number."""
-    n_sets, n = sets.agg(F.count("*").alias("k")), ctx.agg(F.count_distinct("object").alias("n"))
-    sizes = ctx.groupBy("object").agg(F.count("*").alias("own"))
-    inside = holds(ctx, sets, "items").join(sizes, "object").where(F.size("items") < F.col("own")).groupBy("object").agg(F.sum("support").alias("s"))
-    return sizes.join(inside, "object", "left").join(F.broadcast(n_sets), F.lit(True)).join(F.broadcast(n), F.lit(True)).select("object", F.coalesce(F.try_divide(F.coalesce("s", F.lit(0)) / F.col("n"), F.col("k")), F.lit(0.0)).alias("score"))
+    totals = ctx.agg(F.count_distinct("object").alias("n")).join(F.broadcast(sets.agg(F.count("*").alias("k"))), F.lit(True))  # one row each
+
+    def fold(index: SubsetIndex, table: dict, has: np.ndarray, own: np.ndarray) -> list:
+        support = np.zeros(len(has), "int64")
+        for numbers, rows in index.visit(has):
+            support[rows[own[rows] > len(set(table["items"][numbers[0]]))]] += sum(table["support"][n] for n in numbers)
+        return [support]
+
+    found = look_up(ctx, sets.select("items", "support"), "items", fold, {"s": "long"}, {"s": F.sum})
+    return found.join(F.broadcast(totals), F.lit(True)).select("object", F.coalesce(F.try_divide(F.col("s") / F.col("n"), F.col("k")), F.lit(0.0)).alias("score"))
 
 
 def outlier_degree(ctx: DataFrame, high: DataFrame) -> DataFrame:
     """The share of an object's closure under the high-confidence rules that it lacks: rules whose left side it has add their right side once."""
-    added = holds(ctx, high.select("x", "y"), "x").select("object", F.col("y").alias("attribute")).distinct().join(ctx, ["object", "attribute"], "left_anti")
-    own, more = ctx.groupBy("object").agg(F.count("*").alias("own")), added.groupBy("object").agg(F.count("*").alias("more"))
-    return own.join(more, "object", "left").select("object", (F.coalesce("more", F.lit(0)) / (F.col("own") + F.coalesce("more", F.lit(0)))).alias("score"))
+
+    def fold(index: SubsetIndex, table: dict, has: np.ndarray, own: np.ndarray) -> list:
+        added = np.zeros_like(has)
+        for numbers, rows in index.visit(has):
+            for n in numbers:
+                added[rows, index.number[table["y"][n]]] = True
+        lacks = [[index.items[i] for i in np.flatnonzero(row)] for row in added & ~has]
+        return [np.asarray(own, "int64"), pa.array(lacks, pa.list_(pa.string()))]
+
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))  # noqa: E731  of one object, a list a block
+    found = look_up(ctx, high.select("x", "y").distinct(), "x", fold, {"own": "long", "lacks": "array<string>"}, {"own": F.max, "lacks": union}, more="y")
+    return found.select("object", (F.size("lacks") / (F.col("own") + F.size("lacks"))).alias("score"))
 
 
 def violations(ctx: DataFrame, found: DataFrame) -> DataFrame:
     """For objects that have a rule's left side but not its right: -sum log2(1 - confidence), the greatest lift and their number."""
-    broken = holds(ctx, found.select("x", "y", "confidence", "lift"), "x").join(ctx.withColumnRenamed("attribute", "y"), ["object", "y"], "left_anti")
-    safe = F.greatest(1 - F.col("confidence"), F.lit(1e-9))
-    return broken.groupBy("object").agg(F.sum(-log2(safe)).alias("bits"), F.max("lift").alias("lift"), F.count("*").alias("rules"))
+
+    def fold(index: SubsetIndex, table: dict, has: np.ndarray, own: np.ndarray) -> list:
+        bits, lift, count = np.zeros(len(has)), np.full(len(has), -np.inf), np.zeros(len(has), "int64")
+        for numbers, rows in index.visit(has):
+            for n in numbers:
+                broken = rows[~has[rows, index.number[table["y"][n]]]]
+                bits[broken] -= np.log2(max(1 - table["confidence"][n], 1e-9))
+                lift[broken] = np.maximum(lift[broken], table["lift"][n])
+                count[broken] += 1
+        return [bits, lift, count]
+
+    columns = {"bits": "double", "lift": "double", "rules": "long"}
+    return look_up(ctx, found.select("x", "y", "confidence", "lift"), "x", fold, columns, {"bits": F.sum, "lift": F.max, "rules": F.sum}, more="y").where("rules > 0")
 
 
 # Isolation forest measures and clustering

@@ -33,19 +33,6 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def drain_and_flush(stream: DataFrame, columns: list[str]) -> DataFrame:
-    """``drain`` of a stream with state by group, and what the groups still hold at the stream's end: the state is read from its store.
-
-    The state's columns are named as in ``columns``, the group's key first.
-    """
-    spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").outputMode("append").option("path", f"{folder}/out").start().awaitTermination()
-    held = spark.read.format("statestore").load(f"{folder}/state").where("value.groupState is not null")
-    left = held.select(F.col("key").getField(held.schema["key"].dataType.names[0]).alias(columns[0]), *[F.col("value.groupState").getField(c).alias(c) for c in columns[1:]])
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*columns).union(left.select(*columns))
-
-
 def renewed(stream: DataFrame, folder: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A small table that every batch of a stream computes anew from all rows so far; gives the last one. A batch that is run again overwrites its own."""
 
@@ -121,34 +108,3 @@ def online_code_length(events: DataFrame, parts: int = 8) -> DataFrame:
 
     dealt = events.select((F.col("subject") % parts).alias("part"), "event_type", "nanos", "event_id")
     return dealt.groupBy("part").applyInPandasWithState(step, "event_id long, bits double", "counts string", "append", "NoTimeout")
-
-
-def collapse_runs(events: DataFrame, gap_nanos: int, most: int) -> DataFrame:
-    """Runs of one type per subject; a run is given out when the next one begins, or when the watermark passes its pause."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        cols = ["subject", "event_type", "first_event_id", "merged", "earliest", "latest"]
-        if state.hasTimedOut:
-            run = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], *run)], columns=cols)
-            return
-        run = list(state.get) if state.exists else None
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["nanos", "event_id"])
-        for kind, nanos, ident in zip(rows["event_type"], rows["nanos"], rows["event_id"], strict=True):
-            if run and kind == run[0] and nanos - run[4] <= gap_nanos and run[2] < most:
-                run[2], run[4] = run[2] + 1, int(nanos)
-            else:
-                if run:
-                    out.append((key[0], *run))
-                run = [kind, int(ident), 1, int(nanos), int(nanos)]
-        state.update(tuple(run))
-        state.setTimeoutTimestamp(max((run[4] + gap_nanos) // 1_000_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=cols)
-
-    return events.withWatermark("ts", "1 hour").select("subject", "event_type", "nanos", "event_id", "ts").groupBy("subject").applyInPandasWithState(
-        step, "subject long, event_type string, first_event_id long, merged long, earliest long, latest long",
-        "event_type string, first_event_id long, merged long, earliest long, latest long", "append", GroupStateTimeout.EventTimeTimeout,
-    )
