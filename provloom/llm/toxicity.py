@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, phrases: Sequence[str] = PHRASES) ->
     """The model of the given labels. With labels of one class only it says that class's base rate, nearly; without labels, 0."""
     ids, stands = sample(labels)
     if ids is None:
-        return Model(Lexicon((), ()), (-700.0, 0.0, 0.0, 0.0, 0.0))
+        return Model(Lexicon((), ()), (-1000.0, 0.0, 0.0, 0.0, 0.0))
     labelled = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled")).select("toxic", fold(F.col("text")).alias("folded")).cache()  # 2 MAX_SAMPLE rows
     lexicon = learn_lexicon(labelled, phrases)
     rows = with_features(labelled, lexicon).collect()
