@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
+from .running import ranges, running
 from .subsets import SubsetIndex, look_up
 
 
@@ -67,17 +68,31 @@ def rasp(ctx: DataFrame) -> DataFrame:
 
 
 def prequential(rows: DataFrame, seq: list[str], attribute: str, partition: list[str]) -> DataFrame:
-    """Online AVC of single-attribute rows: each is coded by the counts of strictly earlier rows of its partition."""
-    before = Window.partitionBy(*partition).orderBy(*seq)
-    same = Window.partitionBy(*partition, attribute).orderBy(*seq)
-    seen, all_ = F.row_number().over(same) - 1, F.row_number().over(before) - 1
-    return rows.withColumn("bits", -log2((seen + 1) / (all_ + 2)))
+    """Online AVC of single-attribute rows: each is coded by the counts of strictly earlier rows of its partition, running sums by ranges of the order."""
+    counted = running(ranges(rows, seq[0]), partition, seq, F.lit(1), "_all")
+    counted = running(counted, [*partition, attribute], seq, F.lit(1), "_seen")
+    return counted.withColumn("bits", -log2(F.col("_seen") / (F.col("_all") + 1))).drop("_all", "_seen", "_range")
 
 
 def ranked(scores: DataFrame, by: list[str], high_is_odd: bool = True) -> DataFrame:
-    """Ranks from 1 in each group, ties by object."""
-    order = F.col("score").desc() if high_is_odd else F.col("score").asc()
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, "object")))
+    """Ranks from 1 in each group, ties by object; running counts by ranges of the score, so a group isn't sorted by one task."""
+    order = -F.col("score") if high_is_odd else F.col("score")
+    return running(ranges(scores.withColumn("_order", order), "_order"), by, ["_order", "object"], F.lit(1), "rank").withColumn("rank", F.col("rank").cast("int")).drop("_order", "_range")
+
+
+def percent_ranks(scores: DataFrame, by: list[str]) -> DataFrame:
+    """``percentile``: the share of a group's other rows with a smaller score; running counts over the distinct scores, so ties are one row there."""
+    counts = scores.groupBy(*by, "score").agg(F.count("*").alias("_n"))
+    upto = running(ranges(counts, "score"), by, ["score"], F.col("_n"), "_upto")
+    total = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    placed = upto.join(total, by).select(*by, "score", F.coalesce(F.try_divide(F.col("_upto") - F.col("_n"), F.col("_all") - 1), F.lit(0.0)).alias("percentile"))
+    return scores.join(placed, [*by, "score"])
+
+
+def top_share(scores: DataFrame, by: list[str], share: float, most: int) -> DataFrame:
+    """The rows of highest score of each group, a share of them, rounded up, and ``most`` at most; ties by object."""
+    sizes = scores.groupBy(*by).agg(F.count("*").alias("_all"))
+    return ranked(scores, by).join(sizes, by).where(F.col("rank") <= F.least(F.ceil(F.col("_all") * share), F.lit(most))).drop("_all")
 
 
 def combine(ranks: DataFrame, how: str, weights: dict[str, float] | None = None) -> DataFrame:

@@ -270,11 +270,19 @@ def thresholds(found: DataFrame, percents: tuple[float, ...]) -> DataFrame:
 
     Probabilities from 0.3 on are rounded to tenths before they are counted.
     """
+    return histogram_thresholds(threshold_counts(found), percents)
+
+
+def threshold_counts(found: DataFrame) -> DataFrame:
+    """(tree, p, n): alarms by rounded probability, which is all that thresholds need; counts of parts add up."""
     p = F.when(F.col("local_prob") >= 0.3, F.round("local_prob", 1)).otherwise(F.col("local_prob"))
-    counts = found.select("tree", p.alias("p")).groupBy("tree", "p").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("tree").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    all_ = Window.partitionBy("tree")
-    cumulated = counts.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(all_)})
+    return found.select("tree", p.alias("p")).groupBy("tree", "p").agg(F.count("*").alias("n"))
+
+
+def histogram_thresholds(counts: DataFrame, percents: tuple[float, ...]) -> DataFrame:
+    """The thresholds of (tree, p, n), by running sums over ranges of p."""
+    total = counts.groupBy("tree").agg(F.sum("n").alias("total"))
+    cumulated = running(ranges(counts, "p"), ["tree"], ["p"], F.col("n"), "upto").join(total, "tree")
     asked = cumulated.withColumn("percent", F.explode(F.array(*map(F.lit, percents))))
     ok = F.when(F.col("upto") <= F.col("percent") / 100 * F.col("total"), F.col("p"))
     return asked.groupBy("tree", "percent").agg(F.coalesce(F.max(ok), F.lit(1.0)).alias("threshold"))
@@ -329,10 +337,38 @@ def option_text(path: Column, option: Column) -> Column:
     return F.when(option.isNull() | (option == ""), path).otherwise(F.concat(path, F.lit("["), option, F.lit("]")))
 
 
-def delayed(rows: DataFrame, nanos: str, key: str, delay: int) -> DataFrame:
+def delayed(rows: DataFrame, nanos: str, key: str, delay: int, ident: str) -> DataFrame:
     """When each row leaves a hold of ``delay``: at the first row of its key that is that much later, else never (null), as when a stream ends before.
 
-    ``released`` is that row's time; the hold is a join by buckets of the delay, at most two and the first one after them.
+    ``released`` is that row's time. It is an as-of search: the asked times and the rows' own lie in one order, cut into ranges; inside a range the next row
+    is a running minimum from its end, beyond it the least of the ranges after it. Work is that of sorting, also within one key. ``ident`` names the rows.
+    """
+    at = F.col(nanos).cast("long")
+    own = rows.select(key, at.alias("_at"), at.alias("_t"), F.lit(None).cast(dict(rows.dtypes)[ident]).alias("_id"))
+    asked = rows.select(key, (at + F.lit(delay)).alias("_at"), F.lit(None).cast("long").alias("_t"), F.col(ident).alias("_id"))
+    placed = ranges(own.union(asked), "_at")
+    heads = placed.groupBy(key, "_range").agg(F.min("_t").alias("_head"))
+    later = Window.partitionBy(key).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(key, "_range", F.min("_head").over(later).alias("_later"))
+    back = Window.partitionBy(key, "_range").orderBy(F.desc("_at"), F.desc_nulls_last("_t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = placed.withColumn("_next", F.min("_t").over(back)).where("_id is not null").join(heads, [key, "_range"])
+    return rows.join(found.select(F.col("_id").alias(ident), F.coalesce("_next", "_later").alias("released")), ident, "left")
+
+
+def delayed_by_records(rows: DataFrame, seq: str, records: int) -> DataFrame:
+    """When each row leaves a hold of so many records: ``released`` is the order's value of the row that comes that many rows later, null if the stream ends before.
+
+    Rows are numbered by running counts and meet on their numbers.
+    """
+    numbered = running(ranges(rows, seq).withColumn("_one", F.lit(1)), ["_one"], [seq], F.lit(1), "_n").drop("_one", "_range")
+    ahead = numbered.select((F.col("_n") - records).alias("_n"), F.col(seq).alias("released"))
+    return numbered.join(ahead, "_n", "left").drop("_n")
+
+
+def join_observations(found: DataFrame, tree: str, seq: list[str], key: list[str]) -> DataFrame:
+    """What a join emits as observations of a tree. ``seq`` must order its rows in full: the emitting row first, then whatever tells apart what it emits.
+
+    Null key parts are the text "?", as an unknown path is.
     """
-    w = Window.partitionBy(key).orderBy(nanos).rangeBetween(delay, Window.unboundedFollowing)
-    return rows.withColumn("released", F.min(nanos).over(w))
+    parts = F.array(*[F.coalesce(F.col(k).cast("string"), F.lit("?")) for k in key])
+    return found.select(F.lit(tree).alias("tree"), *seq, parts.alias("key"))

@@ -76,7 +76,12 @@ def option_keys(spark, sf_dir):
 
 @query("delayed_release", f"WITH {EV} SELECT event_id, min(nanos) OVER (PARTITION BY subject ORDER BY nanos RANGE BETWEEN {DAY} FOLLOWING AND UNBOUNDED FOLLOWING) AS released FROM ev")
 def delayed_release(spark, sf_dir):
-    return novelty.delayed(event_frame(spark, sf_dir), "nanos", "subject", DAY).select("event_id", "released")
+    return novelty.delayed(event_frame(spark, sf_dir), "nanos", "subject", DAY, "event_id").select("event_id", "released")
+
+
+@query("delayed_by_records", f"WITH {EV} SELECT event_id, lead(event_id, 100) OVER (ORDER BY event_id) AS released FROM ev")
+def delayed_by_records(spark, sf_dir):
+    return novelty.delayed_by_records(event_frame(spark, sf_dir), "event_id", 100).select("event_id", "released")
 
 
 @query("time_sorted", f"WITH {EV}, s AS (SELECT event_id, row_number() OVER (ORDER BY nanos, event_id) AS n FROM ev) SELECT event_id, n FROM s")
@@ -134,5 +139,5 @@ def stream_thresholds(spark, sf_dir):
     folder = f"{shared_folder(spark)}/thresholds-{uuid.uuid4().hex}"
     _alarms(spark, sf_dir).select("tree", "local_prob").repartition(3).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("tree string, local_prob double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    found = jobs.renewed(stream, folder, lambda df: novelty.thresholds(df, (1.0, 5.0, 25.0)))
+    found = jobs.renewed(novelty.threshold_counts(stream), folder, lambda df: novelty.histogram_thresholds(df, (1.0, 5.0, 25.0)))
     return found.withColumn("threshold", F.round("threshold", 6))

@@ -254,6 +254,4 @@ def clusters(spark, sf_dir):
 
 @query("percentile_scores", f"WITH {RANKS} SELECT model, object, round(percent_rank() OVER (PARTITION BY model ORDER BY score), 6) AS percentile FROM sc")
 def percentile_scores(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return ranks(spark, sf_dir).select("model", "object", F.round(F.percent_rank().over(Window.partitionBy("model").orderBy("score")), 6).alias("percentile"))
+    return d.percent_ranks(ranks(spark, sf_dir).select("model", "object", "score"), ["model"]).select("model", "object", F.round("percentile", 6).alias("percentile"))

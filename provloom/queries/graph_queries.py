@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import policy
+from ..operators.detectors import top_share
 from ..operators.graph import event_frame, event_graph, kind_of
 from ..session import table
 from .registry import query
@@ -142,9 +143,8 @@ def high_score_edges(spark, sf_dir):
 
 @query("top_percent", f"WITH {EV}, r AS (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS n, count(*) OVER (PARTITION BY event_type) AS c FROM ev) SELECT event_id FROM r WHERE n <= least(ceil(c * 0.05), 500)")
 def top_percent(spark, sf_dir):
-    w = Window.partitionBy("event_type")
-    ranked = event_frame(spark, sf_dir).withColumns({"n": F.row_number().over(w.orderBy(F.desc("value"), "event_id")), "c": F.count("*").over(w)})
-    return ranked.where(F.col("n") <= F.least(F.ceil(F.col("c") * 0.05), F.lit(500))).select("event_id")
+    scores = event_frame(spark, sf_dir).select("event_type", F.col("event_id").alias("object"), F.col("value").alias("score"))
+    return top_share(scores, ["event_type"], 0.05, 500).select(F.col("object").alias("event_id"))
 
 
 @query("alarm_time_series", f"WITH {EV}, t AS (SELECT min(nanos) AS t0 FROM ev), b AS (SELECT CAST(round_even((nanos - t0) / 86400e9, 0) AS BIGINT) AS bucket, kind = 'EVENT_UNLINK' AS bad FROM ev, t), n AS (SELECT max(bucket) AS m FROM b) SELECT i AS bucket, count(*) FILTER (bad) AS malicious, count(*) FILTER (NOT bad) AS benign FROM range(0, (SELECT m + 1 FROM n)) r(i) LEFT JOIN b ON b.bucket = i GROUP BY 1")

@@ -21,18 +21,21 @@ def observations(spark, sf_dir) -> DataFrame:
     return ev.select(F.concat(F.lit("t"), F.col("subject") % 2).alias("tree"), "nanos", "event_id", key.alias("key"))
 
 
-OBS = EV + """, obs AS (SELECT 't' || (subject % 2) AS tree, nanos, event_id, 'u' || subject AS k1, kind AS k2, 'k' || object AS k3 FROM ev WHERE object IS NOT NULL),
-c AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY nanos, event_id) AS c0,
- row_number() OVER (PARTITION BY tree, k1 ORDER BY nanos, event_id) AS c1, row_number() OVER (PARTITION BY tree, k1, k2 ORDER BY nanos, event_id) AS c2,
- row_number() OVER (PARTITION BY tree, k1, k2, k3 ORDER BY nanos, event_id) AS c3 FROM obs),
-s AS (SELECT *, sum(CASE WHEN c1 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY tree ORDER BY nanos, event_id) AS s1,
- sum(CASE WHEN c2 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY tree, k1 ORDER BY nanos, event_id) AS s2,
- sum(CASE WHEN c3 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY tree, k1, k2 ORDER BY nanos, event_id) AS s3 FROM c),
+def levels_sql(order: str) -> str:
+    """Counters, children and alarms of the observations ``obs`` (tree, k1, k2, k3) in a total order."""
+    w = lambda by: f"OVER (PARTITION BY {by} ORDER BY {order})"
+    return f"""c AS (SELECT *, row_number() {w("tree")} AS c0, row_number() {w("tree, k1")} AS c1, row_number() {w("tree, k1, k2")} AS c2, row_number() {w("tree, k1, k2, k3")} AS c3 FROM obs),
+s AS (SELECT *, sum(CASE WHEN c1 = 1 THEN 1 ELSE 0 END) {w("tree")} AS s1, sum(CASE WHEN c2 = 1 THEN 1 ELSE 0 END) {w("tree, k1")} AS s2,
+ sum(CASE WHEN c3 = 1 THEN 1 ELSE 0 END) {w("tree, k1, k2")} AS s3 FROM c),
 al AS (SELECT *, CASE WHEN c2 <> 1 THEN s3 / CAST(s3 + c2 AS DOUBLE)
  WHEN c1 = 1 THEN CASE WHEN c0 = 1 THEN 1.0 ELSE (s1 - 1) / CAST(s1 - 1 + c0 - 1 AS DOUBLE) END
  ELSE s2 / CAST(s2 + c1 AS DOUBLE) END AS lp, CASE WHEN c2 <> 1 THEN 3 WHEN c1 = 1 THEN 1 ELSE 2 END AS dp FROM s WHERE c3 = 1)"""
 
 
+OBS = EV + f""", obs AS (SELECT 't' || (subject % 2) AS tree, nanos, event_id, 'u' || subject AS k1, kind AS k2, 'k' || object AS k3 FROM ev WHERE object IS NOT NULL),
+{levels_sql("nanos, event_id")}"""
+
+
 def alarm_rows(spark, sf_dir) -> DataFrame:
     return novelty.alarms(novelty.observe(observations(spark, sf_dir), seq=SEQ), SEQ)
 

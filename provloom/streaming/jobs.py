@@ -33,16 +33,17 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def renewed(stream: DataFrame, folder: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A small table that every batch of a stream computes anew from all rows so far; gives the last one. A batch that is run again overwrites its own."""
+def renewed(counts: DataFrame, folder: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A small table that every batch of a stream computes anew from counts that the stream's own state keeps up to date; gives the last one.
+
+    ``counts`` is an aggregation, given out whole with each batch, so nothing that came before is read again. A batch that is run again overwrites its own.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        so_far = df.sparkSession.read.parquet(f"{folder}/rows").where(F.col("batch") <= number).drop("batch")
-        compute(so_far).write.mode("overwrite").parquet(f"{folder}/found/batch={number}")
+        compute(df).write.mode("overwrite").parquet(f"{folder}/found/batch={number}")
 
-    stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
-    found = stream.sparkSession.read.parquet(f"{folder}/found")
+    counts.writeStream.option("checkpointLocation", f"{folder}/state").outputMode("complete").trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
+    found = counts.sparkSession.read.parquet(f"{folder}/found")
     last = found.agg(F.max("batch").alias("batch"))
     return found.join(F.broadcast(last), "batch", "left_semi").drop("batch")  # one row
 
