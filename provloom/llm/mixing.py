@@ -2,99 +2,87 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, order_ranges, shuffle_partitions
+from .common import let, order_ranges, shared_folder, shuffle_partitions
 
-#: Weights are multiples of 1 / UNIT; with it, all products of the schedule fit 64 bits for phases of up to 2 ** 33 slots.
+#: Weights are multiples of 1 / UNIT, so after UNIT slots every source has exactly its share and the schedule begins anew.
 UNIT = 1 << 29
+#: Slots of a phase, at most; a multiple of UNIT, up to which all products of the schedule fit 64 bits. Longer phases are cut there, where no window is open.
+LONGEST = 1 << 32
 #: Slots of a stretch, at least; a stretch is no shorter than the least weight's period.
 STRETCH = 1024
-
-
-def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
-    """Weights as multiples of 1 / UNIT that sum to 1, by largest remainders, one UNIT at least."""
-    total = sum(weights.values())
-    exact = {s: w * UNIT / total for s, w in weights.items()}
-    given = {s: max(1, int(x)) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (given[s] - exact[s], s))
-    short = UNIT - sum(given.values())
-    for s in by_rest[: max(short, 0)]:
-        given[s] += 1
-    if short < 0:
-        given[max(given, key=lambda s: (given[s], s))] += short
+#: Numbers of the plan that the driver holds at once; longer plans are written in pieces.
+PLAN = 500_000
+
+
+def _whole(weights: np.ndarray) -> np.ndarray:
+    """Weights as multiples of 1 / UNIT that sum to 1, by largest remainders, one UNIT at least; of equal remainders the first."""
+    exact = weights * (UNIT / weights.sum())
+    given = np.maximum(1, np.floor(exact)).astype("int64")
+    short = UNIT - int(given.sum())
+    if short > 0:
+        given[np.argsort(given - exact, kind="stable")[:short]] += 1
+    elif short < 0:
+        given[len(given) - 1 - int(np.argmax(given[::-1]))] += short
     return given
 
 
-def release(i: int, w: int) -> int:
-    return i * UNIT // w
-
+def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    names = sorted(weights)
+    return dict(zip(names, _whole(np.array([weights[s] for s in names], float)).tolist(), strict=True))
 
-def deadline(i: int, w: int) -> int:
-    return -(-(i + 1) * UNIT // w)
 
+def by_releases(w: np.ndarray, at: int) -> np.ndarray:
+    """Blocks of each source before slot ``at``, if of the blocks whose windows hold it those released first are done: a state that a schedule can end in.
 
-def by_deadlines(w: list[int], at: int) -> list[int]:
-    """Blocks of each source before slot ``at``, if of the blocks whose windows hold it those of the earliest deadlines are done."""
-    done = [x * at // UNIT for x in w]
-    inside = sorted((deadline(n, x), k) for k, (n, x) in enumerate(zip(done, w, strict=True)) if x * at % UNIT)
-    for _, k in inside[: at - sum(done)]:
-        done[k] += 1
+    Of the blocks done, those released at ``a`` or later number at most at - a, for every a. Let K be the sources whose open window began before a: they have
+    no block that both begins and ends in the span. If no block of the others is chosen, the span has at most floor(w at) - ceil(w a) blocks of each, together no more than
+    at - a. If one is chosen, all of K are, and what is left of at is at - sum(ceil(w a)), no more than that either. So all blocks fit before ``at``.
+    """
+    done, rest = np.divmod(w * at, UNIT)
+    inside = np.flatnonzero(rest)
+    first = inside[np.argsort(done[inside] * UNIT // w[inside], kind="stable")]
+    done[first[: at - int(done.sum())]] += 1
     return done
 
 
-def earliest_deadline_first(w: list[int], done: list[int], begin: int, end: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """(source, block) of each slot from ``begin`` to ``end``, and the blocks done of each source after them."""
-    done, order = list(done), []
-    waiting = [(release(n, x), k) for k, (n, x) in enumerate(zip(done, w, strict=True))]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int]] = []
-    for now in range(begin, end):
-        while waiting and waiting[0][0] <= now:
-            _, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline(done[k], w[k]), k))
-        _, k = heapq.heappop(ready)
-        order.append((k, done[k]))
-        done[k] += 1
-        heapq.heappush(waiting, (release(done[k], w[k]), k))
-    return order, done
-
-
-def plan_phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> tuple[list[tuple], list[tuple]]:
-    """(first slot, slots, stretch, sources, weights, blocks before) of each phase, and (source, block, slot) of leftovers.
-
-    A phase ends when a source would need more blocks than it has; the sources that are used up leave, and the
-    others share the slots by their weights. A source with one block left by then gets the slot after the phase. Only the last
-    stretches of each phase are run through here; there are no more phases than sources.
+def plan_phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple]:
+    """(first slot, slots, stretch, sources, weights, blocks before, blocks after) of each phase, and (source, block, slot) of leftovers.
+
+    A phase ends when a source would need more blocks than it has; the sources that are used up leave, and the others share the slots by their
+    weights. A source with one block left by then gets the slot after the phase. A phase's last state is known in closed form, see
+    ``by_releases``, so no slot is looked at here: a phase is a few array operations over its sources, whatever their weights and its length.
     """
-    left = {s: n for s, n in sorted(blocks.items()) if n}
-    done = dict.fromkeys(left, 0)
-    phases, loose, base = [], [], 0
-    while left:
-        whole = whole_weights({s: weights[s] for s in left})
-        names, w = list(left), [whole[s] for s in left]
-        slots = min(n * UNIT // x for n, x in zip(left.values(), w, strict=True))
-        stretch = max(STRETCH, -(-UNIT // min(w)))
-        phases.append((base, slots, stretch, names, w, [done[s] for s in names]))
-        before = max(0, max(1, slots // stretch) - 2) * stretch  # the stretch before the last begins here
-        _, taken = earliest_deadline_first(w, by_deadlines(w, before), before, slots)
+    names = np.array(sorted(s for s, n in blocks.items() if n), object)
+    left = np.array([blocks[s] for s in names], "int64")
+    share = np.array([weights[s] for s in names], float)
+    done = np.zeros(len(names), "int64")
+    base = 0
+    while len(names):
+        w = _whole(share)
+        ends = np.minimum(left, 2 * LONGEST) * UNIT // w
+        slots = int(ends.min())
+        whole = slots >= LONGEST
+        slots = LONGEST if whole else slots
+        taken = by_releases(w, slots)
+        yield base, slots, max(STRETCH, -(-UNIT // int(w.min()))), names, w, done, taken
         base += slots
-        for s, x, n in zip(names, w, taken, strict=True):
-            last = left[s] * UNIT // x == slots  # it would be used up in the next slot
-            done[s] += n
-            left[s] -= n
-            if last and left[s]:
-                loose.append((s, done[s], base))
+        done = done + taken
+        left = left - taken
+        if not whole or slots == ends.min():
+            for i in np.flatnonzero((ends == slots) & (left > 0)):  # it would be used up in the next slot
+                yield names[i], int(done[i]), base
                 base += 1
-                done[s] += 1
-                left[s] -= 1
-            if not left[s]:
-                del left[s]
-    return phases, loose
+                done[i] += 1
+                left[i] -= 1
+        stay = left > 0
+        names, left, share, done = names[stay], left[stay], share[stay], done[stay]
 
 
 def _key(source: Column) -> Column:
@@ -102,7 +90,7 @@ def _key(source: Column) -> Column:
 
 
 def _before(w: Column, at: Column) -> Column:
-    """``by_deadlines`` in SQL."""
+    """Blocks of each source before slot ``at``, if of the blocks whose windows hold it those of the earliest deadlines are done."""
     done = F.transform(w, lambda x: _div(x * at, UNIT))
     late = lambda n, x: _div((n + 1) * UNIT + x - 1, x)
 
@@ -121,7 +109,7 @@ def _div(a: Column, b: Column | int) -> Column:
 
 
 def _run(w: Column, done: Column, until: Column | None, begin: Column, slots: Column) -> Column:
-    """``earliest_deadline_first`` in SQL: a struct of ``order``, an array of (k, i) of each slot, and ``done`` after it.
+    """Earliest deadline first from the state ``done``: a struct of ``order``, an array of (k, i) of each slot, and ``done`` after it.
 
     ``until``: blocks of each source that are done by the end, which is every deadline's latest. A state of one entry a source goes from
     slot to slot, in pieces of 256, so that appending to a piece copies little.
@@ -165,32 +153,57 @@ def schedule(spark, blocks: Mapping[str, int], weights: Mapping[str, float]) ->
     choice, no span from there on holds too many windows. So a stretch's first state keeps all later deadlines, its last state, the next one's first, was
     reached by a schedule within it, and as a stretch holds a whole window of every source, its blocks are those between the two states. Hence within a stretch, with deadlines cut
     at its end, earliest deadline first keeps all windows.
+    
+    The last stretch ends in the phase's last state. Rows of the plan, two arrays of the phase's sources each and its first and last state, are written in pieces
+    where they are many, so the driver never holds more than ``PLAN`` numbers and a phase.
     """
-    phases, loose = plan_phases(blocks, weights)
-    rows, firsts, number = [], [], 0
-    for base, slots, stretch, names, w, before in phases:
-        rows.append((len(rows), base, slots, stretch, number, names, w, before))
-        firsts.append(number)
-        number += max(1, slots // stretch)
-    table = spark.createDataFrame(rows, "phase int, base long, slots long, stretch long, number long, names array<string>, w array<bigint>, before array<bigint>")
+    schema = "phase int, base long, slots long, stretch long, number long, names array<string>, w array<bigint>, before array<bigint>, after array<bigint>"
+    rows, loose, firsts, number, folder = [], [], [], 0, None
+
+    def write() -> None:
+        nonlocal folder
+        folder = folder or f"{shared_folder(spark)}/plan-{uuid.uuid4().hex}"
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(folder)
+        rows.clear()
+
+    held = 0
+    for found in plan_phases(blocks, weights):
+        if len(found) == 3:
+            loose.append(found)
+            continue
+        base, slots, stretch, names, w, before, after = found
+        if slots:
+            rows.append((len(firsts), base, slots, stretch, number, names.tolist(), w.tolist(), before.tolist(), after.tolist()))
+            firsts.append(number)
+            number += max(1, slots // stretch)
+            held += 4 * len(names)
+            if held > PLAN:
+                write()
+                held = 0
+    if folder and rows:
+        write()
+    table = spark.read.schema(schema).parquet(folder) if folder else spark.createDataFrame(rows, schema)
+    leftovers = spark.createDataFrame(loose, "source string, block long, slot long")
+    if not number:
+        return leftovers
     known = F.lit(firsts[1:]).cast("array<bigint>") if len(firsts) > 1 else F.array().cast("array<bigint>")
     numbers = spark.range(0, number, 1, max(1, min(number, shuffle_partitions(spark))))
     phase = F.size(F.filter(known, lambda x: x <= F.col("id"))).alias("phase")
-    one = numbers.select("id", phase).join(table, "phase")  # phases x sources numbers; Spark broadcasts them below its own limit
+    one = numbers.select("id", phase).join(table, "phase")  # Spark broadcasts the plan below its own limit
     begin = ((F.col("id") - F.col("number")) * F.col("stretch")).alias("begin")
     last = F.col("id") - F.col("number") + 1 >= F.greatest(F.lit(1), _div(F.col("slots"), F.col("stretch")))
     one = one.withColumns({"begin": begin, "last": last})
     w, begin, stretch = F.col("w"), F.col("begin"), F.col("stretch")
     # The states at the stretch's ends come from runs of the stretch before, and of this one. Each is bound to a variable, so that it is computed once.
     state = F.when(begin == 0, F.transform(w, lambda x: F.lit(0).cast("long"))).otherwise(_run(w, _before(w, begin - stretch), None, begin - stretch, stretch)["done"])
-    free = lambda d: _run(w, d, None, begin, F.col("slots") - begin)["order"]
-    bound = lambda d: let(_run(w, _before(w, begin), None, begin, stretch)["done"], lambda until: _run(w, d, until, begin, stretch)["order"])
-    one = one.withColumn("order", let(state, lambda d: F.when(F.col("last"), free(d)).otherwise(bound(d))))
+    ends = F.when(F.col("last"), F.col("after")).otherwise(_run(w, _before(w, begin), None, begin, stretch)["done"])
+    length = F.when(F.col("last"), F.col("slots") - begin).otherwise(stretch)
+    one = one.withColumn("order", let(state, lambda d: let(ends, lambda until: _run(w, d, until, begin, length)["order"])))
     each = one.select("names", "before", "base", "begin", F.posexplode("order").alias("at", "o"))
     found = each.select(
         F.get("names", F.col("o.k")).alias("source"), (F.get("before", F.col("o.k")) + F.col("o.i")).alias("block"), (F.col("base") + F.col("begin") + F.col("at")).alias("slot")
     )
-    return found.union(spark.createDataFrame(loose, "source string, block long, slot long")) if loose else found
+    return found.union(leftovers) if loose else found
 
 
 def mix(
@@ -206,8 +219,9 @@ def mix(
     A source's rows, in id order, form blocks of ``block_rows`` (the last may be shorter). Blocks go to slots
     by Pfair scheduling, see ``schedule``: after any number of slots each source's blocks differ from its weighted
     share by less than one. A source that is used up leaves; from there on the rest share the slots by their
-    weights. Weights are taken to 1 / UNIT = 2e-9. ``weights`` None: rows of the source to the ``power``. A source that
-    ``weights`` does not name gets the least weight named. The driver gets one row a source, of any number; its plan has phases x sources numbers.
+    weights. Weights are taken to 1 / UNIT = 2e-9, and the deviation of less than one block is from these; over n slots they may be off from the given ones by
+    n / UNIT blocks more. ``weights`` None: rows of the source to the ``power``. A source that
+    ``weights`` does not name gets the least weight named. The driver gets one row a source, of any number; a phase begins where a source ends.
 
     A row's number in its source comes from per-range totals and their running sums, so a source that holds
     a third of all rows is dealt over as many tasks as its ranges. Each range gets its blocks' slots as one

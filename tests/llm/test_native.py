@@ -2,10 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -247,6 +250,68 @@ def test_phases(spark):
     assert len(slots_of(spark, {f"s{i}": 1 + i % 3 for i in range(300)}, {f"s{i}": 1.0 for i in range(300)})) == 600
 
 
+def test_phase_ends_in_a_state_that_a_schedule_reaches():
+    """With deadlines cut at the end, earliest deadline first does just the blocks of the closed form, each inside its window."""
+    rng = random.Random(9)
+    for _ in range(300):
+        w = mixing._whole(np.array([rng.choice([rng.random(), 1e-3 * rng.random(), 1.0]) for _ in range(rng.randint(1, 12))]))
+        at = rng.randint(1, 60)
+        end = mixing.by_releases(w, at)
+        assert end.sum() == at and all(x * at // mixing.UNIT <= n <= -(-x * at // mixing.UNIT) for x, n in zip(w.tolist(), end.tolist()))
+        done = [0] * len(w)
+        for slot in range(at):
+            open_ = [(min(window_of(done[k], int(x))[1], at), k) for k, x in enumerate(w) if done[k] < end[k] and window_of(done[k], int(x))[0] <= slot]
+            due, k = min(open_)
+            assert slot < due
+            done[k] += 1
+        assert done == end.tolist()
+
+
+def test_plans_of_light_sources_and_of_many(spark):
+    """Planning looks at no slot: weights of 1e-7 and of the least unit, phases of 10^11 slots, 5,000 sources that all end apart."""
+    rng = random.Random(10)
+    many = {f"s{i}": rng.randint(1, 10**6) for i in range(5000)}
+    cases = [
+        ({"a": 10**8, "b": 10**8, "tiny": 50}, {"a": 1.0, "b": 1.0, "tiny": 2e-7}), ({"a": 10**11, "b": 400}, {"a": 1.0, "b": 2.0**-29}), (many, {s: rng.random() for s in many}),
+    ]
+    began = time.perf_counter()
+    plans = [list(mixing.plan_phases(b, w)) for b, w in cases]
+    assert time.perf_counter() - began < 15  # about 4 s on an idle machine
+    for (blocks, _), plan in zip(cases, plans):
+        given = Counter()
+        base = 0
+        for part in plan:
+            if len(part) == 3:
+                assert part[1:] == (given[part[0]], base)
+                given[part[0]] += 1
+                base += 1
+            else:
+                first, slots, _, names, _, before, after = part
+                assert first == base and slots <= mixing.LONGEST and after.sum() == slots and before.tolist() == [given[s] for s in names]
+                given.update(dict(zip(names, after.tolist())))
+                base += slots
+        assert given == Counter(blocks)
+    assert len(slots_of(spark, {f"s{i}": 1 + i for i in range(60)}, {f"s{i}": 1.0 for i in range(60)})) == 1830
+
+
+def test_plans_are_written_in_pieces(spark, monkeypatch):
+    blocks, weights = {f"s{i}": 5 + 3 * i for i in range(12)}, {f"s{i}": 1.0 + i % 3 for i in range(12)}
+    whole = slots_of(spark, blocks, weights)
+    monkeypatch.setattr(mixing, "PLAN", 30)
+    assert slots_of(spark, blocks, weights) == whole
+
+
+def test_windows_hold_to_the_end_of_a_phase(spark):
+    weights = {"a": 2**0.5, "b": 3**0.5, "c": 0.1, "d": 0.01}
+    phases = [p for p in mixing.plan_phases({"a": 4000, "b": 9000, "c": 3000, "d": 400}, weights) if len(p) == 7]
+    got = slots_of(spark, {"a": 4000, "b": 9000, "c": 3000, "d": 400}, weights)
+    for base, slots, _, names, w, before, _ in phases:
+        share, first = dict(zip(names, w.tolist())), dict(zip(names, before.tolist()))
+        for n, (s, b) in enumerate(got[base : base + slots]):
+            a, z = window_of(b - first[s], share[s])
+            assert a <= n < z
+
+
 def test_many_rows_of_one_id(spark):
     """A null or repeated id of a third of the rows is dealt into many ranges; places stay gapless."""
     df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("s").alias("source"))
