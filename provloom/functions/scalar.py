@@ -120,3 +120,8 @@ def at_night(seconds: Column, start: int, first: int = 20, last: int = 6) -> Col
     """Whether the hour, counted from a start, is in the night."""
     hour = F.pmod(F.floor((seconds - start) / 3600), F.lit(24))
     return (hour >= first) | (hour < last)
+
+
+def at_weekend(seconds: Column) -> Column:
+    """Whether the day, counted from the first of 1970, a Thursday, is a Saturday or a Sunday."""
+    return F.pmod(F.floor(seconds / 86_400) + 3, F.lit(7)) >= 5

@@ -115,7 +115,7 @@ def forests_by_group(rows: DataFrame, group: str, ident: str, features: list[str
         part = part.sort_values(["h", ident])
         x = part[features].to_numpy(float)
         if len(x) < least:
-            return pd.DataFrame({group: [], ident: [], "score": [], "odd": []})
+            return pd.DataFrame({group: part[group].head(0), ident: part[ident].head(0), "score": np.zeros(0), "odd": np.zeros(0, bool)})
         rng, chosen = np.random.default_rng(seed), min(len(x), sample)
         grown = [grow(x[rng.choice(chosen, chosen)], int(np.ceil(np.log2(chosen))), rng) for _ in range(trees)]
         score = 2.0 ** (-np.mean([depths(t, x, 0, True) for t in grown], axis=0) / max(_c(chosen), 1e-9))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from ..session import checkpoint
 from ..operators.graph import PROPERTIES, Graph
 from .parser import Name, Predicate, QuerySyntaxError, Script, Step, Traversal, parse
 
-#: Rounds of a repeat that only ``until`` ends; a walk that is longer raises.
-MAX_LOOPS = 64
+#: Steps whose outcome depends on more than the element that a traverser is at.
+_REMEMBERING = {"as", "select", "where", "simplePath", "path", "unrollPath", "limit", "match", "aggregate", "order"}
 _BINDS = "map<string,string>"
 
 
@@ -35,6 +36,18 @@ class Frame:
         return replace(self, df=df, kind=kind or self.kind)
 
 
+def _steps_of(t: object) -> tuple:
+    """The steps of a traversal, of several, or none of what isn't one."""
+    if isinstance(t, Traversal):
+        return t.steps
+    return tuple(s for x in t for s in _steps_of(x)) if isinstance(t, tuple) else ()
+
+
+def _step_names(steps: list[Step]) -> list[str]:
+    """The names of steps and of all steps of the traversals in them."""
+    return [n for s in steps for n in (s.name, *_step_names(list(_steps_of(tuple(s.args)))))]
+
+
 def _step_text(x: Column) -> Column:
     return F.array(x.cast("string"))
 
@@ -43,7 +56,6 @@ class Compiler:
     def __init__(self, graph: Graph) -> None:
         self.graph = graph
         self.names: dict[str, object] = {}
-        self.bags: dict[str, DataFrame] = {}
 
     # Statements
 
@@ -198,6 +210,9 @@ class Compiler:
     def do_where(self, frame, args, mods):
         if isinstance(args[0], Traversal):
             return self.keep(frame, args[0])
+        if args[-1].op == "within":
+            names = [n for a in args[-1].args for n in (a if isinstance(a, tuple) else (a,))]
+            return self.in_bags(frame, [self.literal(n if isinstance(n, Name) else Name(n)) for n in names])
         left = F.col("cur").cast("string") if len(args) == 1 else F.col("binds")[args[0]]
         return frame.to(frame.df.where({"eq": left == F.col("binds")[args[-1].args[0]], "neq": left != F.col("binds")[args[-1].args[0]]}[args[-1].op]))
 
@@ -212,6 +227,10 @@ class Compiler:
         return self.keep(frame, args[0], "left_anti")
 
     def do_is(self, frame, args, mods):
+        if isinstance(args[0], Predicate) and args[0].op == "within":
+            bags = [b for b in map(self.literal, args[0].args) if isinstance(b, Frame)]
+            if bags:
+                return self.in_bags(frame, bags)
         return frame.to(frame.df.where(self.test(F.col("cur"), args[0] if isinstance(args[0], Predicate) else self.literal(args[0]), dict(frame.df.dtypes)["cur"])))
 
     def do_simplePath(self, frame, args, mods):
@@ -367,7 +386,10 @@ class Compiler:
         return frame.to(frame.df.withColumn("cur", F.col("binds")), "S")
 
     def do_repeat(self, frame, args, mods):
-        """times: unrolled joins; until: rounds that are written to the checkpoint folder, while traversers are left."""
+        """times: unrolled joins; until: rounds that are written to the checkpoint folder, while traversers are left, however many.
+
+        If what a round does depends on the elements alone, and a round stands at just those of an earlier one, the walk would never end: RecursionError.
+        """
         by = {m.name: m.args for m in mods}
         times = self.literal((by.get("times") or by.get("pre_times") or (None,))[0])
         until, first = by.get("until") or by.get("pre_until"), "pre_until" in by
@@ -386,7 +408,9 @@ class Compiler:
             emitted(frame)
         if first:
             frame = stopped(frame)
-        for n in range(times if times is not None else MAX_LOOPS + 1):
+        forgetful = not _REMEMBERING & set(_step_names([*args[0].steps, *_steps_of((until or (), emit or ()))]))
+        seen: set[tuple] = set()
+        for _ in range(times) if times is not None else count():
             frame = self.walk(args[0].steps, frame)
             if until:
                 frame = stopped(frame)
@@ -396,8 +420,12 @@ class Compiler:
                 frame = frame.to(checkpoint(frame.df))
                 if frame.df.isEmpty():
                     break
-                if n == MAX_LOOPS:
-                    raise RecursionError(f"repeat went on after {MAX_LOOPS} rounds")
+                if forgetful:
+                    at = frame.df.select("origin", F.col("cur").cast("string").alias("cur")).distinct()
+                    here = tuple(at.agg(F.count("*"), F.bit_xor(F.xxhash64("origin", "cur")), F.bit_xor(F.xxhash64("cur", "origin"))).head())
+                    if here in seen:
+                        raise RecursionError("repeat goes round in a cycle without an end")
+                    seen.add(here)
         if times is not None and emit is None:
             done.append(frame.df.select(*columns))
         return frame.to(reduce(DataFrame.union, done))
@@ -487,8 +515,15 @@ class Compiler:
         return frame.to(frame.df.select("origin", items.alias("cur"), "path", "binds"))
 
     def do_aggregate(self, frame, args, mods):
-        self.bags[args[0]] = frame.df.select("cur")
-        return frame
+        """A bag of the current elements under a name, taken at once: ``g.V(name)``, ``is(within(name))`` and ``where(within('name'))`` read it, here and in later statements."""
+        held = frame.to(checkpoint(frame.df))
+        self.names[args[0]] = replace(held, nested=False)
+        return held
+
+    def in_bags(self, frame: Frame, bags: list[Frame]) -> Frame:
+        """Traversers whose element is in one of the bags."""
+        held = reduce(DataFrame.union, [b.df.select(F.col("cur").cast("string").alias("_b")) for b in bags]).distinct()
+        return frame.to(frame.df.join(held, F.col("cur").cast("string") == F.col("_b"), "left_semi"))
 
     def do_order(self, frame, args, mods):
         """Sorted by the keys in turn, each ascending, or descending after ``decr``; ties by the element."""

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import novelty
+from ..operators import novelty, reports
 from ..operators.graph import event_frame, event_graph, kind_of
 from ..session import shared_folder, table
 from ..sources import sinks
@@ -141,3 +141,12 @@ def stream_thresholds(spark, sf_dir):
     stream = spark.readStream.schema("tree string, local_prob double").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     found = jobs.renewed(novelty.threshold_counts(stream), folder, lambda df: novelty.histogram_thresholds(df, (1.0, 5.0, 25.0)))
     return found.withColumn("threshold", F.round("threshold", 6))
+
+
+@query("alarm_process_reports", f"""WITH {OBS}, r AS (SELECT k1 AS process, nanos - nanos % {7 * DAY} AS interval, lp, k1 || ' ' || k2 || ' ' || k3 AS action FROM al),
+ n AS (SELECT *, row_number() OVER (PARTITION BY process, interval ORDER BY lp, action) AS n FROM r)
+ SELECT process, interval, count(*) AS alarms, round(min(lp), 6) AS least, string_agg(action, ';' ORDER BY n) FILTER (n <= 20) AS novel FROM n GROUP BY 1, 2""")
+def alarm_process_reports(spark, sf_dir):
+    """Weekly reports: each process's alarms and the twenty least expected of them."""
+    found = reports.process_reports(alarm_rows(spark, sf_dir), F.get("key", F.lit(0)), "nanos", 7 * DAY)
+    return found.select("process", "interval", "alarms", F.round("least", 6).alias("least"), F.array_join("novel", ";").alias("novel"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import policy
+from ..operators import policy, reports
 from ..operators.detectors import top_share
 from ..operators.graph import event_frame, event_graph, kind_of
 from ..session import table
@@ -244,8 +244,27 @@ def parse_errors(spark, sf_dir):
     return parsed.select("event_id", F.col("p.k").alias("object"), F.col("p._bad").isNotNull().alias("bad"))
 
 
-@query("vertex_json", "SELECT 'n' || n_nationkey AS id, '{\"label\":\"AdmHost\",\"properties\":{\"hostName\":[{\"value\":\"' || n_name || '\"}]}}' AS json FROM nation")
+def _vertex(label: str, rows: str, ident: str, **properties: str) -> str:
+    """Vertices as JSON, their properties in the order of the graph's."""
+    parts = "".join(f""" || ',"{k}":[{{"value":' || {v} || '}}]'""" for k, v in properties.items())
+    return f"""SELECT {ident} AS id, '{{"id":"' || {ident} || '","type":"vertex","label":"{label}","properties":{{"uuid":[{{"value":"' || {ident} || '"}}]'{parts} || '}}}}' AS json FROM {rows}"""
+
+
+_QUOTED = "'\"' || {} || '\"'"
+_JSON = " UNION ALL ".join([
+    _vertex("AdmEvent", "ev", "'e' || event_id", eventType=_QUOTED.format("kind"), earliestTimestampNanos="nanos", latestTimestampNanos="nanos", value="value"),
+    _vertex("AdmSubject", "su", "'u' || subject", cid="subject"),
+    _vertex("AdmFileObject", "(SELECT DISTINCT object FROM ev WHERE object IS NOT NULL) o", "'k' || object", path=_QUOTED.format("'/k/' || object")),
+    _vertex("AdmPrincipal", "(SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT subject FROM su)) c", "'c' || c_custkey", username=_QUOTED.format("c_name")),
+    _vertex("AdmHost", "nation", "'n' || n_nationkey", hostName=_QUOTED.format("n_name")),
+])
+
+
+@query("vertex_json", f"WITH {EDGES} {_JSON}")
 def vertex_json(spark, sf_dir):
-    v = event_graph(spark, sf_dir).vertices.where("label = 'AdmHost'")
-    props = F.struct(F.array(F.struct(F.col("hostName").alias("value"))).alias("hostName"))
-    return v.select("id", F.to_json(F.struct("label", props.alias("properties"))).alias("json"))
+    return reports.vertex_json(event_graph(spark, sf_dir).vertices)
+
+
+@query("edge_json", f"""WITH {EDGES} SELECT src || '|' || label || '|' || dst AS id, '{{"id":"' || src || '|' || label || '|' || dst || '","type":"edge","label":"' || label || '","inV":"' || dst || '","outV":"' || src || '"}}' AS json FROM ed""")
+def edge_json(spark, sf_dir):
+    return reports.edge_json(event_graph(spark, sf_dir).edges)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import novelty
+from ..operators import novelty, reports
 from ..operators.graph import event_frame, kind_of
 from ..session import table
 from .registry import query
@@ -286,3 +286,20 @@ def most_novel_actions(spark, sf_dir):
 def alarm_tree(spark, sf_dir):
     found = novelty.alarm_tree(alarm_rows(spark, sf_dir))
     return found.select("tree", F.array_join("prefix", "|").alias("path"), "alarms", F.round("least", 6).alias("least"))
+
+
+def _shortened(name: str, make, obs: str) -> None:
+    """A snapshot of two keys; ``obs`` gives its observations (tree, a, b)."""
+    sql = f"""WITH {EV}, obs AS ({obs}), n AS (SELECT tree, '' AS path, 0 AS level, count(*) AS count, count(DISTINCT a) AS children FROM obs GROUP BY 1
+ UNION ALL SELECT tree, a, 1, count(*), count(DISTINCT b) FROM obs GROUP BY 1, 2 UNION ALL SELECT tree, a || '|' || b, 2, count(*), 0 FROM obs GROUP BY 1, a, b)
+ SELECT tree, path, level, count, children, round(count / CAST((SELECT p.count FROM n p WHERE p.tree = n.tree AND p.level = 0) AS DOUBLE), 6) AS global_prob FROM n"""
+
+    def run(spark, sf_dir):
+        found = make(novelty.snapshot(observations(spark, sf_dir)))
+        return found.select("tree", F.array_join("prefix", "|").alias("path"), "level", "count", "children", F.round("global_prob", 6).alias("global_prob"))
+
+    query(name, sql)(run)
+
+
+_shortened("trie_eliminate_children", lambda t: reports.eliminate_level(t, 2), "SELECT 't' || (subject % 2) AS tree, 'u' || subject AS a, 'k' || object AS b FROM ev WHERE object IS NOT NULL")
+_shortened("trie_merged_hosts", lambda t: reports.eliminate_level(reports.merge_trees(t, "all"), 1), "SELECT 'all' AS tree, kind AS a, 'k' || object AS b FROM ev WHERE object IS NOT NULL")

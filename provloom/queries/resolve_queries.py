@@ -217,3 +217,8 @@ def attack_uuids(spark, sf_dir):
     parents = ids.select(F.col("subject").alias("up"), F.col("uuid").alias("root"))
     merges = ids.where("subject > 0").withColumn("up", F.expr("subject div 2")).join(parents, "up").select(F.col("uuid").alias("id"), "root")
     return resolve.text_uuids(lines, "line", "text", merges)
+
+
+@query("weekend_events", f"WITH {EV} SELECT event_id FROM ev WHERE isodow(make_timestamp(nanos // 1000)) >= 6")
+def weekend_events(spark, sf_dir):
+    return event_frame(spark, sf_dir).where(fn.at_weekend(F.expr("nanos div 1000000000"))).select("event_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -12,6 +14,9 @@ TABLES = (
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+#: Folders of rounds that were written and not removed.
+_ROUNDS: list[str] = []
+
 
 def local_session(cpus: int | str = 8, app: str = "provloom", **conf: str) -> SparkSession:
     """A local session with the settings the tests and the bench use; clusters bring their own session."""
@@ -42,10 +47,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     joins of rounds with each other are planned by what they hold.
     """
     folder = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    _ROUNDS.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def release_rounds(spark: SparkSession) -> None:
+    """Removes the tables that ``checkpoint`` has written so far; results that read them must have been taken or written. It is done once more when Python ends."""
+    while _ROUNDS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_ROUNDS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _release_at_end() -> None:
+    spark = SparkSession.getActiveSession() if _ROUNDS else None
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            release_rounds(spark)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``. A temporary one
     takes its place in local mode only; elsewhere a missing folder is an error, as executors would not see it."""

@@ -18,25 +18,39 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
-def graph_sink(folder: str) -> Callable[[DataFrame, int], None]:
+def graph_sink(folder: str, order: str | None = None, buckets: int = 16) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer of elements (id, label, src, dst, properties; vertices have no src).
 
-    Each batch adds vertices under ``vertices/batch=N``, first record of an id first, and edges whose two ends are known under ``edges/batch=N``; the others wait
-    under ``parked/batch=N`` and are tried again with every later batch. Elements of the nil uuid are skipped. Every folder is overwritten
-    if a batch is run again, so a restart writes nothing twice.
+    Each batch adds vertices under ``vertices/batch=N``, of equal ids the first by the column ``order`` where one is named, and edges whose two ends are known under
+    ``edges/batch=N``; the others wait under ``parked/batch=N`` and are tried again with every later batch. Ids alone are kept by ``buckets`` of their
+    hash under ``ids``, and a batch reads the buckets that it asks for, not the vertices written before. Elements of the nil uuid are skipped. Every
+    folder is overwritten if a batch is run again, so a restart writes nothing twice.
     """
+    columns = ["id", "label", "src", "dst", "properties"]
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+
+    def known(spark: SparkSession, asked: DataFrame, upto: int) -> DataFrame:
+        """Those of the asked ids that are written."""
+        held = [r[0] for r in asked.select(bucket("id").alias("b")).distinct().collect()]  # ``buckets`` numbers at most
+        ids = _read(spark, f"{folder}/ids", "id string, batch int, bucket int")
+        return ids.where(F.col("bucket").isin(held) & (F.col("batch") <= upto)).select("id").join(asked, "id", "left_semi").distinct()
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = _read(spark, f"{folder}/vertices", f"{ELEMENT}, batch int").where(F.col("batch") < number).select("id")
         rows = batch.where(~F.coalesce("src", "id").isin(NIL) & ~F.coalesce("dst", "id").isin(NIL))
-        fresh = rows.where("src is null").dropDuplicates(["id"]).join(known, "id", "left_anti")
-        fresh.select("id", "label", "src", "dst", "properties").write.mode("overwrite").parquet(f"{folder}/vertices/batch={number}")
-        known = _read(spark, f"{folder}/vertices", f"{ELEMENT}, batch int").where(F.col("batch") <= number).select("id").distinct()
+        vertices = rows.where("src is null")
+        if order is None:
+            first = vertices.dropDuplicates(["id"]).select(*columns)
+        else:
+            first = vertices.groupBy("id").agg(F.min_by(F.struct(*columns[1:]), order).alias("v")).select("id", "v.*")
+        fresh = first.join(known(spark, first.select("id"), number - 1), "id", "left_anti")
+        fresh.select(*columns).write.mode("overwrite").parquet(f"{folder}/vertices/batch={number}")
+        written = _read(spark, f"{folder}/vertices/batch={number}", ELEMENT)
+        written.select("id", bucket("id").alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/ids/batch={number}")
         waiting = _read(spark, f"{folder}/parked", f"{ELEMENT}, batch int").where(F.col("batch") == number - 1).drop("batch")
-        edges = rows.where("src is not null").select("id", "label", "src", "dst", "properties").unionByName(waiting).dropDuplicates(["id"])
-        ends = edges.join(known.select(F.col("id").alias("src"), F.lit(True).alias("_s")), "src", "left").join(known.select(F.col("id").alias("dst"), F.lit(True).alias("_d")), "dst", "left")
-        columns = ["id", "label", "src", "dst", "properties"]
+        edges = rows.where("src is not null").select(*columns).unionByName(waiting).dropDuplicates(["id"])
+        there = known(spark, edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), number)
+        ends = edges.join(there.select(F.col("id").alias("src"), F.lit(True).alias("_s")), "src", "left").join(there.select(F.col("id").alias("dst"), F.lit(True).alias("_d")), "dst", "left")
         ready = F.col("_s").isNotNull() & F.col("_d").isNotNull()
         ends.where(~ready).select(*columns).write.mode("overwrite").parquet(f"{folder}/parked/batch={number}")
         ends.where(ready).select(*columns).write.mode("overwrite").parquet(f"{folder}/edges/batch={number}")
@@ -44,6 +58,17 @@ def graph_sink(folder: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def finish_graph(spark: SparkSession, folder: str) -> None:
+    """At the stream's end: vertices ``AdmSynthesized`` for the ends that no element described, and the edges that waited for them."""
+    vertices, _, parked = graph_tables(spark, folder)
+    ends = parked.select(F.col("src").alias("id")).union(parked.select("dst")).distinct().join(vertices.select("id"), "id", "left_anti")
+    made = ends.select("id", F.lit("AdmSynthesized").alias("label"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.create_map().cast("map<string,string>").alias("properties"))
+    made.write.mode("overwrite").parquet(f"{folder}/vertices/batch=2000000000")
+    parked.write.mode("overwrite").parquet(f"{folder}/edges/batch=2000000000")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/parked")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def graph_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vertices, edges and the edges that still wait, as written by ``graph_sink``."""
     parked = _read(spark, f"{folder}/parked", f"{ELEMENT}, batch int")
