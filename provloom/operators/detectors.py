@@ -354,5 +354,5 @@ def estimators(tree: DataFrame) -> DataFrame:
     singles = tree.where("level > 0 and count = 1").groupBy("tree", F.expr("slice(prefix, 1, level - 1)").alias("prefix")).agg(F.count("*").alias("singles"))
     n, kids, once = F.col("count"), F.col("children"), F.coalesce("singles", F.lit(0))
     return tree.where("children > 0").join(singles, ["tree", "prefix"], "left").select(
-        "tree", "prefix", (1 / (n + kids + 1)).alias("additive"), (1 / (n + 1)).alias("escape_a"), (kids / (n + kids)).alias("escape_c"), (once / n).alias("good_turing")
+        "tree", "prefix", (1 / (n + kids + 1)).alias("additive"), (1 / (n + 1)).alias("escape_a"), (kids / n).alias("escape_b"), (kids / (n + kids)).alias("escape_c"), (once / n).alias("good_turing")
     )

@@ -10,6 +10,8 @@ from .running import ranges, running
 
 WRITES = ("EVENT_WRITE", "EVENT_SENDTO", "EVENT_SENDMSG")
 READS = ("EVENT_READ", "EVENT_RECVFROM", "EVENT_RECVMSG")
+NETFLOWS = (*READS, *WRITES, "EVENT_CONNECT", "EVENT_ACCEPT")
+EXECUTES_AND_DELETES = ("EVENT_EXECUTE", "EVENT_UNLINK")
 
 
 def explode_prefixes(obs: DataFrame, tree: str, seq: list[str], key: str) -> DataFrame:

@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import novelty, reports
+from ..operators import measures, novelty, reports
 from ..operators.graph import event_frame, event_graph, kind_of
 from ..session import shared_folder, table
 from ..sources import sinks
 from ..streaming import jobs
 from .novelty_queries import OBS, alarm_rows
-from .registry import query
+from . import detector_queries  # noqa: F401  its twins come first
+from .registry import ORACLES, QUERIES, query
 from .sql import EDGES, EV
 
 DAY = 86_400_000_000_000
@@ -93,11 +94,15 @@ def time_sorted(spark, sf_dir):
     return running(rows, ["all"], ["nanos", "event_id"], F.lit(1).cast("long"), "n").select("event_id", "n")
 
 
-@query("lowest_scores", f"WITH {EV} SELECT event_id, round(value / (1 + event_id % 7), 6) AS score FROM ev ORDER BY value / (1 + event_id % 7), event_id LIMIT 5000")
+@query("lowest_scores", f"SELECT * FROM ({ORACLES['avf']}) ORDER BY score, object LIMIT 5000")
 def lowest_scores(spark, sf_dir):
-    """The 5,000 rows of least score that the forest's report asks for: each task gives its least, one merges these."""
-    score = F.col("value") / (1 + F.col("event_id") % 7)
-    return event_frame(spark, sf_dir).orderBy(score, "event_id").limit(5000).select("event_id", F.round(score, 6).alias("score"))
+    """The 5,000 users' days whose attributes are the rarest."""
+    return measures.lowest(QUERIES["avf"](spark, sf_dir), 5000)
+
+
+@query("linear_thresholds", f"WITH {OBS}, q AS (SELECT unnest([1.0, 5.0, 25.0]) AS percent) SELECT tree, CAST(percent AS DOUBLE) AS percent, round(CASE percent WHEN 1.0 THEN quantile_cont(lp, 0.01) WHEN 5.0 THEN quantile_cont(lp, 0.05) ELSE quantile_cont(lp, 0.25) END, 6) AS threshold FROM al, q GROUP BY tree, percent")
+def linear_thresholds(spark, sf_dir):
+    return measures.linear_percentiles(alarm_rows(spark, sf_dir), (1.0, 5.0, 25.0)).withColumn("threshold", F.round("threshold", 6))
 
 
 @query("time_span", f"WITH {EV} SELECT kind, count(*) AS n, min(nanos) AS first, max(nanos) AS last FROM ev GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import policy, reports
+from ..operators import measures, policy, reports
 from ..operators.detectors import top_share
 from ..operators.graph import event_frame, event_graph, kind_of
 from ..session import table
@@ -76,7 +76,7 @@ def status_shares(spark, sf_dir):
 
 @query("population_rates", f"WITH {EV} SELECT event_type, event_id // 1000 AS bucket, count(*) AS n FROM ev GROUP BY 1, 2")
 def population_rates(spark, sf_dir):
-    return event_frame(spark, sf_dir).groupBy("event_type", F.expr("event_id div 1000").alias("bucket")).agg(F.count("*").alias("n"))
+    return measures.population(event_frame(spark, sf_dir), "event_type", "event_id", 1000)
 
 
 @query("edge_degrees", f"WITH {EDGES} SELECT dst AS id, count(*) AS degree FROM ed WHERE label = 'subject' GROUP BY 1")
@@ -102,43 +102,41 @@ def process_summary(spark, sf_dir):
 
 @query("view_statistics", f"WITH {EV} SELECT event_type, round(avg(value), 5) AS mean, round(var_samp(value), 4) AS variance, round(stddev_samp(value), 5) AS deviation, min(value) AS least, max(value) AS most FROM ev GROUP BY 1")
 def view_statistics(spark, sf_dir):
-    return event_frame(spark, sf_dir).groupBy("event_type").agg(
-        F.round(F.avg("value"), 5).alias("mean"), F.round(F.var_samp("value"), 4).alias("variance"), F.round(F.stddev_samp("value"), 5).alias("deviation"), F.min("value").alias("least"), F.max("value").alias("most")
-    )
+    found = measures.statistics(event_frame(spark, sf_dir), "event_type", "value")
+    return found.select("event_type", F.round("mean", 5).alias("mean"), F.round("variance", 4).alias("variance"), F.round("deviation", 5).alias("deviation"), "least", "most")
 
 
 @query("view_histogram", f"WITH {EV}, m AS (SELECT min(value) AS lo, max(value) AS hi FROM ev) SELECT CAST(least(floor((value - lo) / ((hi - lo) / 10)), 9) AS BIGINT) AS bin, count(*) AS n FROM ev, m WHERE value IS NOT NULL GROUP BY 1")
 def view_histogram(spark, sf_dir):
     """Ten bins of equal width, the last one closed."""
-    ev = event_frame(spark, sf_dir).where("value is not null")
-    ends = ev.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    bin_ = F.least(F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 10)), F.lit(9)).cast("long")
-    return ev.join(F.broadcast(ends), F.lit(True)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+    return measures.histogram(event_frame(spark, sf_dir), "value")
 
 
-@query("feature_operations", f"WITH {EV}, a AS (SELECT subject, min(nanos) AS a, max(nanos) AS b, count(*) AS n, sum(value) AS v FROM ev GROUP BY 1) SELECT subject, (b - a) // 1000000000 AS sub_time, greatest(0, (a - b) // 1000000000) AS relu_time, round(n / ((b - a) / 1e9), 6) AS per_second, round(v / ((b - a) / 1e9), 6) AS size_per_second FROM a WHERE b > a")
+@query("feature_operations", f"""WITH {EV}, a AS (SELECT subject, min(nanos) FILTER (kind = 'EVENT_READ') AS a, max(nanos) FILTER (kind = 'EVENT_WRITE') AS b, min(nanos) AS t0, max(nanos) AS t1, count(*) AS n, sum(value) AS v FROM ev GROUP BY 1)
+ SELECT subject, trunc((b - a) / 1e9)::BIGINT AS sub_time, greatest(0, coalesce(trunc((b - a) / 1e9)::BIGINT, 0)) AS relu_time, round(n / nullif((t1 - t0) / 1e9, 0), 6) AS per_second, round(v / nullif((t1 - t0) / 1e9, 0), 6) AS size_per_second, round((t1 - t0) / 1e9 / n, 4) AS seconds_each FROM a""")
 def feature_operations(spark, sf_dir):
-    a = event_frame(spark, sf_dir).groupBy("subject").agg(F.min("nanos").alias("a"), F.max("nanos").alias("b"), F.count("*").alias("n"), F.sum("value").alias("v")).where("b > a")
-    span = (F.col("b") - F.col("a")) / 1e9
+    """From a process's first read to its last write, which may be before it, and rates over its whole time."""
+    read, write = F.when(F.col("event_type") == "click", F.col("nanos")), F.when(F.col("event_type") == "purchase", F.col("nanos"))
+    a = event_frame(spark, sf_dir).groupBy("subject").agg(F.min(read).alias("a"), F.max(write).alias("b"), F.min("nanos").alias("t0"), F.max("nanos").alias("t1"), F.count("*").alias("n"), F.sum("value").alias("v"))
     return a.select(
-        "subject", F.expr("(b - a) div 1000000000").alias("sub_time"), F.greatest(F.lit(0), F.expr("(a - b) div 1000000000")).alias("relu_time"),
-        F.round(F.col("n") / span, 6).alias("per_second"), F.round(F.col("v") / span, 6).alias("size_per_second"),
+        "subject", measures.sub_time(F.col("b"), F.col("a")).alias("sub_time"), measures.relu_time(F.col("b"), F.col("a")).alias("relu_time"),
+        F.round(measures.per_time(F.col("n"), F.col("t1"), F.col("t0")), 6).alias("per_second"), F.round(measures.per_time(F.col("v"), F.col("t1"), F.col("t0")), 6).alias("size_per_second"),
+        F.round(measures.time_per(F.col("t1"), F.col("t0"), F.col("n")), 4).alias("seconds_each"),
     )
 
 
 @query("time_between", f"WITH {EV}, f AS (SELECT subject, min(nanos) AS at FROM ev WHERE kind = 'EVENT_FORK' GROUP BY 1) SELECT ev.subject, min(nanos - at) AS delay FROM ev JOIN f ON f.subject = ev.subject WHERE kind = 'EVENT_WRITE' AND nanos > at GROUP BY 1".replace(" AS at ", " AS t0 ").replace("nanos - at", "nanos - t0").replace("> at", "> t0"))
 def time_between(spark, sf_dir):
     ev = event_frame(spark, sf_dir)
-    first = ev.where("event_type = 'signup'").groupBy("subject").agg(F.min("nanos").alias("t0"))
-    return ev.where("event_type = 'purchase'").join(first, "subject").where("nanos > t0").groupBy("subject").agg(F.min(F.col("nanos") - F.col("t0")).alias("delay"))
+    return measures.time_between(ev, "subject", "nanos", F.col("event_type") == "signup", F.col("event_type") == "purchase")
 
 
-@query("high_score_edges", f"WITH {EV}, sc AS (SELECT subject AS s, count(*) AS score FROM ev GROUP BY 1), m AS (SELECT avg(score) AS m FROM sc) SELECT p.s AS parent, c.s AS child FROM sc c JOIN sc p ON p.s = c.s // 2 AND c.s > 0, m WHERE p.score > m AND c.score > m")
+@query("high_score_edges", f"WITH {EV}, sc AS (SELECT subject AS s, count(*) AS score FROM ev GROUP BY 1), m AS (SELECT avg(score) + 2 AS m FROM sc) SELECT p.s AS parent, c.s AS child FROM sc c JOIN sc p ON p.s = c.s // 2 AND c.s > 0, m WHERE p.score > m AND c.score > m")
 def high_score_edges(spark, sf_dir):
-    sc = event_frame(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("score"))
-    mean = sc.agg(F.avg("score").alias("m"))
-    high = sc.join(F.broadcast(mean), F.lit(True)).where("score > m").select("subject")
-    return high.select(F.col("subject").alias("child"), F.expr("subject div 2").alias("parent")).where("child > 0").join(high.select(F.col("subject").alias("parent")), "parent").select("parent", "child")
+    """Processes and their children that both have over two events more than the mean."""
+    sc = event_frame(spark, sf_dir).groupBy(F.col("subject").alias("id")).agg(F.count("*").alias("score"))
+    edges = sc.where("id > 0").select(F.expr("id div 2").alias("src"), F.col("id").alias("dst"))
+    return measures.high_edges(edges, sc, 2.0).select(F.col("src").alias("parent"), F.col("dst").alias("child"))
 
 
 @query("top_percent", f"WITH {EV}, r AS (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS n, count(*) OVER (PARTITION BY event_type) AS c FROM ev) SELECT event_id FROM r WHERE n <= least(ceil(c * 0.05), 500)")
@@ -158,28 +156,26 @@ def alarm_time_series(spark, sf_dir):
     return spark.range(last + 1).withColumnRenamed("id", "bucket").join(counts, "bucket", "left").na.fill(0)
 
 
-@query("nearest_in_time", f"WITH {EV}, a AS (SELECT event_id, nanos // 60000000000 AS m FROM ev WHERE kind = 'EVENT_UNLINK'), r AS (SELECT event_id AS ref, nanos // 60000000000 AS m FROM ev WHERE kind = 'EVENT_FORK') SELECT a.event_id, max(ref) AS ref FROM a JOIN r ON abs(a.m - r.m) < 2 GROUP BY 1")
+@query("nearest_in_time", f"WITH {EV}, a AS (SELECT event_id, nanos, nanos // 60000000000 AS m FROM ev WHERE kind = 'EVENT_UNLINK'), r AS (SELECT event_id AS ref, nanos AS t, nanos // 60000000000 AS m FROM ev WHERE kind = 'EVENT_FORK') SELECT a.event_id, coalesce(max_by(t, ref), max(a.nanos)) AS repaired FROM a LEFT JOIN r ON abs(a.m - r.m) < 2 GROUP BY 1")
 def nearest_in_time(spark, sf_dir):
-    """Each alarm takes the last reference whose minute differs by less than two: the minute is the join key, tried at three places."""
+    """Deletions take the time of the last fork near them."""
     ev = event_frame(spark, sf_dir)
-    minute = F.expr("nanos div 60000000000")
-    a = ev.where("event_type = 'error'").select("event_id", F.explode(F.array(minute - 1, minute, minute + 1)).alias("m"))
-    r = ev.where("event_type = 'signup'").select(F.col("event_id").alias("ref"), minute.alias("m"))
-    return a.join(r, "m").groupBy("event_id").agg(F.max("ref").alias("ref"))
+    return measures.repaired_times(ev.where("event_type = 'error'"), ev.where("event_type = 'signup'"), "event_id", "nanos", "event_id").select("event_id", "repaired")
 
 
 @query("attack_coverage", f"WITH {EV}, al AS (SELECT event_id, 'attack' || (object % 4) AS attack, kind FROM ev WHERE kind IN ('EVENT_UNLINK', 'EVENT_FORK') AND object IS NOT NULL) SELECT attack, count(*) AS alarms, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds FROM al GROUP BY 1")
 def attack_coverage(spark, sf_dir):
     al = event_frame(spark, sf_dir).where("event_type in ('error', 'signup') and object is not null")
-    return al.groupBy(F.concat(F.lit("attack"), F.col("object") % 4).alias("attack")).agg(F.count("*").alias("alarms"), F.array_join(F.array_sort(F.collect_set(kind_of(F.col("event_type")))), ",").alias("kinds"))
+    found = measures.coverage(al.select(F.concat(F.lit("attack"), F.col("object") % 4).alias("attack"), kind_of(F.col("event_type")).alias("kind")), "attack", "kind")
+    return found.withColumn("kinds", F.array_join("kinds", ","))
 
 
 @query("threshold_search", f"""WITH {EV}, al AS (SELECT 'attack' || (object % 4) AS attack, value / 100.0 AS p FROM ev WHERE kind = 'EVENT_UNLINK' AND object IS NOT NULL) SELECT round(max(m), 6) AS threshold FROM (SELECT attack, min(p) AS m FROM al GROUP BY 1)""")
 def threshold_search(spark, sf_dir):
-    """The least threshold on the local probability at which every attack still raises an alarm: the greatest of the attacks' least."""
+    """The least threshold on the local probability at which every attack still raises an alarm."""
     al = event_frame(spark, sf_dir).where("event_type = 'error' and object is not null")
-    least = al.groupBy(F.concat(F.lit("attack"), F.col("object") % 4).alias("attack")).agg(F.min(F.col("value") / 100.0).alias("m"))
-    return least.agg(F.round(F.max("m"), 6).alias("threshold"))
+    found = measures.least_threshold(al.select(F.concat(F.lit("attack"), F.col("object") % 4).alias("attack"), (F.col("value") / 100.0).alias("p")), "attack", "p")
+    return found.select(F.round("threshold", 6).alias("threshold"))
 
 
 @query("stitched_observations", f"WITH {EV}, nm AS (SELECT c_custkey AS s, c_name FROM customer) SELECT event_id, kind, 'u' || subject AS subject, c_name AS subject_name, 'k' || object AS object, '/k/' || object AS object_path FROM ev LEFT JOIN nm ON s = subject WHERE object IS NOT NULL")
@@ -213,9 +209,9 @@ def merge_tables_outer(spark, sf_dir):
     return c.join(o, "k", "full")
 
 
-@query("event_matrix", "SELECT event_id, CASE WHEN props IS NULL THEN 0 ELSE 1 END AS has_props, CASE WHEN value IS NULL THEN 0 ELSE 1 END AS has_value FROM events")
+@query("event_matrix", "SELECT event_id, " + ", ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END AS has_{c}" for c in ("ts", "user_id", "event_type", "value", "props")) + " FROM events")
 def event_matrix(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", *[F.col(c).isNotNull().cast("int").alias(f"has_{c}") for c in ("props", "value")])
+    return measures.presence_matrix(table(spark, sf_dir, "events"), "event_id", "event_id", ["ts", "user_id", "event_type", "value", "props"])
 
 
 @query("ground_truth_uuids", "SELECT doc_id, len(regexp_extract_all(text, '[0-9a-f]{24,}')) AS found FROM documents")
@@ -226,22 +222,20 @@ def ground_truth_uuids(spark, sf_dir):
 @query("load_limit", "SELECT event_id FROM events ORDER BY ts, event_id LIMIT 500 OFFSET 100")
 def load_limit(spark, sf_dir):
     """A range of the source in its total order: start inclusive, end exclusive."""
-    return table(spark, sf_dir, "events").orderBy("ts", "event_id").offset(100).limit(500).select("event_id")
+    return measures.crop(table(spark, sf_dir, "events"), ["ts", "event_id"], 100, 600).select("event_id")
 
 
-@query("source_merge", "SELECT 0 AS source_ord, o_orderkey AS k FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 1, o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+@query("source_merge", "SELECT 0 AS source_ord, o_orderkey AS k FROM orders UNION ALL SELECT 1, c_custkey FROM customer UNION ALL SELECT 2, s_suppkey FROM supplier")
 def source_merge(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    parts = [o.where(F.col("o_orderstatus") == s).select(F.lit(i).alias("source_ord"), F.col("o_orderkey").alias("k")) for i, s in enumerate("OF")]
-    return parts[0].unionByName(parts[1])
+    keys = (("orders", "o_orderkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"))
+    return measures.merge_sources([table(spark, sf_dir, t).select(F.col(k).alias("k")) for t, k in keys])
 
 
 @query("parse_errors", f"WITH {EV} SELECT event_id, CASE WHEN event_id % 10 = 3 THEN NULL ELSE object END AS object, event_id % 10 = 3 AS bad FROM ev")
 def parse_errors(spark, sf_dir):
     """Records that can't be parsed are kept apart by a flag, and the rest goes on."""
     raw = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 10 == 3, F.concat(F.lit("{"), "props")).otherwise(F.col("props")).alias("props"))
-    parsed = raw.withColumn("p", F.from_json("props", "k long, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    return parsed.select("event_id", F.col("p.k").alias("object"), F.col("p._bad").isNotNull().alias("bad"))
+    return measures.parse_records(raw, "props", "k long").select("event_id", F.col("record.k").alias("object"), "bad")
 
 
 def _vertex(label: str, rows: str, ident: str, **properties: str) -> str:
@@ -268,3 +262,13 @@ def vertex_json(spark, sf_dir):
 @query("edge_json", f"""WITH {EDGES} SELECT src || '|' || label || '|' || dst AS id, '{{"id":"' || src || '|' || label || '|' || dst || '","type":"edge","label":"' || label || '","inV":"' || dst || '","outV":"' || src || '"}}' AS json FROM ed""")
 def edge_json(spark, sf_dir):
     return reports.edge_json(event_graph(spark, sf_dir).edges)
+
+
+@query("delayed_names", f"""WITH {EV}, nm AS (SELECT subject, '/bin/' || object AS name, min(event_id) AS seen FROM ev WHERE kind = 'EVENT_EXECUTE' AND object IS NOT NULL GROUP BY 1, 2)
+ SELECT ev.event_id, coalesce(string_agg(name, ',' ORDER BY name), '') AS names FROM ev LEFT JOIN nm ON nm.subject = ev.subject AND seen <= event_id + 1000 GROUP BY 1""")
+def delayed_names(spark, sf_dir):
+    """Events with all names of their process that come up to a thousand records later: a process is named by what it executes."""
+    ev = event_frame(spark, sf_dir)
+    names = ev.where("event_type = 'view'").select("subject", "event_id", F.concat(F.lit("/bin/"), F.col("object")).alias("name"))
+    found = measures.name_sets(ev.select("event_id", "subject"), names, "subject", "event_id", "name", 1000)
+    return found.select("event_id", F.array_join("names", ",").alias("names"))

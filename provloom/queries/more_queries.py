@@ -35,11 +35,11 @@ def split_merge(spark, sf_dir):
 
 
 @query("trie_estimators", f"""WITH {SNAP}, k AS (SELECT tree, CASE WHEN level = 1 THEN '' ELSE regexp_replace(path, '\\|[^|]*$', '') END AS path, count(*) AS singles FROM sn WHERE level > 0 AND count = 1 GROUP BY 1, 2)
- SELECT sn.tree, sn.path, round(1.0 / (count + children + 1), 6) AS additive, round(1.0 / (count + 1), 6) AS escape_a, round(children / CAST(count + children AS DOUBLE), 6) AS escape_c, round(coalesce(singles, 0) / CAST(count AS DOUBLE), 6) AS good_turing
+ SELECT sn.tree, sn.path, round(1.0 / (count + children + 1), 6) AS additive, round(1.0 / (count + 1), 6) AS escape_a, round(children / CAST(count AS DOUBLE), 6) AS escape_b, round(children / CAST(count + children AS DOUBLE), 6) AS escape_c, round(coalesce(singles, 0) / CAST(count AS DOUBLE), 6) AS good_turing
  FROM sn LEFT JOIN k ON k.tree = sn.tree AND k.path = sn.path WHERE children > 0""")
 def trie_estimators(spark, sf_dir):
     found = d.estimators(novelty.snapshot(observations(spark, sf_dir)))
-    return found.select("tree", F.array_join("prefix", "|").alias("path"), *[F.round(c, 6).alias(c) for c in ("additive", "escape_a", "escape_c", "good_turing")])
+    return found.select("tree", F.array_join("prefix", "|").alias("path"), *[F.round(c, 6).alias(c) for c in ("additive", "escape_a", "escape_b", "escape_c", "good_turing")])
 
 
 @query("recomputed_probabilities", f"WITH {OBS} SELECT event_id, round(CASE WHEN c1 = 1 THEN s1 / CAST(s1 + c0 AS DOUBLE) WHEN c2 = 1 THEN s2 / CAST(s2 + c1 AS DOUBLE) ELSE s3 / CAST(s3 + c2 AS DOUBLE) END, 6) AS local_prob FROM s WHERE c3 = 1")
