@@ -57,6 +57,36 @@ def test_reputation_shrinks(spark):
     assert [r.d for r in domain.collect()] == ["e.co.uk", "b.com", "localhost", "h.org"]
 
 
+SUFFIXES = ["com", "uk", "co.uk", "io", "github.io", "*.ck", "!www.ck", "me.uk", " K12.CA.US ", "us", ""]
+
+
+def test_suffixes_read_as_data(spark):
+    want = {
+        "a.b.com": "b.com", "x.github.io": "x.github.io", "y.x.github.io": "x.github.io", "github.io": "github.io", "z.me.uk": "z.me.uk", "w.v.co.uk": "v.co.uk", "q.uk": "q.uk", "a.k12.ca.us": "a.k12.ca.us",
+        "b.a.k12.ca.us": "a.k12.ca.us", "p.q.r.ck": "q.r.ck", "r.ck": "r.ck", "s.www.ck": "www.ck", "www.ck": "www.ck", "one.unknown": "one.unknown", "localhost": "localhost", "10.0.0.7:80": "10.0.0.7", "u@h.b.com:8080": "b.com",
+    }
+    table = spark.createDataFrame([(s, 1) for s in [*SUFFIXES, "com"]], "suffix string, host int")
+    hosts = spark.createDataFrame([(h,) for h in want], "host string").repartition(3)
+    got = {r.host: r for r in url_reputation.domains_by_table(hosts, table).collect()}
+    assert {h: r.domain for h, r in got.items()} == want
+    assert got["p.q.r.ck"].suffix == "r.ck" and got["s.www.ck"].suffix == "ck" and got["y.x.github.io"].suffix == "github.io" and got["q.uk"].suffix == "uk"
+    pages = spark.createDataFrame([(i, f"http://{h}/{i}") for i in range(40) for h in ("bad.github.io", "good.github.io")][:80], "page_id long, url string").withColumn("page_id", F.monotonically_increasing_id())
+    outcomes = pages.select("page_id", F.contains("url", F.lit("bad.")).alias("failing"))
+    rep = {r.host: r for r in url_reputation.host_reputation(pages, outcomes, suffixes=table).collect()}
+    assert rep["bad.github.io"].domain != rep["good.github.io"].domain and rep["bad.github.io"].bound > 0.5 > rep["good.github.io"].mean
+    assert {(r.host, r.verdict) for r in url_reputation.judge(pages, outcomes, (), suffixes=table).collect()} == {("bad.github.io", "block"), ("good.github.io", "allow")}
+
+
+def test_lower_bounds_are_shares(spark):
+    cases = [(m, n) for m in (0.0, 0.001, 0.25, 0.5, 0.999, 1.0) for n in (2.0, 30.0, 1e6)]
+    rows = spark.createDataFrame(cases, "m double, n double").select("m", "n", url_reputation.lower_bound(F.col("m"), F.col("n")).alias("b")).collect()
+    z = url_reputation.Z
+    for r in rows:
+        assert 0 <= r.b + 1e-15 and r.b <= r.m + 1e-12
+        if r.b > 1e-9:  # the share at which the mean is just z standard deviations above it
+            assert abs(r.m - r.b - z * math.sqrt(r.b * (1 - r.b) / r.n)) < 1e-6
+
+
 def brute_kn(texts):
     """Trigram modified Kneser-Ney from its definition; symbols as strings, None elsewhere."""
     c3 = Counter()
