@@ -135,3 +135,18 @@ dsl("aggregate_bag", "readers = g.V().hasLabel('AdmEvent').has('eventType','EVEN
     "SELECT DISTINCT 'u' || subject AS result FROM ev WHERE kind = 'EVENT_WRITE' AND subject IN (SELECT subject FROM ev WHERE kind = 'EVENT_READ')")
 dsl("aggregate_source", "xs = g.V().hasLabel('AdmFileObject').in('predicateObject').has('eventType','EVENT_UNLINK').out('subject').aggregate('deleters').out('localPrincipal'); g.V(deleters).hasLabel('AdmSubject').id()",
     "SELECT DISTINCT 'u' || subject AS result FROM ev WHERE kind = 'EVENT_UNLINK' AND object IS NOT NULL")
+dsl("ui_principal_processes", "g.V('c5').in('localPrincipal').id()", "SELECT 'u5' AS result WHERE 5 IN (SELECT subject FROM ev) AND 5 IN (SELECT c_custkey FROM customer)")
+dsl("ui_host_principals", "g.V('n3').in('host').id()", "SELECT 'c' || c_custkey AS result FROM customer WHERE c_nationkey = 3 AND c_custkey IN (SELECT subject FROM ev)")
+_DOWN = ", dn(s) AS (SELECT 2 WHERE 2 IN (SELECT subject FROM ev) UNION SELECT DISTINCT subject FROM ev JOIN dn ON subject // 2 = s AND subject > 0)"
+dsl("ui_descendants", "g.V('u2').emit().repeat(_.in('parentSubject')).dedup().id()", "SELECT 'u' || s AS result FROM dn", with_=EV + _DOWN)
+dsl("ui_files_of_descendants", "g.V('u2').emit().repeat(_.in('parentSubject')).dedup().in('subject').has('eventType','EVENT_WRITE').out('predicateObject').dedup().id()",
+    "SELECT DISTINCT 'k' || object AS result FROM ev WHERE subject IN (SELECT s FROM dn) AND kind = 'EVENT_WRITE' AND object IS NOT NULL", with_=EV + _DOWN)
+dsl("ui_readers_of_written", "g.V('u5').as('me').in('subject').has('eventType','EVENT_WRITE').out('predicateObject').in('predicateObject').has('eventType','EVENT_READ').out('subject').where(neq('me')).dedup().id()",
+    "SELECT DISTINCT 'u' || r.subject AS result FROM ev w JOIN ev r ON r.object = w.object WHERE w.subject = 5 AND w.kind = 'EVENT_WRITE' AND r.kind = 'EVENT_READ' AND r.subject <> 5")
+dsl("ui_shared_files", "g.V('u5').in('subject').out('predicateObject').dedup().where(_.in('predicateObject').out('subject').hasId('u2')).id()",
+    "SELECT DISTINCT 'k' || object AS result FROM ev WHERE subject = 5 AND object IN (SELECT object FROM ev WHERE subject = 2)")
+dsl("ui_files_of_host", "g.V('n3').in('host').in('localPrincipal').in('subject').out('predicateObject').dedup().id()",
+    "SELECT DISTINCT 'k' || object AS result FROM ev JOIN customer ON c_custkey = subject WHERE c_nationkey = 3 AND object IS NOT NULL")
+dsl("ui_latest_events", "g.V('u5').in('subject').order().by('latestTimestampNanos',decr).limit(5).id()", "SELECT 'e' || event_id AS result FROM (SELECT event_id FROM ev WHERE subject = 5 ORDER BY nanos DESC, 'e' || event_id LIMIT 5)")
+dsl("ui_quiet_files", "g.V().hasLabel('AdmFileObject').not(_.in('predicateObject').has('eventType','EVENT_WRITE')).id()",
+    "SELECT DISTINCT 'k' || object AS result FROM ev WHERE object IS NOT NULL AND object NOT IN (SELECT object FROM ev WHERE kind = 'EVENT_WRITE' AND object IS NOT NULL)")
