@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import measures, policy, reports
 from ..operators.detectors import top_share
 from ..operators.graph import event_frame, event_graph, kind_of
-from ..session import table
+from ..session import checkpoint, table
 from .registry import query
 from .sql import EDGES, EV
 
@@ -272,3 +272,16 @@ def delayed_names(spark, sf_dir):
     names = ev.where("event_type = 'view'").select("subject", "event_id", F.concat(F.lit("/bin/"), F.col("object")).alias("name"))
     found = measures.name_sets(ev.select("event_id", "subject"), names, "subject", "event_id", "name", 1000)
     return found.select("event_id", F.array_join("names", ",").alias("names"))
+
+
+@query("policy_tag_chain", f"""WITH RECURSIVE {EV}, tg AS (SELECT event_id AS tag, lag(event_id) OVER (PARTITION BY subject, object ORDER BY nanos, event_id) AS prev, subject, kind FROM ev WHERE object IS NOT NULL),
+ ch(write, tag) AS (SELECT tag, tag FROM tg WHERE kind = 'EVENT_WRITE' UNION ALL SELECT write, prev FROM ch JOIN tg USING (tag) WHERE prev IS NOT NULL)
+ SELECT write, count(*) AS steps, coalesce(string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment), '') AS kinds FROM ch JOIN tg USING (tag) LEFT JOIN customer ON c_custkey = subject GROUP BY 1""")
+def policy_tag_chain(spark, sf_dir):
+    """Writes by the tags behind them: each event on an object is a tag, the one before it its process's last event there, and names the process's account."""
+    ev = event_frame(spark, sf_dir).where("object is not null")
+    before = Window.partitionBy("subject", "object").orderBy("nanos", "event_id")
+    tags = checkpoint(ev.select(F.col("event_id").alias("tag"), F.lag("event_id").over(before).alias("prev"), F.col("subject").alias("object"), "event_type"))
+    writes = tags.where("event_type = 'purchase'").select(F.col("tag").alias("write"), "tag")
+    sources = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("object"), F.col("c_mktsegment").alias("kind"))
+    return policy.tag_chain(writes, tags.drop("event_type"), sources).withColumn("kinds", F.array_join("kinds", ","))

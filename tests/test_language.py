@@ -95,3 +95,32 @@ def test_weekends(spark):
 def test_results_as_json(spark):
     df = spark.createDataFrame([(1, [1, 2], {"a": True}, None)], "i int, l array<int>, m map<string,boolean>, n string")
     assert reports.result_json(df).head()[0] == '{"i":1,"l":[1,2],"m":{"a":true}}'
+
+
+def test_every_invariant_is_told(spark):
+    from provloom.operators.policy import violations
+
+    v = [("e1", "AdmEvent", "EVENT_WRITE", 5, 4, None), ("e2", "AdmEvent", "EVENT_READ", 1, 2, 1.0), ("a1", "AdmEvent", "EVENT_ADD_OBJECT_ATTRIBUTE", 1, 1, None), ("u1", "AdmSubject", None, None, None, None),
+         ("u2", "AdmSubject", None, None, None, None), ("u3", "AdmSubject", None, None, None, None), ("f1", "AdmFileObject", None, None, None, None), ("twin", "AdmFileObject", None, None, None, None)]
+    vertices = spark.createDataFrame(v, "id string, label string, eventType string, earliestTimestampNanos long, latestTimestampNanos long, value double")
+    vertices = vertices.withColumn("uuid", F.when(F.col("id") == "twin", "f1").otherwise(F.col("id")))
+    e = [("e1", "subject", "u1"), ("e1", "predicateObject", "f1"), ("e2", "predicateObject", "u2"), ("a1", "predicateObject", "f1"), ("u2", "parentSubject", "u1"), ("u3", "parentSubject", "u2"),
+         ("u2", "unitDependency", "u3"), ("u2", "localPrincipal", "gone")]
+    edges = spark.createDataFrame(e, "src string, label string, dst string").withColumn("id", F.concat_ws("|", "src", "label", "dst"))
+    got = {(r.rule, r.id) for r in violations(Graph(vertices, edges)).collect()}
+    assert got == {
+        ("duplicate uuid", "f1"), ("dangling edge", "gone"), ("event without subject", "e2"), ("subject without parent", "u1"), ("subject without principal", "u1"), ("subject without principal", "u3"),
+        ("object of wrong kind", "u2"), ("size missing", "e1"), ("bad time", "e1"), ("units of different parents", "u2|unitDependency|u3"), ("attribute without a second object", "a1"),
+    }
+    other = vertices.where("label <> 'AdmEvent'").union(vertices.where("id = 'e2'").withColumn("eventType", F.lit("EVENT_OTHER")))
+    assert ("no event but EVENT_OTHER", "graph") in {(r.rule, r.id) for r in violations(Graph(other, edges)).collect()}
+
+
+def test_tags_lead_back_to_their_sources(spark):
+    from provloom.operators.policy import tag_chain
+
+    writes = spark.createDataFrame([(1, "t3"), (1, "t9"), (2, None), (3, "c1"), (4, "none")], "write long, tag string")
+    tags = spark.createDataFrame([("t3", "t2", "o1"), ("t2", "t1", "o2"), ("t1", None, "o3"), ("t9", None, "ox"), ("c1", "c2", "o1"), ("c2", "c1", "o1")], "tag string, prev string, object string")
+    sources = spark.createDataFrame([("o1", "camera"), ("o2", "camera"), ("o3", "memory")], "object string, kind string")
+    got = {r.write: (r.steps, r.kinds) for r in tag_chain(writes, tags, sources).collect()}
+    assert got == {1: (4, ["camera", "memory"]), 2: (0, []), 3: (2, ["camera"]), 4: (0, [])}
