@@ -131,12 +131,12 @@ def time_between(spark, sf_dir):
     return measures.time_between(ev, "subject", "nanos", F.col("event_type") == "signup", F.col("event_type") == "purchase")
 
 
-@query("high_score_edges", f"WITH {EV}, sc AS (SELECT subject AS s, count(*) AS score FROM ev GROUP BY 1), m AS (SELECT avg(score) + 2 AS m FROM sc) SELECT p.s AS parent, c.s AS child FROM sc c JOIN sc p ON p.s = c.s // 2 AND c.s > 0, m WHERE p.score > m AND c.score > m")
+@query("high_score_edges", f"WITH {EV}, sc AS (SELECT subject AS s, count(*) AS score FROM ev GROUP BY 1), m AS (SELECT avg(score) AS m FROM sc) SELECT p.s AS parent, c.s AS child FROM sc c JOIN sc p ON p.s = c.s // 2 AND c.s > 0, m WHERE p.score > m AND c.score > m")
 def high_score_edges(spark, sf_dir):
-    """Processes and their children that both have over two events more than the mean."""
+    """Processes and their children that both have more events than the mean."""
     sc = event_frame(spark, sf_dir).groupBy(F.col("subject").alias("id")).agg(F.count("*").alias("score"))
     edges = sc.where("id > 0").select(F.expr("id div 2").alias("src"), F.col("id").alias("dst"))
-    return measures.high_edges(edges, sc, 2.0).select(F.col("src").alias("parent"), F.col("dst").alias("child"))
+    return measures.high_edges(edges, sc).select(F.col("src").alias("parent"), F.col("dst").alias("child"))
 
 
 @query("top_percent", f"WITH {EV}, r AS (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS n, count(*) OVER (PARTITION BY event_type) AS c FROM ev) SELECT event_id FROM r WHERE n <= least(ceil(c * 0.05), 500)")

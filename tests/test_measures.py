@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from provloom.operators import measures
+from provloom.operators.graph import event_frame
+from provloom.queries import QUERIES
 
 
 def test_sources(spark):
@@ -49,3 +51,12 @@ def test_scores(spark):
     alarms = spark.createDataFrame([("t", p / 10) for p in range(11)], "tree string, local_prob double")
     got = {r.percent: r.threshold for r in measures.linear_percentiles(alarms, (25.0, 50.0)).collect()}
     assert got == pytest.approx({25.0: 0.25, 50.0: 0.5})
+
+
+def test_edges_just_above_the_mean_are_high(spark, sf):
+    """No end is asked for more events than the mean's: edges within two events of it count."""
+    n = {r.subject: r.n for r in event_frame(spark, sf).groupBy("subject").agg(F.count("*").alias("n")).collect()}
+    high = {s for s in n if n[s] > sum(n.values()) / len(n)}
+    want = {(s // 2, s) for s in high if s > 0 and s // 2 in high}
+    got = {(r.parent, r.child) for r in QUERIES["high_score_edges"](spark, sf).collect()}
+    assert got == want and any(min(n[p], n[c]) <= sum(n.values()) / len(n) + 2 for p, c in got)
