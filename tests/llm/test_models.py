@@ -160,6 +160,21 @@ def test_thresholds_and_verdicts(spark):
     assert kneser_ney.classify(spark.createDataFrame([], "doc_id long, text string, lang string"), labels).count() == 0
 
 
+def test_every_trusted_document_is_used(spark, monkeypatch):
+    """26,000 trusted documents: all but those held out are trained on, and the threshold is a quantile of all of these."""
+    seen = []
+    plain = kneser_ney.find_alphabets
+    monkeypatch.setattr(kneser_ney, "find_alphabets", lambda trusted, model: seen.append(trusted.count()) or plain(trusted, model))
+    docs = spark.range(26_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), "id").alias("text"), F.lit("x").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    got = kneser_ney.classify(docs, labels)
+    held = docs.where("pmod(xxhash64(doc_id, 1), 5) = 0").select("doc_id")
+    n = held.count()
+    assert seen == [26_000 - n]
+    kept = got.join(held, "doc_id").where("kept").count()
+    assert 0 <= kept - kneser_ney.QUANTILE * n < 20
+
+
 def test_classifier_separates(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries.op5_kneser_ney(spark, sf).collect()}
