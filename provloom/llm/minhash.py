@@ -23,8 +23,6 @@ LEAST_EQUAL = 90
 BATCH_ELEMENTS = 150_000
 #: Texts that meet one leader's text in one run of rows.
 RUN_ROWS = 16_384
-#: Distances from a pivot are dealt into classes, each this much wider than the one before.
-CLASS_RATIO = 1.1
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -358,6 +356,14 @@ def _differences(words: int):
     return run
 
 
+def _keys(known: DataFrame, scale: int) -> DataFrame:
+    """The elements by which nodes meet, a row each at most, with ``most``: what s(x) + s(y) can be if this is the first element in common."""
+    bound = F.when(F.col("outside"), F.col("all")).otherwise(F.col("others"))
+    length = F.least(F.size("e"), F.size("e") + 1 - F.ceil((F.col("s") + bound) / F.lit(2 * scale))).cast("int")
+    given = known.where(length > 0).select("region", "node", "root", "s", "outside", F.size("e").alias("size"), F.posexplode(F.slice("e", F.lit(1), length)).alias("at", "h"))
+    return given.withColumn("most", F.lit(2 * scale) * (F.col("size") - F.col("at")))
+
+
 def _by_differences(
     held: DataFrame, open_nodes: DataFrame, texts: DataFrame, done: DataFrame, roots: DataFrame, words: int, percent: int, verify: Callable[[DataFrame], DataFrame]
 ) -> tuple[DataFrame, DataFrame]:
@@ -369,10 +375,10 @@ def _by_differences(
 
     First, all x with s(x) + s(c) <= 0 are linked with c, the node of least s: |x ^ c| <= d(x) + d(c). Two nodes with s(x) + s(y) <= 0 have both been linked
     with c so, hence any other link needs an element in common. Second, elements of D that no other node of the region has leave, the others
-    are ordered from rare to common. Of two sets that have o elements in common, the first |D| - o + 1 of each have one in common. How long
-    that is depends on the partner, so nodes are dealt into classes of s: a node gives, for each class that a partner could be in, as many elements as the least s there
-    asks for, and none if that is more than it has. What almost all of a group's nodes have is in P and is no key; what few of them have makes few pairs. The
-    join has as many rows as there are such coincidences; Spark splits a key that is common after all.
+    are ordered from rare to common. If the first element in common is at the i-th place of D(x) from 0, no more than |D(x)| - i are in common, likewise of D(y), so
+    a coincidence counts if (s(x) + s(y)) / 2 is within both. Each node gives every element once, as far as the least s of its partners lets one count, and
+    none if that is more than it has; nodes of the region's largest component have only those outside of it as partners, and one of each pair is outside.
+    What almost all of a group's nodes have is in P and is no key; what few of them have makes few pairs. Spark splits a key that is common after all.
     """
     spark = held.sparkSession
     lead = roots.select(F.col("node").alias("leader"), F.col("root").alias("lead_root"))
@@ -406,24 +412,19 @@ def _by_differences(
     listed = here.select("region", "node", F.explode("only").alias("h"))
     counts = listed.groupBy("region", "h").agg(F.count("*").alias("c")).where("c > 1")
     ordered = listed.join(counts, ["region", "h"]).groupBy("region", "node").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("e"))
-    size = F.log(F.abs("s") + 1) / F.log(F.lit(CLASS_RATIO))
-    klass = (F.signum("s") * F.floor(size)).cast("int").alias("class")
-    known = checkpoint(here.join(ordered, ["region", "node"]).select("region", "node", "root", "s", klass, F.col("e.h").alias("e")))
-    # Of each region, its largest component, and each class's least s of all nodes and of those outside of that component.
-    largest = known.groupBy("region", "root").agg(F.count("*").alias("size")).groupBy("region").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
-    known = known.join(largest, "region").withColumn("outside", F.col("root") != F.col("largest"))
-    least = known.groupBy("region", "class").agg(F.min("s").alias("all"), F.min(F.when(F.col("outside"), F.col("s"))).alias("outside"))
-    classes = least.groupBy("region").agg(F.collect_list(F.struct("class", "all", "outside")).alias("classes"))  # some hundreds at most
-    bound = lambda c: F.when(F.col("outside"), c["all"]).otherwise(c["outside"])
-    asked = lambda c: F.greatest(F.lit(1), F.ceil((F.col("s") + bound(c)) / F.lit(2.0 * scale) - 1e-9)).cast("int")
-    partners = F.filter(F.transform("classes", lambda c: F.struct(c["class"].alias("other"), (F.size("e") - asked(c) + 1).alias("length"))), lambda c: c["length"] > 0)
-    given = known.join(classes, "region").withColumn("partner", F.explode(partners)).select(
-        "region", "node", "root", "s", "outside", F.size("e").alias("size"), "class", F.col("partner.other").alias("other"), F.explode(F.expr("slice(e, 1, partner.length)")).alias("h")
-    )
-    left, right = (given.select("region", "h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "s", "outside", "size", "class", "other")]) for x in "ab")
-    fits = (F.col("class_a") == F.col("other_b")) & (F.col("other_a") == F.col("class_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("node_a") < F.col("node_b"))
-    enough = 2 * scale * F.least("size_a", "size_b") >= F.col("s_a") + F.col("s_b")
-    met = left.join(right, ["region", "h"]).where(fits & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    known = checkpoint(here.join(ordered, ["region", "node"]).select("region", "node", "root", "s", F.col("e.h").alias("e")))
+    # Of each region, its largest component, and the least s of all nodes and of those outside of that component.
+    by_root = known.groupBy("region", "root").agg(F.count("*").alias("size"), F.min("s").alias("s"))
+    largest = by_root.groupBy("region").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
+    outside = F.col("root") != F.col("largest")
+    least = by_root.join(largest, "region").groupBy("region", "largest").agg(F.min("s").alias("all"), F.min(F.when(outside, F.col("s"))).alias("others"))
+    known = known.join(F.broadcast(least) if sizes.count() < SMALL else least, "region").withColumn("outside", outside)
+    given = _keys(known, scale)
+    left, right = (given.select("region", "h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "s", "outside", "most")]) for x in "ab")
+    left = left.where("outside_a")
+    enough = F.col("s_a") + F.col("s_b") <= F.least("most_a", "most_b")
+    once = ~F.col("outside_b") | (F.col("node_a") < F.col("node_b"))
+    met = left.join(right, ["region", "h"]).where(enough & once & (F.col("root_a") != F.col("root_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     met = checkpoint(met, free=True)
     if not met.isEmpty():
         done = done.union(verify(met))

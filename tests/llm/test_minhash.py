@@ -145,6 +145,21 @@ def test_few_pairs_are_compared(spark, monkeypatch):
     assert 0 < sum(made) < 800 * 799 / 2 / 100
 
 
+def test_nodes_give_each_difference_once(spark, monkeypatch):
+    """However many sizes of partners there are in a group, a node's elements are keys once, and most are none."""
+    made, plain = [], minhash._keys
+
+    def counted(known, scale):
+        given = plain(known, scale)
+        made.append((given.count(), given.select("region", "node", "h").distinct().count(), known.agg(F.sum(F.size("e"))).head()[0]))
+        return given
+
+    monkeypatch.setattr(minhash, "_keys", counted)
+    minhash.near_duplicates(spark.createDataFrame(hub(400, edits=100), "doc_id long, text string"), 4).count()
+    [(rows, distinct, all_elements)] = made
+    assert 0 < rows == distinct < all_elements
+
+
 def test_rows_are_dropped_one_by_one(spark):
     t = " ".join(f"w{i}" for i in range(100))
     rows = [(5, t, "a"), (None, t + " x", "b"), (None, "a unique text of some words", "c"), (6, t, "d"), (8, "twice the same row", "e"), (8, "twice the same row", "f"), (9, None, "g"), (9, " ", "h"), (None, None, "i"), (8, "another text of that id", "j")]
