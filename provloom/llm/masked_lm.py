@@ -86,13 +86,19 @@ def _of(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
     return mine - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
 
-def _within(h: np.ndarray, low: np.ndarray, low_bias: np.ndarray, klass: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """The hidden layer and a column of ones, by which biases are weights like others."""
+    wide = np.ones((len(h), WIDTH + 1), np.float32)
+    wide[:, :WIDTH] = h
+    return wide
+
+
+def _within(h: np.ndarray, low: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Logits of the kinds of each token's class; tokens are in the order of classes, which end at ``ends``."""
     logits = np.empty((len(h), CLASS), np.float32)
     for c in np.flatnonzero(np.diff(ends)):
         of = slice(ends[c], ends[c + 1])
         np.matmul(h[of], low[c], out=logits[of])
-    logits += low_bias[klass]
     return logits
 
 
@@ -100,22 +106,24 @@ def log_probabilities(weights: np.ndarray, around: np.ndarray, ids: np.ndarray)
     """log p(token | both sides) of each token, some at a time; tokens of one class go through its weights together."""
     vectors, gates, bias, top, top_bias, low, low_bias = parts(weights)
     tables = [vectors * g for g in gates]
+    top, low = np.concatenate([top, top_bias[None]]), np.concatenate([low, low_bias[:, None]], axis=1)
     found = np.empty(len(ids), np.float32)
     starts = np.arange(KINDS // CLASS + 1) * CLASS
     for a in range(0, len(ids), BATCH):
         own = ids[a : a + BATCH]
         order = np.argsort(own, kind="stable")
         own = own[order]
-        h = _hidden(tables, bias, around[a : a + BATCH][order])
+        h = _with_one(_hidden(tables, bias, around[a : a + BATCH][order]))
         klass, inner = np.divmod(own, np.uint16(CLASS))
-        found[a + order] = _of(h @ top + top_bias, klass) + _of(_within(h, low, low_bias, klass, np.searchsorted(own, starts)), inner)
+        found[a + order] = _of(h @ top, klass) + _of(_within(h, low, np.searchsorted(own, starts)), inner)
     return found
 
 
-def _slope(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+def _slope(logits: np.ndarray, own: np.ndarray, step: np.float32) -> np.ndarray:
+    """``step`` times the loss's slope by the logits, which are overwritten."""
     np.exp(logits, out=logits)
-    logits *= (1 / (logits @ np.ones(logits.shape[1], np.float32)))[:, None]
-    logits[np.arange(len(own)), own] -= 1
+    logits *= (step / (logits @ np.ones(logits.shape[1], np.float32)))[:, None]
+    logits[np.arange(len(own)), own] -= step
     return logits
 
 
@@ -135,24 +143,23 @@ def train(weights: np.ndarray, around: np.ndarray, ids: np.ndarray, rate: float,
         klass, inner = np.divmod(own, np.uint16(CLASS))
         near, step = around[at], np.float32(rate * 16 / len(at))
         h = _hidden([vectors * g for g in gates], bias, near)
-        p = _slope(h @ top + top_bias, klass)
+        wide = _with_one(h)
+        p = _slope(wide @ np.concatenate([top, top_bias[None]]), klass, step)
         back = p @ top.T
         ends = np.searchsorted(own, starts)
-        q, there = _slope(_within(h, low, low_bias, klass, ends), inner), np.flatnonzero(np.diff(ends))
-        for c in there:
+        q = _slope(_within(wide, np.concatenate([low, low_bias[:, None]], axis=1), ends), inner, step)
+        for c in np.flatnonzero(np.diff(ends)):
             of = slice(ends[c], ends[c + 1])
             back[of] += q[of] @ low[c].T
-        q *= step
-        for c in there:
-            of = slice(ends[c], ends[c + 1])
-            low[c] -= h[of].T @ q[of]
-        low_bias[there] -= np.add.reduceat(q, ends[there], axis=0)
-        back *= 1 - h * h
-        back *= step
-        p *= step
-        top -= h.T @ p
-        top_bias -= p.sum(axis=0)
-        bias -= back.sum(axis=0)
+            change = wide[of].T @ q[of]
+            low[c] -= change[:-1]
+            low_bias[c] -= change[-1]
+        h *= h
+        back -= back * h
+        change = wide.T @ p
+        top -= change[:-1]
+        top_bias -= change[-1]
+        bias -= np.ones(len(back), np.float32) @ back
         for place in range(2 * WINDOW):
             token = near[:, place]
             by_token = np.argsort(token, kind="stable")
