@@ -63,6 +63,73 @@ def alarms(levels: DataFrame, seq: tuple[str, ...] = ("seq",)) -> DataFrame:
     )
 
 
+#: Observations below one first key that one task takes in order; a first key with more is dealt over ranges.
+TOGETHER = 1_000_000
+
+
+def observed_alarms(obs: DataFrame, seq: tuple[str, ...] = ("seq",), tree: str = "tree", key: str = "key", together: int = TOGETHER) -> DataFrame:
+    """``alarms(observe(obs))`` in two shuffles of the observations, one row each: levels are columns, which are never made rows.
+
+    All that lies below a first key meets in one task, where windows over ever shorter prefixes count. A first key with more than ``together`` observations
+    is counted by ranges instead. Then rows are dealt by ranges of the order for the root's counters, whose sums before a range are one row a range and tree.
+    """
+    cols = ["tree", *seq, "key", "_range"]
+    rows = ranges(obs.select(F.col(tree).alias("tree"), *seq, F.col(key).alias("key")), seq[0])
+    tops = checkpoint(rows.groupBy("tree", F.slice("key", 1, 1).alias("_top")).agg(F.count("*").alias("n"), F.min("_range").alias("_range"), F.max(F.size("key")).alias("depth")))
+    depth = tops.agg(F.max("depth")).head()[0] or 0
+    prefix = lambda j: F.slice("key", 1, j)
+    size = F.size("key")
+
+    def counted(part: DataFrame, summed) -> DataFrame:  # noqa: ANN001
+        for j in range(depth, 0, -1):
+            part = summed(part.withColumn("_p", prefix(j)), F.lit(1).cast("long"), f"_c{j}")
+            if j < depth:  # children of this prefix so far
+                part = summed(part, ((F.col(f"_c{j + 1}") == 1) & (size > j)).cast("long"), f"_s{j + 1}")
+        return part.drop("_p")
+
+    inside = lambda by: Window.partitionBy(*by).orderBy(*seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_task = lambda part, value, name: part.withColumn(name, F.sum(value).over(inside(["tree", "_top", "_p"])))
+    by_ranges = lambda part, value, name: running(part, ["tree", "_p"], list(seq), value, name)
+    topped = rows.select(*cols, prefix(1).alias("_top"))
+    large = tops.where((F.col("n") > together) & (F.size("_top") > 0)).select("tree", "_top")
+    if large.isEmpty():
+        levels = counted(topped.repartition("tree", "_top"), in_task).drop("_top")
+    else:  # at most one in ``together`` observations
+        small = topped.join(F.broadcast(large), ["tree", "_top"], "left_anti").select(*topped.columns)
+        hot = topped.join(F.broadcast(large), ["tree", "_top"], "left_semi").select(*cols)
+        levels = counted(small.repartition("tree", "_top"), in_task).drop("_top").unionByName(counted(hot, by_ranges))
+
+    def at(level: Column, value, least: int, kind: str) -> Column:  # noqa: ANN001
+        return F.coalesce(*[F.when(level == j, value(j)) for j in range(least, depth + 1)], F.lit(None).cast(kind))
+
+    new = F.coalesce(*[F.when((size >= j) & (F.col(f"_c{j}") == 1), j) for j in range(1, depth + 1)], F.lit(None).cast("int"))
+    flat = levels.withColumn("_new", new).select(
+        "tree", *seq, "_range", size.alias("_size"), "_new", F.coalesce(F.col("_new") == 1, F.lit(False)).cast("long").alias("_one"),
+        F.when(at(size, lambda j: F.col(f"_c{j}"), 1, "long") == 1, F.col("key")).alias("key"),
+        at(F.col("_new"), lambda j: question(F.col(f"_s{j}"), F.col(f"_c{j - 1}")), 2, "double").alias("_below"),
+        at(size, lambda j: F.col(f"_c{j - 1}"), 2, "long").alias("_parent"), at(size, lambda j: F.col(f"_s{j}"), 2, "long").alias("_siblings"),
+    )
+    totals = rows.groupBy("tree", "_range").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("tops"))
+    totals = totals.union(tops.where(F.size("_top") > 0).groupBy("tree", "_range").agg(F.lit(0).cast("long"), F.count("*"))).groupBy("tree", "_range").agg(F.sum("n").alias("n"), F.sum("tops").alias("tops"))
+    before = Window.partitionBy("tree").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("tree", "_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("n", "tops")])
+    along = inside(["tree", "_range"])
+    placed = flat.join(offsets, ["tree", "_range"]).withColumns({"_root": F.col("_n") + F.count("*").over(along), "_kids": F.col("_tops") + F.sum("_one").over(along)})
+    parent, siblings = F.coalesce("_parent", "_root"), F.coalesce("_siblings", "_kids")
+    at_new = F.when(F.col("_new") == 1, question(F.col("_kids") - 1, F.col("_root") - 1)).otherwise(F.col("_below"))
+    return placed.where(F.col("key").isNotNull()).select(
+        "tree", *seq, "key", F.when(parent == 1, at_new).otherwise(question(siblings, parent)).alias("local_prob"), (F.lit(1.0) / F.col("_root")).alias("global_prob"),
+        F.when(parent == 1, F.col("_new")).otherwise(F.col("_size")).cast("int").alias("depth"),
+    )
+
+
+def until_last_alarm(rows: DataFrame, seq: str, by: list[str]) -> DataFrame:
+    """Rows up to the last one that is the first of its key ``by``; no later one is an alarm or counts for one. Right where few keys have many rows: the
+    least place of each key is found in the tasks that make the rows, and the bound, one number, can be moved to where the rows come from."""
+    last = rows.groupBy(*by).agg(F.min(seq).alias("_first")).agg(F.max("_first")).head()[0]
+    return rows.where(F.col(seq) <= F.lit(last)) if last is not None else rows
+
+
 def snapshot(obs: DataFrame, tree: str = "tree", key: str = "key") -> DataFrame:
     """The tree after all observations, one row a node: count, children, local and global probability; order plays no part."""
     counts = explode_prefixes(obs, tree, [], key).groupBy("tree", "prefix", "level").agg(F.count("*").alias("count"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import novelty
 from ..operators.graph import event_frame, kind_of
-from .novelty_queries import SEQ, cross_host_flows, levels_sql
+from ..session import checkpoint
+from .novelty_queries import SEQ, host_flows, levels_sql
 from .registry import ORACLES, query
 from .sql import EV
 
@@ -52,6 +53,8 @@ two_phase("write_soon_after_read_alarms", "ProcessWritesFileSoonAfterNetflowRead
 def cross_host_alarms(spark, sf_dir):
     """Pairs of flows between hosts as [receiver, sender, port]; a flow that meets several is ordered by them. The last digit of the other order stands for its port."""
     seq = ("emitted", "other_seq", "host", "other_host")
-    found = cross_host_flows(spark, sf_dir).withColumn("port", F.col("other_seq") % 10)
-    seen = novelty.join_observations(found, "CrossHostProcessCommunication", list(seq), ["host", "other_host", "port"])
-    return _shown(novelty.alarms(novelty.observe(seen, seq=seq), seq), *seq)
+    flows = checkpoint(host_flows(spark, sf_dir))
+    found = novelty.cross_host(flows, ["a", "d"], ["b", "d"], "host", "seq", []).withColumn("port", F.col("other_seq") % 10)
+    few = checkpoint(novelty.until_last_alarm(found, "emitted", ["host", "other_host", "port"]))  # pairs grow with the square of a day's flows, their keys don't
+    seen = novelty.join_observations(few, "CrossHostProcessCommunication", list(seq), ["host", "other_host", "port"])
+    return _shown(novelty.observed_alarms(seen, seq), *seq)
