@@ -37,7 +37,7 @@ OBS = EV + f""", obs AS (SELECT 't' || (subject % 2) AS tree, nanos, event_id, '
 
 
 def alarm_rows(spark, sf_dir) -> DataFrame:
-    return novelty.alarms(novelty.observe(observations(spark, sf_dir), seq=SEQ), SEQ)
+    return novelty.observed_alarms(observations(spark, sf_dir), SEQ)
 
 
 @query("trie_alarms", f"WITH {OBS} SELECT tree, event_id, k1 || '|' || k2 || '|' || k3 AS key, round(lp, 6) AS local_prob, round(1.0 / c0, 6) AS global_prob, dp AS depth FROM al")

@@ -3,6 +3,7 @@
 import random
 
 from provloom.operators import novelty
+from provloom.queries import novelty_queries
 
 
 def test_observed_alarms_in_columns(spark):
@@ -25,3 +26,8 @@ def test_rows_after_the_last_alarm_are_left_out_early(spark):
     alarms = [novelty.observed_alarms(novelty.join_observations(r, "t", ["at"], ["a", "b"]), ("at",)).collect() for r in (few, rows)]
     assert sorted(alarms[0]) == sorted(alarms[1]) and alarms[0]
     assert novelty.until_last_alarm(rows.limit(0), "at", ["a", "b"]).count() == 0
+
+
+def test_alarms_make_no_row_a_level(spark, sf):
+    plan = novelty_queries.alarm_rows(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
