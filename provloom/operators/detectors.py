@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -250,18 +252,37 @@ def cover_cost(ctx: DataFrame, codes: DataFrame) -> DataFrame:
     """(object, bits): the length of an object's items as a cover by a code table (items, support), larger sets first, then the
     more frequent, then by name; items that no set covers are codes of their own. A code's length is -log2 of its share of all uses.
 
-    The table is a broadcast array, bounded by the caller; covering is a fold over it in each object's row.
+    A cover depends on the items alone, so each distinct set of items is covered once, whatever the number of objects that have it: a batch of sets goes
+    through the table as bit rows, code by code. The table is held by each task, bounded by the caller.
     """
-    table = codes.agg(F.sort_array(F.collect_list(F.struct((-F.size("items")).alias("s"), (-F.col("support")).alias("f"), "items"))).alias("codes"))
-    baskets = ctx.groupBy("object").agg(F.array_sort(F.collect_set("attribute")).alias("left")).join(F.broadcast(table), F.lit(True))  # one row
-    start = F.struct(F.col("left").alias("left"), F.array().cast("array<array<string>>").alias("used"))
-    step = lambda a, c: F.when(_inside(c["items"], a["left"]), F.struct(F.array_except(a["left"], c["items"]).alias("left"), F.concat(a["used"], F.array(c["items"])).alias("used"))).otherwise(a)
-    covered = baskets.select("object", F.aggregate("codes", start, step, lambda a: F.concat(a["used"], F.transform(a["left"], lambda x: F.array(x)))).alias("used"))
-    uses = covered.select("object", F.explode("used").alias("code"))
-    counts = uses.groupBy("code").agg(F.count("*").alias("u"))
-    total = uses.agg(F.count("*").alias("t"))
-    lengths = counts.join(F.broadcast(total), F.lit(True)).select("code", (-log2(F.col("u") / F.col("t"))).alias("b"))
-    return uses.join(lengths, "code").groupBy("object").agg(F.sum("b").alias("bits"))
+    table = [list(r["items"]) for r in codes.orderBy(F.desc(F.size("items")), F.desc("support"), "items").collect()]
+    index = SubsetIndex(table)
+    wanted = [np.array([index.number[i] for i in c], np.int64) for c in table]
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("items")
+            left = index.bits(lists)
+            used: list[list[int]] = [[] for _ in range(len(left))]
+            for n, code in enumerate(wanted):
+                hit = np.flatnonzero(left[:, code].all(axis=1))
+                left[np.ix_(hit, code)] = False
+                for row in hit:
+                    used[row].append(n)
+            rest = [[x for x in own if x not in index.number or left[row, index.number[x]]] for row, own in enumerate(lists.to_pylist())]
+            yield pa.RecordBatch.from_arrays([lists, batch.column("n"), pa.array(used, pa.list_(pa.int32())), pa.array(rest, pa.list_(pa.string()))], ["items", "n", "used", "rest"])
+
+    baskets = checkpoint(ctx.groupBy("object").agg(F.array_sort(F.collect_set("attribute")).alias("items")))
+    kinds = baskets.groupBy("items").agg(F.count("*").alias("n"))
+    covered = checkpoint(kinds.mapInArrow(cover, "items array<string>, n long, used array<int>, rest array<string>"))
+    none = F.lit(None)
+    each = F.concat(F.transform("used", lambda c: F.struct(c.alias("code"), none.cast("string").alias("item"))), F.transform("rest", lambda x: F.struct(none.cast("int").alias("code"), x.alias("item"))))
+    uses = covered.select("items", "n", F.explode(each).alias("code"))
+    counts = uses.groupBy("code").agg(F.sum("n").alias("u"))
+    total = uses.agg(F.sum("n").alias("t"))
+    lengths = counts.join(F.broadcast(total), F.lit(True)).select("code", (-log2(F.col("u") / F.col("t"))).alias("b"))  # one row
+    bits = checkpoint(uses.join(lengths, "code").groupBy("items").agg(F.sum("b").alias("bits")))
+    return baskets.join(bits, "items").select("object", "bits")
 
 
 def fpof(ctx: DataFrame, sets: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Jobs that were reworked for large tables, beside their plain forms."""
 
+import math
 import random
 
-from provloom.operators import novelty
+from provloom.operators import detectors, novelty
 from provloom.queries import novelty_queries
 
 
@@ -31,3 +32,17 @@ def test_rows_after_the_last_alarm_are_left_out_early(spark):
 def test_alarms_make_no_row_a_level(spark, sf):
     plan = novelty_queries.alarm_rows(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_equal_baskets_are_covered_once(spark):
+    """A cover's bits are the same however many objects share a basket, and the plan holds no fold over the codes in each row."""
+    own = [(i, a) for i in range(60) for a in ("ab", "abc", "bd", "d")[i % 4]]
+    ctx = spark.createDataFrame(own, "object long, attribute string")
+    codes = spark.createDataFrame([(["a", "b"], 30)], "items array<string>, support long")
+    found = detectors.cover_cost(ctx, codes)
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    bits = {r.object: round(r.bits, 9) for r in found.collect()}
+    assert len(bits) == 60 and all(bits[i] == bits[i % 4] for i in bits)
+    uses = {"ab": 30, "c": 15, "b": 15, "d": 30}
+    length = {k: -math.log2(n / 90) for k, n in uses.items()}
+    assert [round(sum(length[c] for c in cs), 9) for cs in (["ab"], ["ab", "c"], ["b", "d"], ["d"])] == [bits[i] for i in range(4)]
