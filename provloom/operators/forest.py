@@ -80,29 +80,35 @@ def isolation_forest(train: DataFrame, rows: DataFrame, ident: str, features: li
 def code_length_clusters(ctx: DataFrame, k: int, rounds: int = 10, epsilon: float = 1e-3) -> DataFrame:
     """(object, cluster, bits): k-means on code length. Objects start in clusters by their hash; each round codes every object by every
     cluster's attribute shares and the cluster's own cost and takes the cheapest, until the total falls by less than epsilon.
+
+    Objects with the same attributes cost the same, so rounds work on the distinct sets of attributes, with the number of objects in each cluster; objects
+    are read once before the rounds and once after them.
     """
-    objects = ctx.select("object").distinct().withColumn("cluster", F.pmod(F.xxhash64("object"), F.lit(k)).cast("int"))
-    attributes = ctx.select("attribute").distinct()
+    first = F.pmod(F.xxhash64("object"), F.lit(k)).cast("int")
+    baskets = checkpoint(ctx.groupBy("object").agg(F.sort_array(F.collect_list("attribute")).alias("items")))
+    sets = checkpoint(baskets.groupBy("items", first.alias("cluster")).agg(F.count("*").alias("m")))
+    attributes = checkpoint(sets.select(F.explode("items").alias("attribute")).distinct())
+    total = baskets.count()
     clusters = ctx.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster"))
     before = None
     found = None
     for _ in range(rounds):
-        sizes = clusters.join(objects.groupBy("cluster").agg(F.count("*").alias("n")), "cluster", "left").na.fill(0)
-        total = objects.count()
-        present = ctx.join(objects, "object").groupBy("cluster", "attribute").agg(F.count("*").alias("f"))
+        sizes = clusters.join(sets.groupBy("cluster").agg(F.sum("m").alias("n")), "cluster", "left").na.fill(0)
+        present = sets.select("cluster", "m", F.explode("items").alias("attribute")).groupBy("cluster", "attribute").agg(F.sum("m").alias("f"))
         grid = attributes.join(F.broadcast(sizes), F.lit(True)).join(present, ["cluster", "attribute"], "left").na.fill(0)  # k rows
-        p = grid.select("cluster", "attribute", ((F.col("f") + 1) / (F.col("n") + 2)).alias("p"))
-        base = p.groupBy("cluster").agg(F.sum(-log2(1 - F.col("p"))).alias("base")).join(sizes, "cluster").select("cluster", (F.col("base") - log2((F.col("n") + 1) / (total + k))).alias("base"))
-        own = ctx.join(p, "attribute").groupBy("object", "cluster").agg(F.sum(log2(1 - F.col("p")) - log2(F.col("p"))).alias("s"))
-        costs = own.join(F.broadcast(base), "cluster").select("object", "cluster", (F.col("s") + F.col("base")).alias("bits"))
-        best = costs.groupBy("object").agg(F.min(F.struct("bits", "cluster")).alias("b"))
-        found = checkpoint(best.select("object", F.col("b.cluster").alias("cluster"), F.col("b.bits").alias("bits")))
-        now = found.agg(F.sum("bits")).head()[0]
-        objects = found.select("object", "cluster")
+        p = checkpoint(grid.select("cluster", "attribute", "n", ((F.col("f") + 1) / (F.col("n") + 2)).alias("p")))
+        base = p.groupBy("cluster", "n").agg(F.sum(-log2(1 - F.col("p"))).alias("base")).select("cluster", (F.col("base") - log2((F.col("n") + 1) / (total + k))).alias("base"))
+        members = sets.groupBy("items").agg(F.sum("m").alias("m"))
+        own = members.select("items", "m", F.explode("items").alias("attribute")).join(p, "attribute").groupBy("items", "m", "cluster").agg(F.sum(log2(1 - F.col("p")) - log2(F.col("p"))).alias("s"))
+        costs = own.join(F.broadcast(base), "cluster").select("items", "m", "cluster", (F.col("s") + F.col("base")).alias("bits"))
+        best = costs.groupBy("items", "m").agg(F.min(F.struct("bits", "cluster")).alias("b"))
+        found = checkpoint(best.select("items", "m", F.col("b.cluster").alias("cluster"), F.col("b.bits").alias("bits")))
+        now = found.agg(F.sum(F.col("bits") * F.col("m"))).head()[0]
+        sets = found.select("items", "cluster", "m")
         if before is not None and now > (1 - epsilon) * before:
             break
         before = now
-    return found
+    return baskets.join(found.drop("m"), "items").select("object", "cluster", "bits")
 
 
 def forests_by_group(rows: DataFrame, group: str, ident: str, features: list[str], least: int = 50, trees: int = 25, sample: int = 128, seed: int = 7) -> DataFrame:

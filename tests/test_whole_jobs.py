@@ -3,7 +3,7 @@
 import math
 import random
 
-from provloom.operators import detectors, novelty
+from provloom.operators import detectors, forest, novelty
 from provloom.queries import novelty_queries
 
 
@@ -46,3 +46,12 @@ def test_equal_baskets_are_covered_once(spark):
     uses = {"ab": 30, "c": 15, "b": 15, "d": 30}
     length = {k: -math.log2(n / 90) for k, n in uses.items()}
     assert [round(sum(length[c] for c in cs), 9) for cs in (["ab"], ["ab", "c"], ["b", "d"], ["d"])] == [bits[i] for i in range(4)]
+
+
+def test_clusters_of_equal_baskets_are_equal(spark):
+    """Rounds see each distinct basket once; what a basket gets, all its objects get."""
+    ctx = spark.createDataFrame([(i, a) for i in range(90) for a in ("abc", "xyz", "ab")[i % 3]], "object long, attribute string")
+    found = forest.code_length_clusters(ctx, 2)
+    rows = found.collect()
+    assert len(rows) == 90 and len({(r.object % 3, r.cluster, round(r.bits, 9)) for r in rows}) == 3
+    assert "Join" in found._jdf.queryExecution().optimizedPlan().toString()  # objects get their basket's cluster after the rounds
