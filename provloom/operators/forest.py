@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
 from .detectors import log2
 
+#: Rows of a group that one task judges at once.
+TOGETHER = 100_000
+
 
 def _c(n: float) -> float:
     return 2 * (np.log(n - 1) + 0.5772156649 - (n - 1) / n) if n > 1 else 0.0
@@ -114,21 +117,47 @@ def code_length_clusters(ctx: DataFrame, k: int, rounds: int = 10, epsilon: floa
 def forests_by_group(rows: DataFrame, group: str, ident: str, features: list[str], least: int = 50, trees: int = 25, sample: int = 128, seed: int = 7) -> DataFrame:
     """(group, ident, score, odd): a forest of each group with enough rows, grown on its rows of least hash and held against all its rows.
 
-    Odd: a score above the greatest of the training rows. A group's rows are numeric features of one command, taken in one task.
+    Odd: a score above the greatest of the training rows. A forest is grown from its training rows, ``sample`` at most, in one task; all rows are dealt in
+    parts of a group of some ``TOGETHER`` rows, and each part meets its group's forest. Broadcast is one row a group that has more than one part.
     """
+    kinds = dict(rows.dtypes)
+    given = rows.select(group, ident, *features).withColumn("h", F.xxhash64(ident))
+    order = Window.partitionBy(group).orderBy("h", ident)
+    training = given.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= max(sample, least))
+
+    def plant(part: pd.DataFrame) -> pd.DataFrame:
+        import pickle
 
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["h", ident])
-        x = part[features].to_numpy(float)
+        x = part.sort_values("_at")[features].to_numpy(float)
         if len(x) < least:
-            return pd.DataFrame({group: part[group].head(0), ident: part[ident].head(0), "score": np.zeros(0), "odd": np.zeros(0, bool)})
+            return pd.DataFrame({group: part[group].head(0), "body": np.zeros(0, object)})
         rng, chosen = np.random.default_rng(seed), min(len(x), sample)
         grown = [grow(x[rng.choice(chosen, chosen)], int(np.ceil(np.log2(chosen))), rng) for _ in range(trees)]
-        score = 2.0 ** (-np.mean([depths(t, x, 0, True) for t in grown], axis=0) / max(_c(chosen), 1e-9))
-        return pd.DataFrame({group: part[group], ident: part[ident], "score": score, "odd": score > score[:chosen].max()})
+        top = float(_scores(grown, x[:chosen], chosen).max())
+        return pd.DataFrame({group: part[group].head(1), "body": [pickle.dumps((grown, chosen, top))]})
 
-    kinds = dict(rows.dtypes)
-    return rows.select(group, ident, *features).withColumn("h", F.xxhash64(ident)).groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {ident} {kinds[ident]}, score double, odd boolean")
+    forests = checkpoint(training.groupBy(group).applyInPandas(plant, f"{group} {kinds[group]}, body binary"))
+    parts = rows.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_parts"))
+    split = checkpoint(parts.where("_parts > 1"))
+    of_group = lambda df: df.join(F.broadcast(split), F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).drop("_g")
+    dealt = of_group(given).withColumn("_part", F.pmod(F.xxhash64("h"), F.col("_parts")).cast("int")).drop("_parts", "h")
+    copies = of_group(forests).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+    def judge(part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        import pickle
+
+        if not len(part) or not len(model):
+            return pd.DataFrame({group: part[group].head(0), ident: part[ident].head(0), "score": np.zeros(0), "odd": np.zeros(0, bool)})
+        grown, chosen, top = pickle.loads(model["body"].iloc[0])
+        score = _scores(grown, part[features].to_numpy(float), chosen)
+        return pd.DataFrame({group: part[group], ident: part[ident], "score": score, "odd": score > top})
+
+    schema = f"{group} {kinds[group]}, {ident} {kinds[ident]}, score double, odd boolean"
+    return dealt.groupBy(group, "_part").cogroup(copies.groupBy(group, "_part")).applyInPandas(judge, schema)
+
+
+def _scores(grown: list[tuple], x: np.ndarray, chosen: int) -> np.ndarray:
+    return 2.0 ** (-np.mean([depths(t, x, 0, True) for t in grown], axis=0) / max(_c(chosen), 1e-9))
 
 
 def classify_segments(train: DataFrame, rows: DataFrame, features: list[str], label: str, seed: int = 7) -> DataFrame:

@@ -55,3 +55,13 @@ def test_clusters_of_equal_baskets_are_equal(spark):
     rows = found.collect()
     assert len(rows) == 90 and len({(r.object % 3, r.cluster, round(r.bits, 9)) for r in rows}) == 3
     assert "Join" in found._jdf.queryExecution().optimizedPlan().toString()  # objects get their basket's cluster after the rounds
+
+
+def test_forests_in_parts_of_a_group(spark, monkeypatch):
+    """A group is judged in parts that tasks hold one at a time; null groups and features too. Scores don't depend on the parts."""
+    rows = [(None if i % 5 == 0 else "abc"[i % 3], i, float(i % 17), None if i % 7 == 0 else float(i * 37 % 101)) for i in range(1_500)]
+    df = spark.createDataFrame(rows, "g string, i long, a double, b double")
+    judged = lambda: sorted((r.i, str(r.g), round(r.score, 9), r.odd) for r in forest.forests_by_group(df, "g", "i", ["a", "b"]).collect())
+    whole = judged()
+    monkeypatch.setattr(forest, "TOGETHER", 100)
+    assert judged() == whole and len(whole) == 1_500
