@@ -62,6 +62,28 @@ def segment_features(members: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.withColumn("density", F.when(F.col("nodes") > 1, F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(F.lit(0.0)))
 
 
+def reads_after_writes(writes: DataFrame, reads: DataFrame, width: int) -> DataFrame:
+    """(writer, reader, object), once each, where someone else read an object at most ``width`` after a write. ``writes`` are (writer, object, at), ``reads``
+    (reader, object, nanos).
+
+    A time bucket in the join key keeps the range join from meeting all pairs of an object. Only a writer's last write before a read meets the reader's first
+    read after it, so one who wrote or read an object once is in one pair at most: these pairs, most by far, go out as they are joined, and only pairs of
+    a writer and a reader who both came back to the object are made distinct.
+    """
+    own = lambda who: Window.partitionBy("object", who)
+    w = writes.withColumns({"next": F.lead("at").over(own("writer").orderBy("at")), "writes": F.count("*").over(own("writer"))})
+    r = reads.withColumns({"last": F.lag("nanos").over(own("reader").orderBy("nanos")), "reads": F.count("*").over(own("reader"))})
+    w = w.withColumn("b", F.explode(F.array(F.expr(f"at div {width}"), F.expr(f"at div {width} + 1"))))
+    r = r.withColumn("b", F.expr(f"nanos div {width}"))
+
+    def met(some: str, others: str) -> DataFrame:
+        pairs = w.where(some).join(r.where(others), ["object", "b"])
+        near = pairs.where(f"nanos > at and nanos - at <= {width} and writer <> reader and (next is null or next >= nanos) and (last is null or last <= at)")
+        return near.select("writer", "reader", "object")
+
+    return met("writes = 1", "true").union(met("writes > 1", "reads = 1")).union(met("writes > 1", "reads > 1").distinct())
+
+
 # Grammar over labelled paths. A pattern is a frame of matches (path, first, last) of a table of steps (path, pos, label).
 
 

@@ -125,10 +125,8 @@ def process_reads_file(spark, sf_dir):
 
 @query("process_reads_file_after_write", f"WITH {EV} SELECT DISTINCT w.subject AS writer, r.subject AS reader, r.object FROM ev w JOIN ev r ON w.object = r.object AND r.nanos > w.nanos AND r.nanos - w.nanos <= 21600000000000 WHERE w.kind = 'EVENT_WRITE' AND r.kind = 'EVENT_READ' AND w.subject <> r.subject")
 def process_reads_file_after_write(spark, sf_dir):
-    """Writers and readers of a file within six hours; a time bucket in the join key keeps the range join from meeting all pairs of a file."""
+    """Writers and readers of a file within six hours."""
     ev = event_frame(spark, sf_dir).where("object is not null")
-    width = 21_600_000_000_000
-    bucket = F.expr(f"nanos div {width}")
-    w = ev.where("event_type = 'purchase'").select(F.col("subject").alias("writer"), "object", F.col("nanos").alias("at"), F.explode(F.array(bucket, bucket + 1)).alias("b"))
-    r = ev.where("event_type = 'click'").select(F.col("subject").alias("reader"), "object", "nanos", bucket.alias("b"))
-    return w.join(r, ["object", "b"]).where(f"nanos > at and nanos - at <= {width} and writer <> reader").select("writer", "reader", "object").distinct()
+    writes = ev.where("event_type = 'purchase'").select(F.col("subject").alias("writer"), "object", F.col("nanos").alias("at"))
+    reads = ev.where("event_type = 'click'").select(F.col("subject").alias("reader"), "object", "nanos")
+    return sg.reads_after_writes(writes, reads, 21_600_000_000_000)

@@ -3,7 +3,7 @@
 import math
 import random
 
-from provloom.operators import detectors, forest, novelty
+from provloom.operators import detectors, forest, novelty, segments
 from provloom.queries import novelty_queries
 
 
@@ -65,3 +65,16 @@ def test_forests_in_parts_of_a_group(spark, monkeypatch):
     whole = judged()
     monkeypatch.setattr(forest, "TOGETHER", 100)
     assert judged() == whole and len(whole) == 1_500
+
+
+def test_reads_after_writes_once_each(spark):
+    draw = random.Random(5)
+    writes = [(draw.randrange(6), draw.randrange(3), draw.randrange(400)) for _ in range(120)]
+    reads = [(draw.randrange(6), draw.randrange(3), draw.randrange(400)) for _ in range(120)] + [(9, 0, 50), (9, 1, 50)]
+    want = sorted({(w, r, o) for w, o, at in writes for r, p, t in reads if o == p and w != r and 0 < t - at <= 10})
+    found = segments.reads_after_writes(spark.createDataFrame(writes, "writer long, object long, at long"), spark.createDataFrame(reads, "reader long, object long, nanos long"), 10)
+    assert sorted(map(tuple, found.collect())) == want
+    single = segments.reads_after_writes(spark.range(8).selectExpr("id as writer", "0L as object", "id as at"), spark.range(8).selectExpr("id as reader", "0L as object", "id as nanos"), 10)
+    plan = single._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Aggregate")  # only one branch is made distinct
+    assert single.count() == 28
